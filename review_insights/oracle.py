@@ -174,5 +174,11 @@ problem_analysis AS (
 
 
 def sql(body: str) -> str:
-    """A complete oracle query: the shared prelude plus one final SELECT."""
+    """A complete oracle query: the shared prelude plus one final SELECT.
+
+    A body that starts with its own ``WITH`` extends the prelude's CTE list.
+    """
+    text = body.lstrip()
+    if text[:4].upper() == "WITH":
+        return PRELUDE.rstrip() + ",\n" + text[4:]
     return PRELUDE + body

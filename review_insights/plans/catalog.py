@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from review_insights import oracle as O
-from review_insights.operators import patterns
+from review_insights.operators import patterns, summary
 from review_insights.plans import frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,218 @@ SELECT review_id, bert_sentiment, problem_category FROM scored
 """)
 def q_classify(spark, sf_dir):
     return frames.scored(spark, sf_dir).select("review_id", "bert_sentiment", "problem_category")
+
+
+# ----------------------------------------------------------------- summary --
+
+def _lean(spark, sf_dir):
+    """Processed reviews without the category-statistics join (same rows)."""
+    return frames.processed(spark, sf_dir, with_category_stats=False)
+
+
+@register("summary_basic_info", """
+SELECT count(*) AS total_reviews, count(DISTINCT product_id) AS unique_products,
+       count(DISTINCT product_category) AS unique_categories,
+       strftime(min(review_date), '%Y-%m-%d %H:%M:%S') AS date_start,
+       strftime(max(review_date), '%Y-%m-%d %H:%M:%S') AS date_end
+FROM base
+""")
+def q_basic_info(spark, sf_dir):
+    return summary.basic_info(_lean(spark, sf_dir))
+
+
+@register("summary_rating", """
+SELECT round(avg(rating), 2) AS average_rating, round(stddev_samp(rating), 2) AS rating_std FROM base
+""")
+def q_rating(spark, sf_dir):
+    return summary.rating_analysis(_lean(spark, sf_dir))
+
+
+@register("summary_rating_distribution", """
+SELECT rating, count(*) AS count FROM base WHERE rating IS NOT NULL GROUP BY rating
+""")
+def q_rating_dist(spark, sf_dir):
+    return summary.rating_distribution(_lean(spark, sf_dir))
+
+
+@register("summary_sentiment", """
+SELECT round(avg(CASE WHEN sentiment_label = 'negative' THEN 1 ELSE 0 END) * 100, 1) AS negative_ratio FROM base
+""")
+def q_sentiment(spark, sf_dir):
+    return summary.sentiment_analysis(_lean(spark, sf_dir))
+
+
+@register("summary_label_distribution", """
+SELECT sentiment_label, count(*) AS count FROM base WHERE sentiment_label IS NOT NULL GROUP BY sentiment_label
+""")
+def q_label_dist(spark, sf_dir):
+    return summary.label_distribution(_lean(spark, sf_dir))
+
+
+@register("summary_category", """
+SELECT product_category, count(*) AS count, round(avg(rating), 2) AS avg_rating
+FROM base WHERE product_category IS NOT NULL GROUP BY product_category
+""")
+def q_category(spark, sf_dir):
+    return summary.category_analysis(_lean(spark, sf_dir))
+
+
+@register("summary_text", """
+SELECT round(avg(review_length), 1) AS average_review_length,
+       round(median(review_length), 1) AS median_review_length,
+       round(avg(CASE WHEN verified_purchase THEN 1 ELSE 0 END) * 100, 1) AS verified_purchase_ratio
+FROM base
+""")
+def q_text(spark, sf_dir):
+    return summary.text_analysis(_lean(spark, sf_dir))
+
+
+@register("summary_quality", """
+SELECT count(*) FILTER (WHERE is_high_quality) AS high_quality_reviews,
+       count(*) FILTER (WHERE total_votes > 0) AS reviews_with_votes,
+       round(avg(helpfulness_ratio), 3) AS average_helpfulness
+FROM base
+""")
+def q_quality(spark, sf_dir):
+    return summary.quality_metrics(_lean(spark, sf_dir))
+
+
+PROCESSED_COLUMNS = (
+    "review_id", "product_id", "user_id", "rating", "review_title", "review_text", "review_date",
+    "product_name", "product_category", "helpful_votes", "total_votes", "verified_purchase",
+    "bert_sentiment", "bert_confidence", "review_text_clean", "review_length", "rating_normalized",
+    "sentiment_label", "helpfulness_ratio", "review_year", "review_month", "category_mean",
+    "category_std", "category_count", "is_high_quality",
+)
+
+
+@register("null_audit", "SELECT column_name, null_count FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count FROM processed"
+    for c in PROCESSED_COLUMNS) + ") WHERE null_count > 0")
+def q_null_audit(spark, sf_dir):
+    return summary.null_audit(frames.processed(spark, sf_dir).select(*PROCESSED_COLUMNS))
+
+
+@register("short_reviews", """
+SELECT count(*) FILTER (WHERE review_length < 10) AS short_reviews,
+       count(*) FILTER (WHERE review_length < 10) > 0 AS has_short_reviews
+FROM base
+""")
+def q_short(spark, sf_dir):
+    return summary.short_reviews(_lean(spark, sf_dir))
+
+
+@register("label_imbalance", """
+SELECT min(cnt) AS smallest_class, min(cnt) < 0.05 * (SELECT count(*) FROM base) AS imbalanced
+FROM (SELECT sentiment_label, count(*) AS cnt FROM base WHERE sentiment_label IS NOT NULL GROUP BY 1)
+""")
+def q_imbalance(spark, sf_dir):
+    return summary.label_imbalance(_lean(spark, sf_dir))
+
+
+@register("negative_overview", """
+SELECT count(*) FILTER (WHERE sentiment_label = 'negative') AS negative_count,
+       round(count(*) FILTER (WHERE sentiment_label = 'negative') / count(*) * 100, 1) AS negative_share
+FROM base
+""")
+def q_negative_overview(spark, sf_dir):
+    return summary.negative_overview(_lean(spark, sf_dir))
+
+
+@register("negative_by_category", """
+SELECT product_category,
+       round(count(*) FILTER (WHERE sentiment_label = 'negative') / count(*) * 100, 1) AS negative_rate
+FROM base WHERE product_category IS NOT NULL GROUP BY product_category
+""")
+def q_negative_by_category(spark, sf_dir):
+    return summary.negative_by_category(_lean(spark, sf_dir))
+
+
+@register("worst_negative_reviews", """
+SELECT review_id, product_name, rating, substr(review_text, 1, 50) AS text_head
+FROM base WHERE sentiment_label = 'negative' ORDER BY rating, review_id LIMIT 3
+""")
+def q_worst(spark, sf_dir):
+    return summary.worst_negative_reviews(_lean(spark, sf_dir))
+
+
+@register("category_detail", """
+SELECT product_category, count(rating) AS rating_count, round(avg(rating), 2) AS rating_mean,
+       round(stddev_samp(rating), 2) AS rating_std, round(avg(review_length), 2) AS review_length_mean,
+       round(avg(helpfulness_ratio), 2) AS helpfulness_mean
+FROM base WHERE product_category IS NOT NULL GROUP BY product_category
+""")
+def q_category_detail(spark, sf_dir):
+    return summary.category_detail(_lean(spark, sf_dir))
+
+
+@register("high_quality_comparison", """
+SELECT is_high_quality, count(*) AS count, round(avg(rating), 6) AS avg_rating,
+       round(count(*) / (SELECT count(*) FROM base) * 100, 6) AS share
+FROM base WHERE is_high_quality IS NOT NULL GROUP BY is_high_quality
+""")
+def q_hq(spark, sf_dir):
+    hq = summary.high_quality_comparison(_lean(spark, sf_dir))
+    return hq.select("is_high_quality", "count", r6("avg_rating").alias("avg_rating"), r6("share").alias("share"))
+
+
+SAMPLE_COLUMNS = ("review_id", "product_name", "product_category", "rating", "sentiment_label",
+                  "review_text", "verified_purchase", "review_length")
+
+
+@register("sample_reviews", f"""
+SELECT {', '.join(SAMPLE_COLUMNS)} FROM base
+ORDER BY md5(review_id || '|42'), review_id LIMIT 5
+""")
+def q_sample(spark, sf_dir):
+    return summary.sample_reviews(_lean(spark, sf_dir), 5, 42).select(*SAMPLE_COLUMNS)
+
+
+@register("upload_kpis", """
+SELECT count(*) AS total_reviews, round(avg(rating), 2) AS average_rating FROM review
+""")
+def q_upload_kpis(spark, sf_dir):
+    return summary.upload_kpis(frames.conformed(spark, sf_dir))
+
+
+@register("data_summary", """
+WITH s AS (
+  SELECT count(*) AS total_reviews, count(DISTINCT product_id) AS unique_products,
+         count(DISTINCT product_category) AS unique_categories,
+         strftime(min(review_date), '%Y-%m-%d %H:%M:%S') AS date_start,
+         strftime(max(review_date), '%Y-%m-%d %H:%M:%S') AS date_end,
+         round(avg(rating), 2) AS average_rating, round(stddev_samp(rating), 2) AS rating_std,
+         round(avg(CASE WHEN sentiment_label = 'negative' THEN 1 ELSE 0 END) * 100, 1) AS negative_ratio,
+         round(avg(review_length), 1) AS average_review_length,
+         round(median(review_length), 1) AS median_review_length,
+         round(avg(CASE WHEN verified_purchase THEN 1 ELSE 0 END) * 100, 1) AS verified_purchase_ratio,
+         count(*) FILTER (WHERE is_high_quality) AS high_quality_reviews,
+         count(*) FILTER (WHERE total_votes > 0) AS reviews_with_votes,
+         round(avg(helpfulness_ratio), 3) AS average_helpfulness
+  FROM base
+)
+SELECT 'basic_info' AS section, 'total_reviews' AS metric, NULL::VARCHAR AS key, total_reviews::DOUBLE AS value, NULL::VARCHAR AS text FROM s
+UNION ALL SELECT 'basic_info', 'unique_products', NULL, unique_products::DOUBLE, NULL FROM s
+UNION ALL SELECT 'basic_info', 'unique_categories', NULL, unique_categories::DOUBLE, NULL FROM s
+UNION ALL SELECT 'rating_analysis', 'average_rating', NULL, average_rating, NULL FROM s
+UNION ALL SELECT 'rating_analysis', 'rating_std', NULL, rating_std, NULL FROM s
+UNION ALL SELECT 'sentiment_analysis', 'negative_ratio', NULL, negative_ratio, NULL FROM s
+UNION ALL SELECT 'text_analysis', 'average_review_length', NULL, average_review_length, NULL FROM s
+UNION ALL SELECT 'text_analysis', 'median_review_length', NULL, median_review_length, NULL FROM s
+UNION ALL SELECT 'text_analysis', 'verified_purchase_ratio', NULL, verified_purchase_ratio, NULL FROM s
+UNION ALL SELECT 'quality_metrics', 'high_quality_reviews', NULL, high_quality_reviews::DOUBLE, NULL FROM s
+UNION ALL SELECT 'quality_metrics', 'reviews_with_votes', NULL, reviews_with_votes::DOUBLE, NULL FROM s
+UNION ALL SELECT 'quality_metrics', 'average_helpfulness', NULL, average_helpfulness, NULL FROM s
+UNION ALL SELECT 'basic_info', 'date_start', NULL, NULL, date_start FROM s
+UNION ALL SELECT 'basic_info', 'date_end', NULL, NULL, date_end FROM s
+UNION ALL SELECT 'rating_analysis', 'rating_distribution', CAST(rating AS VARCHAR), count(*)::DOUBLE, NULL
+  FROM base WHERE rating IS NOT NULL GROUP BY rating
+UNION ALL SELECT 'sentiment_analysis', 'sentiment_distribution', sentiment_label, count(*)::DOUBLE, NULL
+  FROM base WHERE sentiment_label IS NOT NULL GROUP BY sentiment_label
+UNION ALL SELECT 'category_analysis', 'category_distribution', product_category, count(*)::DOUBLE, NULL
+  FROM base WHERE product_category IS NOT NULL GROUP BY product_category
+UNION ALL SELECT 'category_analysis', 'category_ratings', product_category, round(avg(rating), 2), NULL
+  FROM base WHERE product_category IS NOT NULL GROUP BY product_category
+""")
+def q_data_summary(spark, sf_dir):
+    return summary.data_summary(_lean(spark, sf_dir))
