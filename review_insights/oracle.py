@@ -60,6 +60,17 @@ def _problem() -> str:
 
 
 _SCORES, _PROBLEM_CASE = _problem()
+
+
+def _template_rows() -> str:
+    rows = []
+    for i, (p, c, acts, cost, mult, tl) in enumerate(K.IMPROVEMENT_TEMPLATES, 1):
+        rows.append(f"({_q(p)}, {_q(c)}, {_list(acts)}, CAST({cost} AS BIGINT), CAST({mult} AS DOUBLE), "
+                    f"{_q(tl)}, CAST({i} AS BIGINT))")
+    return ",\n    ".join(rows)
+
+
+_TEMPLATE_ROWS = _template_rows()
 _NUMERIC_RE = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
 
 PRELUDE = f"""
@@ -169,6 +180,56 @@ problem_analysis AS (
          avg(bert_confidence) AS avg_confidence,
          count(*) / (SELECT count(*) FROM neg) * 100 AS percentage
   FROM neg WHERE problem_category <> 'none' GROUP BY problem_category
+),
+templates AS (
+  SELECT * FROM (VALUES
+    {_TEMPLATE_ROWS}
+  ) AS t(problem_type, category, suggestions, base_cost, impact_multiplier, timeline, template_ord)
+),
+prio0 AS (
+  SELECT p.problem_type, t.category, t.template_ord, t.suggestions, t.timeline,
+    round(p.percentage / 100 * 0.4 + (CAST(1 AS DOUBLE) - p.avg_confidence) * 0.3
+          + t.impact_multiplier * 0.2 + CAST(1 AS DOUBLE) / (t.base_cost / 25000) * 0.1, 3) AS priority_score,
+    round(p.percentage / 100, 3) AS problem_frequency,
+    round(CAST(1 AS DOUBLE) - p.avg_confidence, 3) AS sentiment_intensity,
+    t.impact_multiplier AS business_impact,
+    round(CAST(1 AS DOUBLE) / (t.base_cost / 25000), 3) AS implementation_ease,
+    t.base_cost AS estimated_cost,
+    round(p.cnt * 10 / t.base_cost, 2) AS roi_estimate,
+    p.cnt AS affected_reviews
+  FROM problem_analysis p JOIN templates t ON p.problem_type = t.problem_type
+),
+priority AS (
+  SELECT *, row_number() OVER (ORDER BY priority_score DESC, template_ord) AS priority_rank FROM prio0
+),
+suggestions AS (
+  SELECT category, problem_type, priority_score, priority_rank, affected_reviews, estimated_cost,
+    roi_estimate, suggestions, coalesce(timeline, '{K.DEFAULT_TIMELINE}') AS implementation_timeline,
+    CASE WHEN estimated_cost > 60000 THEN '{K.RISK_HIGH}' WHEN estimated_cost > 35000 THEN '{K.RISK_MID}'
+         ELSE '{K.RISK_LOW}' END AS risk_level,
+    least(CAST(0.7 AS DOUBLE) + priority_score * 0.2 + least(roi_estimate * 0.1, CAST(0.2 AS DOUBLE)),
+          CAST(0.95 AS DOUBLE)) AS success_probability,
+    template_ord
+  FROM priority
+),
+roi AS (
+  SELECT problem_type, category, priority_rank, estimated_cost AS investment,
+    affected_reviews * 100 AS potential_revenue_recovery,
+    affected_reviews * 100 * CAST(0.85 AS DOUBLE) * 3 AS expected_revenue_recovery,
+    affected_reviews * 100 * CAST(0.85 AS DOUBLE) * 3 / estimated_cost * 100 AS roi_percentage,
+    estimated_cost / (affected_reviews * 100 * CAST(0.85 AS DOUBLE) * 3 / 12) AS payback_period_months,
+    affected_reviews * 100 * CAST(0.85 AS DOUBLE) * 3 * success_probability / estimated_cost * 100 AS risk_adjusted_roi
+  FROM suggestions
+),
+bench AS (
+  SELECT avg(rating) AS average_rating,
+    avg(CASE WHEN bert_sentiment = 'negative' THEN 1 ELSE 0 END) AS negative_sentiment_rate,
+    avg(CASE WHEN bert_sentiment = 'positive' THEN 1 ELSE 0 END) AS positive_rate,
+    count(*) FILTER (WHERE rating = 5) / count(rating) AS five_star_share,
+    count(*) FILTER (WHERE rating = 5) / count(*) AS five_star_rate,
+    quantile_cont(rating, 0.25) AS bottom_quartile_rating,
+    quantile_cont(rating, 0.75) AS top_quartile_rating
+  FROM scored
 )
 """
 

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from review_insights import constants as K
 from review_insights import oracle as O
-from review_insights.operators import patterns, summary
+from review_insights.operators import benchmark, patterns, priority, roi, summary
+from review_insights.sources import sinks
 from review_insights.plans import frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -306,3 +308,285 @@ UNION ALL SELECT 'category_analysis', 'category_ratings', product_category, roun
 """)
 def q_data_summary(spark, sf_dir):
     return summary.data_summary(_lean(spark, sf_dir))
+
+
+# ------------------------------------------------------ patterns (phase 3) --
+
+def _problems(spark, sf_dir):
+    return patterns.problem_analysis(frames.scored(spark, sf_dir))
+
+
+def _suggestions(spark, sf_dir):
+    return priority.improvement_suggestions(priority.priority_scores(_problems(spark, sf_dir)))
+
+
+@register("negative_count", "SELECT count(*) AS negative_count FROM neg")
+def q_negative_count(spark, sf_dir):
+    return patterns.negative_count(frames.scored(spark, sf_dir))
+
+
+@register("load_distributions", """
+SELECT 'sentiment' AS dimension, bert_sentiment AS key, count(*) AS count FROM scored
+  WHERE bert_sentiment IS NOT NULL GROUP BY bert_sentiment
+UNION ALL SELECT 'problem', problem_category, count(*) FROM neg GROUP BY problem_category
+UNION ALL SELECT 'rating', CAST(rating AS VARCHAR), count(*) FROM scored WHERE rating IS NOT NULL GROUP BY rating
+""")
+def q_load_distributions(spark, sf_dir):
+    return patterns.load_distributions(frames.scored(spark, sf_dir))
+
+
+@register("rating_problem_mix", """
+SELECT rating, problem_category, count(*) AS count,
+       sum(count(*)) OVER (PARTITION BY rating)::BIGINT AS rating_count
+FROM neg WHERE rating IS NOT NULL GROUP BY rating, problem_category
+""")
+def q_rating_problem_mix(spark, sf_dir):
+    return patterns.rating_problem_mix(frames.scored(spark, sf_dir))
+
+
+@register("confidence_analysis", """
+SELECT round(avg(bert_confidence), 6) AS avg_confidence,
+       count(*) FILTER (WHERE bert_confidence > 0.8) AS high_confidence_count,
+       count(*) FILTER (WHERE bert_confidence < 0.6) AS low_confidence_count
+FROM neg
+""")
+def q_confidence(spark, sf_dir):
+    c = patterns.confidence_analysis(frames.scored(spark, sf_dir))
+    return c.select(r6("avg_confidence").alias("avg_confidence"), "high_confidence_count", "low_confidence_count")
+
+
+@register("top_problem", """
+SELECT problem_type, cnt AS count FROM problem_analysis ORDER BY cnt DESC, problem_type LIMIT 1
+""")
+def q_top_problem(spark, sf_dir):
+    return patterns.top_problem(_problems(spark, sf_dir))
+
+
+# --------------------------------------------------------------- priority --
+
+@register("priority_scores", """
+SELECT problem_type, category, priority_score, problem_frequency, sentiment_intensity, business_impact,
+       implementation_ease, estimated_cost, roi_estimate, affected_reviews, priority_rank
+FROM priority
+""")
+def q_priority(spark, sf_dir):
+    p = priority.priority_scores(_problems(spark, sf_dir))
+    return p.select("problem_type", "category", "priority_score", "problem_frequency", "sentiment_intensity",
+                    "business_impact", "implementation_ease", "estimated_cost", "roi_estimate",
+                    "affected_reviews", "priority_rank")
+
+
+@register("improvement_suggestions", """
+SELECT category, problem_type, priority_score, priority_rank, affected_reviews, estimated_cost, roi_estimate,
+       implementation_timeline, risk_level, round(success_probability, 6) AS success_probability,
+       suggestions[1] AS first_action, len(suggestions) AS action_count
+FROM suggestions
+""")
+def q_suggestions(spark, sf_dir):
+    s = _suggestions(spark, sf_dir)
+    return s.select("category", "problem_type", "priority_score", "priority_rank", "affected_reviews",
+                    "estimated_cost", "roi_estimate", "implementation_timeline", "risk_level",
+                    r6("success_probability").alias("success_probability"),
+                    F.element_at("suggestions", 1).alias("first_action"),
+                    F.size("suggestions").cast("bigint").alias("action_count"))
+
+
+@register("suggestion_actions", """
+SELECT priority_rank, problem_type, category, CAST(generate_subscripts(suggestions, 1) AS BIGINT) AS action_no,
+       unnest(suggestions) AS action
+FROM suggestions
+""")
+def q_suggestion_actions(spark, sf_dir):
+    return priority.suggestion_actions(_suggestions(spark, sf_dir))
+
+
+@register("suggestion_export", """
+SELECT priority_rank, category, problem_type, priority_score, affected_reviews, estimated_cost, roi_estimate,
+       implementation_timeline, risk_level, round(success_probability, 6) AS success_probability,
+       coalesce(suggestions[1], '') AS top_suggestion
+FROM suggestions
+""")
+def q_suggestion_export(spark, sf_dir):
+    e = sinks.suggestion_export(_suggestions(spark, sf_dir))
+    return e.withColumn("success_probability", r6("success_probability"))
+
+
+# -------------------------------------------------------------------- ROI --
+
+@register("roi_by_category", """
+SELECT problem_type, category, priority_rank, investment, potential_revenue_recovery,
+       round(expected_revenue_recovery, 6) AS expected_revenue_recovery, round(roi_percentage, 6) AS roi_percentage,
+       round(payback_period_months, 6) AS payback_period_months, round(risk_adjusted_roi, 6) AS risk_adjusted_roi
+FROM roi
+""")
+def q_roi_by_category(spark, sf_dir):
+    r = roi.roi_by_category(_suggestions(spark, sf_dir))
+    return r.select("problem_type", "category", "priority_rank", "investment", "potential_revenue_recovery",
+                    *[r6(c).alias(c) for c in ("expected_revenue_recovery", "roi_percentage",
+                                               "payback_period_months", "risk_adjusted_roi")])
+
+
+@register("roi_overall", """
+SELECT CAST(coalesce(sum(investment), 0) AS BIGINT) AS total_investment,
+       round(coalesce(sum(expected_revenue_recovery), 0), 6) AS total_expected_return,
+       round(CASE WHEN coalesce(sum(investment), 0) > 0
+                  THEN coalesce(sum(expected_revenue_recovery), 0) / sum(investment) * 100 ELSE 0 END, 6)
+         AS overall_roi_percentage
+FROM roi
+""")
+def q_roi_overall(spark, sf_dir):
+    o = roi.roi_overall(roi.roi_by_category(_suggestions(spark, sf_dir)))
+    return o.select("total_investment", r6("total_expected_return").alias("total_expected_return"),
+                    r6("overall_roi_percentage").alias("overall_roi_percentage"))
+
+
+_DASH_SQL = """
+dash AS (
+  SELECT s.*, CASE WHEN roi_estimate < 0.05 THEN coalesce(o.roi_override, roi_estimate) ELSE roi_estimate END
+           AS roi_corrected
+  FROM suggestions s LEFT JOIN (VALUES {overrides}) AS o(category, roi_override) USING (category)
+),
+dash2 AS (
+  SELECT priority_rank, category, problem_type, priority_score, estimated_cost, roi_estimate, roi_corrected,
+         roi_corrected * 100 AS roi_percentage_calc,
+         estimated_cost * (CAST(1 AS DOUBLE) + roi_corrected) AS expected_return_calc,
+         CASE WHEN estimated_cost > 0 THEN estimated_cost * (CAST(1 AS DOUBLE) + roi_corrected) END AS expected_return_card
+  FROM dash WHERE roi_corrected IS NOT NULL AND NOT isnan(roi_corrected)
+)""".format(overrides=", ".join(f"('{c}', CAST({v} AS DOUBLE))" for c, v in K.ROI_OVERRIDES))
+
+
+@register("roi_dashboard", "WITH " + _DASH_SQL + """
+SELECT priority_rank, category, problem_type, priority_score, estimated_cost, roi_estimate,
+       round(roi_corrected, 6) AS roi_corrected, round(roi_percentage_calc, 6) AS roi_percentage_calc,
+       round(expected_return_calc, 6) AS expected_return_calc, round(expected_return_card, 6) AS expected_return_card
+FROM dash2
+""")
+def q_roi_dashboard(spark, sf_dir):
+    d = roi.dashboard_roi(_suggestions(spark, sf_dir), apply_override=True)
+    return d.select("priority_rank", "category", "problem_type", "priority_score", "estimated_cost", "roi_estimate",
+                    *[r6(c).alias(c) for c in ("roi_corrected", "roi_percentage_calc", "expected_return_calc",
+                                               "expected_return_card")])
+
+
+@register("roi_ranking", "WITH " + _DASH_SQL + """
+SELECT row_number() OVER (ORDER BY roi_percentage_calc DESC, priority_rank) AS efficiency_rank, category,
+       round(roi_percentage_calc, 6) AS roi_percentage_calc, estimated_cost,
+       round(expected_return_calc, 6) AS expected_return_calc
+FROM dash2
+""")
+def q_roi_ranking(spark, sf_dir):
+    d = roi.dashboard_roi(_suggestions(spark, sf_dir), apply_override=True)
+    w = Window.orderBy(F.desc("roi_percentage_calc"), F.asc("priority_rank"))
+    return d.select(F.row_number().over(w).cast("bigint").alias("efficiency_rank"), "category",
+                    r6("roi_percentage_calc").alias("roi_percentage_calc"), "estimated_cost",
+                    r6("expected_return_calc").alias("expected_return_calc"))
+
+
+@register("roi_portfolio", "WITH " + _DASH_SQL + """
+SELECT CAST(sum(estimated_cost) AS BIGINT) AS total_investment, round(sum(expected_return_calc), 6) AS total_return,
+       round((sum(expected_return_calc) - sum(estimated_cost)) / sum(estimated_cost) * 100, 6) AS net_roi_percentage
+FROM dash2
+""")
+def q_roi_portfolio(spark, sf_dir):
+    p = roi.portfolio_totals(roi.dashboard_roi(_suggestions(spark, sf_dir), apply_override=True))
+    return p.select("total_investment", r6("total_return").alias("total_return"),
+                    r6("net_roi_percentage").alias("net_roi_percentage"))
+
+
+@register("roi_detail", f"""
+SELECT {', '.join(K.ROI_DETAIL_COLUMNS).replace('success_probability', 'round(success_probability, 6) AS success_probability')}
+FROM suggestions
+""")
+def q_roi_detail(spark, sf_dir):
+    d = sinks.select_available(_suggestions(spark, sf_dir), K.ROI_DETAIL_COLUMNS)
+    return d.withColumn("success_probability", r6("success_probability"))
+
+
+# -------------------------------------------------------------- benchmark --
+
+@register("benchmark_metrics", """
+SELECT round(average_rating, 6) AS average_rating, round(negative_sentiment_rate, 6) AS negative_sentiment_rate,
+       round(top_quartile_rating, 6) AS top_quartile_rating, round(bottom_quartile_rating, 6) AS bottom_quartile_rating
+FROM bench
+""")
+def q_benchmark_metrics(spark, sf_dir):
+    m = benchmark.benchmark_metrics(frames.scored(spark, sf_dir))
+    return m.select(*[r6(c).alias(c) for c in ("average_rating", "negative_sentiment_rate",
+                                               "top_quartile_rating", "bottom_quartile_rating")])
+
+
+@register("benchmark_rating_shares", """
+SELECT rating, round(count(*) / (SELECT count(rating) FROM scored), 6) AS share
+FROM scored WHERE rating IS NOT NULL GROUP BY rating
+""")
+def q_rating_shares(spark, sf_dir):
+    r = benchmark.rating_shares(frames.scored(spark, sf_dir))
+    return r.select("rating", r6("share").alias("share"))
+
+
+@register("benchmark_targets", """
+SELECT round(least(average_rating + 0.5, 5.0), 6) AS target_avg_rating,
+       round(greatest(negative_sentiment_rate - 0.05, 0.05), 6) AS target_negative_rate,
+       round(least(five_star_share + 0.1, 0.8), 6) AS target_5star_rate
+FROM bench
+""")
+def q_targets(spark, sf_dir):
+    t = benchmark.improvement_targets(benchmark.benchmark_metrics(frames.scored(spark, sf_dir)))
+    return t.select(*[r6(c).alias(c) for c in t.columns])
+
+
+@register("benchmark_position", """
+SELECT CAST(CASE WHEN average_rating >= 4.5 THEN 90 WHEN average_rating >= 4.0 THEN 75
+            WHEN average_rating >= 3.5 THEN 50 WHEN average_rating >= 3.0 THEN 25 ELSE 10 END AS BIGINT)
+         AS current_percentile,
+       round(average_rating, 6) AS average_rating, round(negative_sentiment_rate, 6) AS negative_sentiment_rate
+FROM bench
+""")
+def q_position(spark, sf_dir):
+    p = benchmark.position_summary(frames.scored(spark, sf_dir))
+    return p.select("current_percentile", r6("average_rating").alias("average_rating"),
+                    r6("negative_sentiment_rate").alias("negative_sentiment_rate"))
+
+
+def _position_sql() -> str:
+    s = K.STRENGTH_TEXTS
+    return f"""
+WITH strengths AS (
+  SELECT t FROM (
+    SELECT 1 AS o, CASE WHEN positive_rate > 0.7 THEN '{s[0]}' END AS t FROM bench
+    UNION ALL SELECT 2, CASE WHEN average_rating > 4.0 THEN '{s[1]}' END FROM bench
+    UNION ALL SELECT 3, CASE WHEN five_star_rate > 0.4 THEN '{s[2]}' END FROM bench) x
+  WHERE t IS NOT NULL ORDER BY o
+),
+weak AS (
+  SELECT coalesce(t.category, p.problem_type) || '{K.WEAKNESS_SUFFIX}' AS t, p.cnt, p.problem_type
+  FROM problem_analysis p LEFT JOIN templates t USING (problem_type) WHERE p.percentage > 15
+),
+opp AS (
+  SELECT 1 AS o, (SELECT category FROM suggestions WHERE priority_rank = 1) || '{K.OPPORTUNITY_TOP_SUFFIX}' AS t
+  UNION ALL SELECT 2, CASE WHEN negative_sentiment_rate > 0.15 THEN '{K.OPPORTUNITY_NEGATIVE_TEXT}' END FROM bench
+),
+lists AS (
+  SELECT 'strength' AS kind, row_number() OVER (ORDER BY o) AS ord, t AS text FROM (
+    SELECT 1 AS o, CASE WHEN positive_rate > 0.7 THEN '{s[0]}' END AS t FROM bench
+    UNION ALL SELECT 2, CASE WHEN average_rating > 4.0 THEN '{s[1]}' END FROM bench
+    UNION ALL SELECT 3, CASE WHEN five_star_rate > 0.4 THEN '{s[2]}' END FROM bench) x WHERE t IS NOT NULL
+  UNION ALL
+  SELECT 'weakness', row_number() OVER (ORDER BY cnt DESC, problem_type), t FROM weak
+  UNION ALL
+  SELECT 'opportunity', row_number() OVER (ORDER BY o), t FROM opp WHERE t IS NOT NULL
+)
+SELECT kind, CAST(ord AS BIGINT) AS ord, text FROM lists
+UNION ALL SELECT 'strength', 1, '{K.STRENGTH_DEFAULT}' WHERE NOT EXISTS (SELECT 1 FROM lists WHERE kind = 'strength')
+UNION ALL SELECT 'weakness', 1, '{K.WEAKNESS_DEFAULT}' WHERE NOT EXISTS (SELECT 1 FROM lists WHERE kind = 'weakness')
+UNION ALL SELECT 'opportunity', 1, '{K.OPPORTUNITY_DEFAULT}'
+  WHERE NOT EXISTS (SELECT 1 FROM lists WHERE kind = 'opportunity')
+"""
+
+
+@register("competitive_position", _position_sql())
+def q_competitive_position(spark, sf_dir):
+    sc = frames.scored(spark, sf_dir)
+    probs = patterns.problem_analysis(sc)
+    prio = priority.priority_scores(probs)
+    return benchmark.competitive_position(sc, probs, prio)
