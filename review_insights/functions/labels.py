@@ -18,6 +18,6 @@ def rating_to_sentiment(rating: Column) -> Column:
 def normalise_label(raw: Column) -> Column:
     """Model label -> positive/negative/neutral by substring of the lower-cased label."""
     low = F.lower(raw)
-    return (F.when(F.instr(low, "pos") > 0, F.lit(K.POSITIVE))
-            .when(F.instr(low, "neg") > 0, F.lit(K.NEGATIVE))
+    return (F.when(low.contains("pos"), F.lit(K.POSITIVE))
+            .when(low.contains("neg"), F.lit(K.NEGATIVE))
             .otherwise(F.lit(K.NEUTRAL)))

@@ -116,9 +116,12 @@ def ingest_review_fixture(spark: SparkSession, sf_dir: str) -> str:
     cache_key = (spark.sparkContext.applicationId, key)
     if cache_key in _INGESTED:
         return _INGESTED[cache_key]
-    path = table_path(spark, f"review_raw_{key}")
+    path = table_path(spark, f"review_raw_v2_{key}")
     if not _exists(spark, path):
-        review_fixture(spark, sf_dir).write.mode("overwrite").parquet(path)
+        # Spread the rows over as many files as the cluster has cores, so every
+        # scan of the stored table is parallel even when the source is one file.
+        parts = max(1, spark.sparkContext.defaultParallelism)
+        review_fixture(spark, sf_dir).repartition(parts).write.mode("overwrite").parquet(path)
     _INGESTED[cache_key] = path
     return path
 
