@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from review_insights import constants as K
 from review_insights import oracle as O
-from review_insights.operators import benchmark, patterns, priority, roi, summary
+from review_insights.operators import benchmark, charts, patterns, priority, reports, roi, summary, validation
 from review_insights.sources import sinks
 from review_insights.plans import frames
 
@@ -590,3 +590,259 @@ def q_competitive_position(spark, sf_dir):
     probs = patterns.problem_analysis(sc)
     prio = priority.priority_scores(probs)
     return benchmark.competitive_position(sc, probs, prio)
+
+
+# ------------------------------------------------------------- validation --
+
+def _pairs(spark, sf_dir):
+    return validation.valid_pairs(frames.scored(spark, sf_dir))
+
+
+_PAIRS_SQL = """
+WITH pairs AS (SELECT sentiment_label AS true_label, bert_sentiment AS pred_label FROM scored
+               WHERE sentiment_label IS NOT NULL AND bert_sentiment IS NOT NULL),
+labels AS (SELECT true_label AS label FROM pairs UNION SELECT pred_label FROM pairs),
+cm AS (
+  SELECT t.label AS true_label, p.label AS pred_label,
+         CAST(coalesce(c.cnt, 0) AS BIGINT) AS count
+  FROM labels t JOIN labels p ON true
+  LEFT JOIN (SELECT true_label, pred_label, count(*) AS cnt FROM pairs GROUP BY 1, 2) c
+    ON c.true_label = t.label AND c.pred_label = p.label
+),
+per AS (
+  SELECT l.label,
+    coalesce(sum(cm.count) FILTER (WHERE cm.true_label = l.label), 0) AS support,
+    coalesce(sum(cm.count) FILTER (WHERE cm.true_label = l.label AND cm.pred_label = l.label), 0) AS tp,
+    coalesce(sum(cm.count) FILTER (WHERE cm.pred_label = l.label), 0) AS predicted
+  FROM labels l JOIN cm ON cm.true_label = l.label OR cm.pred_label = l.label GROUP BY l.label
+),
+per2 AS (
+  SELECT label,
+    coalesce(CAST(tp AS DOUBLE) / nullif(CAST(predicted AS DOUBLE), 0), 0) AS precision,
+    coalesce(CAST(tp AS DOUBLE) / nullif(CAST(support AS DOUBLE), 0), 0) AS recall,
+    coalesce(CAST(2 * tp AS DOUBLE) / nullif(CAST(support + predicted AS DOUBLE), 0), 0) AS f1_score,
+    CAST(support AS BIGINT) AS support, tp
+  FROM per
+)
+"""
+
+
+@register("validation_accuracy", """
+SELECT round(avg(CASE WHEN sentiment_label = bert_sentiment THEN 1 ELSE 0 END), 4) AS accuracy,
+       count(*) AS total_samples
+FROM scored WHERE sentiment_label IS NOT NULL AND bert_sentiment IS NOT NULL
+""")
+def q_accuracy(spark, sf_dir):
+    return validation.accuracy(_pairs(spark, sf_dir))
+
+
+@register("confusion_matrix", _PAIRS_SQL + "SELECT true_label, pred_label, count FROM cm")
+def q_confusion(spark, sf_dir):
+    return validation.confusion_matrix(_pairs(spark, sf_dir))
+
+
+@register("classification_report", _PAIRS_SQL + """
+SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score, support
+FROM per2
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM per2
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1_score), 6),
+                 CAST(sum(support) AS BIGINT) FROM per2
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
+                 round(sum(recall * support) / sum(support), 6), round(sum(f1_score * support) / sum(support), 6),
+                 CAST(sum(support) AS BIGINT) FROM per2
+""")
+def q_class_report(spark, sf_dir):
+    r = validation.classification_report(_pairs(spark, sf_dir))
+    return r.select("label", *[r6(c).alias(c) for c in ("precision", "recall", "f1_score")], "support")
+
+
+@register("label_distributions", """
+SELECT 'true' AS side, sentiment_label AS label, count(*) AS count FROM scored
+  WHERE sentiment_label IS NOT NULL AND bert_sentiment IS NOT NULL GROUP BY sentiment_label
+UNION ALL SELECT 'pred', bert_sentiment, count(*) FROM scored
+  WHERE sentiment_label IS NOT NULL AND bert_sentiment IS NOT NULL GROUP BY bert_sentiment
+""")
+def q_label_dists(spark, sf_dir):
+    return validation.label_distributions(_pairs(spark, sf_dir))
+
+
+# ----------------------------------------------------------------- charts --
+
+@register("chart_label_comparison", """
+SELECT coalesce(r.label, m.label) AS label, coalesce(r.c, 0) AS rule_based, coalesce(m.c, 0) AS model
+FROM (SELECT sentiment_label AS label, count(*) AS c FROM scored WHERE sentiment_label IS NOT NULL GROUP BY 1) r
+FULL OUTER JOIN (SELECT bert_sentiment AS label, count(*) AS c FROM scored WHERE bert_sentiment IS NOT NULL GROUP BY 1) m
+  ON r.label = m.label
+""")
+def q_chart_labels(spark, sf_dir):
+    return charts.label_comparison(frames.scored(spark, sf_dir))
+
+
+def _hist_sql(bins: int) -> str:
+    return f"""
+WITH v AS (SELECT bert_confidence AS x FROM scored WHERE bert_confidence IS NOT NULL AND NOT isnan(bert_confidence)),
+st AS (SELECT min(x) AS lo, max(x) AS hi, avg(x) AS mean_value FROM v),
+b AS (
+  SELECT CAST(CASE WHEN st.hi > st.lo THEN least(floor((v.x - st.lo) / (st.hi - st.lo) * {bins}), {bins - 1}) + 1
+              ELSE 1 END AS BIGINT) AS bin, count(*) AS cnt
+  FROM v, st GROUP BY 1
+)
+SELECT g.bin, round(st.lo + (g.bin - 1) * ((st.hi - st.lo) / {bins}), 6) AS bin_start,
+       round(st.lo + g.bin * ((st.hi - st.lo) / {bins}), 6) AS bin_end,
+       coalesce(b.cnt, 0) AS count, round(st.mean_value, 6) AS mean_value
+FROM st, (SELECT CAST(range AS BIGINT) AS bin FROM range(1, {bins + 1})) g
+LEFT JOIN b ON b.bin = g.bin
+WHERE st.lo IS NOT NULL
+"""
+
+
+def _hist(spark, sf_dir, bins):
+    h = charts.confidence_histogram(frames.scored(spark, sf_dir), bins)
+    return h.select("bin", r6("bin_start").alias("bin_start"), r6("bin_end").alias("bin_end"), "count",
+                    r6("mean_value").alias("mean_value"))
+
+
+@register("chart_confidence_histogram", _hist_sql(K.CONFIDENCE_BINS))
+def q_hist50(spark, sf_dir):
+    return _hist(spark, sf_dir, K.CONFIDENCE_BINS)
+
+
+@register("chart_confidence_histogram_dashboard", _hist_sql(K.DASHBOARD_CONFIDENCE_BINS))
+def q_hist30(spark, sf_dir):
+    return _hist(spark, sf_dir, K.DASHBOARD_CONFIDENCE_BINS)
+
+
+@register("chart_problem_share", """
+SELECT problem_category, count(*) AS count, round(count(*) / sum(count(*)) OVER () * 100, 6) AS share
+FROM scored WHERE problem_category <> 'none' GROUP BY problem_category
+""")
+def q_chart_problem_share(spark, sf_dir):
+    s = charts.problem_share(frames.scored(spark, sf_dir))
+    return s.select("problem_category", "count", r6("share").alias("share"))
+
+
+@register("chart_rating_sentiment", """
+WITH c AS (
+  SELECT rating, count(*) FILTER (WHERE bert_sentiment = 'negative') AS negative,
+         count(*) FILTER (WHERE bert_sentiment = 'neutral') AS neutral,
+         count(*) FILTER (WHERE bert_sentiment = 'positive') AS positive
+  FROM scored WHERE rating IS NOT NULL AND bert_sentiment IS NOT NULL GROUP BY rating
+)
+SELECT rating, round(negative / (negative + neutral + positive) * 100, 6) AS negative,
+       round(neutral / (negative + neutral + positive) * 100, 6) AS neutral,
+       round(positive / (negative + neutral + positive) * 100, 6) AS positive
+FROM c
+""")
+def q_chart_crosstab(spark, sf_dir):
+    c = charts.rating_sentiment_crosstab(frames.scored(spark, sf_dir))
+    return c.select("rating", *[r6(x).alias(x) for x in (K.NEGATIVE, K.NEUTRAL, K.POSITIVE)])
+
+
+@register("chart_sentiment_counts", """
+SELECT s.sentiment, count(sc.bert_sentiment) AS count,
+       round(count(sc.bert_sentiment) / (SELECT count(*) FROM scored) * 100, 6) AS share
+FROM (VALUES ('positive'), ('negative'), ('neutral')) s(sentiment)
+LEFT JOIN scored sc ON sc.bert_sentiment = s.sentiment
+GROUP BY s.sentiment
+""")
+def q_chart_sentiment_counts(spark, sf_dir):
+    c = charts.sentiment_counts(frames.scored(spark, sf_dir))
+    return c.select("sentiment", "count", r6("share").alias("share"))
+
+
+@register("chart_priority_roi", """
+SELECT s.priority_rank, s.category, s.problem_type, s.priority_score, s.estimated_cost,
+       round(coalesce(r.roi_percentage, 0), 6) AS roi_percentage,
+       round(coalesce(r.expected_revenue_recovery, 0), 6) AS expected_return
+FROM suggestions s LEFT JOIN roi r USING (problem_type)
+""")
+def q_chart_priority_roi(spark, sf_dir):
+    sug = _suggestions(spark, sf_dir)
+    p = charts.priority_roi_points(sug, roi.roi_by_category(sug))
+    return p.select("priority_rank", "category", "problem_type", "priority_score", "estimated_cost",
+                    r6("roi_percentage").alias("roi_percentage"), r6("expected_return").alias("expected_return"))
+
+
+@register("chart_problem_names", """
+SELECT coalesce(t.category, p.problem_type) AS display_name, p.problem_type, p.cnt AS count
+FROM problem_analysis p LEFT JOIN templates t USING (problem_type)
+""")
+def q_chart_problem_names(spark, sf_dir):
+    return charts.problem_display_counts(_problems(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- reports --
+
+@register("scoring_report", """
+WITH one AS (SELECT count(*) AS n, count(bert_sentiment) AS scored_n, avg(bert_confidence) AS avg_conf,
+                    count(*) FILTER (WHERE bert_sentiment = 'negative') AS neg FROM scored),
+acc AS (SELECT round(avg(CASE WHEN sentiment_label = bert_sentiment THEN 1 ELSE 0 END), 4) AS accuracy
+        FROM scored WHERE sentiment_label IS NOT NULL AND bert_sentiment IS NOT NULL),
+top AS (SELECT problem_category, count(*) AS c FROM scored WHERE problem_category <> 'none'
+        GROUP BY 1 ORDER BY c DESC, problem_category LIMIT 5),
+sent AS (SELECT bert_sentiment, count(*) AS c FROM scored WHERE bert_sentiment IS NOT NULL GROUP BY 1)
+SELECT section, metric, key, round(value, 6) AS value FROM (
+  SELECT 'basic' AS section, 'total_reviews' AS metric, NULL::VARCHAR AS key, CAST(n AS DOUBLE) AS value FROM one
+  UNION ALL SELECT 'basic', 'completion_pct', NULL, round(scored_n / n * 100, 1) FROM one
+  UNION ALL SELECT 'sentiment', 'avg_confidence', NULL, round(avg_conf, 3) FROM one
+  UNION ALL SELECT 'negative', 'negative_count', NULL, CAST(neg AS DOUBLE) FROM one
+  UNION ALL SELECT 'negative', 'negative_pct', NULL, round(neg / n * 100, 1) FROM one
+  UNION ALL SELECT 'sentiment', 'count', bert_sentiment, CAST(c AS DOUBLE) FROM sent
+  UNION ALL SELECT 'sentiment', 'pct', bert_sentiment, round(c / (SELECT n FROM one) * 100, 1) FROM sent
+  UNION ALL SELECT 'problems', 'count', problem_category, CAST(c AS DOUBLE) FROM top
+  UNION ALL SELECT 'problems', 'pct_of_negative', problem_category, round(c / (SELECT neg FROM one) * 100, 1) FROM top
+  UNION ALL SELECT 'accuracy', 'accuracy', NULL, accuracy FROM acc
+)
+""")
+def q_scoring_report(spark, sf_dir):
+    sc = frames.scored(spark, sf_dir)
+    r = reports.scoring_report(sc, validation.accuracy(validation.valid_pairs(sc)))
+    return r.select("section", "metric", "key", r6("value").alias("value"))
+
+
+@register("roadmap", """
+SELECT priority_rank AS phase, category, estimated_cost AS budget FROM suggestions WHERE priority_rank <= 2
+""")
+def q_roadmap(spark, sf_dir):
+    return reports.roadmap(_suggestions(spark, sf_dir))
+
+
+@register("kpi_targets", """
+WITH m AS (SELECT avg(rating) AS a, count(*) FILTER (WHERE bert_sentiment = 'negative') / count(*) * 100 AS p
+           FROM scored)
+SELECT round(a, 6) AS current_avg_rating, round(least(a + 0.5, 5.0), 6) AS target_avg_rating,
+       round(p, 6) AS current_negative_pct, round(greatest(p - 5, 5.0), 6) AS target_negative_pct
+FROM m
+""")
+def q_kpi(spark, sf_dir):
+    k = reports.kpi_targets(frames.scored(spark, sf_dir))
+    return k.select(*[r6(c).alias(c) for c in k.columns])
+
+
+@register("top3_summary", """
+SELECT s.priority_rank, s.category, s.priority_score, s.estimated_cost,
+       round(coalesce(r.roi_percentage, 0), 6) AS roi_percentage
+FROM suggestions s LEFT JOIN roi r USING (problem_type) WHERE s.priority_rank <= 3
+""")
+def q_top3(spark, sf_dir):
+    sug = _suggestions(spark, sf_dir)
+    t = reports.top3_summary(sug, roi.roi_by_category(sug))
+    return t.select("priority_rank", "category", "priority_score", "estimated_cost",
+                    r6("roi_percentage").alias("roi_percentage"))
+
+
+@register("dashboard_summary")
+def q_dashboard_summary(spark, sf_dir):
+    return reports.dashboard_summary(frames.scored(spark, sf_dir))
+
+
+@register("business_report")
+def q_business_report(spark, sf_dir):
+    sc = frames.scored(spark, sf_dir)
+    probs = patterns.problem_analysis(sc)
+    prio = priority.priority_scores(probs)
+    sug = priority.improvement_suggestions(prio)
+    rc = roi.roi_by_category(sug)
+    return reports.business_report_lines(sc, sug, rc, roi.roi_overall(rc),
+                                         benchmark.competitive_position(sc, probs, prio),
+                                         benchmark.position_summary(sc))
