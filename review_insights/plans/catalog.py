@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from review_insights import constants as K
 from review_insights import oracle as O
-from review_insights.operators import benchmark, charts, patterns, priority, reports, roi, summary, validation
+from review_insights.operators import (benchmark, charts, keywords, patterns, priority, reports, roi, summary,
+                                       validation)
 from review_insights.sources import sinks
 from review_insights.plans import frames
 
@@ -846,3 +847,62 @@ def q_business_report(spark, sf_dir):
     return reports.business_report_lines(sc, sug, rc, roi.roi_overall(rc),
                                          benchmark.competitive_position(sc, probs, prio),
                                          benchmark.position_summary(sc))
+
+
+# --------------------------------------------------------------- keywords --
+
+def _keywords_sql() -> str:
+    from review_insights.functions.stopwords import english_stop_words
+    stop = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in english_stop_words()) + "]"
+    return f"""
+WITH kdocs AS (
+  SELECT review_id AS doc_id, bert_sentiment AS sentiment,
+         lower(regexp_replace(coalesce(review_text, ''), '[^a-zA-Z\\s]', '', 'g')) AS t
+  FROM scored WHERE bert_sentiment IN ('positive', 'negative', 'neutral')
+),
+ktok AS (
+  SELECT doc_id, sentiment, list_filter(regexp_extract_all(t, '[a-z]{{2,}}'), lambda x: NOT list_contains({stop}, x)) AS toks
+  FROM kdocs
+),
+kterms AS (
+  SELECT doc_id, sentiment,
+         CASE WHEN len(toks) >= 2
+              THEN list_concat(toks, list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]))
+              ELSE toks END AS terms
+  FROM ktok
+),
+kn AS (SELECT sentiment, count(*) AS n FROM kdocs GROUP BY sentiment),
+ktf AS (
+  SELECT sentiment, doc_id, term, count(*) AS tf
+  FROM (SELECT sentiment, doc_id, unnest(terms) AS term FROM kterms) GROUP BY sentiment, doc_id, term
+),
+kvocab AS (
+  SELECT v.sentiment, v.term, v.df, v.total, kn.n
+  FROM (SELECT sentiment, term, count(*) AS df, sum(tf) AS total FROM ktf GROUP BY sentiment, term) v
+  JOIN kn USING (sentiment)
+  WHERE v.df >= {K.TFIDF_MIN_DF} AND v.df <= CAST({K.TFIDF_MAX_DF} AS DOUBLE) * kn.n
+    AND CAST({K.TFIDF_MAX_DF} AS DOUBLE) * kn.n >= {K.TFIDF_MIN_DF}
+),
+kkeep AS (
+  SELECT sentiment, term, ln((n + 1) / (df + 1)) + 1 AS idf
+  FROM (SELECT *, row_number() OVER (PARTITION BY sentiment ORDER BY total DESC, term) AS rk FROM kvocab)
+  WHERE rk <= {K.TFIDF_MAX_FEATURES}
+),
+kw AS (SELECT f.sentiment, f.doc_id, f.term, f.tf * k.idf AS w FROM ktf f JOIN kkeep k USING (sentiment, term)),
+knorm AS (SELECT sentiment, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS wn FROM kw),
+kimp AS (
+  SELECT i.sentiment, i.term, i.s / kn.n AS importance
+  FROM (SELECT sentiment, term, sum(wn) AS s FROM knorm GROUP BY sentiment, term) i JOIN kn USING (sentiment)
+)
+SELECT sentiment, rank, term, round(importance, 6) AS importance FROM (
+  SELECT sentiment, term, importance,
+         CAST(row_number() OVER (PARTITION BY sentiment ORDER BY round(importance, 10) DESC, term) AS BIGINT) AS rank
+  FROM kimp)
+WHERE rank <= {K.TFIDF_TOP_K}
+"""
+
+
+@register("keywords_tfidf", _keywords_sql())
+def q_keywords(spark, sf_dir):
+    kw = keywords.extract_keywords(frames.scored(spark, sf_dir))
+    return kw.select("sentiment", "rank", "term", r6("importance").alias("importance"))
