@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from review_insights import constants as K
+from review_insights.operators.patterns import _real_flag, drop_none_group
 from review_insights.operators.priority import template_frame
 
 
@@ -50,8 +51,8 @@ def confidence_histogram(df: DataFrame, bins: int = K.CONFIDENCE_BINS, col: str
 
 def problem_share(df: DataFrame) -> DataFrame:
     """Share (%) of each problem type among rows whose problem is not ``none``."""
-    per = df.where(F.col("problem_category") != K.PROBLEM_NONE).groupBy("problem_category") \
-        .agg(F.count(F.lit(1)).alias("count"))
+    per = drop_none_group(df.groupBy("problem_category")
+                          .agg(F.count(F.lit(1)).alias("count"), _real_flag()))
     # at most seven aggregated rows: a global window is cheap
     return per.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy()) * 100)
 

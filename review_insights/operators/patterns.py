@@ -34,18 +34,36 @@ def load_distributions(df: DataFrame) -> DataFrame:
     return sent.unionByName(prob).unionByName(rate)
 
 
+def drop_none_group(grouped: DataFrame, flag: str = "_real") -> DataFrame:
+    """Remove the ``none`` problem group after aggregation.
+
+    The flag is an aggregate (``count_if(problem_category <> 'none')``), so the
+    filter stays above the aggregate.  A plain filter on ``problem_category``
+    would be pushed below it and inline the whole keyword classifier into a
+    scan-level predicate, computing it twice per row.
+    """
+    return grouped.where(F.col(flag) > 0).drop(flag)
+
+
+def _real_flag():
+    return F.count_if(F.col("problem_category") != K.PROBLEM_NONE).alias("_real")
+
+
 def problem_analysis(df: DataFrame) -> DataFrame:
     """Per problem type (excluding ``none``): count, share of *all* negatives in
-    percent, mean rating and mean confidence."""
-    neg = negatives(df)
-    total = neg.agg(F.count(F.lit(1))).scalar()
-    return (neg.where(F.col("problem_category") != K.PROBLEM_NONE)
-            .groupBy("problem_category")
-            .agg(F.count(F.lit(1)).alias("count"),
-                 F.avg("rating").alias("avg_rating"),
-                 F.avg("bert_confidence").alias("avg_confidence"))
-            .withColumn("percentage", F.col("count") / total * 100)
-            .withColumnRenamed("problem_category", "problem_type"))
+    percent, mean rating and mean confidence.
+
+    One pass over the negatives: the total (which includes ``none``) is a window
+    sum over the handful of aggregated groups, not a second scan.
+    """
+    per = (negatives(df).groupBy("problem_category")
+           .agg(F.count(F.lit(1)).alias("count"),
+                F.avg("rating").alias("avg_rating"),
+                F.avg("bert_confidence").alias("avg_confidence"),
+                _real_flag()))
+    # one row per problem type: the unpartitioned window is bounded
+    per = per.withColumn("percentage", F.col("count") / F.sum("count").over(Window.partitionBy()) * 100)
+    return drop_none_group(per).withColumnRenamed("problem_category", "problem_type")
 
 
 def rating_problem_mix(df: DataFrame) -> DataFrame:

@@ -7,11 +7,12 @@ here is bounded by construction (a few dozen rows).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from review_insights import constants as K
 from review_insights.operators import patterns
+from review_insights.operators.patterns import _real_flag, drop_none_group
 
 
 def _row(section: str, metric: str, key: Column | None, value: Column) -> Column:
@@ -37,16 +38,17 @@ def scoring_report(scored: DataFrame, accuracy: DataFrame | None = None) -> Data
         _row("negative", "negative_count", None, F.col("neg")),
         _row("negative", "negative_pct", None, F.round(F.col("neg") / F.col("n") * 100, 1)),
     )).alias("r")).select("r.*")
-    n = scored.agg(F.count(F.lit(1))).scalar()
+    # totals come from the same one-row aggregate (its exchange is reused)
+    n = one.select("n").scalar()
     sent = (scored.where(F.col("bert_sentiment").isNotNull()).groupBy("bert_sentiment")
             .agg(F.count(F.lit(1)).alias("c")))
     sent_rows = sent.select(F.explode(F.array(
         _row("sentiment", "count", F.col("bert_sentiment"), F.col("c")),
         _row("sentiment", "pct", F.col("bert_sentiment"), F.round(F.col("c") / n * 100, 1)),
     )).alias("r")).select("r.*")
-    neg = scored.agg(F.count_if(F.col("bert_sentiment") == K.NEGATIVE)).scalar()
-    top = (scored.where(F.col("problem_category") != K.PROBLEM_NONE).groupBy("problem_category")
-           .agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), F.asc("problem_category")).limit(5))
+    neg = one.select("neg").scalar()
+    top = (drop_none_group(scored.groupBy("problem_category").agg(F.count(F.lit(1)).alias("c"), _real_flag()))
+           .orderBy(F.desc("c"), F.asc("problem_category")).limit(5))
     top_rows = top.select(F.explode(F.array(
         _row("problems", "count", F.col("problem_category"), F.col("c")),
         _row("problems", "pct_of_negative", F.col("problem_category"), F.round(F.col("c") / neg * 100, 1)),
@@ -87,10 +89,11 @@ def top3_summary(suggestions: DataFrame, roi_by_category: DataFrame) -> DataFram
 
 def dashboard_summary(scored: DataFrame) -> DataFrame:
     """Export-page summary: total rows, generation time, count and % per sentiment."""
-    n = scored.agg(F.count(F.lit(1))).scalar()
-    per = (scored.where(F.col("bert_sentiment").isNotNull()).groupBy("bert_sentiment")
-           .agg(F.count(F.lit(1)).alias("count")))
-    return per.select(F.lit(n).alias("total_reviews"),
+    per = scored.groupBy("bert_sentiment").agg(F.count(F.lit(1)).alias("count"))
+    # at most four aggregated rows (three labels and null): the total is a window sum
+    per = per.withColumn("n", F.sum("count").over(Window.partitionBy())).where(F.col("bert_sentiment").isNotNull())
+    n = F.col("n")
+    return per.select(n.alias("total_reviews"),
                       F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm").alias("generated_at"),
                       F.col("bert_sentiment").alias("sentiment"), "count",
                       (F.col("count") / n * 100).alias("share"))

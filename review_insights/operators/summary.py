@@ -7,7 +7,7 @@ aggregate pre-aggregates map-side, so skewed keys cost nothing extra.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from review_insights import constants as K
@@ -95,10 +95,11 @@ def short_reviews(df: DataFrame) -> DataFrame:
 
 def label_imbalance(df: DataFrame) -> DataFrame:
     """Flag when the smallest *present* label class holds under 5% of all rows."""
-    per = label_distribution(df)
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return per.agg(F.min("count").alias("smallest_class")).select(
-        "smallest_class", (F.col("smallest_class") < F.lit(K.IMBALANCE_SHARE) * total).alias("imbalanced"))
+    # one pass: per-label counts including the null label, reduced on the driver-free side
+    per = df.groupBy("sentiment_label").agg(F.count(F.lit(1)).alias("count"))
+    return per.agg(F.min(F.when(F.col("sentiment_label").isNotNull(), F.col("count"))).alias("smallest_class"),
+                   F.sum("count").alias("_total")).select(
+        "smallest_class", (F.col("smallest_class") < F.lit(K.IMBALANCE_SHARE) * F.col("_total")).alias("imbalanced"))
 
 
 def negative_overview(df: DataFrame) -> DataFrame:
@@ -132,10 +133,11 @@ def category_detail(df: DataFrame) -> DataFrame:
 
 def high_quality_comparison(df: DataFrame) -> DataFrame:
     """Share and mean rating of high-quality reviews vs the rest."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return (df.where(F.col("is_high_quality").isNotNull()).groupBy("is_high_quality")
-            .agg(F.count(F.lit(1)).alias("count"), F.avg("rating").alias("avg_rating"))
-            .withColumn("share", F.col("count") / total * 100))
+    per = (df.groupBy("is_high_quality")
+           .agg(F.count(F.lit(1)).alias("count"), F.avg("rating").alias("avg_rating")))
+    # at most three aggregated rows; the share uses every row as denominator
+    per = per.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy()) * 100)
+    return per.where(F.col("is_high_quality").isNotNull())
 
 
 def sample_reviews(df: DataFrame, n: int = 5, seed: int = 42, key: str = "review_id") -> DataFrame:
