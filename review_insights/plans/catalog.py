@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from review_insights import constants as K
 from review_insights import oracle as O
-from review_insights.operators import (benchmark, charts, keywords, patterns, priority, reports, roi, summary,
+from review_insights.operators import (benchmark, charts, keywords, patterns, priority, reports, roi, scoring, summary,
                                        validation)
 from review_insights.sources import sinks
 from review_insights.plans import frames
@@ -906,3 +906,50 @@ WHERE rank <= {K.TFIDF_TOP_K}
 def q_keywords(spark, sf_dir):
     kw = keywords.extract_keywords(frames.scored(spark, sf_dir))
     return kw.select("sentiment", "rank", "term", r6("importance").alias("importance"))
+
+
+# ---------------------------------------------------------------- scoring --
+
+def _unscored(spark, sf_dir):
+    """Processed reviews without the stand-in model columns, ready to be scored."""
+    return _lean(spark, sf_dir).drop("bert_sentiment", "bert_confidence")
+
+
+def _lexicon_sql(with_error: bool) -> str:
+    pos, neg = O._hits("low", scoring.POSITIVE_WORDS), O._hits("low", scoring.NEGATIVE_WORDS)
+    err = ", false AS score_error" if with_error else ""
+    return f"""
+WITH lx AS (SELECT review_id, lower(coalesce(review_text, '')) AS low FROM base),
+lx2 AS (SELECT review_id, {pos} AS p, {neg} AS n FROM lx)
+SELECT review_id,
+       CASE WHEN p > n THEN 'positive' WHEN n > p THEN 'negative' ELSE 'neutral' END AS bert_sentiment,
+       round(CASE WHEN p + n = 0 THEN 0.5 ELSE 0.5 + 0.5 * abs(p - n) / (p + n) END, 6) AS bert_confidence{err}
+FROM lx2
+"""
+
+
+@register("score_lexicon", _lexicon_sql(False))
+def q_score_lexicon(spark, sf_dir):
+    s = scoring.score_lexicon(_unscored(spark, sf_dir))
+    return s.select("review_id", "bert_sentiment", r6("bert_confidence").alias("bert_confidence"))
+
+
+@register("score_batch_model", _lexicon_sql(True))
+def q_score_batch(spark, sf_dir):
+    s = scoring.score_sentiment(_unscored(spark, sf_dir).select("review_id", "review_text"))
+    return s.select("review_id", "bert_sentiment", r6("bert_confidence").alias("bert_confidence"), "score_error")
+
+
+@register("sentiment_stats", """
+SELECT bert_sentiment, count(*) AS count, (SELECT round(avg(bert_confidence), 3) FROM scored) AS mean_confidence
+FROM scored WHERE bert_sentiment IS NOT NULL GROUP BY bert_sentiment
+""")
+def q_sentiment_stats(spark, sf_dir):
+    return scoring.sentiment_stats(frames.scored(spark, sf_dir))
+
+
+@register("score_mllib")
+def q_score_mllib(spark, sf_dir):
+    base = _unscored(spark, sf_dir).select("review_id", "review_text", "sentiment_label")
+    model = scoring.train_sentiment_model(base)
+    return scoring.score_with_model(model, base).select("review_id", "bert_sentiment", "bert_confidence")
