@@ -48,10 +48,17 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
 
 
 def keyword_documents(df: DataFrame, text_col: str = "review_text", sentiment_col: str = "bert_sentiment",
-                      key: str = "review_id") -> DataFrame:
-    """``(doc_id, sentiment, processed_text)`` for rows of the three sentiment classes."""
+                      key: str | None = None) -> DataFrame:
+    """``(doc_id, sentiment, processed_text)`` for rows of the three sentiment classes.
+
+    Every row is one document.  Without a ``key`` known to be unique, documents
+    get a row identity from ``monotonically_increasing_id()`` assigned right at
+    the scan, before any shuffle (so a recomputed task reproduces it); review ids
+    are not relied on because duplicated ids would merge two documents.
+    """
+    doc_id = F.col(key) if key else F.monotonically_increasing_id()
     return (df.where(F.col(sentiment_col).isin(*K.SENTIMENTS))
-            .select(F.col(key).alias("doc_id"), F.col(sentiment_col).alias("sentiment"),
+            .select(doc_id.alias("doc_id"), F.col(sentiment_col).alias("sentiment"),
                     keyword_clean(F.col(text_col)).alias("processed_text")))
 
 
@@ -90,7 +97,7 @@ def vocabulary(terms: DataFrame, sizes: DataFrame, max_features: int = K.TFIDF_M
 
 
 def keyword_importance(df: DataFrame, text_col: str = "review_text", sentiment_col: str = "bert_sentiment",
-                       key: str = "review_id", max_features: int = K.TFIDF_MAX_FEATURES,
+                       key: str | None = None, max_features: int = K.TFIDF_MAX_FEATURES,
                        min_df: int = K.TFIDF_MIN_DF, max_df: float = K.TFIDF_MAX_DF,
                        stop_words: Sequence[str] | None = None, num_partitions: int | None = None) -> DataFrame:
     """Mean TF-IDF weight of every kept term: ``(sentiment, term, importance)``."""

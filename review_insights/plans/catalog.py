@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from review_insights import constants as K
 from review_insights import oracle as O
-from review_insights.operators import (benchmark, charts, keywords, patterns, priority, reports, roi, scoring, summary,
+from review_insights.operators import (benchmark, charts, conform, keywords, patterns, priority, reports, roi, scoring,
+                                       summary,
                                        validation)
 from review_insights.sources import sinks
 from review_insights.plans import frames
@@ -856,7 +857,7 @@ def _keywords_sql() -> str:
     stop = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in english_stop_words()) + "]"
     return f"""
 WITH kdocs AS (
-  SELECT review_id AS doc_id, bert_sentiment AS sentiment,
+  SELECT row_number() OVER () AS doc_id, bert_sentiment AS sentiment,
          lower(regexp_replace(coalesce(review_text, ''), '[^a-zA-Z\\s]', '', 'g')) AS t
   FROM scored WHERE bert_sentiment IN ('positive', 'negative', 'neutral')
 ),
@@ -894,7 +895,7 @@ kimp AS (
   SELECT i.sentiment, i.term, i.s / kn.n AS importance
   FROM (SELECT sentiment, term, sum(wn) AS s FROM knorm GROUP BY sentiment, term) i JOIN kn USING (sentiment)
 )
-SELECT sentiment, rank, term, round(importance, 6) AS importance FROM (
+SELECT sentiment, rank, term, round(round(importance, 10), 6) AS importance FROM (
   SELECT sentiment, term, importance,
          CAST(row_number() OVER (PARTITION BY sentiment ORDER BY round(importance, 10) DESC, term) AS BIGINT) AS rank
   FROM kimp)
@@ -905,7 +906,8 @@ WHERE rank <= {K.TFIDF_TOP_K}
 @register("keywords_tfidf", _keywords_sql())
 def q_keywords(spark, sf_dir):
     kw = keywords.extract_keywords(frames.scored(spark, sf_dir))
-    return kw.select("sentiment", "rank", "term", r6("importance").alias("importance"))
+    # 10 decimals first absorb summation-order noise, so exact ties round alike
+    return kw.select("sentiment", "rank", "term", r6(F.round("importance", 10)).alias("importance"))
 
 
 # ---------------------------------------------------------------- scoring --
@@ -953,3 +955,35 @@ def q_score_mllib(spark, sf_dir):
     base = _unscored(spark, sf_dir).select("review_id", "review_text", "sentiment_label")
     model = scoring.train_sentiment_model(base)
     return scoring.score_with_model(model, base).select("review_id", "bert_sentiment", "bert_confidence")
+
+
+# -------------------------------------------- conform without id/date/text --
+
+_MISSING = ("ProductId", "Score", "Text", "Time")
+
+
+@register("conform_missing_columns", f"""
+WITH mc AS (
+  SELECT Id AS review_id, Summary AS review_title,
+         row_number() OVER (ORDER BY Id) - 1 AS ri, count(*) OVER () AS n
+  FROM review_raw
+),
+mc2 AS (
+  SELECT review_id, review_title, printf('B%06d', ri) AS product_id,
+         '{K.DEFAULT_REVIEW_TEXT}' AS review_text, ri, n FROM mc
+)
+SELECT review_id, product_id, CAST({K.DEFAULT_RATING} AS BIGINT) AS rating, review_text,
+  strftime(CASE WHEN n <= 1 THEN TIMESTAMP '{K.SPREAD_START}'
+    ELSE make_timestamp(epoch_us(TIMESTAMP '{K.SPREAD_START}') + CAST(trunc(ri * (
+      CAST(epoch_us(TIMESTAMP '{K.SPREAD_END}') - epoch_us(TIMESTAMP '{K.SPREAD_START}') AS DOUBLE) / (n - 1))) AS BIGINT))
+    END, '%Y-%m-%d %H:%M:%S') AS review_date,
+  {O._product_name()} AS product_name,
+  {O._category()} AS product_category,
+  CAST(('0x' || substr(md5(review_id), 1, 8)) AS BIGINT) % 20 AS helpful_votes
+FROM mc2
+""")
+def q_conform_missing(spark, sf_dir):
+    raw = frames.review_raw(spark, sf_dir).drop(*_MISSING)
+    c = conform.conform_reviews(raw)
+    return c.select("review_id", "product_id", "rating", "review_text", ts_text("review_date").alias("review_date"),
+                    "product_name", "product_category", "helpful_votes")
