@@ -62,11 +62,12 @@ def word_tokens(cleaned: Column) -> Column:
 
 
 def with_bigrams(tokens: Column) -> Column:
-    """Unigrams followed by adjacent-pair bigrams joined by a space."""
-    n = F.size(tokens)
-    bigrams = F.when(
-        n >= 2,
-        F.transform(F.sequence(F.lit(1), n - 1),
-                    lambda i: F.concat_ws(" ", F.element_at(tokens, i), F.element_at(tokens, i + 1))),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(tokens, bigrams)
+    """Unigrams followed by adjacent-pair bigrams joined by a space.
+
+    The pairs zip the token list with itself shifted by one; both sides are cut
+    to n - 1 elements, so no padding element ever forms a pair.
+    """
+    m = F.greatest(F.size(tokens) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(tokens, 1, m), F.slice(tokens, 2, m),
+                       lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.concat(tokens, pairs)
