@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from review_insights import constants as K
 from review_insights import oracle as O
-from review_insights.operators import (benchmark, charts, conform, keywords, patterns, priority, reports, roi, scoring,
-                                       summary,
-                                       validation)
+from review_insights.operators import (benchmark, charts, conform, keywords, patterns, priority, problems, reports,
+                                       roi, scoring, summary, validation)
 from review_insights.sources import sinks
 from review_insights.plans import frames
 
@@ -987,3 +986,30 @@ def q_conform_missing(spark, sf_dir):
     c = conform.conform_reviews(raw)
     return c.select("review_id", "product_id", "rating", "review_text", ts_text("review_date").alias("review_date"),
                     "product_name", "product_category", "helpful_votes")
+
+
+# ------------------------------------------------ remaining report pieces --
+
+@register("problem_distribution", """
+SELECT problem_category, count(*) AS count FROM scored WHERE bert_sentiment = 'negative' GROUP BY problem_category
+""")
+def q_problem_distribution(spark, sf_dir):
+    return problems.problem_distribution(frames.scored(spark, sf_dir))
+
+
+def _report_keywords_sql() -> str:
+    body = _keywords_sql()
+    head = body[:body.rindex("SELECT sentiment, rank, term")]
+    return head + """
+SELECT sentiment, rank, term FROM (
+  SELECT sentiment, term,
+         CAST(row_number() OVER (PARTITION BY sentiment ORDER BY round(importance, 10) DESC, term) AS BIGINT) AS rank
+  FROM kimp)
+WHERE rank <= 5 AND sentiment IN ('negative', 'positive')
+"""
+
+
+@register("report_top_keywords", _report_keywords_sql())
+def q_report_keywords(spark, sf_dir):
+    kw = keywords.extract_keywords(frames.scored(spark, sf_dir), top_k=5)
+    return kw.where(F.col("sentiment").isin("negative", "positive")).select("sentiment", "rank", "term")
