@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from review_insights import constants as K
-from review_insights.operators import patterns
 from review_insights.operators.patterns import _real_flag, drop_none_group
 
 
@@ -141,8 +140,3 @@ def business_report_lines(scored: DataFrame, suggestions: DataFrame, roi_cat: Da
         "現在のポジション: %d%%ile | 業界平均評価: %.2f | ネガティブ率: %.1f%%",
         F.col("current_percentile"), F.col("average_rating"), F.col("negative_sentiment_rate") * 100).alias("text"))
     return s1.unionByName(s2).unionByName(s3).unionByName(s4).unionByName(s5).unionByName(s6)
-
-
-def negative_problem_table(scored: DataFrame) -> DataFrame:
-    """Convenience: the problem analysis of the scored table (used by reports)."""
-    return patterns.problem_analysis(scored)
