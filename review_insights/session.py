@@ -37,7 +37,9 @@ def build_session(master: str = "local[*]", app_name: str = "review-insights",
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.sparkContext.setLogLevel("ERROR")
+    sc = spark_context(spark)
+    if sc is not None:
+        sc.setLogLevel("ERROR")
     return spark
 
 
@@ -47,13 +49,27 @@ def ensure_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def spark_context(spark: SparkSession):
+    """The SparkContext, or None for sessions without one (Spark Connect)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect sessions raise here
+        return None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
     On a cluster the setting points at shared storage and is used as is.  Only
     when it is unset (local tests) is a private temporary folder created.
     """
-    sc = spark.sparkContext
+    sc = spark_context(spark)
+    if sc is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            configured = tempfile.mkdtemp(prefix="review-insights-ckpt-")
+            spark.conf.set("spark.checkpoint.dir", configured)
+        return configured
     configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) \
         or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:

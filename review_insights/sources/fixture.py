@@ -16,7 +16,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from review_insights.session import table_path
+from review_insights.session import spark_context, table_path
 from review_insights.sources.readers import normalise_missing, read_table
 
 # FIXED VALUES: the twelve review phrases of the fixture (1-based positions).
@@ -86,6 +86,10 @@ _INGESTED: dict[tuple[str, str], str] = {}
 
 def _source_key(spark: SparkSession, sf_dir: str) -> str:
     """Identity of the source table: absolute path, size and modification time."""
+    if spark_context(spark) is None:
+        src = os.path.join(sf_dir, "lineitem.parquet")
+        st = os.stat(src)
+        return hashlib.sha1(f"{os.path.abspath(src)}|{st.st_size}|{st.st_mtime_ns}".encode()).hexdigest()[:16]
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(os.path.join(sf_dir, "lineitem.parquet"))
@@ -97,6 +101,8 @@ def _source_key(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
+    if spark_context(spark) is None:
+        return os.path.exists(os.path.join(path, "_SUCCESS"))
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -113,14 +119,15 @@ def ingest_review_fixture(spark: SparkSession, sf_dir: str) -> str:
     source is ingested again.
     """
     key = _source_key(spark, sf_dir)
-    cache_key = (spark.sparkContext.applicationId, key)
+    sc = spark_context(spark)
+    cache_key = (sc.applicationId if sc is not None else id(spark), key)
     if cache_key in _INGESTED:
         return _INGESTED[cache_key]
     path = table_path(spark, f"review_raw_v2_{key}")
     if not _exists(spark, path):
         # Spread the rows over as many files as the cluster has cores, so every
         # scan of the stored table is parallel even when the source is one file.
-        parts = max(1, spark.sparkContext.defaultParallelism)
+        parts = max(1, sc.defaultParallelism if sc is not None else 8)
         review_fixture(spark, sf_dir).repartition(parts).write.mode("overwrite").parquet(path)
     _INGESTED[cache_key] = path
     return path
