@@ -17,7 +17,8 @@ from review_insights import constants as K
 from review_insights import oracle as O
 from review_insights.operators import (benchmark, charts, conform, keywords, patterns, priority, problems, reports,
                                        roi, scoring, summary, validation)
-from review_insights.sources import sinks
+from review_insights.session import ensure_utc
+from review_insights.sources import fixture, sinks
 from review_insights.plans import frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +75,22 @@ def q_conform(spark, sf_dir):
                      r6("bert_confidence").alias("bert_confidence"))
 
 
+@register("csv_scan", """
+SELECT review_id, product_id, user_id, rating, review_title, review_text,
+       strftime(review_date, '%Y-%m-%d %H:%M:%S') AS review_date, product_name, product_category,
+       helpful_votes, total_votes, verified_purchase, bert_sentiment, round(bert_confidence, 6) AS bert_confidence
+FROM review
+""")
+def q_csv_scan(spark, sf_dir):
+    """The conform query, but starting from the CSV export of the raw reviews."""
+    ensure_utc(spark)
+    df = conform.conform_reviews(fixture.review_raw_csv(spark, sf_dir))
+    return df.select("review_id", "product_id", "user_id", "rating", "review_title", "review_text",
+                     ts_text("review_date").alias("review_date"), "product_name", "product_category",
+                     "helpful_votes", "total_votes", "verified_purchase", "bert_sentiment",
+                     r6("bert_confidence").alias("bert_confidence"))
+
+
 @register("preprocess", """
 SELECT review_id, review_text_clean, review_length, round(rating_normalized, 6) AS rating_normalized,
        sentiment_label, round(helpfulness_ratio, 6) AS helpfulness_ratio, review_year, review_month,

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from review_insights.session import spark_context, table_path
-from review_insights.sources.readers import normalise_missing, read_table
+from review_insights.sources.readers import normalise_missing, read_reviews_csv, read_table
+from review_insights.sources.sinks import CSV_WRITE_OPTIONS
 
 # FIXED VALUES: the twelve review phrases of the fixture (1-based positions).
 FIXTURE_PHRASES = (
@@ -133,6 +134,35 @@ def ingest_review_fixture(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def ingest_review_csv(spark: SparkSession, sf_dir: str) -> str:
+    """Write the raw review rows once as a CSV export (header, quoted fields with
+    doubled quotes, whitespace kept) under the shared checkpoint folder.
+
+    This is the file shape the review workflow starts from.  Quoted fields may
+    hold newlines, so such files are read whole (``multiLine``); writing one
+    file per core keeps the read parallel.
+    """
+    key = _source_key(spark, sf_dir)
+    sc = spark_context(spark)
+    cache_key = (sc.applicationId if sc is not None else id(spark), "csv|" + key)
+    if cache_key in _INGESTED:
+        return _INGESTED[cache_key]
+    path = table_path(spark, f"review_raw_csv_v1_{key}")
+    if not _exists(spark, path):
+        parts = max(1, sc.defaultParallelism if sc is not None else 8)
+        (spark.read.parquet(ingest_review_fixture(spark, sf_dir)).repartition(parts)
+         .write.mode("overwrite").options(**CSV_WRITE_OPTIONS).csv(path))
+    _INGESTED[cache_key] = path
+    return path
+
+
+def review_raw_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw reviews read back from their CSV export: every column arrives as
+    text (missing tokens nulled) and the model score is typed here."""
+    raw = read_reviews_csv(spark, ingest_review_csv(spark, sf_dir))
+    return raw.withColumn("bert_confidence", F.col("bert_confidence").try_cast("double"))
+
+
 def review_raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw reviews as a CSV-style reader would deliver them: the ingested table
     with missing-value tokens turned into nulls."""

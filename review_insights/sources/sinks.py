@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 
 from review_insights import constants as K
 
+# CSV as the original tools write it: header row, doubled quotes inside quoted
+# fields, and values written verbatim (Spark's writer trims leading and trailing
+# whitespace unless told not to).
+CSV_WRITE_OPTIONS = {
+    "header": "true",
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
 
 def require_columns(df: DataFrame, required: Iterable[str]) -> None:
     """Fail early (at analysis time, no job) when required columns are absent."""
@@ -29,7 +39,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
     writer = observed.write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+        writer = writer.options(**CSV_WRITE_OPTIONS)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)

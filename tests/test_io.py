@@ -57,3 +57,11 @@ def test_write_report_orders_lines(spark):
     sinks.write_report(lines, out)
     texts = [r.value for r in spark.read.text(out).collect()]
     assert texts == ["a", "b", "second"]
+
+
+def test_csv_sink_keeps_whitespace_quotes_and_newlines(spark):
+    df = spark.createDataFrame([("1", '  padded "quoted"\nnext line ')], "Id string, Text string")
+    out = os.path.join(_tmp(), "ws")
+    assert sinks.write_table(df, out, fmt="csv") == 1
+    back = readers.read_reviews_csv(spark, out).collect()
+    assert back[0].Text == '  padded "quoted"\nnext line '
