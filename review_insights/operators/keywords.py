@@ -10,9 +10,12 @@ Semantics per class (documents = reviews of that sentiment):
   the kept vocabulary; importance = sum of weights / n (all documents)
 * output: top ``top_k`` terms per class by importance, ties alphabetical
 
-Physical shape: documents are hash-partitioned by id once; tokenising,
-per-document term counts and per-document norms then run inside those
-partitions with no further shuffle.  The vocabulary is found with map-side
+Physical shape: two passes read the documents.  The vocabulary pass tokenises
+rows where they are (one explode of each document's sorted terms) into a
+partial aggregate on (class, term); no document is shuffled.  The weighting
+pass hash-partitions documents by id once; per-document term counts (only
+vocabulary terms, keyed by an integer term id) and per-document norms then run
+inside those partitions with no further shuffle.  The vocabulary is found with map-side
 partial aggregation and cut to at most ``max_features`` rows per class by a
 two-level top-k (salted buckets, then per class), so no task ever holds a
 whole class; only that bounded vocabulary is broadcast.
@@ -74,26 +77,41 @@ def class_sizes(docs: DataFrame) -> DataFrame:
     return docs.groupBy("sentiment").agg(F.count(F.lit(1)).alias("n"))
 
 
+def term_occurrences(terms: DataFrame) -> DataFrame:
+    """``(sentiment, term, first)``: one row per term occurrence, ``first`` set on
+    the first occurrence of a term within its document.
+
+    Each document's terms are sorted so equal terms are adjacent; an occurrence
+    is the first when the previous element differs.  This gives document
+    frequencies from the same single explode as term totals (O(n log n) per
+    document), with no per-document aggregation.
+    """
+    ordered = terms.select("sentiment", F.array_sort("terms").alias("_sorted"))
+    occ = ordered.select("sentiment", "_sorted", F.posexplode("_sorted").alias("_pos", "term"))
+    first = F.coalesce(F.get(F.col("_sorted"), F.col("_pos") - 1) != F.col("term"), F.lit(True))
+    return occ.select("sentiment", "term", first.alias("first"))
+
+
 def vocabulary(terms: DataFrame, sizes: DataFrame, max_features: int = K.TFIDF_MAX_FEATURES,
                min_df: int = K.TFIDF_MIN_DF, max_df: float = K.TFIDF_MAX_DF) -> DataFrame:
     """Kept vocabulary ``(sentiment, term, df, total, n, idf)``, <= max_features per class.
 
-    Term totals and document frequencies come from one partially-aggregated
-    pass: every term occurrence counts toward the total, every distinct term
-    of a document toward df.
+    Term totals (all occurrences) and document frequencies (first occurrences)
+    come from one partially-aggregated pass over the term occurrences.
     """
-    occ = terms.select("sentiment", F.explode("terms").alias("term"),
-                       F.lit(1).alias("_tf"), F.lit(0).alias("_df"))
-    dist = terms.select("sentiment", F.explode(F.array_distinct("terms")).alias("term"),
-                        F.lit(0).alias("_tf"), F.lit(1).alias("_df"))
-    counts = (occ.unionByName(dist).groupBy("sentiment", "term")
-              .agg(F.sum("_tf").cast("bigint").alias("total"), F.sum("_df").cast("bigint").alias("df")))
+    counts = (term_occurrences(terms).groupBy("sentiment", "term")
+              .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("first")).alias("df")))
     high = F.lit(float(max_df)) * F.col("n")
     eligible = (counts.join(F.broadcast(sizes), "sentiment")
                 .where((F.col("df") >= min_df) & (F.col("df") <= high) & (high >= min_df)))
     kept = top_k_per_group(eligible, ["sentiment"], [F.desc("total"), F.asc("term")], max_features,
                            split_col="term", rank_name="vocab_rank")
-    return kept.withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
+    # a compact integer id per kept term: class position * (max_features + 1) + rank
+    code = F.array_position(F.array(*[F.lit(c) for c in K.SENTIMENTS]), F.col("sentiment"))
+    return kept.withColumns({
+        "idf": F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1,
+        "term_id": (code * (max_features + 1) + F.col("vocab_rank")).cast("int"),
+    })
 
 
 def keyword_importance(df: DataFrame, text_col: str = "review_text", sentiment_col: str = "bert_sentiment",
@@ -102,21 +120,27 @@ def keyword_importance(df: DataFrame, text_col: str = "review_text", sentiment_c
                        stop_words: Sequence[str] | None = None, num_partitions: int | None = None) -> DataFrame:
     """Mean TF-IDF weight of every kept term: ``(sentiment, term, importance)``."""
     docs = keyword_documents(df, text_col, sentiment_col, key)
-    # the only shuffle of document text: afterwards each document's terms, counts
-    # and norm stay inside one partition
-    docs = docs.repartition(num_partitions, "doc_id") if num_partitions else docs.repartition("doc_id")
-    terms = document_terms(docs, stop_words)
+    # class sizes and the vocabulary only need row-local tokenising and partial
+    # aggregation: they read the documents where they are, without a shuffle
     sizes = class_sizes(docs)
-    vocab = vocabulary(terms, sizes, max_features, min_df, max_df).select("sentiment", "term", "idf")
-    # bounded: at most max_features rows per class, three classes
+    vocab = (vocabulary(document_terms(docs, stop_words), sizes, max_features, min_df, max_df)
+             .select("sentiment", "term", "term_id", "idf", "n"))
+    # the only shuffle of document text: afterwards each document's term counts
+    # and norm stay inside one partition
+    parted = docs.repartition(num_partitions, "doc_id") if num_partitions else docs.repartition("doc_id")
+    terms = document_terms(parted, stop_words)
+    # bounded: at most max_features rows per class, three classes.  Terms outside
+    # the vocabulary are dropped before the per-document counting, which then
+    # keys on fixed-width (doc_id, term_id) instead of strings.
     hits = (terms.select("doc_id", "sentiment", F.explode("terms").alias("term"))
             .join(F.broadcast(vocab), ["sentiment", "term"]))
-    tf = hits.groupBy("doc_id", "sentiment", "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
+    tf = hits.groupBy("doc_id", "term_id", "idf").agg(F.count(F.lit(1)).alias("tf"))
     w = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(w * w).over(Window.partitionBy("doc_id")))
-    weights = tf.select("sentiment", "term", (w / norm).alias("weight"))
-    sums = weights.groupBy("sentiment", "term").agg(F.sum("weight").alias("weight_sum"))
-    return (sums.join(F.broadcast(sizes), "sentiment")
+    weights = tf.select("term_id", (w / norm).alias("weight"))
+    sums = weights.groupBy("term_id").agg(F.sum("weight").alias("weight_sum"))
+    # the same broadcast as above (one vocabulary pass, reused exchange)
+    return (sums.join(F.broadcast(vocab), "term_id")
             .select("sentiment", "term", (F.col("weight_sum") / F.col("n")).alias("importance")))
 
 

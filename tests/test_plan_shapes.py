@@ -45,3 +45,10 @@ def test_no_cross_or_nested_loop_joins(spark, sf_small, name):
         pytest.skip("iterative training job")
     plan = _plan(spark, name, sf_small)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_keyword_documents_are_shuffled_once(spark, sf_small):
+    """Only the weighting pass co-locates documents; the vocabulary and class
+    sizes aggregate rows where they are."""
+    final = _plan(spark, "keywords_tfidf", sf_small).split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning(doc_id") == 1, final
