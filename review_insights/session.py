@@ -57,23 +57,39 @@ def spark_context(spark: SparkSession):
         return None
 
 
+def _is_local(spark: SparkSession) -> bool:
+    sc = spark_context(spark)
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    return (master or "").startswith("local")
+
+
+def _local_fallback(spark: SparkSession) -> str:
+    """A private folder for local sessions (tests); never used on a cluster,
+    where executors on other machines could not read it."""
+    if not _is_local(spark):
+        raise RuntimeError("spark.checkpoint.dir is not set: point it at shared storage "
+                           "(e.g. an HDFS/S3 folder) so intermediate tables survive executor loss")
+    return tempfile.mkdtemp(prefix="review-insights-ckpt-")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    On a cluster the setting points at shared storage and is used as is.  Only
-    when it is unset (local tests) is a private temporary folder created.
+    On a cluster the setting points at shared storage and is used as is (and
+    a missing setting is an error).  Only when it is unset in a local session
+    (tests) is a private temporary folder created.
     """
     sc = spark_context(spark)
     if sc is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured:
-            configured = tempfile.mkdtemp(prefix="review-insights-ckpt-")
+            configured = _local_fallback(spark)
             spark.conf.set("spark.checkpoint.dir", configured)
         return configured
     configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) \
         or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="review-insights-ckpt-")
+        configured = _local_fallback(spark)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

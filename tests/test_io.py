@@ -65,3 +65,11 @@ def test_csv_sink_keeps_whitespace_quotes_and_newlines(spark):
     assert sinks.write_table(df, out, fmt="csv") == 1
     back = readers.read_reviews_csv(spark, out).collect()
     assert back[0].Text == '  padded "quoted"\nnext line '
+
+
+def test_checkpoint_folder_comes_from_the_session(spark):
+    from review_insights.session import checkpoint_dir, table_path
+
+    configured = spark.sparkContext.getCheckpointDir()
+    assert checkpoint_dir(spark) == configured
+    assert table_path(spark, "x").startswith(configured)
