@@ -24,14 +24,25 @@ def negative_count(df: DataFrame) -> DataFrame:
 
 def load_distributions(df: DataFrame) -> DataFrame:
     """Sentiment counts, problem counts among negatives, rating counts; tidy
-    ``(dimension, key, count)``.  Null keys are not counted."""
-    sent = (df.where(F.col("bert_sentiment").isNotNull()).groupBy("bert_sentiment").count()
-            .select(F.lit("sentiment").alias("dimension"), F.col("bert_sentiment").alias("key"), "count"))
-    prob = (negatives(df).groupBy("problem_category").count()
-            .select(F.lit("problem").alias("dimension"), F.col("problem_category").alias("key"), "count"))
-    rate = (df.where(F.col("rating").isNotNull()).groupBy("rating").count()
-            .select(F.lit("rating").alias("dimension"), F.col("rating").cast("string").alias("key"), "count"))
-    return sent.unionByName(prob).unionByName(rate)
+    ``(dimension, key, count)``.  Null keys are not counted.
+
+    One grouping-sets pass over the table; the problem key is the class of
+    negative rows only (null otherwise), computed once per row.
+    """
+    neg_problem = F.when(F.col("bert_sentiment") == K.NEGATIVE, F.col("problem_category"))
+    keyed = df.select("bert_sentiment", neg_problem.alias("_neg_problem"),
+                      F.col("rating").cast("string").alias("_rating"))
+    dist = (keyed.groupingSets([["bert_sentiment"], ["_neg_problem"], ["_rating"]],
+                               "bert_sentiment", "_neg_problem", "_rating")
+            .agg(F.count(F.lit(1)).alias("count"), F.grouping_id().alias("_gid")))
+    # grouping_id bits: bert_sentiment=4, _neg_problem=2, _rating=1 (1 = aggregated away)
+    gid = F.col("_gid")
+    dimension = (F.when(gid == 3, F.lit("sentiment")).when(gid == 5, F.lit("problem"))
+                 .when(gid == 6, F.lit("rating")))
+    key = (F.when(gid == 3, F.col("bert_sentiment")).when(gid == 5, F.col("_neg_problem"))
+           .when(gid == 6, F.col("_rating")))
+    return (dist.select(dimension.alias("dimension"), key.alias("key"), "count")
+            .where(F.col("key").isNotNull()))
 
 
 def drop_none_group(grouped: DataFrame, flag: str = "_real") -> DataFrame:

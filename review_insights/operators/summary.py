@@ -198,22 +198,26 @@ def data_summary(df: DataFrame) -> DataFrame:
                             "rating", "sentiment_label", "product_category")
             .agg(F.count(F.lit(1)).alias("n"), F.avg("rating").alias("mean_rating"),
                  F.grouping_id().alias("gid")))
-    # grouping_id bits: rating=4, sentiment_label=2, product_category=1 (1 = aggregated away)
-    by_rating = dist.where(F.col("gid") == 3).where(F.col("rating").isNotNull()).select(
-        F.lit("rating_analysis").alias("section"), F.lit("rating_distribution").alias("metric"),
-        F.col("rating").cast("string").alias("key"), F.col("n").cast("double").alias("value"),
-        F.lit(None).cast("string").alias("text"))
-    by_label = dist.where(F.col("gid") == 5).where(F.col("sentiment_label").isNotNull()).select(
-        F.lit("sentiment_analysis").alias("section"), F.lit("sentiment_distribution").alias("metric"),
-        F.col("sentiment_label").alias("key"), F.col("n").cast("double").alias("value"),
-        F.lit(None).cast("string").alias("text"))
-    cats = dist.where(F.col("gid") == 6).where(F.col("product_category").isNotNull())
-    by_cat = cats.select(
-        F.lit("category_analysis").alias("section"), F.lit("category_distribution").alias("metric"),
-        F.col("product_category").alias("key"), F.col("n").cast("double").alias("value"),
-        F.lit(None).cast("string").alias("text"))
-    cat_rating = cats.select(
-        F.lit("category_analysis").alias("section"), F.lit("category_ratings").alias("metric"),
-        F.col("product_category").alias("key"), F.round("mean_rating", 2).alias("value"),
-        F.lit(None).cast("string").alias("text"))
-    return scalars.unionByName(by_rating).unionByName(by_label).unionByName(by_cat).unionByName(cat_rating)
+    # grouping_id bits: rating=4, sentiment_label=2, product_category=1 (1 = aggregated away).
+    # Every output row of the one grouping-sets pass is mapped to its entries
+    # by a generator, not by filtered copies of the aggregate (each copy would
+    # be a separate pass over the table).
+    def entry(cond, section, metric, key, value):
+        return F.when(cond, F.struct(F.lit(section).alias("section"), F.lit(metric).alias("metric"),
+                                     key.alias("key"), value.cast("double").alias("value"),
+                                     F.lit(None).cast("string").alias("text")))
+
+    gid = F.col("gid")
+    is_cat = (gid == 6) & F.col("product_category").isNotNull()
+    dist_entries = F.array(
+        entry((gid == 3) & F.col("rating").isNotNull(), "rating_analysis", "rating_distribution",
+              F.col("rating").cast("string"), F.col("n")),
+        entry((gid == 5) & F.col("sentiment_label").isNotNull(), "sentiment_analysis", "sentiment_distribution",
+              F.col("sentiment_label"), F.col("n")),
+        entry(is_cat, "category_analysis", "category_distribution", F.col("product_category"), F.col("n")),
+        entry(is_cat, "category_analysis", "category_ratings", F.col("product_category"),
+              F.round("mean_rating", 2)),
+    )
+    distributions = (dist.select(F.explode(dist_entries).alias("e")).where(F.col("e").isNotNull())
+                     .select("e.*"))
+    return scalars.unionByName(distributions)

@@ -1028,5 +1028,8 @@ WHERE rank <= 5 AND sentiment IN ('negative', 'positive')
 
 @register("report_top_keywords", _report_keywords_sql())
 def q_report_keywords(spark, sf_dir):
-    kw = keywords.extract_keywords(frames.scored(spark, sf_dir), top_k=5)
+    # classes are independent (own sizes, vocabulary and weights), so the two
+    # reported classes are selected at the input: one filter reaches every pass
+    scored = frames.scored(spark, sf_dir).where(F.col("bert_sentiment").isin("negative", "positive"))
+    kw = keywords.extract_keywords(scored, top_k=5)
     return kw.where(F.col("sentiment").isin("negative", "positive")).select("sentiment", "rank", "term")
