@@ -16,15 +16,19 @@ from review_insights.operators.priority import template_frame
 
 
 def label_comparison(df: DataFrame, rule_col: str = "sentiment_label", model_col: str = "bert_sentiment") -> DataFrame:
-    """Label counts of the rule-based and the model labels side by side (full outer
-    join of the two count tables, missing -> 0)."""
-    rule = df.where(F.col(rule_col).isNotNull()).groupBy(F.col(rule_col).alias("label")) \
-        .agg(F.count(F.lit(1)).alias("rule_based"))
-    model = df.where(F.col(model_col).isNotNull()).groupBy(F.col(model_col).alias("label")) \
-        .agg(F.count(F.lit(1)).alias("model"))
-    return rule.join(model, "label", "full_outer").select(
-        "label", F.coalesce("rule_based", F.lit(0)).alias("rule_based"),
-        F.coalesce("model", F.lit(0)).alias("model"))
+    """Label counts of the rule-based and the model labels side by side (the full
+    outer join of the two count tables: a label seen on either side, missing -> 0).
+
+    One pass: each row contributes its two labels as (side, label) entries to a
+    partial aggregate; the side-by-side form is a pivot of the few result rows.
+    """
+    entries = F.array(F.struct(F.lit("rule_based").alias("side"), F.col(rule_col).alias("label")),
+                      F.struct(F.lit("model").alias("side"), F.col(model_col).alias("label")))
+    counts = (df.select(F.inline(entries)).where(F.col("label").isNotNull())
+              .groupBy("label", "side").agg(F.count(F.lit(1)).alias("n")))
+    return counts.groupBy("label").agg(
+        F.sum(F.when(F.col("side") == "rule_based", F.col("n")).otherwise(0)).cast("bigint").alias("rule_based"),
+        F.sum(F.when(F.col("side") == "model", F.col("n")).otherwise(0)).cast("bigint").alias("model"))
 
 
 def confidence_histogram(df: DataFrame, bins: int = K.CONFIDENCE_BINS, col: str = "bert_confidence") -> DataFrame:

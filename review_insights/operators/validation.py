@@ -1,9 +1,12 @@
 """Prediction validation against rating-derived labels (V1..V5).
 
 Everything is computed from one ``groupBy(true, pred)`` over the valid rows:
-a table of at most (labels x labels) counts.  The confusion grid is generated
-from the label set (``explode`` of a one-row array, no cross join), and the
-per-class metrics are derived from the grid, so the big table is scanned once.
+a table of at most (labels x labels) counts.  That table is fetched once
+behind a size check (``bounded_local``) and every metric is derived from the
+local copy, so the big table is scanned once however often the counts are
+referenced; above the bound the same plan runs distributed.  The confusion
+grid is generated from the label set (``explode`` of a one-row array, no cross
+join).
 """
 
 from __future__ import annotations
@@ -11,6 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from review_insights.operators.dims import bounded_local
+
+# Label pairs above this many fall back to the distributed plan.
+MAX_LABEL_PAIRS = 10_000
+
 TRUE_COL, PRED_COL = "sentiment_label", "bert_sentiment"
 
 
@@ -23,8 +31,11 @@ def valid_pairs(df: DataFrame, true_col: str = TRUE_COL, pred_col: str = PRED_CO
             .select(F.col(true_col).alias("true_label"), F.col(pred_col).alias("pred_label")))
 
 
-def pair_counts(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("true_label", "pred_label").agg(F.count(F.lit(1)).alias("count"))
+def pair_counts(pairs: DataFrame, max_pairs: int = MAX_LABEL_PAIRS) -> DataFrame:
+    """``(true_label, pred_label, count)``; a local relation when within the bound."""
+    counts = pairs.groupBy("true_label", "pred_label").agg(F.count(F.lit(1)).alias("count"))
+    local = bounded_local(counts, max_pairs)
+    return counts if local is None else local
 
 
 def accuracy(pairs: DataFrame) -> DataFrame:
@@ -93,8 +104,9 @@ def classification_report(pairs: DataFrame) -> DataFrame:
 
 def label_distributions(pairs: DataFrame) -> DataFrame:
     """True and predicted label counts as ``(side, label, count)``."""
-    t = pairs.groupBy("true_label").agg(F.count(F.lit(1)).alias("count")).select(
+    counts = pair_counts(pairs)
+    t = counts.groupBy("true_label").agg(F.sum("count").cast("bigint").alias("count")).select(
         F.lit("true").alias("side"), F.col("true_label").alias("label"), "count")
-    p = pairs.groupBy("pred_label").agg(F.count(F.lit(1)).alias("count")).select(
+    p = counts.groupBy("pred_label").agg(F.sum("count").cast("bigint").alias("count")).select(
         F.lit("pred").alias("side"), F.col("pred_label").alias("label"), "count")
     return t.unionByName(p)
