@@ -20,39 +20,61 @@ def _row(section: str, metric: str, key: Column | None, value: Column) -> Column
                     value.cast("double").alias("value"))
 
 
-def scoring_report(scored: DataFrame, accuracy: DataFrame | None = None) -> DataFrame:
+def scoring_report(scored: DataFrame, accuracy: DataFrame | None = None, with_accuracy: bool = False,
+                   true_col: str = "sentiment_label", pred_col: str = "bert_sentiment") -> DataFrame:
     """Scoring summary as ``(section, metric, key, value)``: rows, completion %,
     sentiment counts and % of rows, mean confidence, accuracy, negatives and the
-    five most frequent problems as % of negatives."""
-    one = scored.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("bert_sentiment").alias("scored"),
-        F.avg("bert_confidence").alias("avg_conf"),
-        F.count_if(F.col("bert_sentiment") == K.NEGATIVE).alias("neg"),
+    five most frequent problems as % of negatives.
+
+    ``with_accuracy`` computes the accuracy (rows with both labels, 4 dp) in the
+    same pass; a precomputed ``accuracy`` frame is appended as given."""
+    both = F.col(true_col).isNotNull() & F.col(pred_col).isNotNull()
+    acc = (F.avg(F.when(both, (F.col(true_col) == F.col(pred_col)).cast("int"))) if with_accuracy
+           else F.lit(None).cast("double"))
+    # One grouping-sets pass: the grand total, per sentiment and per problem.
+    # grouping_id bits: bert_sentiment=2, problem_category=1 (1 = aggregated away)
+    g = (scored.groupingSets([[], ["bert_sentiment"], ["problem_category"]], "bert_sentiment", "problem_category")
+         .agg(F.count(F.lit(1)).alias("c"),
+              F.count("bert_sentiment").alias("scored"),
+              F.avg("bert_confidence").alias("avg_conf"),
+              F.count_if(F.col("bert_sentiment") == K.NEGATIVE).alias("neg"),
+              _real_flag(),
+              acc.alias("acc"),
+              F.grouping_id().alias("gid")))
+    gid = F.col("gid")
+    is_total, is_sent, is_prob = gid == 3, gid == 1, gid == 2
+    # the result has at most 1 + 4 + 7 rows, so windows over all of it are cheap
+    everything = Window.partitionBy()
+    real_prob = is_prob & (F.col("_real") > 0)
+    g = g.select(
+        "*",
+        F.max(F.when(is_total, F.col("c"))).over(everything).alias("n_total"),
+        F.max(F.when(is_total, F.col("neg"))).over(everything).alias("neg_total"),
+        F.row_number().over(Window.partitionBy(real_prob).orderBy(F.desc("c"), F.asc("problem_category")))
+        .alias("prob_rank"))
+
+    def pct(num: Column, den: Column, digits: int = 1) -> Column:
+        return F.round(F.try_divide(num, den) * 100, digits)
+
+    def entry(cond: Column, section: str, metric: str, key: Column | None, value: Column) -> Column:
+        return F.when(cond, _row(section, metric, key, value))
+
+    top = real_prob & (F.col("prob_rank") <= 5)
+    sent = is_sent & F.col("bert_sentiment").isNotNull()
+    entries = F.array(
+        entry(is_total, "basic", "total_reviews", None, F.col("c")),
+        entry(is_total, "basic", "completion_pct", None, pct(F.col("scored"), F.col("c"))),
+        entry(is_total, "sentiment", "avg_confidence", None, F.round("avg_conf", 3)),
+        entry(is_total, "negative", "negative_count", None, F.col("neg")),
+        entry(is_total, "negative", "negative_pct", None, pct(F.col("neg"), F.col("c"))),
+        entry(sent, "sentiment", "count", F.col("bert_sentiment"), F.col("c")),
+        entry(sent, "sentiment", "pct", F.col("bert_sentiment"), pct(F.col("c"), F.col("n_total"))),
+        entry(top, "problems", "count", F.col("problem_category"), F.col("c")),
+        entry(top, "problems", "pct_of_negative", F.col("problem_category"), pct(F.col("c"), F.col("neg_total"))),
+        entry(is_total & F.lit(with_accuracy) & F.col("acc").isNotNull(), "accuracy", "accuracy", None,
+              F.round("acc", 4)),
     )
-    base = one.select(F.explode(F.array(
-        _row("basic", "total_reviews", None, F.col("n")),
-        _row("basic", "completion_pct", None, F.round(F.col("scored") / F.col("n") * 100, 1)),
-        _row("sentiment", "avg_confidence", None, F.round("avg_conf", 3)),
-        _row("negative", "negative_count", None, F.col("neg")),
-        _row("negative", "negative_pct", None, F.round(F.col("neg") / F.col("n") * 100, 1)),
-    )).alias("r")).select("r.*")
-    # totals come from the same one-row aggregate (its exchange is reused)
-    n = one.select("n").scalar()
-    sent = (scored.where(F.col("bert_sentiment").isNotNull()).groupBy("bert_sentiment")
-            .agg(F.count(F.lit(1)).alias("c")))
-    sent_rows = sent.select(F.explode(F.array(
-        _row("sentiment", "count", F.col("bert_sentiment"), F.col("c")),
-        _row("sentiment", "pct", F.col("bert_sentiment"), F.round(F.col("c") / n * 100, 1)),
-    )).alias("r")).select("r.*")
-    neg = one.select("neg").scalar()
-    top = (drop_none_group(scored.groupBy("problem_category").agg(F.count(F.lit(1)).alias("c"), _real_flag()))
-           .orderBy(F.desc("c"), F.asc("problem_category")).limit(5))
-    top_rows = top.select(F.explode(F.array(
-        _row("problems", "count", F.col("problem_category"), F.col("c")),
-        _row("problems", "pct_of_negative", F.col("problem_category"), F.round(F.col("c") / neg * 100, 1)),
-    )).alias("r")).select("r.*")
-    out = base.unionByName(sent_rows).unionByName(top_rows)
+    out = g.select(F.explode(entries).alias("r")).where(F.col("r").isNotNull()).select("r.*")
     if accuracy is not None:
         out = out.unionByName(accuracy.select(F.explode(F.array(
             _row("accuracy", "accuracy", None, F.col("accuracy")))).alias("r")).select("r.*"))

@@ -814,7 +814,7 @@ SELECT section, metric, key, round(value, 6) AS value FROM (
 """)
 def q_scoring_report(spark, sf_dir):
     sc = frames.scored(spark, sf_dir)
-    r = reports.scoring_report(sc, validation.accuracy(validation.valid_pairs(sc)))
+    r = reports.scoring_report(sc, with_accuracy=True)
     return r.select("section", "metric", "key", r6("value").alias("value"))
 
 

@@ -83,7 +83,7 @@ def analyze_phase(spark: SparkSession, processed_path: str, out_dir: str | None
     small = {
         "keywords": keywords.extract_keywords(s),
         "classification_report": validation.classification_report(validation.valid_pairs(s)),
-        "scoring_report": reports.scoring_report(s, validation.accuracy(validation.valid_pairs(s))),
+        "scoring_report": reports.scoring_report(s, with_accuracy=True),
     }
     for name, frame in small.items():
         out.tables[name] = _out(spark, out_dir, name)
