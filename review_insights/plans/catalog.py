@@ -19,8 +19,11 @@ from review_insights.operators import (benchmark, charts, conform, keywords, pat
                                        roi, scoring, summary, validation)
 from review_insights.session import ensure_utc
 from review_insights.sources import fixture, sinks
+from review_insights.operators.dims import bounded_local
 from review_insights.plans import frames
 
+MAX_PROBLEM_ROWS = 1_000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -335,7 +338,12 @@ def _problems(spark, sf_dir):
 
 
 def _suggestions(spark, sf_dir):
-    return priority.improvement_suggestions(priority.priority_scores(_problems(spark, sf_dir)))
+    # One row per problem type (a closed set), fetched once behind a size check:
+    # queries that join suggestions with the ROI frame derived from them would
+    # otherwise scan the reviews once per reference.
+    probs = _problems(spark, sf_dir)
+    local = bounded_local(probs, MAX_PROBLEM_ROWS)
+    return priority.improvement_suggestions(priority.priority_scores(probs if local is None else local))
 
 
 @register("negative_count", "SELECT count(*) AS negative_count FROM neg")
