@@ -52,3 +52,14 @@ def test_keyword_documents_are_shuffled_once(spark, sf_small):
     sizes aggregate rows where they are."""
     final = _plan(spark, "keywords_tfidf", sf_small).split("== Initial Plan ==")[0]
     assert final.count("Exchange hashpartitioning(doc_id") == 1, final
+
+
+@pytest.mark.parametrize("name,max_scans", [
+    ("problem_analysis", 1), ("load_distributions", 1), ("scoring_report", 1), ("chart_label_comparison", 1),
+    ("data_summary", 2), ("keywords_tfidf", 3), ("report_top_keywords", 3),
+])
+def test_review_table_scans_are_bounded(spark, sf_small, name, max_scans):
+    """Report shapes that map aggregate rows with a generator (not filtered
+    copies of the aggregate) read the review table a fixed number of times."""
+    final = _plan(spark, name, sf_small).split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") <= max_scans, final
