@@ -14,10 +14,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from review_insights.session import checkpoint_dir
 
 _LOW_BITS = (1 << 33) - 1
+_UNORDERABLE = (T.MapType, T.ArrayType, T.StructType, T.BinaryType)
+
+
+def _tie_breakers(df: DataFrame, order_by: list[str]) -> list[str]:
+    """The other sortable columns, appended to the sort key.
+
+    Range partitioning cannot split rows with equal keys, so a key value held
+    by a large share of the rows would land in one task.  With the remaining
+    columns as tie-breakers those rows spread over partitions, and the order is
+    still deterministic (only fully identical rows remain tied, and their
+    positions are interchangeable).
+    """
+    return [f.name for f in df.schema.fields
+            if f.name not in order_by and not isinstance(f.dataType, _UNORDERABLE)]
 
 
 def with_row_index(df: DataFrame, order_by: list[str], name: str = "row_index",
@@ -28,7 +43,7 @@ def with_row_index(df: DataFrame, order_by: list[str], name: str = "row_index",
     date spread needs it), taken from the same per-partition count table.
     """
     checkpoint_dir(df.sparkSession)
-    sorted_df = (df.orderBy(*order_by)
+    sorted_df = (df.orderBy(*order_by, *_tie_breakers(df, order_by))
                  .withColumn("_ri_mid", F.monotonically_increasing_id())
                  .checkpoint(eager=True))
     parts = (sorted_df.select(F.shiftright("_ri_mid", 33).alias("_ri_part"))

@@ -135,3 +135,18 @@ def test_golden_inline_reviews(spark):
     assert probs == ["none", "quality", "none", "quality", "none"]
     acc = validation.accuracy(validation.valid_pairs(scored)).first()
     assert acc.accuracy == 1.0 and acc.total_samples == 5
+
+
+def test_row_index_splits_a_hot_key_and_stays_exact(spark):
+    from review_insights.operators.row_index import with_row_index
+
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.format_string("k%05d", "id")).alias("key"),
+        F.col("id").cast("string").alias("payload"))
+    out = with_row_index(df, ["key"], "pos", "total")
+    rows = out.select("key", "payload", "pos", "total").collect()
+    assert sorted(r.pos for r in rows) == list(range(3000)) and {r.total for r in rows} == {3000}
+    expected = sorted(rows, key=lambda r: (r.key, r.payload))
+    assert [r.pos for r in expected] == list(range(3000))
+    # the range sort key carries the other columns, so equal keys can be split
+    assert row_index._tie_breakers(df, ["key"]) == ["payload"]
