@@ -337,13 +337,18 @@ def _problems(spark, sf_dir):
     return patterns.problem_analysis(frames.scored(spark, sf_dir))
 
 
-def _suggestions(spark, sf_dir):
-    # One row per problem type (a closed set), fetched once behind a size check:
-    # queries that join suggestions with the ROI frame derived from them would
-    # otherwise scan the reviews once per reference.
+def _problems_fetched(spark, sf_dir):
+    """One row per problem type (a closed set), fetched once behind a size check:
+    queries that reference the problem table several times (suggestions joined
+    with the ROI frame derived from them, subqueries of the position report)
+    would otherwise scan the reviews once per reference."""
     probs = _problems(spark, sf_dir)
     local = bounded_local(probs, MAX_PROBLEM_ROWS)
-    return priority.improvement_suggestions(priority.priority_scores(probs if local is None else local))
+    return probs if local is None else local
+
+
+def _suggestions(spark, sf_dir):
+    return priority.improvement_suggestions(priority.priority_scores(_problems_fetched(spark, sf_dir)))
 
 
 @register("negative_count", "SELECT count(*) AS negative_count FROM neg")
@@ -613,7 +618,7 @@ UNION ALL SELECT 'opportunity', 1, '{K.OPPORTUNITY_DEFAULT}'
 @register("competitive_position", _position_sql())
 def q_competitive_position(spark, sf_dir):
     sc = frames.scored(spark, sf_dir)
-    probs = patterns.problem_analysis(sc)
+    probs = _problems_fetched(spark, sf_dir)
     prio = priority.priority_scores(probs)
     return benchmark.competitive_position(sc, probs, prio)
 
