@@ -1,32 +1,30 @@
 """English stop words for keyword extraction.
 
-The default list is Spark MLlib's English list (the one ``StopWordsRemover``
-loads).  It is read straight from the MLlib jar that ships with PySpark, so no
-JVM is needed to build the SQL twin of the TF-IDF query, and it stays equal to
-what ``StopWordsRemover.loadDefaultStopWords('english')`` returns.
+The words are a parameter: a plain text file, one or more words per line, that
+ships with the package and may be replaced by the caller's own.  The shipped
+list is the English list commonly used with TF-IDF vectorisers; its
+contractions carry no apostrophe (``cant``, ``couldnt``, ``hasnt``), which is
+the form the keyword tokeniser produces after deleting punctuation.
+
+Reading the list needs neither a JVM nor a session.
 """
 
 from __future__ import annotations
 
 import functools
-import glob
-import os
-import zipfile
+from importlib import resources
+
 
-_RESOURCE = "org/apache/spark/ml/feature/stopwords/english.txt"
+@functools.lru_cache(maxsize=8)
+def read_stop_words(path: str | None = None) -> tuple[str, ...]:
+    """Words of ``path``, or of the shipped list when no path is given."""
+    if path is None:
+        text = resources.files("review_insights.resources").joinpath("english_stop_words.txt").read_text("utf-8")
+    else:
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+    return tuple(dict.fromkeys(text.split()))
 
 
-@functools.lru_cache(maxsize=1)
 def english_stop_words() -> tuple[str, ...]:
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as zf:
-            if _RESOURCE in zf.namelist():
-                words = zf.read(_RESOURCE).decode("utf-8").split("\n")
-                return tuple(w.strip() for w in words if w.strip())
-    # Fall back to the JVM when the jar layout differs (e.g. a cluster image).
-    from pyspark.ml.feature import StopWordsRemover
-
-    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
+    return read_stop_words()

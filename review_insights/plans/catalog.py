@@ -25,18 +25,25 @@ from review_insights.plans import frames
 MAX_PROBLEM_ROWS = 1_000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str | Callable[[], str]] = {}
 
 
-def register(name: str, oracle: str | None = None):
+def register(name: str, oracle: str | Callable[[], str] | None = None):
+    """Register a query and its SQL twin.  A twin may be a callable; SQL text is
+    rendered by :func:`oracle_sql` only, so importing this module needs no session."""
     def deco(fn):
         QUERIES[name] = fn
         if oracle is not None:
-            ORACLE[name] = O.sql(oracle)
+            ORACLE[name] = oracle
         return fn
     return deco
 
 
+def oracle_sql() -> dict[str, str]:
+    """The SQL twin of every query that has one."""
+    return {name: O.sql(body() if callable(body) else body) for name, body in ORACLE.items()}
+
+
 def r6(c) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
@@ -932,7 +939,7 @@ WHERE rank <= {K.TFIDF_TOP_K}
 """
 
 
-@register("keywords_tfidf", _keywords_sql())
+@register("keywords_tfidf", _keywords_sql)
 def q_keywords(spark, sf_dir):
     kw = keywords.extract_keywords(frames.scored(spark, sf_dir))
     # 10 decimals first absorb summation-order noise, so exact ties round alike
@@ -1039,7 +1046,7 @@ WHERE rank <= 5 AND sentiment IN ('negative', 'positive')
 """
 
 
-@register("report_top_keywords", _report_keywords_sql())
+@register("report_top_keywords", _report_keywords_sql)
 def q_report_keywords(spark, sf_dir):
     # classes are independent (own sizes, vocabulary and weights), so the two
     # reported classes are selected at the input: one filter reaches every pass

@@ -6,8 +6,8 @@ import pytest
 import __spark_entry__ as entry
 from tools.oracle_check import TABLES, rows_of
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = catalog.QUERIES
+ORACLE = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
