@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from review_insights.plans import catalog
 from tools.oracle_check import TABLES, rows_of
 
 QUERIES = catalog.QUERIES
