@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from review_insights.llm import group_join, mixing, packing, radix_dedup, toxicity
+from review_insights.llm import (group_join, langid, line_quality, lpf_dedup, mixing, packing, radix_dedup, token_counts,
+                                 toxicity, wrapper_induction)
 from review_insights.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +73,36 @@ def op9_ngram_join(spark, sf_dir):
     """Near-duplicate component of every document: 4-word shingles, Jaccard of 0.85."""
     found = group_join.near_duplicate_components(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@register("op5_lpf_dedup")
+def op5_lpf_dedup(spark, sf_dir):
+    """Bytes of every document without repeated strings of 100 bytes."""
+    return lpf_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@register("op6_token_counts")
+def op6_token_counts(spark, sf_dir):
+    """Token counts of every document."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@register("op7_line_quality", line_quality.line_quality_sql())
+def op7_line_quality(spark, sf_dir):
+    """Line rules and verdict for every document."""
+    return line_quality.line_quality(table(spark, sf_dir, "documents"))
+
+
+@register("op8_language_id")
+def op8_language_id(spark, sf_dir):
+    """Language of every document, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(*langid.training_sample(docs, fold("id", 4) != 2))
+    found = langid.predict_languages(docs, model)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@register("op10_wrapper_induction")
+def op10_wrapper_induction(spark, sf_dir):
+    """Main text of every page."""
+    return wrapper_induction.extract_text(table(spark, sf_dir, "pages"))
