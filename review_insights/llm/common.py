@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from review_insights.session import table_path
 
 #: Bytes of text worked on at once inside a task: bounds the numpy temporaries.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _MIX1 = 0xBF58476D1CE4E5B9
 _MIX2 = 0x94D049BB133111EB
@@ -45,6 +45,13 @@ def id_and_bytes(docs: DataFrame, id_col: str, text_col: str, *more: Column) ->
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("data"), *more)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``docs`` starts with."""
+    while any(c.lower().startswith(name.lower()) for c in docs.columns):
+        name += "_"
+    return name
+
+
 def partition_id() -> int:
     from pyspark import TaskContext
 
@@ -136,3 +143,36 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after[first[first > 0] - 1] = False
     end = np.flatnonzero(ink & ~after) + 1
     return start, end, np.searchsorted(offsets, start, side="right") - 1
+
+
+#: Fields whose values mostly grow from row to row: packed as differences.
+ORDERED_FIELDS = ("id", "doc", "start", "grp")
+
+
+def packed(table: np.ndarray) -> bytes:
+    """A structured array as compressed byte planes, field by field."""
+    import zstandard
+
+    parts = [len(table).to_bytes(8, "little")]
+    for name in table.dtype.names:
+        column = np.ascontiguousarray(table[name])
+        if name in ORDERED_FIELDS and len(column):
+            column = np.diff(column, prepend=column.dtype.type(0))
+        planes = column.view(np.uint8).reshape(len(column), -1).T
+        parts.append(np.ascontiguousarray(planes).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def unpacked(data: bytes, dtype: np.dtype) -> np.ndarray:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n, at = int.from_bytes(raw[:8], "little"), 8
+    out = np.empty(n, dtype)
+    for name in dtype.names:
+        kind = dtype[name]
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        column = np.ascontiguousarray(planes.T).view(kind).reshape(n) if n else np.empty(0, kind)
+        out[name] = np.cumsum(column, dtype=kind) if name in ORDERED_FIELDS else column
+        at += n * kind.itemsize
+    return out

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from review_insights.llm.common import SpanHash, blocks, id_and_bytes, joined_bytes, partition_id, saved
+from review_insights.llm.common import SpanHash, blocks, id_and_bytes, packed, partition_id, saved, unpacked
 
 SPAN = 100
 ANCHOR = 32
@@ -68,35 +68,6 @@ _MARK = np.dtype([("doc", "<u2"), ("start", "<u4"), ("count", "u1"), ("group", "
 _PIECE = np.dtype([("id", "<i8"), ("unit", "<i8"), ("doc", "<u2"), ("start", "<u4"), ("count", "u1")])
 
 
-def packed(table: np.ndarray) -> bytes:
-    """A structured array as compressed byte planes, field by field, deltas for ordered fields."""
-    import zstandard
-
-    parts = [len(table).to_bytes(8, "little")]
-    for name in table.dtype.names:
-        column = np.ascontiguousarray(table[name])
-        if name in ("id", "doc", "start") and len(column):
-            column = np.diff(column, prepend=column.dtype.type(0))
-        planes = column.view(np.uint8).reshape(len(column), -1).T
-        parts.append(np.ascontiguousarray(planes).tobytes())
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
-
-
-def unpacked(data: bytes, dtype: np.dtype) -> np.ndarray:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n, at = int.from_bytes(raw[:8], "little"), 8
-    out = np.empty(n, dtype)
-    for name in dtype.names:
-        kind = dtype[name]
-        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
-        column = np.ascontiguousarray(planes.T).view(kind).reshape(n) if n else np.empty(0, kind)
-        out[name] = np.cumsum(column, dtype=kind) if name in ("id", "doc", "start") else column
-        at += n * kind.itemsize
-    return out
-
-
 def least_in_window(key: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` neighbours, by running minima inside blocks."""
     n = len(key)

@@ -34,6 +34,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from review_insights.llm.common import unused
+
 OTHER = "other"
 SOURCE_TARGETS = {"src0": 0.12, **{f"src{i}": 0.045 for i in range(1, 20)}, OTHER: 0.025}
 LANG_TARGETS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.13, OTHER: 0.02}
@@ -115,31 +117,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     text = F.col(text_col)
     draw = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
                                      .cast("binary")), 1, _DRAW_BITS // 4), 16, 10).cast("double") / float(1 << _DRAW_BITS))
+    own = unused(docs, "_mix_")
     marks = {
-        "_mix_source": named(F.col(source_col), source_targets), "_mix_lang": named(F.col(lang_col), lang_targets),
-        "_mix_topic": named(topic if topic is not None else topic_of(text), topic_targets),
-        "_mix_tokens": tokens if tokens is not None else token_weight(text), "_mix_draw": draw,
+        own + "source": named(F.col(source_col), source_targets), own + "lang": named(F.col(lang_col), lang_targets),
+        own + "topic": named(topic if topic is not None else topic_of(text), topic_targets),
+        own + "tokens": tokens if tokens is not None else token_weight(text), own + "draw": draw,
     }
-    axes = ["_mix_source", "_mix_lang", "_mix_topic"]
+    axes = [own + "source", own + "lang", own + "topic"]
     topic_targets = topic_targets if OTHER in topic_targets else {**topic_targets, OTHER: 0.0}
     source_targets = source_targets if OTHER in source_targets else {**source_targets, OTHER: 0.0}
     lang_targets = lang_targets if OTHER in lang_targets else {**lang_targets, OTHER: 0.0}
     marked = docs.withColumns(marks)
     # at most len(source_targets) * len(lang_targets) * len(topic_targets) rows
-    cells = [tuple(r) for r in marked.groupBy(*axes).agg(F.sum("_mix_tokens")).collect()]
+    cells = [tuple(r) for r in marked.groupBy(*axes).agg(F.sum(own + "tokens")).collect()]
     cells = sorted((a, b, c, int(t or 0)) for a, b, c, t in cells)
     rates = cell_rates(cells, [source_targets, lang_targets, topic_targets], budget_share, rounds)
     rates = docs.sparkSession.createDataFrame(
-        rates, "_mix_source string, _mix_lang string, _mix_topic string, _mix_p double, _mix_w double")
+        rates, f"{own}source string, {own}lang string, {own}topic string, {own}p double, {own}w double")
     drawn = marked.join(F.broadcast(rates), axes, "left").withColumns({
-        "_mix_p": F.coalesce("_mix_p", F.lit(1.0)), "_mix_w": F.coalesce("_mix_w", F.lit(1.0))})
-    sampled = F.col("_mix_draw") < F.col("_mix_p")
+        own + "p": F.coalesce(own + "p", F.lit(1.0)), own + "w": F.coalesce(own + "w", F.lit(1.0))})
+    sampled = F.col(own + "draw") < F.col(own + "p")
     if carry:
         return drawn.where(sampled).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return drawn.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_mix_source").alias("source"),
-                        F.col("_mix_lang").alias("lang"), F.col("_mix_topic").alias("topic"),
-                        F.col("_mix_tokens").alias("tokens"), F.round("_mix_p", 9).alias("probability"),
-                        F.round("_mix_w", 9).alias("weight"), sampled.alias("sampled"))
+    return drawn.select(F.col(id_col).cast("long").alias("doc_id"), F.col(own + "source").alias("source"),
+                        F.col(own + "lang").alias("lang"), F.col(own + "topic").alias("topic"),
+                        F.col(own + "tokens").alias("tokens"), F.round(own + "p", 9).alias("probability"),
+                        F.round(own + "w", 9).alias("weight"), sampled.alias("sampled"))
 
 
 def mixing_sql(docs: str = "documents") -> str:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from review_insights.llm.common import id_and_bytes, partition_id, saved
+from review_insights.llm.common import id_and_bytes, partition_id, saved, unused
 
 #: Byte offsets between the digits of the radix string.
 BOUNDS = (0, 64, 512, 4096, 1 << 15, 1 << 18, 1 << 21, 1 << 24, 1 << 27, 1 << 31)
@@ -147,7 +147,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     ``docs`` must be read from files: rows are numbered by their place in them.
     """
-    numbered = docs.withColumn("_radix_row", F.monotonically_increasing_id())
-    kept = (exact_groups(numbered, id_col, text_col, "_radix_row").where("kept")
-            .select(F.col("row_id").alias("_radix_row")))
-    return numbered.join(kept, "_radix_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = unused(docs, "_radix_row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    kept = (exact_groups(numbered, id_col, text_col, row).where("kept")
+            .select(F.col("row_id").alias(row)))
+    return numbered.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
