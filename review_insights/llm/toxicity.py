@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 
 HASH_BITS = 20
 ORDERS = (2, 3, 4, 5, 6)
-MAX_PER_CLASS = 4000
+MAX_PER_CLASS = 2500
 MIN_DOCS = 4
-EPOCHS = 12
+MIN_RATIO = 0.5      # n-grams about as common in both classes say nothing
+EPOCHS = 8
 THRESHOLD = 0.7
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -92,14 +93,16 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> ToxicityModel:
     y = np.asarray(toxic, np.float64)
     if len(y) == 0 or y.min() == y.max():
         return ToxicityModel(np.zeros(size, np.float32), -30.0)
-    docs = [ngram_buckets(t or "") for t in texts]
-    n_toxic = np.zeros(size)
-    n_clean = np.zeros(size)
-    for d, label in zip(docs, y):
-        (n_toxic if label else n_clean)[d] += 1
+    n_toxic = np.zeros(size, np.float32)
+    n_clean = np.zeros(size, np.float32)
+    for t, label in zip(texts, y):
+        (n_toxic if label else n_clean)[ngram_buckets(t or "")] += 1
     ratio = np.log((1 + n_toxic) / (2 + y.sum())) - np.log((1 + n_clean) / (2 + (1 - y).sum()))
-    ratio[n_toxic + n_clean < min(MIN_DOCS, max(1, y.sum() // 4))] = 0.0
-    docs = [d[ratio[d] != 0] for d in docs]
+    ratio[(n_toxic + n_clean < min(MIN_DOCS, max(1, y.sum() // 4))) | (np.abs(ratio) < MIN_RATIO)] = 0.0
+    docs = []
+    for t in texts:  # the n-grams are made twice rather than held
+        d = ngram_buckets(t or "")
+        docs.append(d[ratio[d] != 0].astype(np.int32))
 
     rng = np.random.default_rng(seed)
     v = np.zeros(size)
