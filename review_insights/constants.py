@@ -163,6 +163,24 @@ OPPORTUNITY_DEFAULT = "継続的な品質向上"
 # --- FIXED VALUES: KPI report -------------------------------------------------
 KPI_NEGATIVE_PERCENT_STEP = 5
 KPI_NEGATIVE_PERCENT_MIN = 5
+# --- FIXED VALUES: texts of the business report --------------------------------
+REPORT_TITLE = "AMAZON レビュー分析 - ビジネス改善提案レポート"
+REPORT_LABELS = {
+    "generated": "生成日時: %s",
+    "total": "総レビュー数: %s件",
+    "negative": "ネガティブレビュー: %s件 (%.1f%%)",
+    "mean": "平均評価: %.2f/5.0",
+    "top": "最優先改善項目: %s",
+    "suggestion": "%d. %s | 優先度スコア: %s | 影響レビュー数: %d件 | 推定コスト: $%s | ROI比: %.2f | 実装期間: %s | "
+                  "リスクレベル: %s | 成功確率: %.0f%% | 具体的施策: %s",
+    "roi": "%s: 投資額 $%s | 期待収益 $%s | ROI: %.1f%% | 回収期間: %.1fヶ月",
+    "roi_total": "推定投資額: $%s | 期待リターン: $%s | 全体ROI: %.1f%%",
+    "position": "現在のポジション: %d%%ile | 業界平均評価: %.2f | ネガティブ率: %.1f%%",
+    "phase1": "フェーズ1 (最初の3ヶ月): %sの改善開始 | 予算: $%s",
+    "phase2": "フェーズ2 (4-6ヶ月): %sの改善実施 | 予算: $%s",
+    "kpi_rating": "平均評価: %.2f → %.2f",
+    "kpi_negative": "ネガティブ率: %.1f%% → %.1f%%",
+}
 KPI_FIXED_LINES = ("5星評価率: +10%向上", "顧客満足度: +15%向上")
 
 # --- FIXED VALUES: column projections of the result files --------------------
@@ -179,6 +197,7 @@ ROI_DETAIL_COLUMNS = (
     "priority_rank", "category", "priority_score", "affected_reviews", "estimated_cost",
     "roi_estimate", "implementation_timeline", "risk_level", "success_probability",
 )
+DETAIL_ROWS = 20
 SENTIMENT_DETAIL_COLUMNS = ("review_text", "rating", "bert_sentiment", "bert_confidence")
 PHASE3_REQUIRED_COLUMNS = ("bert_sentiment", "bert_confidence", "problem_category", "rating")
 

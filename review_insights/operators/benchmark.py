@@ -23,6 +23,8 @@ def benchmark_metrics(scored: DataFrame) -> DataFrame:
     25th / 75th rating percentiles (linear interpolation, exact)."""
     q = F.percentile("rating", F.array(F.lit(0.25), F.lit(0.75)))
     return scored.agg(
+        F.count(F.lit(1)).alias("total_reviews"),
+        F.count_if(F.col("bert_sentiment") == K.NEGATIVE).alias("negative_count"),
         F.avg("rating").alias("average_rating"),
         F.avg(_is("bert_sentiment", K.NEGATIVE)).alias("negative_sentiment_rate"),
         F.avg(_is("bert_sentiment", K.POSITIVE)).alias("positive_rate"),
@@ -63,7 +65,8 @@ def _listing(kind: str, arr: Column, default: str) -> Column:
     return F.struct(F.lit(kind).alias("kind"), filled.alias("items"))
 
 
-def competitive_position(scored: DataFrame, problems: DataFrame, priority: DataFrame) -> DataFrame:
+def competitive_position(scored: DataFrame, problems: DataFrame, priority: DataFrame,
+                         metrics: DataFrame | None = None) -> DataFrame:
     """Strengths, weaknesses and opportunities as tidy rows ``(kind, ord, text)``.
 
     Weaknesses list every problem type (``other`` included) above 15% of
@@ -71,7 +74,7 @@ def competitive_position(scored: DataFrame, problems: DataFrame, priority: DataF
     rank-1 improvement and a high negative share.  Each list falls back to a
     fixed text when empty.
     """
-    m = benchmark_metrics(scored)
+    m = metrics if metrics is not None else benchmark_metrics(scored)
     strengths = F.array_compact(F.array(
         F.when(F.col("positive_rate") > K.STRENGTH_POSITIVE_SHARE, F.lit(K.STRENGTH_TEXTS[0])),
         F.when(F.col("average_rating") > K.STRENGTH_MEAN_RATING, F.lit(K.STRENGTH_TEXTS[1])),
@@ -101,7 +104,7 @@ def competitive_position(scored: DataFrame, problems: DataFrame, priority: DataF
         .select("kind", (F.col("pos") + 1).cast("bigint").alias("ord"), "text")
 
 
-def position_summary(scored: DataFrame) -> DataFrame:
-    m = benchmark_metrics(scored)
+def position_summary(scored: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+    m = metrics if metrics is not None else benchmark_metrics(scored)
     return m.select(percentile_position(F.col("average_rating")).alias("current_percentile"),
                     "average_rating", "negative_sentiment_rate")

@@ -36,21 +36,21 @@ def confidence_histogram(df: DataFrame, bins: int = K.CONFIDENCE_BINS, col: str
     last bin; a constant column puts everything in bin 1), empty bins included,
     plus the mean as a marker column."""
     x = F.col(col)
-    vals = df.where(x.isNotNull() & ~F.isnan(x)).select(x.alias("x"))
-    stats = vals.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean_value"))
-    # min and max enter the per-row bucket expression as scalar subqueries
-    lo, hi = stats.select("lo").scalar(), stats.select("hi").scalar()
-    b = F.when(hi > lo, F.least(F.floor((F.col("x") - lo) / (hi - lo) * bins), F.lit(bins - 1)) + 1) \
-        .otherwise(F.lit(1))
-    counts = vals.groupBy(b.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    frame = stats.where(F.col("lo").isNotNull()).select(
-        F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(bins).cast("bigint"))).alias("bin"),
-        "lo", "hi", "mean_value")
-    return (frame.join(counts, "bin", "left")
-            .select("bin",
-                    (F.col("lo") + (F.col("bin") - 1) * ((F.col("hi") - F.col("lo")) / bins)).alias("bin_start"),
-                    (F.col("lo") + F.col("bin") * ((F.col("hi") - F.col("lo")) / bins)).alias("bin_end"),
-                    F.coalesce("count", F.lit(0)).alias("count"), "mean_value"))
+    # partial counts per distinct value; the range and the bins are both taken from
+    # this grouped frame, so they share its exchange and the table is read once
+    vals = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    stats = vals.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"),
+                              (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean")).alias("s")).scalar()
+    lo, hi = stats["lo"], stats["hi"]
+    b = F.when(hi > lo, F.least(F.floor((F.col("x") - lo) / (hi - lo) * bins), F.lit(bins - 1)) + 1).otherwise(F.lit(1))
+    counts = (vals.groupBy(b.cast("bigint").alias("bin")).agg(F.sum("n").alias("n"))
+              .agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("counts")).where(F.size("counts") > 0))
+    frame = counts.select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(bins).cast("bigint"))).alias("bin"), "counts")
+    return frame.select("bin",
+                        (lo + (F.col("bin") - 1) * ((hi - lo) / bins)).alias("bin_start"),
+                        (lo + F.col("bin") * ((hi - lo) / bins)).alias("bin_end"),
+                        F.coalesce(F.element_at("counts", F.col("bin")), F.lit(0)).cast("bigint").alias("count"),
+                        stats["mean"].alias("mean_value"))
 
 
 def problem_share(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from review_insights import constants as K
 from review_insights.functions.numeric import clip_to_int, coerce_numeric, epoch_to_timestamp
 from review_insights.functions.text import contains_any, contains_kw, lower_or_empty
-from review_insights.operators.row_index import with_row_index
+from review_insights.operators.row_index import has_file_position, index_by_file, with_row_index
 
 METADATA_MODES = ("keep", "hash", "rand")
 
@@ -30,14 +30,17 @@ def _default_order(df: DataFrame) -> list[str]:
 def complete_required(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """Add absent required columns.  Only absent *columns* are filled; nulls stay.
 
-    * ``product_id`` -> ``B%06d`` of the row position in ``order_by`` order
+    * ``product_id`` -> ``B%06d`` of the row position: in the files when the frame
+      carries it (``with_file_position``), else in ``order_by`` order
     * ``rating`` -> 5
     * ``review_text`` -> a fixed placeholder sentence
     A missing date column (handled in ``convert_dates``) needs the same row
     position, so both are assigned in one indexing pass.
     """
     need_index = "product_id" not in df.columns or "review_date" not in df.columns
-    if need_index:
+    if need_index and order_by is None and has_file_position(df):
+        df = index_by_file(df, "_row_index", "_row_total")
+    elif need_index:
         df = with_row_index(df, order_by or _default_order(df), "_row_index", "_row_total")
     if "product_id" not in df.columns:
         df = df.withColumn("product_id", F.format_string(K.PRODUCT_ID_FORMAT, F.col("_row_index")))

@@ -15,6 +15,18 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_DIM_ROWS = 100_000
 
 
+def rows_once(df: DataFrame) -> DataFrame:
+    """The rows of a small closed set (problem types, label pairs) as one array row.
+
+    A frame that is referenced several times in one query would be computed once
+    per reference, with different columns pruned each time.  Gathered into one
+    row, all references need the same columns below the gathering, so the planner
+    shares a single exchange and the big table is read once.  Lazy; only for
+    frames whose size the operator's own rules bound.
+    """
+    return df.agg(F.collect_list(F.struct(*[F.col(c) for c in df.columns])).alias("rows")).select(F.inline("rows"))
+
+
 def bounded_local(dim: DataFrame, max_rows: int = DEFAULT_MAX_DIM_ROWS) -> DataFrame | None:
     """The dimension as a local relation if it has at most ``max_rows`` rows, else None."""
     rows = dim.limit(max_rows + 1).collect()

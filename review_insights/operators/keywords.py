@@ -12,12 +12,12 @@ Semantics per class (documents = reviews of that sentiment):
 
 Physical shape: two passes read the documents.  The vocabulary pass tokenises
 rows where they are (one explode of each document's sorted terms) into a
-partial aggregate on (class, term); no document is shuffled.  The weighting
-pass hash-partitions documents by id once; per-document term counts (only
-vocabulary terms, keyed by an integer term id) and per-document norms then run
-inside those partitions with no further shuffle.  The vocabulary is found with map-side
+partial aggregate on (class, term).  The weighting pass tokenises again, keeps
+vocabulary terms only and hash-partitions their integer ids by document once;
+per-document term counts and norms then run inside those partitions with no
+further shuffle.  No text is ever shuffled.  The vocabulary is found with map-side
 partial aggregation and cut to at most ``max_features`` rows per class by a
-two-level top-k (salted buckets, then per class), so no task ever holds a
+two-level top-k (as many buckets as shuffle partitions, then per class), so no task ever holds a
 whole class; only that bounded vocabulary is broadcast.
 """
 
@@ -32,17 +32,16 @@ from review_insights import constants as K
 from review_insights.functions.stopwords import english_stop_words
 from review_insights.functions.text import keyword_clean, with_bigrams, word_tokens
 
-TOPK_BUCKETS = 64
-
 
 def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
-                    split_col: str, buckets: int = TOPK_BUCKETS, rank_name: str = "rank") -> DataFrame:
+                    split_col: str, buckets: int | None = None, rank_name: str = "rank") -> DataFrame:
     """Rows ranked 1..k within each group, without sending a whole group to one task.
 
     Stage 1 ranks inside (group, hash bucket of ``split_col``) and keeps k per
     bucket; stage 2 ranks the at most ``buckets * k`` survivors per group.  The
     result equals a plain per-group ``row_number() <= k`` for a total order.
     """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bucket = F.pmod(F.xxhash64(F.col(split_col)), F.lit(buckets))
     w1 = Window.partitionBy(*[F.col(g) for g in group], bucket).orderBy(*order)
     stage1 = df.withColumn("_tk_rn", F.row_number().over(w1)).where(F.col("_tk_rn") <= k).drop("_tk_rn")
@@ -87,9 +86,11 @@ def term_occurrences(terms: DataFrame) -> DataFrame:
     document), with no per-document aggregation.
     """
     ordered = terms.select("sentiment", F.array_sort("terms").alias("_sorted"))
-    occ = ordered.select("sentiment", "_sorted", F.posexplode("_sorted").alias("_pos", "term"))
-    first = F.coalesce(F.get(F.col("_sorted"), F.col("_pos") - 1) != F.col("term"), F.lit(True))
-    return occ.select("sentiment", "term", first.alias("first"))
+    marked = F.transform("_sorted", lambda t, k: F.struct(
+        t.alias("term"), F.coalesce(F.get(F.col("_sorted"), k - 1) != t, F.lit(True)).alias("first")))
+    # outer: a plain explode makes the optimizer copy the tokeniser into a filter
+    occ = ordered.select("sentiment", F.explode_outer(marked).alias("o"))
+    return occ.select("sentiment", F.col("o.term").alias("term"), F.col("o.first").alias("first")).where(F.col("term").isNotNull())
 
 
 def vocabulary(terms: DataFrame, sizes: DataFrame, max_features: int = K.TFIDF_MAX_FEATURES,
@@ -125,15 +126,14 @@ def keyword_importance(df: DataFrame, text_col: str = "review_text", sentiment_c
     sizes = class_sizes(docs)
     vocab = (vocabulary(document_terms(docs, stop_words), sizes, max_features, min_df, max_df)
              .select("sentiment", "term", "term_id", "idf", "n"))
-    # the only shuffle of document text: afterwards each document's term counts
-    # and norm stay inside one partition
-    parted = docs.repartition(num_partitions, "doc_id") if num_partitions else docs.repartition("doc_id")
-    terms = document_terms(parted, stop_words)
     # bounded: at most max_features rows per class, three classes.  Terms outside
-    # the vocabulary are dropped before the per-document counting, which then
-    # keys on fixed-width (doc_id, term_id) instead of strings.
-    hits = (terms.select("doc_id", "sentiment", F.explode("terms").alias("term"))
-            .join(F.broadcast(vocab), ["sentiment", "term"]))
+    # the vocabulary are dropped where the document is read, so the one shuffle
+    # carries (doc_id, term_id, idf) and no text; afterwards each document's term
+    # counts and norm stay inside one partition
+    hits = (document_terms(docs, stop_words).select("doc_id", "sentiment", F.explode_outer("terms").alias("term"))
+            .where(F.col("term").isNotNull()).join(F.broadcast(vocab), ["sentiment", "term"])
+            .select("doc_id", "term_id", "idf"))
+    hits = hits.repartition(num_partitions, "doc_id") if num_partitions else hits.repartition("doc_id")
     tf = hits.groupBy("doc_id", "term_id", "idf").agg(F.count(F.lit(1)).alias("tf"))
     w = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(w * w).over(Window.partitionBy("doc_id")))

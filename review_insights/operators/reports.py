@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from review_insights import constants as K
-from review_insights.operators.patterns import _real_flag, drop_none_group
+from review_insights.operators.benchmark import percentile_position
+from review_insights.operators.patterns import _real_flag
 
 
 def _row(section: str, metric: str, key: Column | None, value: Column) -> Column:
@@ -108,14 +109,16 @@ def top3_summary(suggestions: DataFrame, roi_by_category: DataFrame) -> DataFram
                     F.coalesce("roi_percentage", F.lit(0.0)).alias("roi_percentage")))
 
 
-def dashboard_summary(scored: DataFrame) -> DataFrame:
-    """Export-page summary: total rows, generation time, count and % per sentiment."""
+def dashboard_summary(scored: DataFrame, generated_at: str | None = None) -> DataFrame:
+    """Export-page summary: total rows, generation time (as given, or the time of
+    the query), count and % per sentiment."""
+    when = F.lit(generated_at) if generated_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm")
     per = scored.groupBy("bert_sentiment").agg(F.count(F.lit(1)).alias("count"))
     # at most four aggregated rows (three labels and null): the total is a window sum
     per = per.withColumn("n", F.sum("count").over(Window.partitionBy())).where(F.col("bert_sentiment").isNotNull())
     n = F.col("n")
     return per.select(n.alias("total_reviews"),
-                      F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm").alias("generated_at"),
+                      when.alias("generated_at"),
                       F.col("bert_sentiment").alias("sentiment"), "count",
                       (F.col("count") / n * 100).alias("share"))
 
@@ -125,40 +128,59 @@ def _lines(section: int, texts: list[Column], frame: DataFrame) -> DataFrame:
         .select(F.lit(section).alias("section"), "ord", "text")
 
 
-def business_report_lines(scored: DataFrame, suggestions: DataFrame, roi_cat: DataFrame,
-                          roi_all: DataFrame, position: DataFrame, bench: DataFrame) -> DataFrame:
+def business_report_lines(metrics: DataFrame, suggestions: DataFrame, roi_cat: DataFrame, roi_all: DataFrame,
+                          position: DataFrame, generated_at: str | None = None) -> DataFrame:
     """The business report as ordered text lines ``(section, ord, text)``.
 
-    The priority ROI ratio is printed as a ratio (the original printed it with a
-    percent sign).  Money uses thousands separators; percentages one decimal.
+    ``metrics`` is one row of :func:`benchmark.benchmark_metrics`.  Sections: 1
+    summary, 2 suggestions, 3 return per category, 4 return in total, 5 strengths
+    and weaknesses, 6 position, 7 roadmap, 8 KPIs.  ``generated_at`` is printed
+    as given (default: the time of the query).  The priority ROI ratio is printed
+    as a ratio.  Money uses thousands separators; percentages one decimal.
     """
-    head = scored.agg(F.count(F.lit(1)).alias("n"),
-                      F.count_if(F.col("bert_sentiment") == K.NEGATIVE).alias("neg"),
-                      F.avg("rating").alias("avg"))
+    L = K.REPORT_LABELS
+    when = F.lit(generated_at) if generated_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+    negative = F.col("negative_count") / F.col("total_reviews") * 100
+    top = suggestions.where(F.col("priority_rank") == 1).agg(F.first("category")).scalar()
+    head = metrics.withColumn("top", top).where(F.col("total_reviews") > 0)
     s1 = _lines(1, [
-        F.lit("エグゼクティブサマリー"),
-        F.concat(F.lit("総レビュー数: "), F.format_number("n", 0), F.lit("件")),
-        F.format_string("ネガティブレビュー: %s件 (%.1f%%)", F.format_number("neg", 0),
-                        F.col("neg") / F.col("n") * 100),
-        F.format_string("平均評価: %.2f/5.0", F.col("avg")),
-    ], head)
-    s2 = suggestions.select(F.lit(2).alias("section"), F.col("priority_rank").alias("ord"), F.format_string(
-        "%d. %s | 優先度スコア: %s | 影響レビュー数: %d件 | 推定コスト: $%s | ROI比: %.2f | 実装期間: %s | "
-        "リスクレベル: %s | 成功確率: %.0f%% | 具体的施策: %s",
+        F.lit(K.REPORT_TITLE),
+        F.format_string(L["generated"], when),
+        F.format_string(L["total"], F.format_number("total_reviews", 0)),
+        F.format_string(L["negative"], F.format_number("negative_count", 0), negative),
+        F.format_string(L["mean"], F.col("average_rating")),
+        F.when(F.col("top").isNotNull(), F.format_string(L["top"], F.col("top"))),
+    ], head).where(F.col("text").isNotNull())
+    s2 = suggestions.select(F.lit(2).alias("section"), F.col("priority_rank").cast("int").alias("ord"), F.format_string(
+        L["suggestion"],
         F.col("priority_rank"), F.col("category"), F.col("priority_score").cast("string"),
         F.col("affected_reviews"), F.format_number("estimated_cost", 0), F.col("roi_estimate"),
         F.col("implementation_timeline"), F.col("risk_level"), F.col("success_probability") * 100,
         F.array_join(F.slice("suggestions", 1, 3), " / ")).alias("text"))
-    s3 = roi_cat.select(F.lit(3).alias("section"), F.col("priority_rank").alias("ord"), F.format_string(
-        "%s: 投資額 $%s | 期待収益 $%s | ROI: %.1f%% | 回収期間: %.1fヶ月",
-        F.col("category"), F.format_number("investment", 0), F.format_number("expected_revenue_recovery", 1),
+    s3 = roi_cat.select(F.lit(3).alias("section"), F.col("priority_rank").cast("int").alias("ord"), F.format_string(
+        L["roi"], F.col("category"), F.format_number("investment", 0), F.format_number("expected_revenue_recovery", 1),
         F.col("roi_percentage"), F.col("payback_period_months")).alias("text"))
     s4 = roi_all.select(F.lit(4).alias("section"), F.lit(0).alias("ord"), F.format_string(
-        "推定投資額: $%s | 期待リターン: $%s | 全体ROI: %.1f%%", F.format_number("total_investment", 0),
-        F.format_number("total_expected_return", 1), F.col("overall_roi_percentage")).alias("text"))
-    s5 = position.select(F.lit(5).alias("section"), F.col("ord"),
+        L["roi_total"], F.format_number("total_investment", 0), F.format_number("total_expected_return", 1),
+        F.col("overall_roi_percentage")).alias("text"))
+    kind = F.element_at(F.create_map(*[F.lit(x) for k, v in (("strength", 0), ("weakness", 100), ("opportunity", 200)) for x in (k, v)]),
+                        F.col("kind"))
+    s5 = position.select(F.lit(5).alias("section"), (kind + F.col("ord")).cast("int").alias("ord"),
                          F.concat(F.col("kind"), F.lit(": "), F.col("text")).alias("text"))
-    s6 = bench.select(F.lit(6).alias("section"), F.lit(0).alias("ord"), F.format_string(
-        "現在のポジション: %d%%ile | 業界平均評価: %.2f | ネガティブ率: %.1f%%",
-        F.col("current_percentile"), F.col("average_rating"), F.col("negative_sentiment_rate") * 100).alias("text"))
-    return s1.unionByName(s2).unionByName(s3).unionByName(s4).unionByName(s5).unionByName(s6)
+    s6 = _lines(6, [F.format_string(L["position"], percentile_position(F.col("average_rating")), F.col("average_rating"),
+                                    F.col("negative_sentiment_rate") * 100)], head)
+    plan = roadmap(suggestions)
+    s7 = plan.select(F.lit(7).alias("section"), F.col("phase").cast("int").alias("ord"), F.when(
+        F.col("phase") == 1, F.format_string(L["phase1"], F.col("category"), F.format_number("budget", 0)))
+        .otherwise(F.format_string(L["phase2"], F.col("category"), F.format_number("budget", 0))).alias("text"))
+    s8 = _lines(8, [
+        F.format_string(L["kpi_rating"], F.col("average_rating"),
+                        F.least(F.col("average_rating") + K.TARGET_RATING_STEP, F.lit(K.TARGET_RATING_MAX))),
+        F.format_string(L["kpi_negative"], negative,
+                        F.greatest(negative - K.KPI_NEGATIVE_PERCENT_STEP, F.lit(float(K.KPI_NEGATIVE_PERCENT_MIN)))),
+        *[F.lit(x) for x in K.KPI_FIXED_LINES],
+    ], head)
+    out = s1
+    for part in (s2, s3, s4, s5, s6, s7, s8):
+        out = out.unionByName(part)
+    return out

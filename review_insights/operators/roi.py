@@ -8,7 +8,7 @@ portfolio: (return - cost) / cost x 100).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,8 +77,12 @@ def dashboard_roi(suggestions: DataFrame, apply_override: bool = False) -> DataF
 
 
 def roi_ranking(dashboard: DataFrame) -> DataFrame:
-    """ROI efficiency ranking: corrected ROI % descending, ties by priority rank."""
-    return dashboard.orderBy(F.desc("roi_percentage_calc"), F.asc("priority_rank"))
+    """ROI efficiency ranking: corrected ROI % descending, ties by priority rank.
+
+    The window runs over the suggestions, at most one row per problem type.
+    """
+    w = Window.orderBy(F.desc("roi_percentage_calc"), F.asc("priority_rank"))
+    return dashboard.withColumn("efficiency_rank", F.row_number().over(w).cast("bigint"))
 
 
 def portfolio_totals(dashboard: DataFrame) -> DataFrame:

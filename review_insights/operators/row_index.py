@@ -1,13 +1,16 @@
-"""Global 0-based row index in a stable sort order, without a single-task window.
-
-``row_number()`` over an unpartitioned window would move every row into one
-task.  Instead the frame is range-partitioned and sorted by the key, each row
-gets ``monotonically_increasing_id()`` (partition index in the high bits,
-position in the low 33 bits), and a per-partition count table (one row per
-partition, so bounded) yields each partition's starting offset.  The sorted
-frame is checkpointed to the shared checkpoint folder so the partition layout
-the offsets were computed on is the one that is read back, even when tasks or
-executors are lost and recomputed.
+"""Global 0-based row index, without a single-task window.
+
+Rows read from files keep their place: ``with_file_position`` takes the file and
+the row number from the scan itself, and a table of one row per file yields
+each file's starting offset.  Nothing is sorted, shuffled or checkpointed, and
+the text columns are not touched.
+
+Where an order by columns is wanted instead, the frame is range-partitioned and
+sorted by the key, each row gets ``monotonically_increasing_id()`` (partition
+index in the high bits, position in the low 33 bits), and a per-partition count
+table yields the offsets.  That sorted frame is checkpointed to the shared
+checkpoint folder so the partition layout the offsets were computed on is the
+one that is read back, even when tasks or executors are lost and recomputed.
 """
 
 from __future__ import annotations
@@ -22,6 +25,32 @@ _LOW_BITS = (1 << 33) - 1
 _UNORDERABLE = (T.MapType, T.ArrayType, T.StructType, T.BinaryType)
 
 
+FILE_COL, PLACE_COL = "_file_path", "_file_row"
+
+
+def with_file_position(df: DataFrame) -> DataFrame:
+    """Carry the file and the row number inside it along; ``df`` is a scan of Parquet files."""
+    return df.select("*", F.col("_metadata.file_path").alias(FILE_COL), F.col("_metadata.row_index").alias(PLACE_COL))
+
+
+def has_file_position(df: DataFrame) -> bool:
+    return FILE_COL in df.columns and PLACE_COL in df.columns
+
+
+def index_by_file(df: DataFrame, name: str = "row_index", total_name: str | None = None) -> DataFrame:
+    """Add ``name`` = position of the row in the files, taken by name, and drop the carried columns."""
+    files = df.groupBy(FILE_COL).agg((F.max(PLACE_COL) + 1).alias("_ri_rows"))
+    # one row per file
+    offsets = files.select(
+        FILE_COL,
+        (F.sum("_ri_rows").over(Window.orderBy(FILE_COL)) - F.col("_ri_rows")).alias("_ri_offset"),
+        F.sum("_ri_rows").over(Window.partitionBy()).alias("_ri_total"))
+    out = df.join(offsets, FILE_COL).withColumn(name, F.col("_ri_offset") + F.col(PLACE_COL))
+    if total_name:
+        out = out.withColumn(total_name, F.col("_ri_total"))
+    return out.drop(FILE_COL, PLACE_COL, "_ri_offset", "_ri_total")
+
+
 def _tie_breakers(df: DataFrame, order_by: list[str]) -> list[str]:
     """The other sortable columns, appended to the sort key.
 

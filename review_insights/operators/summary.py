@@ -7,6 +7,8 @@ aggregate pre-aggregates map-side, so skewed keys cost nothing extra.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,6 +152,12 @@ def sample_reviews(df: DataFrame, n: int = 5, seed: int = 42, key: str = "review
     return df.orderBy(order, F.col(key)).limit(n)
 
 
+def preview(df: DataFrame, n: int = 5, columns: Sequence[str] | None = None, key: str = "review_id") -> DataFrame:
+    """The first n rows in key order (a top-k, no full sort), with the wanted columns that exist."""
+    wanted = [c for c in (columns or df.columns) if c in df.columns]
+    return df.orderBy(F.asc(key)).limit(n).select(*wanted)
+
+
 def upload_kpis(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total_reviews"), F.round(F.avg("rating"), 2).alias("average_rating"))
 

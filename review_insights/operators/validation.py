@@ -1,12 +1,10 @@
 """Prediction validation against rating-derived labels (V1..V5).
 
-Everything is computed from one ``groupBy(true, pred)`` over the valid rows:
-a table of at most (labels x labels) counts.  That table is fetched once
-behind a size check (``bounded_local``) and every metric is derived from the
-local copy, so the big table is scanned once however often the counts are
-referenced; above the bound the same plan runs distributed.  The confusion
-grid is generated from the label set (``explode`` of a one-row array, no cross
-join).
+Everything is computed from one ``groupBy(true, pred)`` over the valid rows: a
+table of at most (labels x labels) counts.  Each report refers to that table
+once (the counts are gathered into one row and unfolded from there), so the
+big table is scanned once and building a report starts no job.  The label set
+must be closed: ``check_labels`` raises on more than ``MAX_LABELS`` values.
 """
 
 from __future__ import annotations
@@ -14,10 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from review_insights.operators.dims import bounded_local
-
-# Label pairs above this many fall back to the distributed plan.
-MAX_LABEL_PAIRS = 10_000
+# More distinct labels than this mean that the column holds no labels.
+MAX_LABELS = 100
 
 TRUE_COL, PRED_COL = "sentiment_label", "bert_sentiment"
 
@@ -31,11 +27,9 @@ def valid_pairs(df: DataFrame, true_col: str = TRUE_COL, pred_col: str = PRED_CO
             .select(F.col(true_col).alias("true_label"), F.col(pred_col).alias("pred_label")))
 
 
-def pair_counts(pairs: DataFrame, max_pairs: int = MAX_LABEL_PAIRS) -> DataFrame:
-    """``(true_label, pred_label, count)``; a local relation when within the bound."""
-    counts = pairs.groupBy("true_label", "pred_label").agg(F.count(F.lit(1)).alias("count"))
-    local = bounded_local(counts, max_pairs)
-    return counts if local is None else local
+def pair_counts(pairs: DataFrame) -> DataFrame:
+    """``(true_label, pred_label, count)``."""
+    return pairs.groupBy("true_label", "pred_label").agg(F.count(F.lit(1)).alias("count"))
 
 
 def accuracy(pairs: DataFrame) -> DataFrame:
@@ -44,16 +38,23 @@ def accuracy(pairs: DataFrame) -> DataFrame:
                      F.count(F.lit(1)).alias("total_samples"))
 
 
+def _gathered(pairs: DataFrame) -> DataFrame:
+    """One row: the sorted label set and the count of every pair, as a map."""
+    row = pair_counts(pairs).agg(
+        F.array_sort(F.array_distinct(F.concat(F.collect_set("true_label"), F.collect_set("pred_label")))).alias("labels"),
+        F.map_from_entries(F.collect_list(F.struct(F.struct("true_label", "pred_label"), "count"))).alias("counts"))
+    closed = F.when(F.size("labels") <= MAX_LABELS, F.col("labels")).otherwise(
+        F.raise_error(F.lit(f"more than {MAX_LABELS} labels")).cast("array<string>"))
+    return row.select(closed.alias("labels"), "counts")
+
+
 def confusion_matrix(pairs: DataFrame) -> DataFrame:
     """Counts for every (true, predicted) pair over the sorted union of labels seen
     in either column; absent pairs are 0."""
-    counts = pair_counts(pairs)
-    labels = counts.agg(F.array_sort(F.array_distinct(F.concat(
-        F.collect_set("true_label"), F.collect_set("pred_label")))).alias("labels"))
-    grid = (labels.select(F.explode("labels").alias("true_label"), "labels")
-            .select("true_label", F.explode("labels").alias("pred_label")))
-    return (grid.join(counts, ["true_label", "pred_label"], "left")
-            .select("true_label", "pred_label", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
+    grid = (_gathered(pairs).select(F.explode("labels").alias("true_label"), "labels", "counts")
+            .select("true_label", F.explode("labels").alias("pred_label"), "counts"))
+    n = F.element_at("counts", F.struct("true_label", "pred_label"))
+    return grid.select("true_label", "pred_label", F.coalesce(n, F.lit(0)).cast("bigint").alias("count"))
 
 
 def classification_report(pairs: DataFrame) -> DataFrame:
@@ -61,15 +62,13 @@ def classification_report(pairs: DataFrame) -> DataFrame:
     weighted-average rows; undefined ratios are 0.  The accuracy row carries the
     accuracy in ``f1_score`` and the total in ``support``."""
     cm = confusion_matrix(pairs)
-    by_true = cm.groupBy(F.col("true_label").alias("label")).agg(
-        F.sum("count").alias("support"),
-        F.sum(F.when(F.col("true_label") == F.col("pred_label"), F.col("count")).otherwise(0)).alias("tp"))
-    by_pred = cm.groupBy(F.col("pred_label").alias("label")).agg(F.sum("count").alias("predicted"))
-    per = by_true.join(by_pred, "label", "full_outer").select(
-        "label",
-        F.coalesce("support", F.lit(0)).alias("support"),
-        F.coalesce("tp", F.lit(0)).alias("tp"),
-        F.coalesce("predicted", F.lit(0)).alias("predicted"))
+    zero = F.lit(0).cast("bigint")
+    hit = F.when(F.col("true_label") == F.col("pred_label"), F.col("count")).otherwise(zero)
+    sides = F.array(
+        F.struct(F.col("true_label").alias("label"), F.col("count").alias("support"), hit.alias("tp"), zero.alias("predicted")),
+        F.struct(F.col("pred_label").alias("label"), zero.alias("support"), zero.alias("tp"), F.col("count").alias("predicted")))
+    per = cm.select(F.inline(sides)).groupBy("label").agg(
+        F.sum("support").alias("support"), F.sum("tp").alias("tp"), F.sum("predicted").alias("predicted"))
 
     def ratio(n, d):
         return F.coalesce(F.try_divide(n.cast("double"), d.cast("double")), F.lit(0.0))
@@ -83,6 +82,7 @@ def classification_report(pairs: DataFrame) -> DataFrame:
         F.col("tp"))
     total = F.sum("support")
     summary = per.agg(
+        F.collect_list(F.struct("label", "precision", "recall", "f1_score", "support")).alias("classes"),
         total.alias("total"), F.sum("tp").alias("tp_total"),
         F.avg("precision").alias("p_macro"), F.avg("recall").alias("r_macro"), F.avg("f1_score").alias("f_macro"),
         (F.sum(F.col("precision") * F.col("support")) / total).alias("p_w"),
@@ -94,19 +94,16 @@ def classification_report(pairs: DataFrame) -> DataFrame:
                         F.col("total").cast("bigint").alias("support"))
 
     none = F.lit(None)
-    rows = summary.select(F.explode(F.array(
-        row("accuracy", none, none, F.col("tp_total") / F.col("total")),
+    totals = F.array(
+        row("accuracy", none, none, F.try_divide(F.col("tp_total"), F.col("total"))),
         row("macro avg", F.col("p_macro"), F.col("r_macro"), F.col("f_macro")),
-        row("weighted avg", F.col("p_w"), F.col("r_w"), F.col("f_w")),
-    )).alias("r")).select("r.*")
-    return per.drop("tp").unionByName(rows)
+        row("weighted avg", F.col("p_w"), F.col("r_w"), F.col("f_w")))
+    return summary.select(F.inline(F.concat("classes", totals)))
 
 
 def label_distributions(pairs: DataFrame) -> DataFrame:
     """True and predicted label counts as ``(side, label, count)``."""
-    counts = pair_counts(pairs)
-    t = counts.groupBy("true_label").agg(F.sum("count").cast("bigint").alias("count")).select(
-        F.lit("true").alias("side"), F.col("true_label").alias("label"), "count")
-    p = counts.groupBy("pred_label").agg(F.sum("count").cast("bigint").alias("count")).select(
-        F.lit("pred").alias("side"), F.col("pred_label").alias("label"), "count")
-    return t.unionByName(p)
+    sides = F.array(F.struct(F.lit("true").alias("side"), F.col("true_label").alias("label"), "count"),
+                    F.struct(F.lit("pred").alias("side"), F.col("pred_label").alias("label"), "count"))
+    return (pair_counts(pairs).select(F.inline(sides))
+            .groupBy("side", "label").agg(F.sum("count").cast("bigint").alias("count")))

@@ -8,6 +8,7 @@ rendered as ``yyyy-MM-dd HH:mm:ss`` text.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,14 +16,14 @@ from pyspark.sql import functions as F
 
 from review_insights import constants as K
 from review_insights import oracle as O
-from review_insights.operators import (benchmark, charts, conform, keywords, patterns, priority, problems, reports,
-                                       roi, scoring, summary, validation)
-from review_insights.session import ensure_utc
-from review_insights.sources import fixture, sinks
-from review_insights.operators.dims import bounded_local
+from review_insights.operators import (benchmark, charts, conform, keywords, patterns, preprocess, priority, problems,
+                                       reports, roi, scoring, summary, validation)
+from review_insights.operators.dims import rows_once
+from review_insights.operators.row_index import with_file_position
 from review_insights.plans import frames
-
-MAX_PROBLEM_ROWS = 1_000
+from review_insights.session import ensure_utc, table_path
+from review_insights.sources import fixture, sinks
+from review_insights.sources.readers import normalise_missing, read_reviews
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str | Callable[[], str]] = {}
@@ -344,18 +345,14 @@ def _problems(spark, sf_dir):
     return patterns.problem_analysis(frames.scored(spark, sf_dir))
 
 
-def _problems_fetched(spark, sf_dir):
-    """One row per problem type (a closed set), fetched once behind a size check:
-    queries that reference the problem table several times (suggestions joined
-    with the ROI frame derived from them, subqueries of the position report)
-    would otherwise scan the reviews once per reference."""
-    probs = _problems(spark, sf_dir)
-    local = bounded_local(probs, MAX_PROBLEM_ROWS)
-    return probs if local is None else local
+def _problems_once(spark, sf_dir):
+    """One row per problem type (a closed set of six), computed once per query:
+    several reports refer to it more than once."""
+    return rows_once(_problems(spark, sf_dir))
 
 
 def _suggestions(spark, sf_dir):
-    return priority.improvement_suggestions(priority.priority_scores(_problems_fetched(spark, sf_dir)))
+    return priority.improvement_suggestions(priority.priority_scores(_problems_once(spark, sf_dir)))
 
 
 @register("negative_count", "SELECT count(*) AS negative_count FROM neg")
@@ -513,10 +510,8 @@ SELECT row_number() OVER (ORDER BY roi_percentage_calc DESC, priority_rank) AS e
 FROM dash2
 """)
 def q_roi_ranking(spark, sf_dir):
-    d = roi.dashboard_roi(_suggestions(spark, sf_dir), apply_override=True)
-    w = Window.orderBy(F.desc("roi_percentage_calc"), F.asc("priority_rank"))
-    return d.select(F.row_number().over(w).cast("bigint").alias("efficiency_rank"), "category",
-                    r6("roi_percentage_calc").alias("roi_percentage_calc"), "estimated_cost",
+    d = roi.roi_ranking(roi.dashboard_roi(_suggestions(spark, sf_dir), apply_override=True))
+    return d.select("efficiency_rank", "category", r6("roi_percentage_calc").alias("roi_percentage_calc"), "estimated_cost",
                     r6("expected_return_calc").alias("expected_return_calc"))
 
 
@@ -625,7 +620,7 @@ UNION ALL SELECT 'opportunity', 1, '{K.OPPORTUNITY_DEFAULT}'
 @register("competitive_position", _position_sql())
 def q_competitive_position(spark, sf_dir):
     sc = frames.scored(spark, sf_dir)
-    probs = _problems_fetched(spark, sf_dir)
+    probs = _problems_once(spark, sf_dir)
     prio = priority.priority_scores(probs)
     return benchmark.competitive_position(sc, probs, prio)
 
@@ -869,21 +864,65 @@ def q_top3(spark, sf_dir):
                     r6("roi_percentage").alias("roi_percentage"))
 
 
-@register("dashboard_summary")
-def q_dashboard_summary(spark, sf_dir):
-    return reports.dashboard_summary(frames.scored(spark, sf_dir))
+REPORT_TIME = "2024-01-31 12:00:00"
 
 
-@register("business_report")
+@register("dashboard_summary", f"""
+SELECT CAST((SELECT count(*) FROM scored) AS BIGINT) AS total_reviews, '{REPORT_TIME[:16]}' AS generated_at,
+       bert_sentiment AS sentiment, count(*) AS count, round(count(*) / (SELECT count(*) FROM scored) * 100, 6) AS share
+FROM scored WHERE bert_sentiment IS NOT NULL GROUP BY bert_sentiment
+""")
+def q_dashboard_summary(spark, sf_dir):
+    d = reports.dashboard_summary(frames.scored(spark, sf_dir), REPORT_TIME[:16])
+    return d.withColumn("share", r6("share"))
+
+
+def _money(col: str, digits: int = 0) -> str:
+    return f"format('{{:,.{digits}f}}', CAST({col} AS DOUBLE))"
+
+
+def _business_sql() -> str:
+    L = {k: v.replace("'", "''") for k, v in K.REPORT_LABELS.items()}
+    fixed = " UNION ALL ".join(f"SELECT 8, {2 + i}, '{t}'" for i, t in enumerate(K.KPI_FIXED_LINES))
+    return f"""WITH m AS (SELECT count(*) AS n, count(*) FILTER (WHERE bert_sentiment = 'negative') AS neg, avg(rating) AS a FROM scored),
+pos AS ({_position_sql()})
+SELECT section, ord, text FROM (
+  SELECT 1 AS section, 0 AS ord, '{K.REPORT_TITLE}' AS text
+  UNION ALL SELECT 1, 1, printf('{L["generated"]}', '{REPORT_TIME}')
+  UNION ALL SELECT 1, 2, printf('{L["total"]}', {_money("n")}) FROM m
+  UNION ALL SELECT 1, 3, printf('{L["negative"]}', {_money("neg")}, neg / n * 100) FROM m
+  UNION ALL SELECT 1, 4, printf('{L["mean"]}', a) FROM m
+  UNION ALL SELECT 1, 5, printf('{L["top"]}', category) FROM suggestions WHERE priority_rank = 1
+  UNION ALL SELECT 2, CAST(priority_rank AS INTEGER), printf('{L["suggestion"]}', priority_rank, category,
+      CAST(priority_score AS VARCHAR), affected_reviews, {_money("estimated_cost")}, roi_estimate, implementation_timeline,
+      risk_level, success_probability * 100, array_to_string(suggestions[1:3], ' / ')) FROM suggestions
+  UNION ALL SELECT 3, CAST(priority_rank AS INTEGER), printf('{L["roi"]}', category, {_money("investment")},
+      {_money("expected_revenue_recovery", 1)}, roi_percentage, payback_period_months) FROM roi
+  UNION ALL SELECT 4, 0, printf('{L["roi_total"]}', {_money("coalesce(sum(investment), 0)")},
+      {_money("coalesce(sum(expected_revenue_recovery), 0)", 1)},
+      CASE WHEN coalesce(sum(investment), 0) > 0 THEN sum(expected_revenue_recovery) / sum(investment) * 100 ELSE 0 END) FROM roi
+  UNION ALL SELECT 5, CAST(ord + CASE kind WHEN 'strength' THEN 0 WHEN 'weakness' THEN 100 ELSE 200 END AS INTEGER),
+      kind || ': ' || text FROM pos
+  UNION ALL SELECT 6, 0, printf('{L["position"]}', CASE WHEN a >= 4.5 THEN 90 WHEN a >= 4.0 THEN 75 WHEN a >= 3.5 THEN 50
+      WHEN a >= 3.0 THEN 25 ELSE 10 END, a, neg / n * 100) FROM m
+  UNION ALL SELECT 7, 1, printf('{L["phase1"]}', category, {_money("estimated_cost")}) FROM suggestions WHERE priority_rank = 1
+  UNION ALL SELECT 7, 2, printf('{L["phase2"]}', category, {_money("estimated_cost")}) FROM suggestions WHERE priority_rank = 2
+  UNION ALL SELECT 8, 0, printf('{L["kpi_rating"]}', a, least(a + 0.5, 5.0)) FROM m
+  UNION ALL SELECT 8, 1, printf('{L["kpi_negative"]}', neg / n * 100, greatest(neg / n * 100 - 5, 5.0)) FROM m
+  UNION ALL {fixed}
+)"""
+
+
+@register("business_report", _business_sql)
 def q_business_report(spark, sf_dir):
     sc = frames.scored(spark, sf_dir)
-    probs = patterns.problem_analysis(sc)
+    probs = _problems_once(spark, sf_dir)
+    metrics = rows_once(benchmark.benchmark_metrics(sc))
     prio = priority.priority_scores(probs)
     sug = priority.improvement_suggestions(prio)
     rc = roi.roi_by_category(sug)
-    return reports.business_report_lines(sc, sug, rc, roi.roi_overall(rc),
-                                         benchmark.competitive_position(sc, probs, prio),
-                                         benchmark.position_summary(sc))
+    return reports.business_report_lines(metrics, sug, rc, roi.roi_overall(rc),
+                                         benchmark.competitive_position(sc, probs, prio, metrics), REPORT_TIME)
 
 
 # --------------------------------------------------------------- keywords --
@@ -1001,7 +1040,7 @@ _MISSING = ("ProductId", "Score", "Text", "Time")
 @register("conform_missing_columns", f"""
 WITH mc AS (
   SELECT Id AS review_id, Summary AS review_title,
-         row_number() OVER (ORDER BY Id) - 1 AS ri, count(*) OVER () AS n
+         row_number() OVER () - 1 AS ri, (SELECT count(*) FROM review_raw) AS n
   FROM review_raw
 ),
 mc2 AS (
@@ -1019,8 +1058,9 @@ SELECT review_id, product_id, CAST({K.DEFAULT_RATING} AS BIGINT) AS rating, revi
 FROM mc2
 """)
 def q_conform_missing(spark, sf_dir):
-    raw = frames.review_raw(spark, sf_dir).drop(*_MISSING)
-    c = conform.conform_reviews(raw)
+    ensure_utc(spark)
+    stored = with_file_position(spark.read.parquet(fixture.ingest_review_fixture(spark, sf_dir)))
+    c = conform.conform_reviews(normalise_missing(stored).drop(*_MISSING))
     return c.select("review_id", "product_id", "rating", "review_text", ts_text("review_date").alias("review_date"),
                     "product_name", "product_category", "helpful_votes")
 
@@ -1053,3 +1093,124 @@ def q_report_keywords(spark, sf_dir):
     scored = frames.scored(spark, sf_dir).where(F.col("bert_sentiment").isin("negative", "positive"))
     kw = keywords.extract_keywords(scored, top_k=5)
     return kw.where(F.col("sentiment").isin("negative", "positive")).select("sentiment", "rank", "term")
+
+
+# ------------------------------------------------- sinks, read back (S3..S9) --
+
+def _scratch(spark, name: str) -> str:
+    return table_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+_SCORED_EXPORT_SQL = """
+SELECT product_id, rating, review_text, sentiment_label, bert_sentiment, round(bert_confidence, 6) AS bert_confidence,
+       problem_category, review_length FROM scored
+"""
+
+
+@register("table_write", """
+SELECT review_id, product_id, rating, (SELECT count(*) FROM scored) AS rows_written FROM scored
+""")
+def q_table_write(spark, sf_dir):
+    """S3: a table written with its row count observed on the way, read back."""
+    path = _scratch(spark, "table-write")
+    rows = sinks.write_table(frames.scored(spark, sf_dir).select("review_id", "product_id", "rating"), path)
+    return spark.read.parquet(path).withColumn("rows_written", F.lit(rows).cast("bigint"))
+
+
+@register("scored_export", _SCORED_EXPORT_SQL)
+def q_scored_export(spark, sf_dir):
+    """The scored result file, written, checked for its columns and read back."""
+    path = _scratch(spark, "scored-export")
+    sinks.write_table(sinks.scored_export(frames.scored(spark, sf_dir)), path)
+    back = spark.read.parquet(path)
+    sinks.require_columns(back, K.PHASE3_REQUIRED_COLUMNS)
+    return back.withColumn("bert_confidence", r6("bert_confidence"))
+
+
+@register("report_file", lambda: "SELECT text FROM (" + O.sql(_business_sql()) + ")")
+def q_report_file(spark, sf_dir):
+    """The business report as a text file, read back line by line."""
+    path = _scratch(spark, "report-file")
+    sinks.write_report(q_business_report(spark, sf_dir), path)
+    return spark.read.text(path).select(F.col("value").alias("text"))
+
+
+@register("sentiment_detail", f"""
+SELECT review_text, rating, bert_sentiment, round(bert_confidence, 6) AS bert_confidence FROM (
+  SELECT * FROM scored ORDER BY review_id LIMIT {K.DETAIL_ROWS})
+""")
+def q_sentiment_detail(spark, sf_dir):
+    """The detail table of the dashboard, its four columns and first rows."""
+    d = summary.preview(frames.scored(spark, sf_dir), K.DETAIL_ROWS, K.SENTIMENT_DETAIL_COLUMNS)
+    return d.withColumn("bert_confidence", r6("bert_confidence"))
+
+
+@register("csv_folder", """
+SELECT Id, ProductId, UserId, Score, Summary, Text, CAST(Time AS VARCHAR) AS Time FROM review_raw
+""")
+def q_csv_folder(spark, sf_dir):
+    """A folder of CSV files, named as such."""
+    raw = read_reviews(spark, fixture.ingest_review_csv(spark, sf_dir), "csv")
+    return raw.select("Id", "ProductId", "UserId", "Score", "Summary", "Text", "Time")
+
+
+# ------------------------------------ the text operators on ``documents`` --
+
+def _documents(spark, sf_dir):
+    """The documents as reviews: the text as it is, one rating for all."""
+    docs = fixture.read_table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("review_id"), F.col("text").alias("review_text"),
+                       F.lit(None).cast("string").alias("review_title"), F.col("source").alias("product_id"), "lang")
+
+
+# Python's str.strip() also removes U+001C to U+001F
+_STRIP_SQL = r"regexp_replace(regexp_replace({c}, '^[\s\x0B\x1C-\x1F\x85\p{{Z}}]+', ''), '[\s\x0B\x1C-\x1F\x85\p{{Z}}]+$', '')"
+
+
+@register("document_text_features", f"""
+SELECT doc_id, md5(c) AS clean_md5, length(c) AS review_length FROM (
+  SELECT doc_id, {_STRIP_SQL.format(c="text")} AS c FROM documents WHERE text IS NOT NULL)
+""")
+def q_document_text_features(spark, sf_dir):
+    """P2, P3 on whole documents."""
+    t = preprocess.add_text_features(_documents(spark, sf_dir).where(F.col("review_text").isNotNull()))
+    return t.select(F.col("review_id").cast("bigint").alias("doc_id"), F.md5(F.col("review_text_clean").cast("binary")).alias("clean_md5"),
+                    "review_length")
+
+
+@register("document_products", lambda: f"""
+SELECT doc_id, {O._product_name()} AS product_name, {O._category()} AS product_category FROM (
+  SELECT doc_id, coalesce(source, '') AS product_id, NULL::VARCHAR AS review_title, text AS review_text FROM documents)
+""")
+def q_document_products(spark, sf_dir):
+    """C3, C4 on whole documents."""
+    d = _documents(spark, sf_dir)
+    low = F.lower(F.coalesce("review_text", F.lit("")))
+    blob = F.concat(low, F.lit(" "), F.lower(F.coalesce("review_title", F.lit(""))))
+    return d.select(F.col("review_id").cast("bigint").alias("doc_id"),
+                    conform.product_name_expr(low, F.col("review_title"), F.coalesce("product_id", F.lit(""))).alias("product_name"),
+                    conform.category_expr(blob).alias("product_category"))
+
+
+@register("document_lexicon", lambda: "WITH" + _lexicon_sql(False).replace("FROM base", "FROM dbase").replace(
+    "WITH lx", " dbase AS (SELECT CAST(doc_id AS VARCHAR) AS review_id, text AS review_text FROM documents), lx").lstrip("\n"))
+def q_document_lexicon(spark, sf_dir):
+    """M1b on whole documents."""
+    s = scoring.score_lexicon(_documents(spark, sf_dir))
+    return s.select("review_id", "bert_sentiment", r6("bert_confidence").alias("bert_confidence"))
+
+
+def _document_keywords_sql() -> str:
+    lex = _lexicon_sql(False).replace("FROM base", "FROM dbase").replace(
+        "WITH lx", "dbase AS (SELECT CAST(doc_id AS VARCHAR) AS review_id, text AS review_text FROM documents),\nlx")
+    head, tail = lex.rstrip().rsplit("SELECT review_id,", 1)
+    body = _keywords_sql().replace("FROM scored WHERE", "FROM dscored WHERE").lstrip()
+    return ("WITH " + head.strip() + ",\ndlex AS (SELECT review_id," + tail + "),\n"
+            "dscored AS (SELECT l.*, review_text FROM dlex l JOIN dbase USING (review_id)),\n" + body[4:].lstrip())
+
+
+@register("document_keywords", _document_keywords_sql)
+def q_document_keywords(spark, sf_dir):
+    """K1..K6 on whole documents, classed by the lexicon."""
+    kw = keywords.extract_keywords(scoring.score_lexicon(_documents(spark, sf_dir)))
+    return kw.select("sentiment", "rank", "term", r6(F.round("importance", 10)).alias("importance"))

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from review_insights import constants as K
 from review_insights.operators import (benchmark, conform, keywords, patterns, preprocess, priority, problems,
-                                       reports, roi, scoring, summary, validation)
+                                       reports, roi, scoring, validation)
+from review_insights.operators.dims import rows_once
 from review_insights.session import table_path
 from review_insights.sources import sinks
 
@@ -97,29 +98,25 @@ def improve_phase(spark: SparkSession, scored_path: str, out_dir: str | None = N
     out = PhaseOutput()
     s = spark.read.parquet(scored_path)
     sinks.require_columns(s, K.PHASE3_REQUIRED_COLUMNS)
-    probs = patterns.problem_analysis(s)
+    # written once and read back: all later frames derive from this small table
+    path = out.tables["problem_analysis"] = _out(spark, out_dir, "problem_analysis")
+    out.rows["problem_analysis"] = sinks.write_table(patterns.problem_analysis(s), path)
+    probs = spark.read.parquet(path)
+    metrics = rows_once(benchmark.benchmark_metrics(s))
     prio = priority.priority_scores(probs)
     sug = priority.improvement_suggestions(prio)
     rc = roi.roi_by_category(sug)
+    position = benchmark.competitive_position(s, probs, prio, metrics)
     frames = {
-        "problem_analysis": probs,
         "improvement_suggestions": sinks.suggestion_export(sug),
         "roi_by_category": rc,
         "roi_overall": roi.roi_overall(rc),
-        "competitive_position": benchmark.competitive_position(s, probs, prio),
+        "competitive_position": position,
     }
     for name, frame in frames.items():
         out.tables[name] = _out(spark, out_dir, name)
         out.rows[name] = sinks.write_table(frame, out.tables[name])
-    report = reports.business_report_lines(s, sug, rc, roi.roi_overall(rc),
-                                           benchmark.competitive_position(s, probs, prio),
-                                           benchmark.position_summary(s))
+    report = reports.business_report_lines(metrics, sug, rc, roi.roi_overall(rc), position)
     out.tables["business_report"] = _out(spark, out_dir, "business_report_txt")
-    sinks.write_report(report.withColumn("section", F.col("section").cast("int")), out.tables["business_report"])
+    sinks.write_report(report, out.tables["business_report"])
     return out
-
-
-def data_quality(processed: DataFrame) -> dict[str, DataFrame]:
-    """The phase-1 quality checks as small frames (null audit, short reviews, imbalance)."""
-    return {"null_audit": summary.null_audit(processed), "short_reviews": summary.short_reviews(processed),
-            "label_imbalance": summary.label_imbalance(processed)}

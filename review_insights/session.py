@@ -95,6 +95,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A place for a table that later applications find again: directly under the
+    folder the cluster names, not under this application's own part of it."""
+    sc = spark_context(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or (sc.getConf().get("spark.checkpoint.dir", None) if sc is not None else None)
+    if not base:
+        return table_path(spark, name)
+    return f"{base.rstrip('/')}/review-insights/{name}"
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     """A location for an intermediate table under the shared checkpoint folder."""
     base = checkpoint_dir(spark)

@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from review_insights.session import spark_context, table_path
+from review_insights.session import shared_path, spark_context
 from review_insights.sources.readers import normalise_missing, read_reviews_csv, read_table
 from review_insights.sources.sinks import CSV_WRITE_OPTIONS
 
@@ -102,13 +103,51 @@ def _source_key(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a complete table lies at ``path`` (asked of Spark's own file system
+    where there is one, of the reader otherwise)."""
     if spark_context(spark) is None:
-        return os.path.exists(os.path.join(path, "_SUCCESS"))
+        try:
+            return bool(spark.read.parquet(path).columns)
+        except Exception:  # noqa: BLE001 - absent, or not yet complete
+            return False
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _publish(spark: SparkSession, written: str, path: str) -> None:
+    """Rename a finished table to its name; if another application was faster, its
+    table stays and this one is left unused."""
+    jvm = spark.sparkContext._jvm
+    src, dst = jvm.org.apache.hadoop.fs.Path(written), jvm.org.apache.hadoop.fs.Path(path)
+    fs = dst.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(dst):
+        fs.rename(src, dst)
+
+
+#: Parquet row groups of stored reviews: small enough that a scan splits evenly.
+ROW_GROUP_BYTES = 4 << 20
+#: Rows a file of the CSV export, which readers cannot split.
+CSV_ROWS_PER_FILE = 50_000
+
+
+def _ingest(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    key = _source_key(spark, sf_dir)
+    sc = spark_context(spark)
+    cache_key = (sc.applicationId if sc is not None else id(spark), name + key)
+    if cache_key not in _INGESTED:
+        path = shared_path(spark, f"{name}_{key}")
+        if not _exists(spark, path):
+            if sc is None:
+                write(path)
+            else:
+                part = f"{path}.{uuid.uuid4().hex}"
+                write(part)
+                _publish(spark, part, path)
+        _INGESTED[cache_key] = path
+    return _INGESTED[cache_key]
+
+
 def ingest_review_fixture(spark: SparkSession, sf_dir: str) -> str:
     """Write the raw review rows once as Parquet under the shared checkpoint
     folder and return the path.
@@ -117,21 +156,12 @@ def ingest_review_fixture(spark: SparkSession, sf_dir: str) -> str:
     scan a stored table (column pruning and pushed filters apply, lineage is
     cut) instead of re-deriving every row from ``lineitem``.  The table is
     keyed by the source's path, size and modification time, so a changed
-    source is ingested again.
+    source is ingested again; a later application with the same folder finds
+    the table.  Rows are written where they are read, without a shuffle: the
+    number of files follows the input's bytes.
     """
-    key = _source_key(spark, sf_dir)
-    sc = spark_context(spark)
-    cache_key = (sc.applicationId if sc is not None else id(spark), key)
-    if cache_key in _INGESTED:
-        return _INGESTED[cache_key]
-    path = table_path(spark, f"review_raw_v2_{key}")
-    if not _exists(spark, path):
-        # Spread the rows over as many files as the cluster has cores, so every
-        # scan of the stored table is parallel even when the source is one file.
-        parts = max(1, sc.defaultParallelism if sc is not None else 8)
-        review_fixture(spark, sf_dir).repartition(parts).write.mode("overwrite").parquet(path)
-    _INGESTED[cache_key] = path
-    return path
+    return _ingest(spark, sf_dir, "review_raw_v3", lambda path: (
+        review_fixture(spark, sf_dir).write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)))
 
 
 def ingest_review_csv(spark: SparkSession, sf_dir: str) -> str:
@@ -139,21 +169,12 @@ def ingest_review_csv(spark: SparkSession, sf_dir: str) -> str:
     doubled quotes, whitespace kept) under the shared checkpoint folder.
 
     This is the file shape the review workflow starts from.  Quoted fields may
-    hold newlines, so such files are read whole (``multiLine``); writing one
-    file per core keeps the read parallel.
+    hold newlines, so such files are read whole (``multiLine``); files of a
+    bounded number of rows keep the read parallel at any size.
     """
-    key = _source_key(spark, sf_dir)
-    sc = spark_context(spark)
-    cache_key = (sc.applicationId if sc is not None else id(spark), "csv|" + key)
-    if cache_key in _INGESTED:
-        return _INGESTED[cache_key]
-    path = table_path(spark, f"review_raw_csv_v1_{key}")
-    if not _exists(spark, path):
-        parts = max(1, sc.defaultParallelism if sc is not None else 8)
-        (spark.read.parquet(ingest_review_fixture(spark, sf_dir)).repartition(parts)
-         .write.mode("overwrite").options(**CSV_WRITE_OPTIONS).csv(path))
-    _INGESTED[cache_key] = path
-    return path
+    return _ingest(spark, sf_dir, "review_raw_csv_v2", lambda path: (
+        spark.read.parquet(ingest_review_fixture(spark, sf_dir)).write.mode("overwrite")
+        .option("maxRecordsPerFile", CSV_ROWS_PER_FILE).options(**CSV_WRITE_OPTIONS).csv(path)))
 
 
 def review_raw_csv(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,12 +44,17 @@ def read_reviews_parquet(spark: SparkSession, path: str) -> DataFrame:
     return normalise_missing(spark.read.parquet(path))
 
 
-def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """Dispatch on the file extension; a missing path raises Spark's PATH_NOT_FOUND."""
-    lowered = path.lower().rstrip("/")
-    if lowered.endswith(".csv") or lowered.endswith(".csv.gz") or lowered.endswith("*.csv"):
-        return read_reviews_csv(spark, path)
-    return read_reviews_parquet(spark, path)
+def read_reviews(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """Read a file, a folder of files or a glob as ``fmt`` (``csv`` or ``parquet``).
+
+    Without ``fmt`` the name decides; name it for a folder of CSV files.  A
+    missing path raises Spark's PATH_NOT_FOUND.
+    """
+    if fmt is None:
+        fmt = "csv" if path.lower().rstrip("/").endswith((".csv", ".csv.gz")) else "parquet"
+    if fmt not in ("csv", "parquet"):
+        raise ValueError(f"unknown review format: {fmt}")
+    return read_reviews_csv(spark, path) if fmt == "csv" else read_reviews_parquet(spark, path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

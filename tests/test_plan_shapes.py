@@ -2,9 +2,10 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from review_insights.plans import catalog
+from tests_support import records_read
 
-QUERIES = entry.queries()
+QUERIES = catalog.QUERIES
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "PythonUDF")
 
 
@@ -47,19 +48,34 @@ def test_no_cross_or_nested_loop_joins(spark, sf_small, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_keyword_documents_are_shuffled_once(spark, sf_small):
-    """Only the weighting pass co-locates documents; the vocabulary and class
-    sizes aggregate rows where they are."""
+def test_no_text_is_shuffled_by_the_keyword_query(spark, sf_small):
+    """Documents are tokenised where they are read; one shuffle by document carries ids."""
     final = _plan(spark, "keywords_tfidf", sf_small).split("== Initial Plan ==")[0]
     assert final.count("Exchange hashpartitioning(doc_id") == 1, final
+    assert final.count("regexp_extract_all") <= 2, final  # one tokeniser call in each of the two passes
 
 
-@pytest.mark.parametrize("name,max_scans", [
+@pytest.mark.parametrize("name,passes", [
     ("problem_analysis", 1), ("load_distributions", 1), ("scoring_report", 1), ("chart_label_comparison", 1),
-    ("data_summary", 2), ("keywords_tfidf", 3), ("report_top_keywords", 3),
+    ("classification_report", 1), ("confusion_matrix", 1), ("label_distributions", 1), ("roi_dashboard", 1),
+    ("chart_confidence_histogram", 1), ("null_audit", 2), ("data_summary", 2), ("competitive_position", 2),
+    ("business_report", 2), ("keywords_tfidf", 3), ("report_top_keywords", 3), ("conform_missing_columns", 2),
 ])
-def test_review_table_scans_are_bounded(spark, sf_small, name, max_scans):
-    """Report shapes that map aggregate rows with a generator (not filtered
-    copies of the aggregate) read the review table a fixed number of times."""
-    final = _plan(spark, name, sf_small).split("== Initial Plan ==")[0]
-    assert final.count("FileScan parquet") <= max_scans, final
+def test_review_table_passes_are_bounded(spark, sf_small, name, passes):
+    """Rows that tasks read from files, from Spark's event log, against the table's rows."""
+    QUERIES["negative_count"](spark, sf_small).collect()  # the ingest is done before counting
+    total = spark.read.parquet(f"{sf_small}/lineitem.parquet").count()
+    read = records_read(spark, lambda: QUERIES[name](spark, sf_small).collect())
+    assert read <= passes * total, (read, total)
+
+
+BUILDS_NOTHING = sorted(set(QUERIES) - {
+    # these write a table or fit a model while they are built, or check the size of a broadcast
+    "table_write", "scored_export", "report_file", "score_mllib", "preprocess", "null_audit"})
+
+
+@pytest.mark.parametrize("name", BUILDS_NOTHING)
+def test_building_a_query_reads_nothing(spark, sf_small, name):
+    QUERIES["negative_count"](spark, sf_small).collect()
+    QUERIES["csv_scan"](spark, sf_small)
+    assert records_read(spark, lambda: QUERIES[name](spark, sf_small)) == 0
