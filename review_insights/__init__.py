@@ -11,3 +11,10 @@ Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# functions and classes of the package travel to executors by value: workers need no copy of it
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
