@@ -41,7 +41,7 @@ def priority_scores(problems: DataFrame, templates: DataFrame | None = None) ->
     ones that drive the ranking and the success probability.
     """
     templates = templates if templates is not None else template_frame(problems.sparkSession)
-    j = problems.join(F.broadcast(templates), "problem_type", "inner")
+    j = problems.join(templates, "problem_type", "inner")
     freq = F.col("percentage") / 100
     intensity = F.lit(1.0) - F.col("avg_confidence")
     impact = F.col("impact_multiplier")

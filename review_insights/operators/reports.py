@@ -22,13 +22,16 @@ def _row(section: str, metric: str, key: Column | None, value: Column) -> Column
 
 
 def scoring_report(scored: DataFrame, accuracy: DataFrame | None = None, with_accuracy: bool = False,
-                   true_col: str = "sentiment_label", pred_col: str = "bert_sentiment") -> DataFrame:
+                   true_col: str = "sentiment_label", pred_col: str = "bert_sentiment",
+                   keywords: DataFrame | None = None) -> DataFrame:
     """Scoring summary as ``(section, metric, key, value)``: rows, completion %,
     sentiment counts and % of rows, mean confidence, accuracy, negatives and the
     five most frequent problems as % of negatives.
 
     ``with_accuracy`` computes the accuracy (rows with both labels, 4 dp) in the
-    same pass; a precomputed ``accuracy`` frame is appended as given."""
+    same pass; a precomputed ``accuracy`` frame is appended as given.  ``keywords``
+    (``sentiment, rank, term``) adds the first five terms of the negative and the
+    positive class: the class as metric, the term as key, its rank as value."""
     both = F.col(true_col).isNotNull() & F.col(pred_col).isNotNull()
     acc = (F.avg(F.when(both, (F.col(true_col) == F.col(pred_col)).cast("int"))) if with_accuracy
            else F.lit(None).cast("double"))
@@ -79,6 +82,10 @@ def scoring_report(scored: DataFrame, accuracy: DataFrame | None = None, with_ac
     if accuracy is not None:
         out = out.unionByName(accuracy.select(F.explode(F.array(
             _row("accuracy", "accuracy", None, F.col("accuracy")))).alias("r")).select("r.*"))
+    if keywords is not None:
+        top = keywords.where(F.col("sentiment").isin(K.NEGATIVE, K.POSITIVE) & (F.col("rank") <= 5))
+        out = out.unionByName(top.select(F.lit("keywords").alias("section"), F.col("sentiment").alias("metric"),
+                                         F.col("term").alias("key"), F.col("rank").cast("double").alias("value")))
     return out
 
 

@@ -127,12 +127,23 @@ def sentiment_stats(df: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------------------- MLlib --
 
+MAX_TRAINING_ROWS = 200_000
+
+
 def train_sentiment_model(df: DataFrame, text_col: str = "review_text", label_col: str = "sentiment_label",
-                          num_features: int = 1 << 18, max_iter: int = 20, reg_param: float = 0.01) -> PipelineModel:
+                          num_features: int = 1 << 18, max_iter: int = 20, reg_param: float = 0.01,
+                          max_rows: int = MAX_TRAINING_ROWS) -> PipelineModel:
     """Fit tokenise -> stop words -> hashing TF -> IDF -> multinomial logistic
-    regression on the rating-derived labels.  Training is distributed by MLlib."""
+    regression on the rating-derived labels.  Training is distributed by MLlib.
+
+    At most ``max_rows`` labelled rows are used for the fit, taken in the order of a
+    hash of text and label (the same rows whatever the partitioning); scoring
+    covers every row.
+    """
     train = df.where(F.col(label_col).isNotNull()).select(
         F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(label_col).alias("_label"))
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    train = train.orderBy(F.xxhash64("_text", "_label")).limit(max_rows).repartition(slices)
     stages = [
         StringIndexer(inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc"),
         RegexTokenizer(inputCol="_text", outputCol="_tok", pattern="[^a-zA-Z]+", toLowercase=True, minTokenLength=2),

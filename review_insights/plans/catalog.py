@@ -806,7 +806,7 @@ def q_chart_problem_names(spark, sf_dir):
 
 # ---------------------------------------------------------------- reports --
 
-@register("scoring_report", """
+_SCORING_REPORT_SQL = """
 WITH one AS (SELECT count(*) AS n, count(bert_sentiment) AS scored_n, avg(bert_confidence) AS avg_conf,
                     count(*) FILTER (WHERE bert_sentiment = 'negative') AS neg FROM scored),
 acc AS (SELECT round(avg(CASE WHEN sentiment_label = bert_sentiment THEN 1 ELSE 0 END), 4) AS accuracy
@@ -826,7 +826,10 @@ SELECT section, metric, key, round(value, 6) AS value FROM (
   UNION ALL SELECT 'problems', 'pct_of_negative', problem_category, round(c / (SELECT neg FROM one) * 100, 1) FROM top
   UNION ALL SELECT 'accuracy', 'accuracy', NULL, accuracy FROM acc
 )
-""")
+"""
+
+
+@register("scoring_report", _SCORING_REPORT_SQL)
 def q_scoring_report(spark, sf_dir):
     sc = frames.scored(spark, sf_dir)
     r = reports.scoring_report(sc, with_accuracy=True)
@@ -1214,3 +1217,14 @@ def q_document_keywords(spark, sf_dir):
     """K1..K6 on whole documents, classed by the lexicon."""
     kw = keywords.extract_keywords(scoring.score_lexicon(_documents(spark, sf_dir)))
     return kw.select("sentiment", "rank", "term", r6(F.round("importance", 10)).alias("importance"))
+
+
+@register("scoring_report_full", lambda: "WITH kk AS (" + O.sql(_report_keywords_sql()) + "),\nrr AS (" + O.sql(_SCORING_REPORT_SQL) + """)
+SELECT section, metric, key, value FROM rr
+UNION ALL SELECT 'keywords', sentiment, term, CAST(rank AS DOUBLE) FROM kk""")
+def q_scoring_report_full(spark, sf_dir):
+    """R1 with the first five keywords of the negative and the positive class."""
+    sc = frames.scored(spark, sf_dir)
+    classed = sc.where(F.col("bert_sentiment").isin(K.NEGATIVE, K.POSITIVE))
+    r = reports.scoring_report(sc, with_accuracy=True, keywords=keywords.extract_keywords(classed, top_k=5))
+    return r.select("section", "metric", "key", r6("value").alias("value"))

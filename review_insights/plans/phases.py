@@ -81,10 +81,15 @@ def analyze_phase(spark: SparkSession, processed_path: str, out_dir: str | None
     s = spark.read.parquet(out.tables["scored"])
     out.tables["results_csv"] = _out(spark, out_dir, "sentiment_analysis_results_csv")
     out.rows["results_csv"] = sinks.write_table(sinks.scored_export(s), out.tables["results_csv"], fmt="csv")
+    if scoring.ERROR_COL in s.columns:
+        # rows of batches whose scorer failed and that carry the fallback label
+        out.rows["score_errors"] = s.where(F.col(scoring.ERROR_COL)).count()
+    out.tables["keywords"] = _out(spark, out_dir, "keywords")
+    out.rows["keywords"] = sinks.write_table(keywords.extract_keywords(s), out.tables["keywords"])
+    terms = spark.read.parquet(out.tables["keywords"])
     small = {
-        "keywords": keywords.extract_keywords(s),
         "classification_report": validation.classification_report(validation.valid_pairs(s)),
-        "scoring_report": reports.scoring_report(s, with_accuracy=True),
+        "scoring_report": reports.scoring_report(s, with_accuracy=True, keywords=terms),
     }
     for name, frame in small.items():
         out.tables[name] = _out(spark, out_dir, name)

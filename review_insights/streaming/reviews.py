@@ -56,7 +56,7 @@ def classify_stream(raw: DataFrame, category_stats: DataFrame | None = None) ->
     reviews = conform.conform_reviews(raw)
     processed = preprocess.preprocess(reviews, with_category_stats=False)
     if category_stats is not None:
-        processed = processed.join(F.broadcast(category_stats), "product_category", "inner")
+        processed = processed.join(category_stats, "product_category", "inner")
     return problems.classify_problems(processed)
 
 
