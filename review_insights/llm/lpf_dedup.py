@@ -49,13 +49,14 @@ from review_insights.llm.common import SpanHash, blocks, id_and_bytes, packed, p
 
 SPAN = 100
 ANCHOR = 32
-UNIT_BYTES = 24_000_000
+UNIT_BYTES = 8_000_000
 UNIT_DOCS = 60_000
 TILE = 1 << 22
 HOT_AT = 100_000
 MAX_HOT = 1 << 16
 LOCAL_HOT = 8
 BUCKETS_PER_PARTITION = 4
+SORT_AT = 50_000        # suffixes sorted together
 
 _LAST = np.iinfo(np.int64).max      # stands for a null id in the order
 _PLACE = np.uint64((1 << 28) - 1)
@@ -345,18 +346,26 @@ def repeated_windows(text: np.ndarray, starts: np.ndarray, order_keys: tuple[np.
     """
     out = np.zeros(len(starts), bool)
     h = SpanHash(text).of(starts, starts + SPAN)
-    _, place, count = np.unique(h, return_inverse=True, return_counts=True)
-    some = np.flatnonzero(count[place] > 1)
+    by = np.argsort(h, kind="stable")
+    same = h[by[1:]] == h[by[:-1]]
+    some = by[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
     if len(some) == 0:
         return out
-    words = -(-SPAN // 8)
-    padded = np.zeros((len(some), words * 8), np.uint8)
-    padded[:, :SPAN] = text[starts[some, None] + np.arange(SPAN)]
-    columns = padded.view(">u8").astype(np.uint64)
-    suffix_order = np.lexsort(tuple(k[some] for k in reversed(order_keys)) + tuple(columns[:, c] for c in range(words - 1, -1, -1)))
-    ordered = columns[suffix_order]
-    equal = (ordered[1:] == ordered[:-1]).all(axis=1)  # common prefix of SPAN with the predecessor
-    out[some[suffix_order[1:][equal]]] = True
+    # suffixes of one hash are sorted together, about SORT_AT at a time
+    edge = np.flatnonzero(np.concatenate([[True], h[some[1:]] != h[some[:-1]]]))
+    edge = np.append(edge[np.concatenate([[True], np.diff(edge // SORT_AT) > 0])], len(some))
+    for lo, hi in zip(edge[:-1], edge[1:]):
+        part = some[lo:hi]
+        padded = np.zeros((len(part), -(-SPAN // 8) * 8), np.uint8)
+        for at in range(0, len(part), SORT_AT):
+            padded[at:at + SORT_AT, :SPAN] = text[starts[part[at:at + SORT_AT], None] + np.arange(SPAN)]
+        columns = padded.view(">u8")
+        order = np.lexsort(tuple(k[part] for k in reversed(order_keys)) + tuple(columns[:, c] for c in range(columns.shape[1] - 1, -1, -1)))
+        equal = np.ones(len(part) - 1, bool)  # common prefix of SPAN with the predecessor in suffix order
+        for c in range(columns.shape[1]):
+            column = columns[order, c]
+            equal &= column[1:] == column[:-1]
+        out[part[order[1:][equal]]] = True
     return out
 
 
@@ -415,15 +424,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo = offsets[t["doc"]] + t["start"]
             np.add.at(change, lo, 1)
             np.add.at(change, lo + t["count"] + SPAN - 1, -1)
-        covered = np.cumsum(change[:-1]) > 0
+        covered = np.cumsum(change[:-1], dtype=np.int32) > 0
         before = np.zeros(len(data), bool)
         before[1:] = covered[:-1]
         first = offsets[:-1][np.diff(offsets) > 0]
         before[first] = False
-        removed = np.concatenate([[0], np.cumsum(covered)])
-        spans = np.concatenate([[0], np.cumsum(covered & ~before)])
-        n = np.diff(offsets)
-        gone, runs = np.diff(removed[offsets]), np.diff(spans[offsets])
+        n, filled = np.diff(offsets), np.diff(offsets) > 0
+        gone, runs = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        if len(first):
+            gone[filled] = np.add.reduceat(covered, first, dtype=np.int64)
+            runs[filled] = np.add.reduceat(covered & ~before, first, dtype=np.int64)
         shas = []
         for i in range(len(ids)):
             a, b = offsets[i], offsets[i + 1]
