@@ -26,18 +26,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+#: Tables of a few numbers a row (ids, pairs, edges) use one partition in so many.
+NARROW = 16
+
+
+def narrowed(df: DataFrame) -> DataFrame:
+    """Fewer partitions for rows of a few numbers, in proportion to the shuffle partitions."""
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // NARROW))
+
+
+def saved(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
     Cuts the lineage: what follows survives the loss of any executor without
-    running the steps above again.
+    running the steps above again.  ``narrow``: see :func:`narrowed`.
     """
     spark = df.sparkSession
+    df = narrowed(df) if narrow else df
     path = table_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Row ids (8 bytes each) up to which a look-up is broadcast; beyond, it is a shuffle join.
+BROADCAST_IDS = 500_000
+
+
+def small_enough(ids: DataFrame, at_most: int | None = None) -> DataFrame:
+    """A table of ids, marked for broadcast if its checked size (or a known bound) allows."""
+    bound = ids.count() if at_most is None else at_most
+    return F.broadcast(ids) if bound <= BROADCAST_IDS else ids.hint("merge")
+
+
+def without_rows(docs: DataFrame, row: str, dropped: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """``columns`` of the rows of ``docs`` whose ``row`` is not in ``dropped`` (one column, ``row``)."""
+    gone = small_enough(saved(dropped, name, narrow=True))
+    return docs.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+
+
 def id_and_bytes(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """``(id, data, ...)``: the id as long and the UTF-8 bytes of the text (null: empty).
     No other column of ``docs`` is read, so extra columns cannot clash."""

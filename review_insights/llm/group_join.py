@@ -15,9 +15,10 @@ Method
    size become one group, and only groups enter the join.
 4. Group pairs from the lists of groups by prefix shingle, filtered by size and
    position; first each list against its leading groups only (a star, linear
-   in the list), then, for lists that still hold more than one component,
-   all pairs between components in blocks, filtered by size, position and a
-   bitmap bound on the overlap before a pair is written.
+   in the list), if they share many lists.  Lists that still hold more than one
+   component are paired in blocks, filtered by size and by a bitmap bound on
+   the overlap: first a spanning forest of the best pairs (linear too), then
+   every pair that is left between components.
 5. Expand the group pairs to class pairs, verify each on the whole texts.
 
 Since only pairs of one component are ever left out, the components are those
@@ -39,54 +40,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from review_insights.llm.common import SpanHash, blocks, id_and_bytes, joined_bytes, mix, saved, words
+from review_insights.llm.common import (SpanHash, blocks, id_and_bytes, joined_bytes, mix, narrowed, packed, partition_id, saved,
+                                        small_enough, unpacked, unused, without_rows, words)
 from review_insights.llm.components import components
 
-HEAVY = 1 << 16          # most frequent shingles that go last in the order (size of the broadcast)
+HEAVY = 1 << 18          # most frequent shingles that go last in the order (size of the broadcast)
 HUBS = 2                 # leading groups of a list that all its groups are held against first
-SALT = 16                # parts of the list of a heavy shingle
+EVIDENCE = 4             # such a pair is verified at once if it shares a list for every 4 prefix shingles
+BUCKETS_PER_PARTITION = 2
 BLOCK = 1024             # groups per block of the all-pairs step
-COUNT_AT = 4_000_000     # shingles counted together inside a task
-BROADCAST_IDS = 500_000  # ids (8 bytes each) up to which the text look-up is broadcast
-BITS = 1024
+SMALL = 64               # lists up to this size are paired together, by distance
+COUNT_AT = 1_000_000     # shingles counted together inside a task
+BITS = 4096              # of the bitmap that bounds the overlap of two sets
 
+_POSTING = np.dtype([("tok", "<u4"), ("grp", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("heavy", "u1")])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _CHAIN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of every row, sorted, and where each row's begin."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of every row."""
     rows = len(offsets) - 1
     x = _LOWER[data]
     start, end, row = words(x, offsets)
     if len(start) == 0:
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
+        return [np.zeros(0, np.uint64)] * rows
     h = SpanHash(x).of(start, end)
     per_row = np.bincount(row, minlength=rows)
     first = np.cumsum(per_row) - per_row
-    keys, owners = [], []
+    short: dict[int, np.uint64] = {}
     k, n = h, len(h)
     for step in range(1, size + 1):
         if step > 1:
-            if n - step + 1 <= 0:
-                break
-            k = mix(k[:n - step + 1] * _CHAIN + h[step - 1:])
+            k = mix(k[:max(0, n - step + 1)] * _CHAIN + h[step - 1:]) if n >= step else k[:0]
         if step < size:
-            short = np.flatnonzero(per_row == step)
-            keys.append(k[first[short]])
-            owners.append(short)
+            for i in np.flatnonzero(per_row == step):
+                short[i] = k[first[i]]
+    out = []
+    for i in range(rows):
+        if per_row[i] >= size:
+            s = np.sort(k[first[i]:first[i] + per_row[i] - size + 1])
+            new = np.empty(len(s), bool)
+            new[0] = True
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            out.append(s[new])
         else:
-            inside = row[step - 1:] == row[:n - step + 1]
-            keys.append(k[inside])
-            owners.append(row[:n - step + 1][inside])
-    key, owner = np.concatenate(keys), np.concatenate(owners)
-    order = np.lexsort((key, owner))
-    key, owner = key[order], owner[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-    key, owner = key[new], owner[new]
-    return key, np.searchsorted(owner, np.arange(rows + 1))
+            out.append(np.array([short[i]], np.uint64) if per_row[i] else np.zeros(0, np.uint64))
+    return out
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -96,9 +97,7 @@ def prefix_length(n: int, num: int, den: int) -> int:
 def _row_sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
     data, offsets = joined_bytes(batch.column("data"))
     for lo, hi in blocks(offsets):
-        key, cut = shingle_sets(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], size)
-        for i in range(hi - lo):
-            yield lo + i, key[cut[i]:cut[i + 1]]
+        yield from enumerate(shingle_sets(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], size), lo)
 
 
 def _count_often(size: int):
@@ -130,7 +129,7 @@ def _count_often(size: int):
 
 
 def _sign(shared, size: int, num: int, den: int):
-    """Per document: set size, set digest, prefix, bitmap and compressed words."""
+    """Per document: set size, digests of set and prefix, prefix, bitmap and compressed words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -138,12 +137,14 @@ def _sign(shared, size: int, num: int, den: int):
         press = zstandard.ZstdCompressor(level=3)
         top = np.uint64(1) << np.uint64(63)
         for batch in batches:
-            n, d1, d2, lights, bits, packed, prefixes = [], [], [], [], [], [], []
+            n, d1, d2, p1, p2, lights, bits, packed, prefixes = [], [], [], [], [], [], [], [], []
             texts = batch.column("data")
             for i, s in _row_sets(batch, size):
                 n.append(len(s))
                 if len(s) == 0:
-                    d1.append(0), d2.append(0), lights.append(0), bits.append(None), packed.append(None)
+                    for column in (d1, d2, p1, p2, lights):
+                        column.append(0)
+                    bits.append(None), packed.append(None)
                     prefixes.append(np.zeros(0, np.int32))
                     continue
                 d1.append(int(mix(s).sum(dtype=np.uint64)))
@@ -158,6 +159,8 @@ def _sign(shared, size: int, num: int, den: int):
                 pick = pick[np.argsort(order[pick])]
                 prefixes.append((s[pick] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
                 lights.append(int((order[pick] < top).sum()))
+                p1.append(int(mix(s[pick] + _CHAIN).sum(dtype=np.uint64)))
+                p2.append(int(mix(s[pick] ^ top).sum(dtype=np.uint64)))
                 flags = np.zeros(BITS, np.uint8)
                 flags[(s & np.uint64(BITS - 1)).astype(np.int64)] = 1
                 bits.append(np.packbits(flags).tobytes())
@@ -166,13 +169,13 @@ def _sign(shared, size: int, num: int, den: int):
             prefix = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([
                 batch.column("row"), batch.column("id"), pa.array(n, pa.int32()),
-                pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(np.array(d2, np.uint64).view(np.int64)),
+                *[pa.array(np.array(c, np.uint64).view(np.int64)) for c in (d1, d2, p1, p2)],
                 prefix, pa.array(lights, pa.int32()), pa.array(bits, pa.binary()), pa.array(packed, pa.binary())],
-                names=["row", "id", "n", "d1", "d2", "prefix", "light", "bits", "packed"])
+                names=["row", "id", "n", "d1", "d2", "p1", "p2", "prefix", "light", "bits", "packed"])
     return run
 
 
-_SIGNED = ("row long, id long, n int, d1 long, d2 long, prefix array<int>, light int, bits binary, packed binary")
+_SIGNED = ("row long, id long, n int, d1 long, d2 long, p1 long, p2 long, prefix array<int>, light int, bits binary, packed binary")
 
 
 def least_overlap(n1, n2, num: int, den: int):
@@ -186,103 +189,164 @@ def _fits(n1, pos1, n2, pos2, num: int, den: int):
     return (den * small >= num * large) & (np.minimum(n1 - pos1, n2 - pos2) >= least_overlap(n1, n2, num, den))
 
 
+def _post(buckets: int):
+    """Prefix shingles of the groups as compressed blocks, by shingle.  The lists of
+    heavy shingles are dealt over all buckets, a part for each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = partition_id()
+        for batch in batches:
+            prefix = batch.column("prefix")
+            size = np.diff(prefix.offsets.to_numpy()).astype(np.int64)
+            owner = np.repeat(np.arange(len(size)), size)
+            rows = np.empty(len(owner), _POSTING)
+            rows["tok"] = prefix.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+            rows["grp"] = batch.column("cls").to_numpy()[owner]
+            rows["n"] = batch.column("n").to_numpy()[owner]
+            rows["pos"] = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+            rows["heavy"] = rows["pos"] >= batch.column("light").to_numpy()[owner]
+            bucket = (rows["tok"].astype(np.int64) + rows["heavy"] * salt) % buckets
+            by = np.lexsort((rows["pos"], rows["grp"], bucket))
+            rows, bucket = rows[by], bucket[by]
+            edges = np.searchsorted(bucket, np.arange(buckets + 1))
+            found = [(k, packed(rows[edges[k]:edges[k + 1]])) for k in range(buckets) if edges[k] < edges[k + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())],
+                                             names=["bucket", "data"])
+    return run
+
+
 def _star(num: int, den: int):
-    """Streams over rows sorted by (list, pos, n, grp): pairs of the leading groups
-    with the rest (``other`` set), and the rows of lists with two groups or more."""
+    """Blocks come sorted by bucket.  Of every list of two groups or more: its rows,
+    and the pairs of its leading groups with the rest (``other`` set; ``tok`` is
+    the number of lists they share here, ``n`` the smaller size)."""
+    def stars(held: list[bytes]) -> pa.RecordBatch:
+        t = np.concatenate([unpacked(h, _POSTING) for h in held])
+        t = t[np.lexsort((t["grp"], t["tok"]))]
+        tok, grp, n, pos = t["tok"], t["grp"], t["n"].astype(np.int64), t["pos"].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+        size = np.diff(np.append(first, len(tok)))
+        start, length = np.repeat(first, size), np.repeat(size, size)
+        pairs = []
+        for hub in range(HUBS):
+            at = np.flatnonzero(np.arange(len(tok)) > start + hub)
+            lead = start[at] + hub
+            ok = _fits(n[at], pos[at], n[lead], pos[lead], num, den)
+            pairs.append(np.stack([grp[lead[ok]], grp[at[ok]], np.minimum(n[lead[ok]], n[at[ok]])], axis=1))
+        both, shared = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+        keep = (length >= 2) | (t["heavy"] > 0)  # other parts of a heavy list may hold more
+        k, p = int(keep.sum()), len(both)
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([both[:, 0], grp[keep]])),
+            pa.array(np.concatenate([both[:, 1], np.zeros(k, np.int64)]), mask=np.arange(p + k) >= p),
+            pa.array(np.concatenate([shared, tok[keep].astype(np.int64)])),
+            pa.array(np.concatenate([both[:, 2], n[keep]]))], names=["grp", "other", "tok", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("grp", pa.int64()), ("other", pa.int64()), ("tok", pa.int32()), ("n", pa.int64()), ("pos", pa.int64())])
-        current, hubs, waiting = None, [], None
+        current, held = None, []
         for batch in batches:
-            tok, salt, pos, n, grp = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
-                                      for c in ("tok", "salt", "pos", "n", "grp"))
-            key = (tok << 8) + salt
-            pairs: list[tuple[np.ndarray, np.ndarray]] = []
-            keep = np.zeros(len(key), bool)
-            keep[salt > 0] = True  # other parts of a salted list may hold more
-            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            long = np.diff(edge) >= 2
-            if len(long):
-                long[0] = long[-1] = True
-            for a, b in zip(edge[:-1][long], edge[1:][long]):
-                if key[a] != current:
-                    current, hubs, waiting = key[a], [], None
-                if waiting is not None or b - a >= 2 or hubs:
-                    keep[a:b] = True
-                    if waiting is not None:
-                        yield pa.RecordBatch.from_pydict({"grp": [waiting[0]], "other": [None], "tok": [waiting[3]],
-                                                          "n": [waiting[1]], "pos": [waiting[2]]}, schema=schema)
-                        waiting = None
-                elif salt[a] == 0:
-                    waiting = (int(grp[a]), int(n[a]), int(pos[a]), int(tok[a]))
-                for j in range(a, b):
-                    if len(hubs) >= HUBS:
-                        break
-                    hubs.append((int(grp[j]), int(n[j]), int(pos[j]), j))
-                for g, hn, hp, at in hubs:
-                    rest = np.arange(a, b)
-                    rest = rest[grp[a:b] != g]
-                    ok = rest[_fits(n[rest], pos[rest], hn, hp, num, den)]
-                    pairs.append((np.full(len(ok), g), grp[ok]))
-            # a list that ends with the batch may go on in the next one
-            if len(pairs):
-                g, o = (np.concatenate(c) for c in zip(*pairs))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.minimum(g, o)), pa.array(np.maximum(g, o)), pa.nulls(len(g), pa.int32()),
-                    pa.nulls(len(g), pa.int64()), pa.nulls(len(g), pa.int64())], schema=schema)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(grp[keep]), pa.nulls(int(keep.sum()), pa.int64()), pa.array(tok[keep].astype(np.int32)),
-                pa.array(n[keep]), pa.array(pos[keep])], schema=schema)
+            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data")):
+                if bucket != current and held:
+                    yield stars(held)
+                    held = []
+                current = bucket
+                held.append(data.as_py())
+        if held:
+            yield stars(held)
     return run
 
 
-def _block_pairs(num: int, den: int):
-    """All pairs of a block pair that lie in different components and pass the
-    size, position and bitmap filters.  Rows come sorted by (list, p, q)."""
-    def enumerate_group(rows: dict) -> tuple[np.ndarray, np.ndarray]:
-        p, q, part = rows["p"][0], rows["q"][0], rows["part"]
-        left = np.flatnonzero(part == p)
-        right = left if p == q else np.flatnonzero(part == q)
+def _spanning(a: np.ndarray, b: np.ndarray, score: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Places of the pairs that join two of the ``group`` labels not yet joined by
+    better pairs: a spanning forest, best scores first."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for i in np.argsort(-score, kind="stable").tolist():
+        x, y = find(int(group[a[i]])), find(int(group[b[i]]))
+        if x != y:
+            parent[x] = y
+            out.append(i)
+    return np.array(out, np.int64)
+
+
+def _block_pairs(num: int, den: int, forest: bool):
+    """All pairs of a block pair that lie in different components and pass the size
+    and bitmap filters, or with ``forest`` a spanning forest of them and the lists
+    that have any (only ``list`` set).  Rows come sorted by (list, p, q)."""
+    def passing(rows: dict, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n1, n2 = rows["n"][a], rows["n"][b]
+        ok = (den * np.minimum(n1, n2) >= num * np.maximum(n1, n2)) & (rows["grp"][a] != rows["grp"][b])
+        ok &= (rows["comp"][a] != rows["comp"][b]) | rows["mixed"][a] | rows["mixed"][b]
+        a, b = a[ok], b[ok]
+        n = rows["n"][a] + rows["n"][b]
+        most = (n - np.bitwise_count(rows["bits"][a] ^ rows["bits"][b]).sum(axis=1, dtype=np.int64)) // 2
+        ok = (most >= least_overlap(n, 0, num, den)) | ~rows["exact"][a] | ~rows["exact"][b]
+        return a[ok], b[ok], most[ok] / n[ok]
+
+    def pairs_of(rows: dict) -> pa.RecordBatch:
+        total = len(rows["list"])
+        edge = np.flatnonzero(_changes(rows))
+        size = np.diff(np.append(edge, total))
+        stop = np.repeat(edge + size, size)
         found = []
-        for at in range(0, len(left), 64):
-            i, j = left[at:at + 64, None], right[None, :]
-            ok = _fits(rows["n"][i], rows["pos"][i], rows["n"][j], rows["pos"][j], num, den)
-            ok &= (rows["comp"][i] != rows["comp"][j]) | rows["mixed"][i] | rows["mixed"][j]
-            ok &= rows["grp"][i] < rows["grp"][j] if p == q else rows["grp"][i] != rows["grp"][j]
-            a, b = np.nonzero(ok)
-            a, b = left[at:at + 64][a], right[b]
-            apart = np.bitwise_count(rows["bits"][a] ^ rows["bits"][b]).sum(axis=1, dtype=np.int64)
-            most = (rows["n"][a] + rows["n"][b] - apart) // 2
-            good = (most >= least_overlap(rows["n"][a], rows["n"][b], num, den)) | ~rows["exact"][a] | ~rows["exact"][b]
-            found.append((rows["grp"][a[good]], rows["grp"][b[good]]))
-        x, y = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-        return np.minimum(x, y), np.maximum(x, y)
+        small = np.repeat(size <= SMALL, size)
+        place = np.flatnonzero(small)
+        for step in range(1, int(size[size <= SMALL].max(initial=1))):
+            place = place[place + step < stop[place]]
+            found.append(passing(rows, place, place + step))
+        for lo, n in zip(edge[size > SMALL], size[size > SMALL]):
+            part = rows["part"][lo:lo + n]
+            left = lo + np.flatnonzero(part == rows["p"][lo])
+            right = left if rows["p"][lo] == rows["q"][lo] else lo + np.flatnonzero(part == rows["q"][lo])
+            for at in range(0, len(left), 64):
+                a, b = np.repeat(left[at:at + 64], len(right)), np.tile(right, len(left[at:at + 64]))
+                if right is left:
+                    a, b = a[a < b], b[a < b]
+                found.append(passing(rows, a, b))
+        a, b, score = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        busy = np.unique(rows["list"][a])
+        if forest:
+            pick = _spanning(a, b, score, rows["comp"])
+            a, b = a[pick], b[pick]
+        x, y = rows["grp"][a], rows["grp"][b]
+        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+        pairs, marks = len(both), len(busy) if forest else 0
+        none = np.arange(pairs + marks) >= pairs
+        ids = [np.concatenate([both[:, k], np.zeros(marks, np.int64)]) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(ids[0], mask=none), pa.array(ids[1], mask=none),
+                                           pa.array(np.concatenate([np.zeros(pairs, np.int64), busy[:marks]]), mask=~none)],
+                                          names=["a", "b", "list"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-
-        def emit() -> pa.RecordBatch:
-            rows = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-            a, b = enumerate_group(rows)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
         for batch in batches:
-            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("list", "p", "q", "part", "grp", "n", "pos", "comp")}
-            cols["mixed"], cols["exact"] = (batch.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("mixed", "exact"))
-            cols["bits"] = joined_bytes(batch.column("bits"))[0].reshape(-1, BITS // 8).view(np.uint64)
-            change = np.ones(len(cols["list"]), bool)
-            change[1:] = (cols["list"][1:] != cols["list"][:-1]) | (cols["p"][1:] != cols["p"][:-1]) | (cols["q"][1:] != cols["q"][:-1])
-            edge = np.append(np.flatnonzero(change), len(change))
-            for a, b in zip(edge[:-1], edge[1:]):
-                part = {k: v[a:b] for k, v in cols.items()}
-                if held and any(held[0][k][0] != part[k][0] for k in ("list", "p", "q")):
-                    yield emit()
-                    held = []
-                held.append(part)
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("list", "p", "q", "part", "grp", "n", "comp")}
+            rows["mixed"], rows["exact"] = (batch.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("mixed", "exact"))
+            rows["bits"] = joined_bytes(batch.column("bits"))[0].reshape(-1, BITS // 8).view(np.uint64)
+            held.append(rows)
+            whole = {k: np.concatenate([h[k] for h in held]) for k in rows}
+            cut = np.flatnonzero(_changes(whole))[-1:]  # the last block pair may go on in the next batch
+            if len(cut) and cut[0]:
+                yield pairs_of({k: v[:cut[0]] for k, v in whole.items()})
+            held = [{k: v[cut[0]:] for k, v in whole.items()}] if len(cut) else []
         if held:
-            yield emit()
+            yield pairs_of(held[0])
     return run
 
 
+def _changes(rows: dict) -> np.ndarray:
+    change = np.ones(len(rows["list"]), bool)
+    change[1:] = False
+    for c in ("list", "p", "q"):
+        change[1:] |= rows[c][1:] != rows[c][:-1]
+    return change
+
+
 def _verify(size: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -312,15 +376,20 @@ def _verify(size: int, num: int, den: int):
     return run
 
 
+def _rows_of(signed: DataFrame, ids: DataFrame, at_most: int, column: str) -> DataFrame:
+    """``row`` and one wide column of ``signed`` for the rows in ``ids``: the ids are
+    broadcast up to a checked number, else shuffled."""
+    return signed.select("row", column).join(small_enough(ids.distinct(), at_most), "row", "left_semi")
+
+
 def _links(pairs: DataFrame, signed: DataFrame, size: int, num: int, den: int, name: str) -> DataFrame:
     """The pairs that are links, by exact overlap of their whole texts."""
-    pairs = saved(pairs, f"{name}-pairs")
-    ids = saved(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), f"{name}-ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = saved(signed.select("row", "packed").join(F.broadcast(ids) if few else ids, "row", "left_semi"), f"{name}-texts")
-    full = (pairs.join(texts.select(F.col("row").alias("b"), F.col("packed").alias("packed_b")), "b")
-            .join(texts.select(F.col("row").alias("a"), F.col("packed").alias("packed_a")), "a"))
-    return saved(full.select("a", "b", "packed_a", "packed_b").mapInArrow(_verify(size, num, den), "a long, b long"), f"{name}-links")
+    pairs = saved(pairs, f"{name}-pairs", narrow=True)
+    texts = _rows_of(signed, pairs.select(F.explode(F.array("a", "b")).alias("row")), 2 * pairs.count(), "packed")
+    full = (pairs.join(texts.withColumnsRenamed({"row": "b", "packed": "packed_b"}).hint("merge"), "b")
+            .join(texts.withColumnsRenamed({"row": "a", "packed": "packed_a"}).hint("merge"), "a"))
+    full = narrowed(full.select("a", "b", "packed_a", "packed_b"))
+    return saved(full.mapInArrow(_verify(size, num, den), "a long, b long"), f"{name}-links")
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
@@ -336,8 +405,8 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     source = id_and_bytes(docs, id_col, text_col, row.cast("long").alias("row"))
 
     often = source.mapInArrow(_count_often(size), "shingle long, found long").groupBy("shingle").agg(F.sum("found").alias("found"))
-    top = often.orderBy(F.desc("found"), "shingle").limit(HEAVY).collect()  # at most HEAVY rows of 16 bytes
-    key = np.array([r["shingle"] for r in top], np.int64).view(np.uint64)
+    top = often.orderBy(F.desc("found"), "shingle").limit(HEAVY).select("shingle").toArrow()  # at most HEAVY values of 8 bytes
+    key = top.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(key)
     rank = np.arange(len(key), 0, -1).astype(np.uint64)  # the most frequent shingle is the very last
     shared = spark.sparkContext.broadcast((key[order], rank[order]))
@@ -346,57 +415,38 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     filled = signed.where("n > 0")
     first = F.struct(F.col("id").isNull(), "id", "row")
     leaders = filled.groupBy("n", "d1", "d2").agg(F.min(first)["row"].alias("cls"))
-    leads = F.col("row") == F.col("cls")
-    member = saved(filled.select("row", "id", "n", "d1", "d2", "prefix", "light", "bits").join(leaders, ["n", "d1", "d2"])
-                   .select("row", "id", "cls", "n", F.when(leads, F.col("prefix")).alias("prefix"), "light",
-                           F.when(leads, F.col("bits")).alias("bits")), "join-classes")
-    classes = member.where("row = cls").select("cls", "n", "prefix", "light", "bits",
-                                               F.xxhash64("prefix").alias("p1"), F.xxhash64("prefix", F.lit(1)).alias("p2"))
+    member = saved(filled.select("row", "id", "n", "d1", "d2", "p1", "p2").join(leaders, ["n", "d1", "d2"])
+                   .select("row", "id", "cls", "n", "p1", "p2"), "join-classes", narrow=True)
+    classes = member.where("row = cls").select("cls", "n", "p1", "p2")
     groups = classes.groupBy("n", "p1", "p2").agg(F.min("cls").alias("grp"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    more = saved(classes.select("cls", "n", "p1", "p2").join(groups, ["n", "p1", "p2"]).where("cls != grp")
-                 .select("grp", "cls", "n"), "join-groups")
-
-    posted = (classes.join(more.select("cls"), "cls", "left_anti")
-              .select(F.col("cls").alias("grp"), "n", "light", F.posexplode("prefix").alias("pos", "tok"))
-              .select("tok", F.when(F.col("pos") >= F.col("light"), 1 + F.pmod(F.xxhash64("grp"), F.lit(SALT))).otherwise(F.lit(0))
-                      .cast("int").alias("salt"), "pos", "n", "grp"))
-    starred = saved(posted.repartition("tok", "salt").sortWithinPartitions("tok", "salt", "pos", "n", "grp")
-                    .mapInArrow(_star(num, den), "grp long, other long, tok int, n long, pos long"), "join-stars")
-    pairs = (starred.where("other IS NOT NULL").select(F.col("grp").alias("a"), F.col("other").alias("b"))
-             .transform(lambda p: _expand(p, more))
+    more = saved(classes.join(groups, ["n", "p1", "p2"]).where("cls != grp").select("grp", "cls", "n"), "join-groups", narrow=True)
+
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    posted = (signed.select("row", "n", "light", "prefix").join(classes.select(F.col("cls").alias("row")).hint("merge"), "row", "left_semi")
+              .join(small_enough(more.select(F.col("cls").alias("row"))), "row", "left_anti")
+              .select(F.col("row").alias("cls"), "n", "light", "prefix")
+              .mapInArrow(_post(BUCKETS_PER_PARTITION * partitions), "bucket int, data binary"))
+    starred = saved(posted.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+                    .mapInArrow(_star(num, den), "grp long, other long, tok long, n long"), "join-stars")
+    least_prefix = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1
+    pairs = (starred.where("other IS NOT NULL").groupBy(F.col("grp").alias("a"), F.col("other").alias("b"))
+             .agg(F.sum("tok").alias("lists"), F.max(least_prefix).alias("prefix")).where(F.col("lists") * EVIDENCE >= F.col("prefix"))
+             .select("a", "b").transform(lambda p: _expand(p, more))
              .unionByName(more.select(F.col("grp").alias("a"), F.col("cls").alias("b"))).distinct())
     links = _links(pairs, signed, size, num, den, "join-star")
-    comp = saved(components(links), "join-components")
-
-    # lists that still hold more than one component: all pairs between them, in blocks
-    label = F.coalesce(F.col("component"), F.col("grp")).alias("comp")
-    listed = (starred.where("other IS NULL").select("tok", "grp", "n", "pos")
-              .join(comp.withColumnRenamed("node", "grp"), "grp", "left").select("tok", "grp", "n", "pos", label))
-    inner = (more.join(comp.select(F.col("node").alias("cls"), F.col("component").alias("c_cls")), "cls", "left")
-             .join(comp.select(F.col("node").alias("grp"), F.col("component").alias("c_grp")), "grp", "left")
-             .select("grp", "cls", "n", F.coalesce("c_cls", "cls").alias("c_cls"), F.coalesce("c_grp", "grp").alias("c_grp")))
-    mixed = saved(inner.groupBy("grp").agg(F.max(F.col("c_cls") != F.col("c_grp")).alias("mixed")), "join-mixed")
-    listed = saved(listed.join(mixed, "grp", "left").select("tok", "grp", "n", "pos", "comp",
-                                                            F.coalesce("mixed", F.lit(False)).alias("mixed"),
-                                                            F.col("mixed").isNull().alias("exact")), "join-lists")
-    open_lists = (listed.groupBy("tok").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                            F.max("mixed").alias("m"))
-                  .where("size > 1 AND (lo != hi OR m)").select("tok", "size"))
-    across = _all_pairs(listed.join(open_lists, "tok").withColumn("list", F.col("tok").cast("long")), classes, num, den)
-    within = inner.join(mixed.where("mixed").select("grp"), "grp")
-    within = (within.select(F.col("grp").alias("list"), F.col("cls").alias("grp"), "n", F.col("c_cls").alias("comp"))
-              .unionByName(within.select(F.col("grp").alias("list"), "grp", "n", F.col("c_grp").alias("comp")).distinct()))
-    sizes = within.groupBy("list").agg(F.count(F.lit(1)).alias("size"))
-    within = within.join(sizes, "list").select("list", "grp", "n", F.lit(0).cast("long").alias("pos"), "comp", "size",
-                                               F.lit(False).alias("mixed"), F.lit(True).alias("exact"))
-    rest = _expand(across, more).unionByName(_all_pairs(within, classes, num, den)).distinct()
-    rest = (rest.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-            .join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-            .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-    later = _links(rest, signed, size, num, den, "join-rest")
-    comp = saved(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(later)), "join-final")
-
-    labelled = (member.select("row", "id", "n", "cls").join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left")
+    comp = components(links)
+    # lists that still hold more than one component: first the best pairs between
+    # components, then, between those still apart, every pair
+    lists = starred.where("other IS NULL").select("tok", "grp", "n")
+    for step, forest in (("best", True), ("rest", False)):
+        pairs, busy = _open_pairs(lists, more, comp, signed, num, den, forest, f"join-{step}")
+        # components only grow, so a list without a candidate now has none later
+        lists = lists.join(small_enough(busy), "tok", "left_semi")
+        links = links.unionByName(_links(pairs, signed, size, num, den, f"join-{step}"))
+        comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+    labelled = (member.select("row", "id", "n", "cls")
+                .join(small_enough(comp.select(F.col("node").alias("cls"), "component")), "cls", "left")
                 .select("row", "id", "n", F.coalesce("component", "cls").alias("comp")))
     least = labelled.groupBy("comp").agg(F.min(first).alias("least"))
     out = labelled.join(least, "comp").select(
@@ -407,28 +457,68 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     return out.unionByName(alone)
 
 
+def _open_pairs(lists: DataFrame, more: DataFrame, comp: DataFrame, signed: DataFrame, num: int, den: int, forest: bool,
+                name: str) -> tuple[DataFrame, DataFrame]:
+    """Class pairs between components, from the lists that hold more than one, and
+    (with ``forest``) the lists that have any candidate.
+
+    A group whose classes lie in several components is ``mixed``; the bitmap of a
+    group is that of its first class and bounds nothing for groups of several
+    (not ``exact``).
+    """
+    nodes = comp.count()
+    comp_of = lambda c: small_enough(comp.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")), nodes)
+    inner = (more.join(comp_of("cls"), "cls", "left").join(comp_of("grp"), "grp", "left")
+             .select("grp", "cls", "n", F.coalesce("c_cls", "cls").alias("c_cls"), F.coalesce("c_grp", "grp").alias("c_grp")))
+    mixed = inner.groupBy("grp").agg(F.max(F.col("c_cls") != F.col("c_grp")).alias("mixed"))
+    listed = (lists.join(comp_of("grp"), "grp", "left").join(small_enough(mixed, more.count()), "grp", "left")
+              .select("tok", "grp", "n", F.coalesce("c_grp", "grp").alias("comp"), F.coalesce("mixed", F.lit(False)).alias("mixed"),
+                      F.col("mixed").isNull().alias("exact")))
+    # lists of the same groups give the same pairs: one of them is enough
+    open_lists = (listed.groupBy("tok").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                            F.max("mixed").alias("m"), F.sum(F.xxhash64("grp").cast("decimal(20,0)")).alias("s1"),
+                                            F.bit_xor(F.xxhash64("grp", F.lit(1))).alias("s2"))
+                  .where("size > 1 AND (lo != hi OR m)").groupBy("size", "s1", "s2").agg(F.min("tok").alias("tok")).select("tok", "size"))
+    open_lists = saved(open_lists, f"{name}-open", narrow=True)
+    wanted = saved(listed.join(small_enough(open_lists), "tok").withColumnRenamed("tok", "list"), f"{name}-wanted", narrow=True)
+    across = saved(_all_pairs(wanted, signed, num, den, forest), f"{name}-across", narrow=True)
+    pairs = _expand(across.where("a IS NOT NULL").select("a", "b"), more)
+    if not mixed.where("mixed").isEmpty():
+        within = inner.join(mixed.where("mixed").select("grp"), "grp")
+        within = (within.select(F.col("grp").alias("list"), F.col("cls").alias("grp"), "n", F.col("c_cls").alias("comp"))
+                  .unionByName(within.select(F.col("grp").alias("list"), "grp", "n", F.col("c_grp").alias("comp")).distinct()))
+        sizes = within.groupBy("list").agg(F.count(F.lit(1)).alias("size"))
+        within = saved(within.join(sizes, "list").select("list", "grp", "n", "comp", "size", F.lit(False).alias("mixed"),
+                                                         F.lit(True).alias("exact")), f"{name}-within", narrow=True)
+        pairs = pairs.unionByName(_all_pairs(within, signed, num, den, forest).where("a IS NOT NULL").select("a", "b")).distinct()
+    pairs = (pairs.join(comp_of("a"), "a", "left").join(comp_of("b"), "b", "left")
+             .where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b"))
+    return pairs, across.where("list IS NOT NULL").select(F.col("list").alias("tok")).distinct()
+
+
 def _expand(pairs: DataFrame, more: DataFrame) -> DataFrame:
     """Group pairs to pairs of their classes (a group is named by its first class)."""
     for side in ("a", "b"):
-        wider = pairs.join(more.select(F.col("grp").alias(side), F.col("cls").alias("_cls")), side)
-        keep = [F.col("_cls").alias(side) if c == side else F.col(c) for c in pairs.columns]
-        pairs = pairs.unionByName(wider.select(*keep))
+        wider = pairs.join(more.select(F.col("grp").alias(side), F.col("cls").alias("_cls")), side, "left")
+        both = F.explode(F.array_distinct(F.array(F.col(side), F.coalesce("_cls", side)))).alias(side)
+        pairs = wider.select(*[both if c == side else F.col(c) for c in pairs.columns])
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _all_pairs(listed: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+def _all_pairs(listed: DataFrame, signed: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     """Filtered pairs of every list, in pairs of blocks of about ``BLOCK`` groups.
 
-    ``listed``: list, grp, n, pos, comp, size, mixed, exact.
+    ``listed``: list, grp, n, comp, size, mixed, exact; a written table.
     """
+    bits = _rows_of(signed, listed.select(F.col("grp").alias("row")), listed.count(), "bits")
     parts = F.ceil(F.col("size") / F.lit(BLOCK)).cast("long")
-    rows = (listed.join(classes.select(F.col("cls").alias("grp"), "bits"), "grp")
+    rows = (listed.join(bits.withColumnRenamed("row", "grp").hint("merge"), "grp")
             .withColumn("part", F.pmod(F.xxhash64("grp"), parts))
             .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
             .select("list", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "grp",
-                    F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "comp", "mixed", "exact", "bits"))
+                    F.col("n").cast("long").alias("n"), "comp", "mixed", "exact", "bits"))
     return (rows.repartition("list", "p", "q").sortWithinPartitions("list", "p", "q")
-            .mapInArrow(_block_pairs(num, den), "a long, b long").distinct())
+            .mapInArrow(_block_pairs(num, den, forest), "a long, b long, list long").distinct())
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80,
@@ -437,7 +527,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     ``docs`` must be read from files: rows are numbered by their place in them.
     """
-    numbered = docs.withColumn("_join_row", F.monotonically_increasing_id())
-    kept = (near_duplicate_components(numbered, id_col, text_col, size, num, den, "_join_row").where("kept")
-            .select(F.col("row_id").alias("_join_row")))
-    return numbered.join(kept, "_join_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = unused(docs, "_join_row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    gone = (near_duplicate_components(numbered, id_col, text_col, size, num, den, row).where("NOT kept")
+            .select(F.col("row_id").alias(row)))
+    return without_rows(numbered, row, gone, docs.columns, "join-dropped")

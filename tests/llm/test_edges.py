@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from review_insights.llm import (group_join, langid, line_quality, lpf_dedup, mixing, packing, radix_dedup, token_counts,
+from review_insights.llm import (common, group_join, langid, line_quality, lpf_dedup, mixing, packing, radix_dedup, token_counts,
                                  toxicity, wrapper_induction)
 from tests.llm import brute
 
@@ -81,8 +81,9 @@ def test_near_components(docs, rows, size, num):
 
 def test_near_components_with_tiny_bounds(spark, monkeypatch):
     """Heavy shingles, many blocks and look-ups by shuffle give the same components."""
-    for name, value in (("HEAVY", 5), ("BLOCK", 2), ("BROADCAST_IDS", 0), ("COUNT_AT", 50), ("HUBS", 1)):
+    for name, value in (("HEAVY", 5), ("BLOCK", 2), ("SMALL", 2), ("COUNT_AT", 50), ("HUBS", 1)):
         monkeypatch.setattr(group_join, name, value)
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
     rng = random.Random(8)
     base = [rng.choice(WORDS) for _ in range(60)]
     rows = []
