@@ -445,11 +445,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _send_hot(shared):
-    """One row for every window of a hot anchor."""
+    """The windows of hot anchors: of equal ones in a unit the earliest has to be
+    compared with other units, the rest (``sure``) are repeated."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
         for unit in units(batches):
             data, offsets, ids = unit.joined()
+            parts = []
             for s in stretches(data, offsets):
                 pick = np.flatnonzero(_is_hot(s["anchor"], hot))
                 if len(pick) == 0:
@@ -459,11 +461,19 @@ def _send_hot(shared):
                 step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
                 spans, piece = s["spans"]
                 at = s["at"][owner] + step
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(spans.of(at, at + SPAN).view(np.int64)), pa.array(SpanHash(piece, seed=2).of(at, at + SPAN).view(np.int64)),
-                    pa.array(ids[s["doc"][owner]]), pa.array(np.full(len(owner), unit.number)),
-                    pa.array(s["doc"][owner].astype(np.int64)), pa.array((s["start"][owner] + step).astype(np.int64))],
-                    names=["h1", "h2", "id", "unit", "doc", "start"])
+                parts.append((spans.of(at, at + SPAN), SpanHash(piece, seed=2).of(at, at + SPAN),
+                              s["doc"][owner].astype(np.int64), (s["start"][owner] + step).astype(np.int64)))
+            if not parts:
+                continue
+            h1, h2, doc, start = (np.concatenate(c) for c in zip(*parts))
+            order = np.lexsort((start, doc, ids[doc], h2, h1))
+            h1, h2, doc, start = h1[order], h2[order], doc[order], start[order]
+            sure = np.zeros(len(h1), bool)
+            sure[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[doc]),
+                pa.array(np.full(len(doc), unit.number)), pa.array(doc), pa.array(start), pa.array(sure)],
+                names=["h1", "h2", "id", "unit", "doc", "start", "sure"])
     return run
 
 
@@ -493,11 +503,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = saved(opened.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_match_windows, _UNIT), "lpf-windows")
     found = marks.where(F.col("kind") == _REPEATED).unionByName(again)
     if len(hot):
-        windows = source.mapInArrow(_send_hot(shared), "h1 long, h2 long, id long, unit long, doc long, start long")
+        windows = source.mapInArrow(_send_hot(shared), "h1 long, h2 long, id long, unit long, doc long, start long, sure boolean")
         windows = saved(windows, "lpf-hot")
         place = F.struct("id", "unit", "doc", "start")
-        first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-        later = windows.join(first, ["h1", "h2"]).where(place != F.col("first")).select("unit", "doc", "start")
+        open_ = windows.where("NOT sure")
+        first = open_.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+        later = open_.join(first, ["h1", "h2"]).where(place != F.col("first")).select("unit", "doc", "start")
+        later = later.unionByName(windows.where("sure").select("unit", "doc", "start"))
         found = found.unionByName(later.sortWithinPartitions("unit", "doc", "start").mapInArrow(_hot_ranges, _UNIT))
     whole = text.unionByName(found).repartition(partitions, "unit").sortWithinPartitions("unit", "kind")
     return whole.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
