@@ -36,6 +36,7 @@ DIMENSIONS = 16
 MAX_PER_CLASS = 1500
 MAX_CLASSES = 400
 EPOCHS = 4
+MIN_STEPS = 4000     # small samples are gone through more often
 LEARNING_RATE = 0.5
 REJECT_SHARE = 0.01
 
@@ -116,8 +117,9 @@ def fit(texts: list[str], langs: list[str], seed: int = 5) -> LanguageModel:
     usable = np.array([i for i, (b, _) in enumerate(bags) if len(b)], np.int64)
     order = rng.permutation(usable)
     held, train = order[:len(order) // 10], order[len(order) // 10:]
-    steps, done = EPOCHS * max(len(train), 1), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-MIN_STEPS // max(len(train), 1)))
+    steps, done = epochs * max(len(train), 1), 0
+    for _ in range(epochs):
         for i in rng.permutation(train):
             rate = LEARNING_RATE * (1 - done / steps)
             done += 1

@@ -86,7 +86,7 @@ def test_pages(spark, sf_small, con):
     import re
 
     for r in run(spark, sf_small, "op10_wrapper_induction").collect():
-        source = con.execute("SELECT html FROM pages WHERE page_id = ?", [r["page_id"]]).fetchone()[0]
+        source = con.execute("SELECT html FROM pages WHERE page_id = ?", [r["page_id"]]).fetchall()[0][0]
         body = re.search(r"(?s)<article>(.*)</article>", source)[1]
         parts = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h1)\b[^>]*>", body.replace("<br>", " "))]
         wanted = "\n".join(p for p in parts if p)
@@ -98,6 +98,7 @@ def test_pipeline_against_plain_python(spark, sf_small, con):
     from tokenizers import Tokenizer
 
     model = queries.toxicity_model(spark, sf_small)
+    con = con.cursor()
     docs = con.sql("SELECT doc_id, text, lang, source FROM documents ORDER BY doc_id").fetchall()
     docs = [d for d in docs if model.score(d[1]) < toxicity.THRESHOLD]
     first = {}
