@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from review_insights.llm.common import (SpanHash, blocks, id_and_bytes, joined_bytes, mix, narrowed, packed, partition_id, saved,
+from review_insights.llm.common import (BROADCAST_IDS, SpanHash, blocks, id_and_bytes, joined_bytes, mix, narrowed, packed, partition_id, saved,
                                         small_enough, unpacked, unused, without_rows, words)
 from review_insights.llm.components import components
 
@@ -51,7 +51,7 @@ BUCKETS_PER_PARTITION = 2
 BLOCK = 1024             # groups per block of the all-pairs step
 SMALL = 64               # lists up to this size are paired together, by distance
 COUNT_AT = 1_000_000     # shingles counted together inside a task
-BITS = 4096              # of the bitmap that bounds the overlap of two sets
+BITS = 2048              # of the bitmap that bounds the overlap of two sets
 
 _POSTING = np.dtype([("tok", "<u4"), ("grp", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("heavy", "u1")])
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -379,7 +379,8 @@ def _verify(size: int, num: int, den: int):
 def _rows_of(signed: DataFrame, ids: DataFrame, at_most: int, column: str) -> DataFrame:
     """``row`` and one wide column of ``signed`` for the rows in ``ids``: the ids are
     broadcast up to a checked number, else shuffled."""
-    return signed.select("row", column).join(small_enough(ids.distinct(), at_most), "row", "left_semi")
+    ids = ids.distinct()
+    return signed.select("row", column).join(small_enough(ids, at_most if at_most <= BROADCAST_IDS else None), "row", "left_semi")
 
 
 def _links(pairs: DataFrame, signed: DataFrame, size: int, num: int, den: int, name: str) -> DataFrame:
