@@ -4,23 +4,27 @@
    text of its block.  Neighbouring blocks of one kind form one slot.
 2. The trees of a host are aligned by simple tree matching (the largest
    order-preserving matching of equal nodes, from the root down) and merged
-   into one wrapper.  A wrapper node counts its pages, and a text slot how much
-   text and link text it holds and, in a bounded counter, which texts recur.
-3. A text that recurs on ``CONSTANT_SHARE`` of the pages of its slot is
-   template, text that varies is content, if it lies below the content root:
-   from the top, the section that holds more than half of the varying text.  Sections whose
-   element or class names a menu, header, footer, sidebar, notice, advert,
-   form, script, style or comment list, and slots of mostly link text, are
-   template too.
-4. Every page is aligned with the wrapper of its host and the content slots are
-   read out in page order.  A page that lacks the wrapper's content root is
-   read by the same rules from its own tree.
+   into one wrapper.
+3. Every page is aligned with the merged wrapper of its host: a text slot
+   counts its pages, how much text and link text it holds and, exactly, on how
+   many pages each of its texts stands.  A text that recurs on
+   ``CONSTANT_SHARE`` of the pages of its slot is template, text that varies
+   is content, if it lies below the content root: from the top, the section
+   that holds more than half of the varying text.  Sections whose element or
+   class names a menu, header, footer, sidebar, notice, advert, form, script,
+   style or comment list, and slots of mostly link text, are template too.
+4. Every page is aligned with the wrapper again and the content slots are read
+   out in page order.  A page that lacks the wrapper's content root is read by
+   the same rules from its own tree.
 
 Scale: wrappers are built inside each task, merged first for parts of a host
-and then for the host, and hold a fixed number of recurring texts a slot; a
-host with a third of all pages adds one small wrapper a task.  Pages meet the
-wrapper of their host in a plain join, which adaptive execution broadcasts
-when the wrappers are few and splits when one host is hot.
+and then for the host; a host with a third of all pages adds one small wrapper
+a task.  Texts are counted by (host, slot, 64-bit hash of the text), added up
+inside each task first: a text on all pages of a host is one row a task, and
+the many texts of a hot host are spread by their hash.  Texts on fewer pages
+than any constant one needs go before the counts meet the pages of their slot.
+Pages meet the wrapper of their host in a plain join, which adaptive execution
+broadcasts when the wrappers are few and splits when one host is hot.
 
 Defined results: null, empty or tagless html gives the text outside tags, or
 an empty string; a null url counts as the host ""; repeated rows are extracted
@@ -29,10 +33,10 @@ each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,8 +48,8 @@ from review_insights.llm.common import partition_id, saved
 CONSTANT_SHARE = 0.6
 CONSTANT_PAGES = 5
 LINK_SHARE = 0.6
-RECURRING = 8        # texts counted a slot; any text on more than 1/9 of the pages is among them
 HOST_PARTS = 16
+TASK_TEXTS = 200_000  # texts a task adds up before it passes their counts on
 
 # FIXED VALUES: elements and names that mark template sections.
 DROP_TAGS = frozenset("""head title script style noscript template nav footer aside form button select textarea iframe
@@ -207,25 +211,23 @@ def parse(source: str | None) -> Node:
 class Slot:
     """A node of a wrapper: all neighbouring blocks of one kind, over all pages."""
 
-    __slots__ = ("key", "tag", "drop", "pages", "leaves", "chars", "links", "texts", "kids", "content", "fixed")
+    __slots__ = ("key", "tag", "drop", "pages", "leaves", "chars", "links", "kids", "content", "fixed", "fixed_leaves")
 
     def __init__(self, key: str, tag: str, drop: bool):
         self.key, self.tag, self.drop = key, tag, drop
         self.pages = self.leaves = self.chars = self.links = 0
-        self.texts: dict[str, int] = {}
         self.kids: list[Slot] = []
         self.content = False
-        self.fixed: frozenset[str] = frozenset()
+        self.fixed: set[int] = set()
+        self.fixed_leaves = 0
 
     def as_list(self) -> list:
-        return [self.key, self.tag, int(self.drop), self.pages, self.leaves, self.chars, self.links, self.texts,
-                [k.as_list() for k in self.kids]]
+        return [self.key, self.tag, int(self.drop), [k.as_list() for k in self.kids]]
 
     @staticmethod
     def of_list(x: list) -> Slot:
         s = Slot(x[0], x[1], bool(x[2]))
-        s.pages, s.leaves, s.chars, s.links, s.texts = x[3:8]
-        s.kids = [Slot.of_list(k) for k in x[8]]
+        s.kids = [Slot.of_list(k) for k in x[3]]
         return s
 
 
@@ -259,9 +261,9 @@ def runs_of(nodes: list[Node]) -> list[Run]:
     return out
 
 
-def mark_of(text: str) -> str:
-    """A short name of a text for the counts of recurring texts."""
-    return f"{zlib.crc32(text.encode('utf-8', 'replace')):x}.{len(text):x}"
+def mark_of(text: str) -> int:
+    """A 64-bit hash of a text for the counts of recurring texts."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 def skeleton(runs: list[Run]) -> str:
@@ -293,16 +295,6 @@ def match(left: list, right: list) -> tuple[int, list[tuple[int, int]]]:
     return best[m][n], pairs[::-1]
 
 
-def _merge_counts(texts: dict[str, int], more: dict[str, int]) -> dict[str, int]:
-    """Misra-Gries summaries add up: counts fall short by at most a 1/(RECURRING + 1) share."""
-    for t, c in more.items():
-        texts[t] = texts.get(t, 0) + c
-    if len(texts) <= RECURRING:
-        return texts
-    cut = sorted(texts.values(), reverse=True)[RECURRING]
-    return {t: c - cut for t, c in texts.items() if c > cut}
-
-
 def align(slots: list[Slot], runs: list[Run], add: bool) -> list[tuple[Run, Slot | None]]:
     """Pairs of page runs and wrapper slots, from the top down; with ``add`` the
     wrapper gets a slot for every run it lacks."""
@@ -337,9 +329,8 @@ def _flat(runs: list[Run]) -> list[Run]:
 class Wrapper:
     """Merged tree of the pages of one host."""
 
-    def __init__(self, slots: list[Slot] | None = None, pages: int = 0):
+    def __init__(self, slots: list[Slot] | None = None):
         self.slots = slots or []
-        self.pages = pages
         self._known: dict[str, list[Slot | None]] = {}
 
     def paired(self, runs: list[Run], add: bool) -> list[tuple[Run, Slot | None]]:
@@ -352,19 +343,31 @@ class Wrapper:
             self._known[shape] = [s for _, s in pairs]
         return pairs
 
-    def learn(self, page: Node) -> None:
-        self.pages += 1
-        for run, slot in self.paired(runs_of([page]), add=True):
-            slot.pages += 1
-            if run.key == "#text":
+    def learn(self, runs: list[Run]) -> None:
+        self.paired(runs, add=True)
+
+    def count(self, runs: list[Run]) -> list[tuple[Slot, set[int]]]:
+        """Adds a page to the counts of its text slots; the slots and their texts."""
+        out = []
+        for run, slot in self.paired(runs, add=False):
+            if slot is not None and run.key == "#text":
+                slot.pages += 1
                 slot.leaves += len(run.nodes)
                 slot.chars += sum(len(n.text) for n in run.nodes)
                 slot.links += sum(n.links for n in run.nodes)
-                seen = {mark_of(n.text): 1 for n in run.nodes}
-                slot.texts = _merge_counts(slot.texts, seen)
+                out.append((slot, {mark_of(n.text) for n in run.nodes}))
+        return out
+
+    def numbered(self) -> list[Slot]:
+        """All slots, from the top down."""
+        out: list[Slot] = []
+        stack = self.slots[::-1]
+        while stack:
+            out.append(stack.pop())
+            stack += out[-1].kids[::-1]
+        return out
 
     def absorb(self, other: Wrapper) -> None:
-        self.pages += other.pages
         self._known.clear()
         self._absorb(self.slots, other.slots)
 
@@ -375,9 +378,6 @@ class Wrapper:
             if j in pairs:
                 own = mine[pairs[j] + shift]
                 at = pairs[j] + shift + 1
-                for count in ("pages", "leaves", "chars", "links"):
-                    setattr(own, count, getattr(own, count) + getattr(slot, count))
-                own.texts = _merge_counts(own.texts, slot.texts)
                 self._absorb(own.kids, slot.kids)
             else:
                 mine.insert(at, slot)
@@ -389,11 +389,9 @@ class Wrapper:
             if slot.drop:
                 return 0
             if slot.key == "#text":
-                if slot.pages >= CONSTANT_PAGES:
-                    slot.fixed = frozenset(t for t, c in slot.texts.items() if c >= CONSTANT_SHARE * slot.pages)
                 if slot.links >= LINK_SHARE * max(slot.chars, 1):
                     return 0
-                varying = 1 - sum(slot.texts[t] for t in slot.fixed) / max(slot.leaves, 1)
+                varying = 1 - slot.fixed_leaves / max(slot.leaves, 1)
                 return max(0.0, slot.chars * varying)
             return sum(map(useful, slot.kids))
 
@@ -415,12 +413,22 @@ class Wrapper:
         return self
 
     def to_json(self) -> str:
-        return json.dumps([self.pages, [s.as_list() for s in self.slots]])
+        return json.dumps([s.as_list() for s in self.slots])
 
     @staticmethod
-    def of_json(text: str) -> Wrapper:
-        pages, slots = json.loads(text)
-        return Wrapper([Slot.of_list(s) for s in slots], pages)
+    def of_json(text: str, counts: str | None = None) -> Wrapper:
+        """``counts``: rows ``slot, mark, pages, leaves, chars, links``, of a whole slot
+        (no mark) or of a text that recurs on ``CONSTANT_SHARE`` of its pages."""
+        out = Wrapper([Slot.of_list(s) for s in json.loads(text)])
+        slots = out.numbered() if counts else []
+        for number, mark, pages, leaves, chars, links in json.loads(counts or "[]"):
+            slot = slots[number]
+            if mark is None:
+                slot.pages, slot.leaves, slot.chars, slot.links = pages, leaves, chars, links
+            else:
+                slot.fixed.add(mark)
+                slot.fixed_leaves += pages
+        return out
 
 
 def extract(page: Node, wrapper: Wrapper | None) -> str:
@@ -429,7 +437,8 @@ def extract(page: Node, wrapper: Wrapper | None) -> str:
     for settled in (wrapper, None):
         if settled is None:
             settled = Wrapper()
-            settled.learn(page)
+            settled.learn(runs)
+            settled.count(runs)
             settled.settle()
         content = {id(n) for run, slot in settled.paired(runs, add=False) if slot is not None and slot.content
                    for n in run.nodes if not slot.fixed or mark_of(n.text) not in slot.fixed}
@@ -458,7 +467,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield _wrappers(found)
                     found = {}
                 found[host] = Wrapper()
-            found[host].learn(parse(source))
+            found[host].learn(runs_of([parse(source)]))
     yield _wrappers(found)
 
 
@@ -488,6 +497,43 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the slots (no mark) and of their texts, as far as a task sees them."""
+    schema = pa.schema([("host", pa.string()), ("slot", pa.int32())]
+                       + [(c, pa.int64()) for c in ("mark", "pages", "leaves", "chars", "links")])
+    known: dict[str, Wrapper] = {}
+    number: dict[int, int] = {}
+    texts: dict[tuple[str, int, int], int] = {}
+
+    def flush() -> pa.RecordBatch:
+        rows = []
+        for host, wrapper in known.items():
+            for i, slot in enumerate(wrapper.numbered()):
+                if slot.pages:
+                    rows.append((host, i, None, slot.pages, slot.leaves, slot.chars, slot.links))
+                    slot.pages = slot.leaves = slot.chars = slot.links = 0
+        rows += [(*k, n, 0, 0, 0) for k, n in texts.items()]
+        texts.clear()
+        columns = zip(*rows) if rows else [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
+
+    for batch in batches:
+        for host, source, wrapper in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper"))):
+            if len(texts) >= TASK_TEXTS or (host not in known and len(known) >= 5_000):
+                yield flush()
+            if host not in known:
+                if len(known) >= 5_000:
+                    known.clear()
+                    number.clear()
+                known[host] = Wrapper.of_json(wrapper)
+                number.update((id(s), i) for i, s in enumerate(known[host].numbered()))
+            for slot, marks in known[host].count(runs_of([parse(source)])):
+                for mark in marks:
+                    key = (host, number[id(slot)], mark)
+                    texts[key] = texts.get(key, 0) + 1
+    yield flush()
+
+
 def _with_host(pages: DataFrame, url_col: str, html_col: str, *more) -> DataFrame:
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
@@ -495,12 +541,26 @@ def _with_host(pages: DataFrame, url_col: str, html_col: str, *more) -> DataFram
 
 
 def induce_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, wrapper`` (JSON), from all pages of every host."""
+    """``host, wrapper, counts`` (JSON), from all pages of every host."""
     schema = "host string, part int, wrapper string"
-    parts = _with_host(pages, url_col, html_col).mapInArrow(_learn, schema)
+    source = _with_host(pages, url_col, html_col)
+    parts = source.mapInArrow(_learn, schema)
     parts = parts.repartition("host", "part").sortWithinPartitions("host", "part").mapInArrow(_merge, schema)
     whole = parts.select("host", F.lit(0).alias("part"), "wrapper").repartition("host").sortWithinPartitions("host")
-    return saved(whole.mapInArrow(_merge, schema).select("host", "wrapper"), "wrappers")
+    wrappers = saved(whole.mapInArrow(_merge, schema).select("host", "wrapper"), "wrappers")
+
+    numbers = ("pages", "leaves", "chars", "links")
+    counts = (source.join(wrappers, "host").select("host", "html", "wrapper")
+              .mapInArrow(_count, "host string, slot int, mark long, " + ", ".join(f"{c} long" for c in numbers))
+              .groupBy("host", "slot", "mark").agg(*[F.sum(c).alias(c) for c in numbers])
+              .where(F.col("mark").isNull() | (F.col("pages") >= CONSTANT_SHARE * CONSTANT_PAGES)))
+    counts = saved(counts, "slot_texts")
+    slots, texts = counts.where(F.col("mark").isNull()), counts.where(F.col("mark").isNotNull())
+    fixed = (texts.join(slots.select("host", "slot", F.col("pages").alias("of")), ["host", "slot"])
+             .where((F.col("of") >= CONSTANT_PAGES) & (F.col("pages") >= CONSTANT_SHARE * F.col("of"))).drop("of"))
+    row = F.array(*[F.col(c).cast("long") for c in ("slot", "mark", *numbers)])
+    by_host = slots.unionByName(fixed).groupBy("host").agg(F.to_json(F.collect_list(row)).alias("counts"))
+    return saved(wrappers.join(by_host, "host", "left").select("host", "wrapper", "counts"), "wrappers")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -512,14 +572,14 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         known: dict[str, Wrapper | None] = {}
         for batch in batches:
             texts = []
-            for host, source_, wrapper in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper"))):
+            for host, source_, wrapper, counts in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper", "counts"))):
                 if host not in known:
                     if len(known) >= 5_000:
                         known.clear()
-                    known[host] = Wrapper.of_json(wrapper).settle() if wrapper else None
+                    known[host] = Wrapper.of_json(wrapper, counts).settle() if wrapper else None
                 texts.append(extract(parse(source_), known[host]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                                               pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return (source.join(wrappers, "host", "left").select("page_id", "url", "host", "html", "wrapper")
+    return (source.join(wrappers, "host", "left").select("page_id", "url", "host", "html", "wrapper", "counts")
             .mapInArrow(run, "page_id long, url string, text string, n_chars long"))

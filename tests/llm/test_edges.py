@@ -275,3 +275,13 @@ def test_empty_tables(empty, spark):
     assert toxicity.score_documents(empty, toxicity.fit([], [])).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert wrapper_induction.extract_text(pages).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [5, 9, 20])
+def test_wrapper_induction_counts_every_recurring_text(spark, blocks):
+    """One notice beside many varying blocks, and a constant block of many lines."""
+    html = lambda k: ("<body><article><p>Read our terms.</p>" + "".join(f"<p>page {k} part {j}</p>" for j in range(blocks)) + "</article>"
+                      "<ul>" + "".join(f"<li>fixed line {j}</li>" for j in range(blocks)) + "</ul></body>")
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", html(k)) for k in range(200)], "page_id long, url string, html string")
+    for r in wrapper_induction.extract_text(df.repartition(3)).collect():
+        assert r["text"] == "\n".join(f"page {r['page_id']} part {j}" for j in range(blocks))
