@@ -16,8 +16,9 @@ so no word makes a hot key; a task holds one unit, or one bucket's vocabulary.
 
 The counts equal the length of the tokenizer's ids for the whole text without
 added special tokens.  Its special strings inside a text count as one token
-each, as by default.  Texts of ASCII and Latin-1 letters are split here; any
-other text is normalised and split by the library itself.
+each, as by default.  Texts of printable ASCII, tab, line ends and Latin-1
+letters are split here; any other text, also one with other control characters,
+is normalised and split by the library itself.
 
 Defined results: a null or empty text has 0 tokens; repeated rows are counted
 each; a null id stays null; an empty table gives an empty result.
@@ -75,7 +76,7 @@ class PreTokens:
         return [w for p in parts for w in self._segment(p)], len(parts) - 1
 
     def _segment(self, text: str) -> list[str]:
-        if text.isascii() or _PLAIN.fullmatch(text):
+        if _PLAIN.fullmatch(text):
             return _SPLIT.findall(text.lower())
         plain = self._tokenizer.normalizer.normalize_str(text)
         return [plain[a:b] for _, (a, b) in self._tokenizer.pre_tokenizer.pre_tokenize_str(plain)]

@@ -140,6 +140,19 @@ def test_pre_tokens_equal_the_library_on_odd_characters():
         assert base + sum(split.pieces(words)) == len(t.encode(text, add_special_tokens=False).ids), text
 
 
+def test_pre_tokens_equal_the_library_on_ascii():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t, split = Tokenizer.from_file(P.path("word_bpe_49k.json")), token_counts.PreTokens(None)
+    rng = random.Random(2)
+    texts = [f"{a}{chr(c)}{b}" for c in range(128) for a, b in (("a", "b"), ("x ", " y"), ("1", "'s"))]
+    texts += ["".join(chr(rng.choice([rng.randrange(128), rng.randrange(33), 32, 39])) for _ in range(40)) for _ in range(300)]
+    for text in texts:
+        words, base = split.split(text)
+        assert base + sum(split.pieces(words)) == len(t.encode(text, add_special_tokens=False).ids), repr(text)
+
+
 def test_packing(docs, rows):
     import public_tokenizers as P
     from tokenizers import Tokenizer
