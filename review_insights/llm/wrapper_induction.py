@@ -10,12 +10,15 @@
    many pages each of its texts stands.  A text that recurs on
    ``CONSTANT_SHARE`` of the pages of its slot is template, text that varies
    is content, if it lies below the content root: from the top, the section
-   that holds more than half of the varying text.  Sections whose element or
-   class names a menu, header, footer, sidebar, notice, advert, form, script,
-   style or comment list, and slots of mostly link text, are template too.
+   that holds more than half of the varying text.  Sections whose element,
+   role, class or id names a menu, header, footer, sidebar, notice, advert,
+   form, script, style or comment list, and slots of mostly link text, are
+   template too; a class or id decides only on the wrapper, and never against
+   a section that holds more than half of the host's varying text.
 4. Every page is aligned with the wrapper again and the content slots are read
    out in page order.  A page that lacks the wrapper's content root is read by
-   the same rules from its own tree.
+   the same rules from its own tree, without named sections that elsewhere on
+   the host hold at most half as much as its pages do on average.
 
 Scale: wrappers are built inside each task, merged first for parts of a host
 and then for the host; a host with a third of all pages adds one small wrapper
@@ -79,20 +82,21 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 class Node:
     """A block element of a page, or a ``#text`` leaf."""
 
-    __slots__ = ("key", "tag", "kids", "text", "links", "drop")
+    __slots__ = ("key", "tag", "kids", "text", "links", "drop", "named")
 
-    def __init__(self, key: str, tag: str, drop: bool = False, text: str = "", links: int = 0):
-        self.key, self.tag, self.drop, self.text, self.links = key, tag, drop, text, links
+    def __init__(self, key: str, tag: str, drop: bool = False, named: bool = False, text: str = "", links: int = 0):
+        self.key, self.tag, self.drop, self.named, self.text, self.links = key, tag, drop, named, text, links
         self.kids: list[Node] = []
 
 
-_KEYS: dict[tuple[str, str, bool], tuple[str, bool]] = {}
+_KEYS: dict[tuple[str, str, bool], tuple[str, bool, bool]] = {}
 
 
-def _describe(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
-    """Alignment key of an element, and whether it is a template section."""
+def _describe(tag: str, attributes: str, in_article: bool) -> tuple[str, bool, bool]:
+    """Alignment key of an element, whether its kind makes it a template section,
+    and whether its class or id names one.  Neither shares a key with a plain one."""
     if not attributes:
-        return tag, tag in DROP_TAGS or (tag == "header" and not in_article)
+        return tag, tag in DROP_TAGS or (tag == "header" and not in_article), False
     known = _KEYS.get((tag, attributes, in_article))
     if known:
         return known
@@ -109,9 +113,9 @@ def _describe(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
             drop = drop or (value.lower() in DROP_ROLES and tag not in KEEP_TAGS)
         elif tag not in KEEP_TAGS:
             drop = drop or name == "hidden" or value.lower() == "true"
-    if tag not in KEEP_TAGS:
-        drop = drop or any(n in DROP_NAMES and not (n == "header" and in_article) for n in names)
-    out = (f"{tag}.{classes}" if classes else tag, drop)
+    named = tag not in KEEP_TAGS and any(n in DROP_NAMES and not (n == "header" and in_article) for n in names)
+    key = f"{tag}.{classes}" if classes else tag
+    out = (key + "!" * drop + "?" * named, drop, named)
     if len(_KEYS) > 20_000:
         _KEYS.clear()
     _KEYS[(tag, attributes, in_article)] = out
@@ -123,25 +127,38 @@ def parse(source: str | None) -> Node:
     root = Node("#root", "#root")
     stack = [root]
     text: list[str] = []
+    aside: list[str] = []       # text of inline elements whose name marks template, a section of its own
     inline: list[str] = []      # open inline elements of the current block
-    muted = 0                   # open inline elements that are template
-    links = 0
+    muted = hushed = 0          # open inline elements that are template, by their kind and by their name
+    links = aside_links = 0
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, aside_links
         joined = " ".join("".join(text).split())
         if joined:
-            leaf = Node("#text", "#text", False, joined, min(links, len(joined)))
+            leaf = Node("#text", "#text", text=joined, links=min(links, len(joined)))
             stack[-1].kids.append(leaf)
         text.clear()
         links = 0
+        if aside:
+            joined = " ".join("".join(aside).split())
+            if joined:
+                named = Node("#named?", "#named", named=True)
+                named.kids.append(Node("#text", "#text", text=joined, links=min(aside_links, len(joined))))
+                stack[-1].kids.append(named)
+            aside.clear()
+            aside_links = 0
 
     def add(piece: str) -> None:
-        nonlocal links
+        nonlocal links, aside_links
         if muted or not piece:
             return
         if "&" in piece:
             piece = html.unescape(piece)
+        if hushed:
+            aside.append(piece)
+            aside_links += len(piece) * ("a" in inline or "?a" in inline)
+            return
         text.append(piece)
         if "a" in inline:
             links += len(piece)
@@ -165,18 +182,20 @@ def parse(source: str | None) -> Node:
                 add(" ")
             elif closing:
                 for i in range(len(inline) - 1, -1, -1):
-                    if inline[i].lstrip("!") == tag:
+                    if inline[i].lstrip("!?") == tag:
                         muted -= sum(x[0] == "!" for x in inline[i:])
+                        hushed -= sum(x[0] == "?" for x in inline[i:])
                         del inline[i:]
                         break
             elif tag not in VOID and not attributes.endswith("/"):
-                drop = bool(attributes) and _describe(tag, attributes, True)[1]
-                inline.append("!" + tag if drop else tag)
+                _, drop, named = _describe(tag, attributes, True) if attributes else (tag, False, False)
+                inline.append("!" + tag if drop else "?" + tag if named else tag)
                 muted += drop
+                hushed += named and not drop
             continue
         flush()
         inline.clear()
-        muted = 0
+        muted = hushed = 0
         if closing:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
@@ -194,8 +213,8 @@ def parse(source: str | None) -> Node:
                     break
             elif below in BARRIER and not (tag == "tr" and below in ("td", "th")):
                 break
-        key, drop = _describe(tag, attributes.strip().rstrip("/"), any(n.tag == "article" for n in stack))
-        node = Node(key, tag, drop)
+        key, drop, named = _describe(tag, attributes.strip().rstrip("/"), any(n.tag == "article" for n in stack))
+        node = Node(key, tag, drop, named)
         stack[-1].kids.append(node)
         if tag in RAW:
             close = re.compile(f"</{tag}", re.I).search(source, at)
@@ -211,23 +230,23 @@ def parse(source: str | None) -> Node:
 class Slot:
     """A node of a wrapper: all neighbouring blocks of one kind, over all pages."""
 
-    __slots__ = ("key", "tag", "drop", "pages", "leaves", "chars", "links", "kids", "content", "fixed", "fixed_leaves")
+    __slots__ = ("key", "tag", "drop", "named", "pages", "leaves", "chars", "links", "kids", "content", "large", "fixed", "fixed_leaves")
 
-    def __init__(self, key: str, tag: str, drop: bool):
-        self.key, self.tag, self.drop = key, tag, drop
+    def __init__(self, key: str, tag: str, drop: bool, named: bool):
+        self.key, self.tag, self.drop, self.named = key, tag, drop, named
         self.pages = self.leaves = self.chars = self.links = 0
         self.kids: list[Slot] = []
-        self.content = False
+        self.content = self.large = False
         self.fixed: set[int] = set()
         self.fixed_leaves = 0
 
     def as_list(self) -> list:
-        return [self.key, self.tag, int(self.drop), [k.as_list() for k in self.kids]]
+        return [self.key, self.tag, int(self.drop), int(self.named), [k.as_list() for k in self.kids]]
 
     @staticmethod
     def of_list(x: list) -> Slot:
-        s = Slot(x[0], x[1], bool(x[2]))
-        s.kids = [Slot.of_list(k) for k in x[3]]
+        s = Slot(x[0], x[1], bool(x[2]), bool(x[3]))
+        s.kids = [Slot.of_list(k) for k in x[4]]
         return s
 
 
@@ -306,7 +325,7 @@ def align(slots: list[Slot], runs: list[Run], add: bool) -> list[tuple[Run, Slot
             slot = slots[pairs[j] + shift]
             at = pairs[j] + shift + 1
         elif add:
-            slot = Slot(run.key, run.nodes[0].tag, run.nodes[0].drop)
+            slot = Slot(run.key, run.nodes[0].tag, run.nodes[0].drop, run.nodes[0].named)
             slots.insert(at, slot)
             at, shift = at + 1, shift + 1
         else:
@@ -347,11 +366,13 @@ class Wrapper:
         self.paired(runs, add=True)
 
     def count(self, runs: list[Run]) -> list[tuple[Slot, set[int]]]:
-        """Adds a page to the counts of its text slots; the slots and their texts."""
+        """Adds a page to the counts of its slots; the text slots and their texts."""
         out = []
         for run, slot in self.paired(runs, add=False):
-            if slot is not None and run.key == "#text":
-                slot.pages += 1
+            if slot is None:
+                continue
+            slot.pages += 1
+            if run.key == "#text":
                 slot.leaves += len(run.nodes)
                 slot.chars += sum(len(n.text) for n in run.nodes)
                 slot.links += sum(n.links for n in run.nodes)
@@ -385,15 +406,25 @@ class Wrapper:
 
     def settle(self) -> Wrapper:
         """Mark the content slots."""
-        def useful(slot: Slot) -> float:
+        def varying(slot: Slot) -> float:
             if slot.drop:
                 return 0
             if slot.key == "#text":
                 if slot.links >= LINK_SHARE * max(slot.chars, 1):
                     return 0
-                varying = 1 - slot.fixed_leaves / max(slot.leaves, 1)
-                return max(0.0, slot.chars * varying)
-            return sum(map(useful, slot.kids))
+                return max(0.0, slot.chars * (1 - slot.fixed_leaves / max(slot.leaves, 1)))
+            return sum(map(varying, slot.kids))
+
+        half = sum(map(varying, self.slots)) / 2
+        pages = max((s.pages for s in self.slots), default=0)
+        for slot in self.numbered():    # more than half of a page's text, where it stands
+            slot.large = slot.named and varying(slot) * pages > half * slot.pages
+
+        def useful(slot: Slot) -> float:
+            """The varying text, without named sections unless one holds more than half of the host's."""
+            if slot.drop or (slot.named and varying(slot) <= half):
+                return 0
+            return sum(map(useful, slot.kids)) if slot.kids else varying(slot)
 
         def mark(slot: Slot) -> None:
             if useful(slot):
@@ -407,6 +438,8 @@ class Wrapper:
             top = max(range(len(level)), key=mass.__getitem__, default=None)
             if top is None or level[top].tag not in SECTIONS or 2 * mass[top] <= sum(mass):
                 break
+            if level[top].named and mass[top] < sum(mass):     # its name still speaks against its being the root
+                break
             level = level[top].kids
         for s in level:
             mark(s)
@@ -436,6 +469,12 @@ def extract(page: Node, wrapper: Wrapper | None) -> str:
     runs = runs_of([page])
     for settled in (wrapper, None):
         if settled is None:
+            if wrapper is not None:     # what is little on this host's pages does not become the text of an empty one
+                for run, slot in wrapper.paired(runs, add=False):
+                    if slot is not None and slot.named and not slot.large:
+                        for n in run.nodes:
+                            n.drop = True
+                runs = runs_of([page])
             settled = Wrapper()
             settled.learn(runs)
             settled.count(runs)

@@ -298,3 +298,25 @@ def test_wrapper_induction_counts_every_recurring_text(spark, blocks):
     df = spark.createDataFrame([(k, f"http://h.example/{k}", html(k)) for k in range(200)], "page_id long, url string, html string")
     for r in wrapper_induction.extract_text(df.repartition(3)).collect():
         assert r["text"] == "\n".join(f"page {r['page_id']} part {j}" for j in range(blocks))
+
+
+@pytest.mark.parametrize("opening, closing", [
+    ('<div class="content has-sidebar">', "</div>"), ('<div id="main" class="no-sidebar">', "</div>"),
+    ('<section class="widget"><div id="search-result">', "</div></section>"), ('<div><span class="notice">', "</span></div>")])
+def test_wrapper_induction_keeps_named_sections_with_the_text(spark, opening, closing):
+    """Names decide for sections of little text only, on hosts of many pages and of one; an empty page stays empty."""
+    para = "</p><p>".join if "span" not in opening else " ".join
+    html = lambda k, parts: (f'<body><div id="nav">menu {k}</div>{opening}' + (f"<p>{para(parts)}</p>" if "span" not in opening else para(parts))
+                             + f'{closing}<div class="sidebar">sidebar {k}</div><div class="ad">ad {k}</div></body>')
+    parts = {k: [f"text {k} has part {j} of more words" for j in range(6)] for k in range(30)}
+    rows = [(k, f"http://{'one' if k == 29 else 'h'}.example/{k}", html(k, parts[k] if k != 28 else [])) for k in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sep = "\n" if "span" not in opening else " "
+    wanted = {k: sep.join(parts[k]) if k != 28 else "" for k in range(30)}
+    assert {r["page_id"]: r["text"] for r in wrapper_induction.extract_text(df.repartition(3)).collect()} == wanted
+
+
+def test_names_mark_sections_of_little_text():
+    page = wrapper_induction.parse('<div id="nav">menu</div><div><p>Long text of the page <span class="share">share it</span></p>'
+                                   '<div class="comments"><p>a comment</p></div></div>')
+    assert wrapper_induction.extract(page, None) == "Long text of the page"
