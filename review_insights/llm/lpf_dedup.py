@@ -54,7 +54,7 @@ UNIT_DOCS = 60_000
 TILE = 1 << 22
 HOT_AT = 100_000
 MAX_HOT = 1 << 16
-LOCAL_HOT = 8
+LOCAL_HOT = 1       # an anchor counts in units that hold it so often: 1 is an exact count
 BUCKETS_PER_PARTITION = 4
 SORT_AT = 50_000        # suffixes sorted together
 

@@ -115,6 +115,23 @@ def test_remove_repeats_hot_anchors_and_tiles(docs, rows, monkeypatch):
     same(lpf_dedup.remove_repeats(docs, hot_at=2).collect(), brute.repeats(rows))
 
 
+def test_anchors_are_counted_over_all_units(monkeypatch):
+    """A line found a few times in every unit, in ever new surroundings, counts in full."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(lpf_dedup, "UNIT_BYTES", 1_000)
+    rng = random.Random(5)
+    line = "".join(rng.choice("abcdefgh") for _ in range(150))
+    texts = ["".join(rng.choice("ijklmnop") for _ in range(150)) + line for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array([t.encode() for t in texts], pa.binary())], names=["id", "data"])
+    total = {}
+    for found in lpf_dedup._count_anchors(iter([batch])):
+        for anchor, count in zip(*(c.to_pylist() for c in found.columns)):
+            total[anchor] = total.get(anchor, 0) + count
+    assert sum(n >= 60 for n in total.values()) >= 1
+    assert min(total.values()) == 1
+
+
 def test_token_counts(docs, rows):
     import public_tokenizers as P
     from tokenizers import Tokenizer
