@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by longest previous factors in suffix order.
+"""Removal of repeated byte strings by anchors, in place of longest previous factors.
 
 A byte goes when it is covered by a string of ``SPAN`` bytes that also starts
 earlier in the corpus (a smaller doc_id, or earlier in its document).  A
@@ -6,7 +6,8 @@ position has such an earlier match exactly when its longest previous factor is
 ``SPAN`` or more.  In the order of the suffixes cut at ``SPAN`` bytes, equal
 ones in order of position, the previous smaller position with a common prefix
 of ``SPAN`` is the direct predecessor, so one comparison with the neighbour
-replaces the search for previous and next smaller positions.
+replaces the search for previous and next smaller positions.  No array of
+longest previous factors or of smaller positions is built.
 
 The suffix order is only needed among suffixes that can match, and these meet
 without sorting the corpus:
@@ -28,7 +29,8 @@ adds one row a unit however often it occurs.  Anchors found more than
 ``HOT_AT`` times (a common line in ever new surroundings) are counted over all
 documents first; the windows of at most ``MAX_HOT`` of the most frequent ones
 take another way: they are aggregated one by one by a 128-bit hash.  Stretch
-equality rests on more than 96 bits of hashes; windows are compared by bytes.
+equality rests on more than 96 bits of hashes; of the other windows, those whose
+64-bit hash occurs twice are compared by bytes.
 
 Defined results: a null text is empty; matches never cross documents; a text
 shorter than ``SPAN`` keeps all bytes.  Of rows with one doc_id the one read
