@@ -81,6 +81,14 @@ def test_toxicity_of_the_held_out_fold(spark, con):
     assert all(r["predicted"] == int(r["score"] >= 0.7) for r in held)
 
 
+def test_toxic_documents_found_in_the_held_out_fold(spark):
+    """Recall at the threshold."""
+    sf_dir = "/root/testdata/sf0.1"
+    toxic = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{sf_dir}/labels.parquet'").fetchall())
+    held = [r for r in run(spark, sf_dir, "op2_toxicity").collect() if r["held_out"] and toxic.get(r["doc_id"])]
+    assert sum(r["predicted"] for r in held) >= 0.65 * len(held)
+
+
 def test_pages(spark, sf_small, con):
     import html
     import re
