@@ -14,7 +14,9 @@
    role, class or id names a menu, header, footer, sidebar, notice, advert,
    form, script, style or comment list, and slots of mostly link text, are
    template too; a class or id decides only on the wrapper, and never against
-   a section that holds more than half of the host's varying text.
+   a section that holds more than half of the host's varying text.  On fewer
+   than ``CONSTANT_PAGES`` pages, which show little of what varies, names still
+   decide beside an article or main element with text.
 4. Every page is aligned with the wrapper again and the content slots are read
    out in page order.  A page that lacks the wrapper's content root is read by
    the same rules from its own tree, without named sections that elsewhere on
@@ -420,9 +422,27 @@ class Wrapper:
         for slot in self.numbered():    # more than half of a page's text, where it stands
             slot.large = slot.named and varying(slot) * pages > half * slot.pages
 
+        def told(slot: Slot, named: bool) -> bool:
+            """Whether an article or main element holds text, in named sections too or outside them only."""
+            return not slot.drop and (named or not slot.named) and (
+                (slot.tag in ("article", "main") and varying(slot) > 0) or any(told(k, named) for k in slot.kids))
+
+        # few pages do not show what varies: an article outside then speaks for the names
+        few = pages < CONSTANT_PAGES and any(told(s, False) for s in self.slots)
+        gone: set[int] = set()
+
+        def names(slot: Slot, inside: bool) -> None:
+            if slot.named and (varying(slot) <= half or (few and not inside and not told(slot, True))):
+                gone.add(id(slot))
+            for k in slot.kids:
+                names(k, inside or slot.tag in ("article", "main"))
+
+        for slot in self.slots:
+            names(slot, False)
+
         def useful(slot: Slot) -> float:
             """The varying text, without named sections unless one holds more than half of the host's."""
-            if slot.drop or (slot.named and varying(slot) <= half):
+            if slot.drop or id(slot) in gone:
                 return 0
             return sum(map(useful, slot.kids)) if slot.kids else varying(slot)
 
