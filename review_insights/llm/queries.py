@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from review_insights.llm import (group_join, langid, line_quality, lpf_dedup, mixing, packing, radix_dedup, token_counts,
-                                 toxicity, wrapper_induction)
+from review_insights.llm import (group_join, langid, line_quality, lpf_dedup, mixing, packing, pattern_packing, radix_dedup,
+                                 token_counts, toxicity, wrapper_induction)
 from review_insights.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,9 @@ def op8_language_id(spark, sf_dir):
 def op10_wrapper_induction(spark, sf_dir):
     """Main text of every page."""
     return wrapper_induction.extract_text(table(spark, sf_dir, "pages"))
+
+
+@register("op13_pattern_packing")
+def op13_pattern_packing(spark, sf_dir):
+    """Pieces of all documents in as few sequences of 1024 tokens as the fitted patterns need."""
+    return pattern_packing.pack_patterns(table(spark, sf_dir, "documents"))
