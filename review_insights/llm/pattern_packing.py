@@ -117,10 +117,15 @@ def non_negative_least_squares(parts: np.ndarray, target: np.ndarray, weight: np
         return out
 
     tolerance = 1e-7 * max(float((weights * residual()).max(initial=0.0)), 1e-9)
+    several, last = at_once, np.inf
     for _ in range(rounds):
         rest = residual()
+        error = float(((weights * rest) ** 2).sum())
         if np.abs(rest).max() < 0.5:
             break
+        # columns that enter together can send each other out again; one alone always helps
+        several = min(at_once, 2 * several) if error < last * (1 - 1e-9) else max(1, several // 2)
+        last = error
         gradient = (weights ** 2 * rest)[parts].sum(axis=1)
         gradient[active] = -np.inf
         order = np.argsort(-gradient, kind="stable")[:64 * at_once]
@@ -130,7 +135,7 @@ def non_negative_least_squares(parts: np.ndarray, target: np.ndarray, weight: np
             if not own & touched:
                 touched |= own
                 taken.append(j)
-                if len(taken) == at_once:
+                if len(taken) == several:
                     break
         if not taken:
             break
