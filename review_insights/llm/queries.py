@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from review_insights.llm import (group_join, langid, line_quality, lpf_dedup, mixing, packing, pattern_packing, radix_dedup,
-                                 token_counts, toxicity, wrapper_induction)
+from review_insights.llm import (conversation_repair, group_join, langid, line_quality, lpf_dedup, mixing, packing, pattern_packing,
+                                 radix_dedup, token_counts, toxicity, wrapper_induction)
 from review_insights.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,9 @@ def op10_wrapper_induction(spark, sf_dir):
 def op13_pattern_packing(spark, sf_dir):
     """Pieces of all documents in as few sequences of 1024 tokens as the fitted patterns need."""
     return pattern_packing.pack_patterns(table(spark, sf_dir, "documents"))
+
+
+@register("op12_conversation_repair")
+def op12_conversation_repair(spark, sf_dir):
+    """Faults, cheapest edits and repaired digest of every conversation, after the damage."""
+    return conversation_repair.repair_report(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
