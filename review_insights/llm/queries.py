@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from review_insights.llm import (conversation_repair, group_join, langid, line_quality, lpf_dedup, mixing, packing, pattern_packing,
-                                 radix_dedup, token_counts, toxicity, wrapper_induction)
+                                 phrase_mining, radix_dedup, token_counts, toxicity, wrapper_induction)
 from review_insights.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,6 +114,12 @@ def op13_pattern_packing(spark, sf_dir):
     return pattern_packing.pack_patterns(table(spark, sf_dir, "documents"))
 
 
+@register("op11_phrase_mining", phrase_mining.phrases_sql())
+def op11_phrase_mining(spark, sf_dir):
+    """Best phrases of two and three words of every language."""
+    return phrase_mining.mine_phrases(table(spark, sf_dir, "documents"))
+
+
 @register("op12_conversation_repair")
 def op12_conversation_repair(spark, sf_dir):
     """Faults, cheapest edits and repaired digest of every conversation, after the damage."""
