@@ -13,9 +13,9 @@ The relations are stored in blocks of whole pieces (``BLOCK_BYTES`` of text).  A
 block holds its occurrences in order as codes of its own, with a break where a
 piece ends or a phrase is infrequent, so the merge join is a comparison of
 neighbours and needs no shuffle.  Groups are counted in the block first; only
-(group, block, count) is shuffled: words as rows, longer phrases as compressed
-lists by bucket of their two parts' ids.  The semi-join sends the ids of frequent
-groups back to the blocks that hold them.
+(group, block, count) is shuffled, as compressed lists by bucket of the word or of
+the ids of both parts.  The semi-join sends the ids of frequent groups back to the
+blocks that hold them.
 
 A phrase is identified by its two parts of one word less, down to words, which
 are compared by their bytes: no hash decides equality.  Counts, scores and the
@@ -35,6 +35,7 @@ its words do so contiguously; extra columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,8 +56,8 @@ NO_LANG = "und"
 BLOCK_BYTES = 8 << 20
 #: Buckets of groups for each shuffle partition.
 BUCKETS_PER_PARTITION = 8
-#: Blocks a task may write: block numbers hold the task and a counter.
-BLOCK_BITS = 11
+#: Languages after which a block ends.
+MAX_LANGS = 1_000
 PIECE_ENDS = ".,;:!?\n\x0b\x0c\r"
 BLANKS = " \t"
 
@@ -68,9 +69,11 @@ _CLASS[[ord(c) for c in PIECE_ENDS]] = 2
 
 _OCCURRENCES = np.dtype([("code", "<i4")])
 _GROUPS = np.dtype([("grp", "<i8"), ("right", "<i8"), ("n", "<u4")])
+_WORDS = np.dtype([("lang", "<u2"), ("n", "<u4")])
 _BACK = np.dtype([("start", "<u4"), ("id", "<i8")])
-_R1 = "block long, relation binary, lang string, word binary, code long, n long"
+_R1 = "block long, relation binary, bucket int, first long, groups binary, langs array<string>, words binary"
 _RM = "block long, relation binary, bucket int, first long, groups binary"
+_COUNTED_WORDS = "lang string, word binary, f long, id long, block long, back binary"
 _COUNTED = "left long, right long, f long, id long, block long, back binary"
 
 
@@ -115,46 +118,66 @@ def _stored(codes: np.ndarray) -> bytes:
     return packed(out)
 
 
-def _first_relation(limit: int):
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _first_relation(limit: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = partition_id() << BLOCK_BITS
-        schema = pa.schema([("block", pa.int64()), ("relation", pa.binary()), ("lang", pa.string()), ("word", pa.binary()),
-                            ("code", pa.int64()), ("n", pa.int64())])
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
+        block = partition_id() << 32
+        schema = pa.schema([("block", pa.int64()), ("relation", pa.binary()), ("bucket", pa.int32()), ("first", pa.int64()),
+                            ("groups", pa.binary()), ("langs", pa.list_(pa.string())), ("words", pa.binary())])
         waiting: dict[str, list[np.ndarray]] = {}
         size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             nonlocal waiting, size, block
-            relation, base = [], 0
-            for lang, texts in waiting.items():
-                gap = np.array([10], np.uint8)
+            relation, found, table, places = [], [], [], []
+            gap = np.array([10], np.uint8)
+            for k, (lang, texts) in enumerate(waiting.items()):
                 words, piece = words_of(np.concatenate([x for t in texts for x in (t, gap)]))
                 if not len(words):
                     continue
                 coded = words.dictionary_encode()
-                codes, n = coded.indices.to_numpy(), len(coded.dictionary)
-                out = np.full(len(codes) + int((np.diff(piece) > 0).sum()) + 1, -1, np.int32)
-                out[np.arange(len(codes)) + np.concatenate([[0], np.cumsum(np.diff(piece) > 0)])] = codes + base
+                codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+                breaks = np.concatenate([[0], np.cumsum(np.diff(piece) > 0)])
+                out = np.full(len(codes) + int(breaks[-1]) + 1, -1, np.int32)
+                out[np.arange(len(codes)) + breaks] = codes + len(found)
                 relation.append(out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, block)), pa.nulls(n, pa.binary()), pa.array([lang] * n, pa.string()), coded.dictionary.cast(pa.binary()),
-                     pa.array(np.arange(base, base + n)), pa.array(np.bincount(codes, minlength=n))], schema=schema)
-                base += n
-            if base:
-                yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(
-                    (block, _stored(np.concatenate(relation)), None, None, None, None), schema)], schema=schema)
-                block += 1
-            waiting, size = {}, 0
+                seed = zlib.crc32(lang.encode())
+                places += [zlib.crc32(w, seed) % buckets for w in distinct]
+                found += distinct
+                own = np.empty(len(distinct), _WORDS)
+                own["lang"], own["n"] = k, np.bincount(codes, minlength=len(distinct))
+                table.append(own)
+            langs, waiting, size = list(waiting), {}, 0
+            if not found:
+                return _batch([], schema)
+            bucket = np.array(places)
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(order) + 1, np.int32)
+            place[order], place[-1] = np.arange(len(order)), -1
+            groups, edges = np.concatenate(table)[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows = [(block, _stored(place[np.concatenate(relation)]), None, None, None, None, None)]
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                cut = slice(edges[b], edges[b + 1])
+                rows.append((block, None, b, int(edges[b]), packed(groups[cut]), langs, press.compress(b"\n".join([found[i] for i in order[cut]]))))
+            block += 1
+            return _batch(rows, schema)
 
         for batch in batches:
             for lang, data in zip(batch.column("lang").to_pylist(), batch.column("data")):
                 text = _LOWER[np.frombuffer(data.as_buffer(), np.uint8)]
                 for part in _whole_pieces(text, limit):
-                    if size and size + len(part) > limit:
-                        yield from flush()
+                    if size and (size + len(part) > limit or len(waiting) > MAX_LANGS):
+                        yield flush()
                     waiting.setdefault(lang, []).append(part)
                     size += len(part) + 1
-        yield from flush()
+        yield flush()
     return run
 
 
@@ -193,76 +216,112 @@ def _next_relation(buckets: int, last: bool):
                 place = np.empty(len(order) + 1, np.int64)
                 place[order], place[-1] = np.arange(len(order)), -1
                 rows.append((block, _stored(place[codes]), None, None, None))
-            columns = list(zip(*rows)) if rows else [()] * len(schema)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            return _batch(rows, schema)
 
         for batch in batches:
-            block, code, ids = (batch.column(c) for c in ("block", "code", "id"))
-            relation, back = batch.column("relation"), batch.column("back")
-            listed = np.asarray(back.is_valid())
-            ends = np.asarray(relation.is_valid())
-            at = 0
-            for stop in [*np.flatnonzero(listed | ends).tolist(), len(block)]:
-                if stop > at:
-                    known.append((code.slice(at, stop - at).to_numpy(), ids.slice(at, stop - at).to_numpy()))
-                at = stop + 1
-                if stop < len(block) and listed[stop]:
-                    table = unpacked(back[stop].as_py(), _BACK)
-                    known.append((table["start"].astype(np.int64), table["id"].astype(np.int64)))
-                elif stop < len(block):
-                    yield block_rows(block[stop].as_py(), relation[stop].as_py())
+            for block, relation, back in zip(*(batch.column(c) for c in ("block", "relation", "back"))):
+                if relation.is_valid:
+                    yield block_rows(block.as_py(), relation.as_py())
                     known = []
+                else:
+                    table = unpacked(back.as_py(), _BACK)
+                    known.append((table["start"].astype(np.int64), table["id"].astype(np.int64)))
     return run
 
 
-def _count_groups(least: int, last: bool):
-    """Rows come sorted by bucket: counts of its groups over all blocks, and the frequent ones back by block."""
+def _numbered(order: np.ndarray, new: np.ndarray, n: np.ndarray, least: int, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted rows whose groups begin at ``new``: a row of each frequent group, its total and id; and every
+    row's id (-1: infrequent)."""
+    heads = np.flatnonzero(new)
+    total = np.add.reduceat(n.astype(np.int64)[order], heads)
+    frequent = total >= least
+    number = np.where(frequent, (bucket << 32) + np.cumsum(frequent) - 1, -1)
+    ids = np.empty(len(order), np.int64)
+    ids[order] = number[np.cumsum(new) - 1]
+    return order[heads[frequent]], total[frequent], number[frequent], ids
+
+
+def _sent_back(lists: list[tuple], ids: np.ndarray) -> list[tuple[int, bytes]]:
+    """For each block ``(block, codes and ids of its frequent groups)``; ``lists`` begin with block, first code and size."""
+    out, at = [], 0
+    for block, first, size, *_ in lists:
+        own = ids[at:at + size]
+        at += size
+        places = np.flatnonzero(own >= 0)
+        if len(places):
+            back = np.empty(len(places), _BACK)
+            back["start"], back["id"] = first + places, own[places]
+            out.append((block, packed(back)))
+    return out
+
+
+def _by_bucket(read, flush):
+    """Gather the lists of one bucket after the other (rows come sorted by bucket)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("left", pa.int64()), ("right", pa.int64()), ("f", pa.int64()), ("id", pa.int64()), ("block", pa.int64()), ("back", pa.binary())])
         now, lists = None, []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            tables = [t for _, _, t in lists]
-            left, right = (np.concatenate([t[c] for t in tables]) for c in ("grp", "right"))
-            order = np.lexsort((right, left))
-            new = np.ones(len(order), bool)
-            new[1:] = (np.diff(left[order]) != 0) | (np.diff(right[order]) != 0)
-            heads = np.flatnonzero(new)
-            total = np.add.reduceat(np.concatenate([t["n"] for t in tables]).astype(np.int64)[order], heads)
-            frequent = total >= least
-            number = np.where(frequent, (now << 32) + np.cumsum(frequent) - 1, -1)
-            kept, n = order[heads[frequent]], int(frequent.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(left[kept]), pa.array(right[kept]), pa.array(total[frequent]), pa.array(number[frequent]),
-                 pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=schema)
-            if last:
-                return
-            ids = np.empty(len(order), np.int64)
-            ids[order] = number[np.cumsum(new) - 1]
-            rows, at = [], 0
-            for block, first, table in lists:
-                own = ids[at:at + len(table)]
-                at += len(table)
-                places = np.flatnonzero(own >= 0)
-                if len(places):
-                    back = np.empty(len(places), _BACK)
-                    back["start"], back["id"] = first + places, own[places]
-                    rows.append((None, None, None, None, block, packed(back)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
         for batch in batches:
-            for bucket, block, first, groups in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "first", "groups"))):
-                if bucket != now and lists:
-                    yield from flush()
+            for values in zip(*batch.columns):
+                row = {name: value.as_py() for name, value in zip(batch.schema.names, values)}
+                if row["bucket"] != now and lists:
+                    yield from flush(now, lists)
                     lists = []
-                now = bucket
-                lists.append((block, first, unpacked(groups, _GROUPS)))
+                now = row["bucket"]
+                lists.append(read(row))
         if lists:
-            yield from flush()
+            yield from flush(now, lists)
     return run
 
 
+def _count_words(least: int):
+    schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("f", pa.int64()), ("id", pa.int64()), ("block", pa.int64()), ("back", pa.binary())])
+
+    def read(row):
+        import zstandard
+
+        words = zstandard.ZstdDecompressor().decompress(row["words"]).split(b"\n")
+        return row["block"], row["first"], len(words), words, row["langs"], unpacked(row["groups"], _WORDS)
+
+    def flush(bucket: int, lists: list[tuple]) -> Iterator[pa.RecordBatch]:
+        langs = sorted({lang for x in lists for lang in x[4]})
+        number = {lang: k for k, lang in enumerate(langs)}
+        coded = pa.array([w for x in lists for w in x[3]], pa.binary()).dictionary_encode()
+        word = coded.indices.to_numpy().astype(np.int64)
+        lang = np.concatenate([np.array([number[g] for g in x[4]], np.int64)[x[5]["lang"]] for x in lists])
+        n = np.concatenate([x[5]["n"] for x in lists]).astype(np.int64)
+        order = np.lexsort((word, lang))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(lang[order]) != 0) | (np.diff(word[order]) != 0)
+        kept, total, own, ids = _numbered(order, new, n, least, bucket)
+        rows = [(langs[g], coded.dictionary[w].as_py(), f, i, None, None) for g, w, f, i in zip(lang[kept].tolist(), word[kept].tolist(), total.tolist(), own.tolist())]
+        sums = np.zeros(len(langs), np.int64)
+        np.add.at(sums, lang, n)
+        rows += [(g, None, f, None, None, None) for g, f in zip(langs, sums.tolist()) if f]
+        rows += [(None, None, None, None, block, back) for block, back in _sent_back(lists, ids)]
+        yield _batch(rows, schema)
+    return _by_bucket(read, flush)
+
+
+def _count_groups(least: int, last: bool):
+    """Counts of groups over all blocks, and the frequent ones back by block."""
+    schema = pa.schema([("left", pa.int64()), ("right", pa.int64()), ("f", pa.int64()), ("id", pa.int64()), ("block", pa.int64()), ("back", pa.binary())])
+
+    def read(row):
+        table = unpacked(row["groups"], _GROUPS)
+        return row["block"], row["first"], len(table), table
+
+    def flush(bucket: int, lists: list[tuple]) -> Iterator[pa.RecordBatch]:
+        left, right, n = (np.concatenate([x[3][c] for x in lists]) for c in ("grp", "right", "n"))
+        order = np.lexsort((right, left))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(left[order]) != 0) | (np.diff(right[order]) != 0)
+        kept, total, own, ids = _numbered(order, new, n, least, bucket)
+        yield pa.RecordBatch.from_arrays([pa.array(left[kept]), pa.array(right[kept]), pa.array(total), pa.array(own),
+                                          pa.nulls(len(kept), pa.int64()), pa.nulls(len(kept), pa.binary())], schema=schema)
+        if not last:
+            yield _batch([(None, None, None, None, block, back) for block, back in _sent_back(lists, ids)], schema)
+    return _by_bucket(read, flush)
+
+
 def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_words: int = MAX_WORDS,
                      least: int = MIN_COUNT, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[DataFrame]]:
     """``(lang, n)``: all words of every language; and for each length ``m`` the frequent phrases
@@ -271,34 +330,31 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"),
                          F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("data"))
-    relation = saved(source.mapInArrow(_first_relation(block_bytes), _R1), "phrase-r1")
-    words = relation.where("word IS NOT NULL").drop("relation")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy("lang", "word")
-    own = F.shiftleft("block", 32) + F.col("code")
-    counted = saved(words.withColumn("own", own).withColumn("f", F.sum("n").over(group)).withColumn("id", F.min("own").over(group))
-                    .where(F.col("f") >= least), "phrase-words")
-    count = F.array("f")
-    word = F.col("word").cast("string")
-    levels = [counted.where("own = id").select("id", "lang", word.alias("phrase"), word.alias("last"), "f",
-                                               count.alias("first_counts"), count.alias("last_counts"))]
-    back = counted.select("block", "code", "id", F.lit(None).cast("binary").alias("back"))
+    buckets = BUCKETS_PER_PARTITION * partitions
+    relation = saved(source.mapInArrow(_first_relation(block_bytes, buckets), _R1), "phrase-r1")
+    groups = _dealt(relation, "block", "first", "groups", "langs", "words")
+    counts = saved(groups.mapInArrow(_count_words(least), _COUNTED_WORDS), "phrase-words")
+    totals = counts.where("lang IS NOT NULL AND id IS NULL").groupBy("lang").agg(F.sum("f").alias("n"))
+    word, count = F.col("word").cast("string"), F.array("f")
+    levels = [counts.where("id IS NOT NULL").select("id", "lang", word.alias("phrase"), word.alias("last"), "f",
+                                                    count.alias("first_counts"), count.alias("last_counts"))]
     for m in range(2, max_words + 1):
         last = m == max_words
-        occurrences = relation.where("relation IS NOT NULL").select("block", "relation")
-        sent = (back.withColumn("relation", F.lit(None).cast("binary"))
-                .unionByName(occurrences, allowMissingColumns=True).repartition("block")
-                .sortWithinPartitions("block", F.col("relation").isNotNull()))
-        buckets = BUCKETS_PER_PARTITION * partitions
+        back = counts.where("back IS NOT NULL").select("block", F.lit(None).cast("binary").alias("relation"), "back")
+        occurrences = relation.where("relation IS NOT NULL").select("block", "relation", F.lit(None).cast("binary").alias("back"))
+        sent = back.unionByName(occurrences).repartition("block").sortWithinPartitions("block", F.col("relation").isNotNull())
         relation = saved(sent.mapInArrow(_next_relation(buckets, last), _RM), f"phrase-r{m}")
-        groups = (relation.where("bucket IS NOT NULL").select("bucket", "block", "first", "groups")
-                  .repartition("bucket").sortWithinPartitions("bucket", "block"))
-        counts = saved(groups.mapInArrow(_count_groups(least, last), _COUNTED), f"phrase-counts{m}")
+        counts = saved(_dealt(relation, "block", "first", "groups").mapInArrow(_count_groups(least, last), _COUNTED), f"phrase-counts{m}")
         levels.append(saved(_named(counts.where("id IS NOT NULL").select("left", "right", "f", "id"), levels[-1]), f"phrase-names{m}"))
-        back = counts.where("back IS NOT NULL").select("block", F.lit(None).cast("long").alias("code"), F.lit(None).cast("long").alias("id"), "back")
     return totals, levels
 
 
+def _dealt(relation: DataFrame, *columns: str) -> DataFrame:
+    """The groups of a relation by bucket."""
+    return (relation.where("bucket IS NOT NULL").select("bucket", *columns)
+            .repartition("bucket").sortWithinPartitions("bucket", "block"))
+
+
 def _named(groups: DataFrame, shorter: DataFrame) -> DataFrame:
     """Phrases and counts of their parts, from the phrases of one word less."""
     left = shorter.select(F.col("id").alias("left"), "lang", "phrase", "first_counts")
