@@ -164,7 +164,16 @@ OPPORTUNITY_DEFAULT = "継続的な品質向上"
 KPI_NEGATIVE_PERCENT_STEP = 5
 KPI_NEGATIVE_PERCENT_MIN = 5
 # --- FIXED VALUES: texts of the business report --------------------------------
-REPORT_TITLE = "AMAZON レビュー分析 - ビジネス改善提案レポート"
+REPORT_TITLE = "レビュー分析 - ビジネス改善提案レポート"
+REPORT_HEADINGS = {
+    "summary": "エグゼクティブサマリー",
+    "suggestions": "改善提案詳細（優先度順）",
+    "roi": "ROI・投資対効果分析",
+    "position": "競合比較・市場ポジション",
+    "roadmap": "実装ロードマップ",
+    "kpi": "成功指標・KPI",
+}
+REPORT_LISTS = {"strength": "強み:", "weakness": "弱み:", "opportunity": "改善機会:"}
 REPORT_LABELS = {
     "generated": "生成日時: %s",
     "total": "総レビュー数: %s件",
@@ -181,8 +190,35 @@ REPORT_LABELS = {
     "kpi_rating": "平均評価: %.2f → %.2f",
     "kpi_negative": "ネガティブ率: %.1f%% → %.1f%%",
 }
+REPORT_ITEM = "• %s"
 KPI_FIXED_LINES = ("5星評価率: +10%向上", "顧客満足度: +15%向上")
 
+# --- FIXED VALUES: texts of the scoring report and of the dashboard summary -----
+SCORING_REPORT_TITLE = "レビュー感情分析 - サマリーレポート"
+SCORING_REPORT_HEADINGS = {
+    "basic": "基本統計:",
+    "sentiment": "感情分析結果:",
+    "accuracy": "精度評価:",
+    "negative": "ネガティブレビュー分析:",
+    "problems": "主要問題:",
+    "keywords": "キーワード分析:",
+    "next": "次のステップ (Phase 3):",
+}
+SCORING_REPORT_LABELS = {
+    "total": "総レビュー数: %s件",
+    "completion": "分析完了率: %.1f%%",
+    "count": "%s: %s件 (%.1f%%)",
+    "confidence": "平均信頼度: %.3f",
+    "accuracy": "全体精度: %.3f (%.1f%%)",
+    "negative": "ネガティブレビュー: %s件 (%.1f%%)",
+    "problem": "- %s: %d件 (%.1f%%)",
+    "keywords": "%sの主要キーワード: %s",
+}
+SCORING_REPORT_NEXT = ("1. 改善提案エンジンの実装", "2. ROI算出システムの構築", "3. 競合比較機能の追加", "4. Webアプリケーション開発")
+DASHBOARD_TITLE = "# レビュー分析 - サマリーレポート"
+DASHBOARD_HEADINGS = {"overview": "## 分析概要", "sentiment": "## 感情分析結果"}
+DASHBOARD_LABELS = {"total": "- 総レビュー数: %s件", "generated": "- 分析日時: %s", "count": "- %s: %d件 (%.1f%%)"}
+
 # --- FIXED VALUES: column projections of the result files --------------------
 SCORED_EXPORT_COLUMNS = (
     "product_id", "rating", "review_text", "sentiment_label", "bert_sentiment",

@@ -885,34 +885,45 @@ def _money(col: str, digits: int = 0) -> str:
 
 
 def _business_sql() -> str:
-    L = {k: v.replace("'", "''") for k, v in K.REPORT_LABELS.items()}
-    fixed = " UNION ALL ".join(f"SELECT 8, {2 + i}, '{t}'" for i, t in enumerate(K.KPI_FIXED_LINES))
+    """The lines as they stand in the source, written out here on their own."""
     return f"""WITH m AS (SELECT count(*) AS n, count(*) FILTER (WHERE bert_sentiment = 'negative') AS neg, avg(rating) AS a FROM scored),
 pos AS ({_position_sql()})
 SELECT section, ord, text FROM (
-  SELECT 1 AS section, 0 AS ord, '{K.REPORT_TITLE}' AS text
-  UNION ALL SELECT 1, 1, printf('{L["generated"]}', '{REPORT_TIME}')
-  UNION ALL SELECT 1, 2, printf('{L["total"]}', {_money("n")}) FROM m
-  UNION ALL SELECT 1, 3, printf('{L["negative"]}', {_money("neg")}, neg / n * 100) FROM m
-  UNION ALL SELECT 1, 4, printf('{L["mean"]}', a) FROM m
-  UNION ALL SELECT 1, 5, printf('{L["top"]}', category) FROM suggestions WHERE priority_rank = 1
-  UNION ALL SELECT 2, CAST(priority_rank AS INTEGER), printf('{L["suggestion"]}', priority_rank, category,
-      CAST(priority_score AS VARCHAR), affected_reviews, {_money("estimated_cost")}, roi_estimate, implementation_timeline,
-      risk_level, success_probability * 100, array_to_string(suggestions[1:3], ' / ')) FROM suggestions
-  UNION ALL SELECT 3, CAST(priority_rank AS INTEGER), printf('{L["roi"]}', category, {_money("investment")},
-      {_money("expected_revenue_recovery", 1)}, roi_percentage, payback_period_months) FROM roi
-  UNION ALL SELECT 4, 0, printf('{L["roi_total"]}', {_money("coalesce(sum(investment), 0)")},
+  SELECT 1 AS section, 0 AS ord, 'レビュー分析 - ビジネス改善提案レポート' AS text
+  UNION ALL SELECT 1, 1, '生成日時: {REPORT_TIME}'
+  UNION ALL SELECT 1, 2, 'エグゼクティブサマリー'
+  UNION ALL SELECT 1, 3, printf('総レビュー数: %s件', {_money("n")}) FROM m
+  UNION ALL SELECT 1, 4, printf('ネガティブレビュー: %s件 (%.1f%%)', {_money("neg")}, neg / n * 100) FROM m
+  UNION ALL SELECT 1, 5, printf('平均評価: %.2f/5.0', a) FROM m
+  UNION ALL SELECT 1, 6, '最優先改善項目: ' || category FROM suggestions WHERE priority_rank = 1
+  UNION ALL SELECT 1, 7, printf('推定投資額: $%s | 期待リターン: $%s | 全体ROI: %.1f%%', {_money("coalesce(sum(investment), 0)")},
       {_money("coalesce(sum(expected_revenue_recovery), 0)", 1)},
       CASE WHEN coalesce(sum(investment), 0) > 0 THEN sum(expected_revenue_recovery) / sum(investment) * 100 ELSE 0 END) FROM roi
-  UNION ALL SELECT 5, CAST(ord + CASE kind WHEN 'strength' THEN 0 WHEN 'weakness' THEN 100 ELSE 200 END AS INTEGER),
-      kind || ': ' || text FROM pos
-  UNION ALL SELECT 6, 0, printf('{L["position"]}', CASE WHEN a >= 4.5 THEN 90 WHEN a >= 4.0 THEN 75 WHEN a >= 3.5 THEN 50
-      WHEN a >= 3.0 THEN 25 ELSE 10 END, a, neg / n * 100) FROM m
-  UNION ALL SELECT 7, 1, printf('{L["phase1"]}', category, {_money("estimated_cost")}) FROM suggestions WHERE priority_rank = 1
-  UNION ALL SELECT 7, 2, printf('{L["phase2"]}', category, {_money("estimated_cost")}) FROM suggestions WHERE priority_rank = 2
-  UNION ALL SELECT 8, 0, printf('{L["kpi_rating"]}', a, least(a + 0.5, 5.0)) FROM m
-  UNION ALL SELECT 8, 1, printf('{L["kpi_negative"]}', neg / n * 100, greatest(neg / n * 100 - 5, 5.0)) FROM m
-  UNION ALL {fixed}
+  UNION ALL SELECT 2, -1, '改善提案詳細（優先度順）'
+  UNION ALL SELECT 2, CAST(priority_rank AS INTEGER), printf('%d. %s | 優先度スコア: %s | 影響レビュー数: %d件 | 推定コスト: $%s | ROI比: %.2f'
+      || ' | 実装期間: %s | リスクレベル: %s | 成功確率: %.0f%% | 具体的施策: %s', priority_rank, category,
+      CAST(priority_score AS VARCHAR), affected_reviews, {_money("estimated_cost")}, roi_estimate, implementation_timeline,
+      risk_level, success_probability * 100, array_to_string(suggestions[1:3], ' / ')) FROM suggestions
+  UNION ALL SELECT 3, -1, 'ROI・投資対効果分析'
+  UNION ALL SELECT 3, CAST(priority_rank AS INTEGER), printf('%s: 投資額 $%s | 期待収益 $%s | ROI: %.1f%% | 回収期間: %.1fヶ月', category,
+      {_money("investment")}, {_money("expected_revenue_recovery", 1)}, roi_percentage, payback_period_months) FROM roi
+  UNION ALL SELECT 4, -2, '競合比較・市場ポジション'
+  UNION ALL SELECT 4, -1, printf('現在のポジション: %d%%ile | 業界平均評価: %.2f | ネガティブ率: %.1f%%', CASE WHEN a >= 4.5 THEN 90
+      WHEN a >= 4.0 THEN 75 WHEN a >= 3.5 THEN 50 WHEN a >= 3.0 THEN 25 ELSE 10 END, a, neg / n * 100) FROM m
+  UNION ALL SELECT 4, 0, '強み:'
+  UNION ALL SELECT 4, 100, '弱み:'
+  UNION ALL SELECT 4, 200, '改善機会:'
+  UNION ALL SELECT 4, CAST(ord + CASE kind WHEN 'strength' THEN 0 WHEN 'weakness' THEN 100 ELSE 200 END AS INTEGER), '• ' || text FROM pos
+  UNION ALL SELECT 5, -1, '実装ロードマップ'
+  UNION ALL SELECT 5, 1, printf('フェーズ1 (最初の3ヶ月): %sの改善開始 | 予算: $%s', category, {_money("estimated_cost")})
+      FROM suggestions WHERE priority_rank = 1
+  UNION ALL SELECT 5, 2, printf('フェーズ2 (4-6ヶ月): %sの改善実施 | 予算: $%s', category, {_money("estimated_cost")})
+      FROM suggestions WHERE priority_rank = 2
+  UNION ALL SELECT 6, -1, '成功指標・KPI'
+  UNION ALL SELECT 6, 0, printf('平均評価: %.2f → %.2f', a, least(a + 0.5, 5.0)) FROM m
+  UNION ALL SELECT 6, 1, printf('ネガティブ率: %.1f%% → %.1f%%', neg / n * 100, greatest(neg / n * 100 - 5, 5.0)) FROM m
+  UNION ALL SELECT 6, 2, '5星評価率: +10%向上'
+  UNION ALL SELECT 6, 3, '顧客満足度: +15%向上'
 )"""
 
 
@@ -1098,6 +1109,68 @@ def q_report_keywords(spark, sf_dir):
     return kw.where(F.col("sentiment").isin("negative", "positive")).select("sentiment", "rank", "term")
 
 
+def _scoring_report_text_sql() -> str:
+    return "WITH kk AS (" + O.sql(_report_keywords_sql()) + """),
+t AS (SELECT count(*) AS n, count(bert_sentiment) AS done, avg(bert_confidence) AS conf,
+             count(*) FILTER (WHERE bert_sentiment = 'negative') AS neg,
+             avg(CAST(sentiment_label = bert_sentiment AS INTEGER)) FILTER (WHERE sentiment_label IS NOT NULL AND bert_sentiment IS NOT NULL) AS acc
+      FROM scored),
+s AS (SELECT bert_sentiment AS label, count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, bert_sentiment) AS k
+      FROM scored WHERE bert_sentiment IS NOT NULL GROUP BY bert_sentiment),
+p AS (SELECT problem_category AS label, count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, problem_category) AS k
+      FROM scored WHERE problem_category <> 'none' GROUP BY problem_category QUALIFY k <= 5)
+SELECT section, ord, text FROM (
+  SELECT 1 AS section, 0 AS ord, 'レビュー感情分析 - サマリーレポート' AS text
+  UNION ALL SELECT 1, 1, '基本統計:'
+  UNION ALL SELECT 1, 2, '総レビュー数: ' || format('{:,.0f}', CAST(n AS DOUBLE)) || '件' FROM t
+  UNION ALL SELECT 1, 3, printf('分析完了率: %.1f%%', round(done / n * 100, 1)) FROM t
+  UNION ALL SELECT 2, 0, '感情分析結果:'
+  UNION ALL SELECT 2, CAST(k AS INTEGER), label || ': ' || format('{:,.0f}', CAST(c AS DOUBLE)) || printf('件 (%.1f%%)', round(c / n * 100, 1)) FROM s, t
+  UNION ALL SELECT 2, 100, printf('平均信頼度: %.3f', round(conf, 3)) FROM t
+  UNION ALL SELECT 3, 0, '精度評価:'
+  UNION ALL SELECT 3, 1, printf('全体精度: %.3f (%.1f%%)', round(acc, 4), round(acc, 4) * 100) FROM t
+  UNION ALL SELECT 4, 0, 'ネガティブレビュー分析:'
+  UNION ALL SELECT 4, 1, 'ネガティブレビュー: ' || format('{:,.0f}', CAST(neg AS DOUBLE)) || printf('件 (%.1f%%)', round(neg / n * 100, 1)) FROM t
+  UNION ALL SELECT 4, 2, '主要問題:'
+  UNION ALL SELECT 4, CAST(k + 2 AS INTEGER), printf('- %s: %d件 (%.1f%%)', label, c, round(c / neg * 100, 1)) FROM p, t
+  UNION ALL SELECT 5, 0, 'キーワード分析:'
+  UNION ALL SELECT 5, CASE sentiment WHEN 'negative' THEN 1 ELSE 2 END,
+      sentiment || 'の主要キーワード: ' || string_agg(term, ', ' ORDER BY rank) FROM kk GROUP BY sentiment
+  UNION ALL SELECT 6, 0, '次のステップ (Phase 3):'
+  UNION ALL SELECT 6, 1, '1. 改善提案エンジンの実装'
+  UNION ALL SELECT 6, 2, '2. ROI算出システムの構築'
+  UNION ALL SELECT 6, 3, '3. 競合比較機能の追加'
+  UNION ALL SELECT 6, 4, '4. Webアプリケーション開発'
+)"""
+
+
+@register("scoring_report_text", _scoring_report_text_sql)
+def q_scoring_report_text(spark, sf_dir):
+    """The scoring report as lines of text."""
+    sc = frames.scored(spark, sf_dir)
+    classed = sc.where(F.col("bert_sentiment").isin(K.NEGATIVE, K.POSITIVE))
+    report = reports.scoring_report(sc, with_accuracy=True, keywords=keywords.extract_keywords(classed, top_k=5))
+    return reports.scoring_report_lines(report)
+
+
+@register("dashboard_summary_text", f"""
+WITH t AS (SELECT count(*) AS n FROM scored),
+s AS (SELECT bert_sentiment AS label, count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, bert_sentiment) AS k
+      FROM scored WHERE bert_sentiment IS NOT NULL GROUP BY bert_sentiment)
+SELECT section, ord, text FROM (
+  SELECT 1 AS section, 0 AS ord, '# レビュー分析 - サマリーレポート' AS text
+  UNION ALL SELECT 1, 1, '## 分析概要'
+  UNION ALL SELECT 1, 2, '- 総レビュー数: ' || format('{{:,.0f}}', CAST(n AS DOUBLE)) || '件' FROM t
+  UNION ALL SELECT 1, 3, '- 分析日時: {REPORT_TIME[:16]}'
+  UNION ALL SELECT 1, 4, '## 感情分析結果'
+  UNION ALL SELECT 1, CAST(k + 4 AS INTEGER), printf('- %s: %d件 (%.1f%%)', label, c, c / n * 100) FROM s, t
+)
+""")
+def q_dashboard_summary_text(spark, sf_dir):
+    """The export page's summary as lines of Markdown."""
+    return reports.dashboard_summary_lines(frames.scored(spark, sf_dir), REPORT_TIME[:16])
+
+
 # ------------------------------------------------- sinks, read back (S3..S9) --
 
 def _scratch(spark, name: str) -> str:
@@ -1172,11 +1245,11 @@ _STRIP_SQL = r"regexp_replace(regexp_replace({c}, '^[\s\x0B\x1C-\x1F\x85\p{{Z}}]
 
 @register("document_text_features", f"""
 SELECT doc_id, md5(c) AS clean_md5, length(c) AS review_length FROM (
-  SELECT doc_id, {_STRIP_SQL.format(c="text")} AS c FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, {_STRIP_SQL.format(c="text")} AS c FROM documents)
 """)
 def q_document_text_features(spark, sf_dir):
-    """P2, P3 on whole documents."""
-    t = preprocess.add_text_features(_documents(spark, sf_dir).where(F.col("review_text").isNotNull()))
+    """P2, P3 on whole documents; a null text has neither."""
+    t = preprocess.add_text_features(_documents(spark, sf_dir))
     return t.select(F.col("review_id").cast("bigint").alias("doc_id"), F.md5(F.col("review_text_clean").cast("binary")).alias("clean_md5"),
                     "review_length")
 

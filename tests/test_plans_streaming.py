@@ -23,7 +23,10 @@ def test_three_phases_write_and_chain(spark, sf_small):
     direct = {r.problem_type: r["count"] for r in patterns.problem_analysis(frames.scored(spark, sf_small)).collect()}
     assert written == direct
     lines = [r.value for r in spark.read.text(p3.tables["business_report"]).collect()]
-    assert lines[0] == "エグゼクティブサマリー" and len(lines) > 5
+    headings = ["レビュー分析 - ビジネス改善提案レポート", "エグゼクティブサマリー", "改善提案詳細（優先度順）", "ROI・投資対効果分析",
+                "競合比較・市場ポジション", "実装ロードマップ", "成功指標・KPI"]
+    assert lines[0] == headings[0] and [x for x in lines if x in headings] == headings
+    assert all(lines.index(b) - lines.index(a) > 1 for a, b in zip(headings, headings[1:])) and lines[-1] != headings[-1]
 
 
 def test_lexicon_scorer_phase(spark, sf_small):
