@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from review_insights import constants as K
 from review_insights.functions.labels import normalise_label
 from review_insights.functions.text import keyword_hits, lower_or_empty
+from review_insights.operators.sampling import exact_sample
 
 # FIXED VALUES: the built-in lexicon of the deterministic scorer (our own lists).
 POSITIVE_WORDS = ("great", "love", "excellent", "amazing", "wonderful", "best", "delicious", "perfect",
@@ -132,18 +133,19 @@ MAX_TRAINING_ROWS = 200_000
 
 def train_sentiment_model(df: DataFrame, text_col: str = "review_text", label_col: str = "sentiment_label",
                           num_features: int = 1 << 18, max_iter: int = 20, reg_param: float = 0.01,
-                          max_rows: int = MAX_TRAINING_ROWS) -> PipelineModel:
+                          max_rows: int = MAX_TRAINING_ROWS, key: Sequence[str] | None = None) -> PipelineModel:
     """Fit tokenise -> stop words -> hashing TF -> IDF -> multinomial logistic
     regression on the rating-derived labels.  Training is distributed by MLlib.
 
-    At most ``max_rows`` labelled rows are used for the fit, taken in the order of a
-    hash of text and label (the same rows whatever the partitioning); scoring
-    covers every row.
+    At most ``max_rows`` labelled rows are used for the fit, an exact sample in the
+    order of a hash of ``key`` (default: text and label), the same rows whatever the
+    partitioning and without sorting them in one place; scoring covers every row.
     """
-    train = df.where(F.col(label_col).isNotNull()).select(
-        F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(label_col).alias("_label"))
+    named = list(key) if key else []
+    labelled = df.where(F.col(label_col).isNotNull()).select(
+        F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(label_col).alias("_label"), *named)
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    train = train.orderBy(F.xxhash64("_text", "_label")).limit(max_rows).repartition(slices)
+    train = exact_sample(labelled, max_rows, named or ["_text", "_label"]).select("_text", "_label").repartition(slices)
     stages = [
         StringIndexer(inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc"),
         RegexTokenizer(inputCol="_text", outputCol="_tok", pattern="[^a-zA-Z]+", toLowercase=True, minTokenLength=2),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from review_insights import constants as K
+from review_insights.operators.sampling import exact_sample
 
 
 def _neg() -> Column:
@@ -143,13 +144,9 @@ def high_quality_comparison(df: DataFrame) -> DataFrame:
 
 
 def sample_reviews(df: DataFrame, n: int = 5, seed: int = 42, key: str = "review_id") -> DataFrame:
-    """n reviews in a seeded pseudo-random order: the md5 of key and seed.
-
-    A top-k over a hash (``TakeOrderedAndProject``), so no global sort and the
-    same rows in any engine with md5.
-    """
-    order = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
-    return df.orderBy(order, F.col(key)).limit(n)
+    """n reviews in a seeded pseudo-random order, the md5 of key and seed: a top-k for a few rows,
+    selection of the n-th hash for many (:mod:`sampling`); the same rows in any engine with md5."""
+    return exact_sample(df, n, [key], seed)
 
 
 def preview(df: DataFrame, n: int = 5, columns: Sequence[str] | None = None, key: str = "review_id") -> DataFrame:

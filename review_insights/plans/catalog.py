@@ -289,6 +289,18 @@ def q_sample(spark, sf_dir):
     return summary.sample_reviews(_lean(spark, sf_dir), 5, 42).select(*SAMPLE_COLUMNS)
 
 
+LARGE_SAMPLE = 20_000
+
+
+@register("sample_reviews_large", f"""
+SELECT {', '.join(SAMPLE_COLUMNS)} FROM base
+ORDER BY md5(review_id || '|42'), review_id LIMIT {LARGE_SAMPLE}
+""")
+def q_sample_large(spark, sf_dir):
+    """A14 for many rows: the n-th hash is found by selection, nothing is sorted in one place."""
+    return summary.sample_reviews(_lean(spark, sf_dir).select(*SAMPLE_COLUMNS), LARGE_SAMPLE, 42)
+
+
 @register("upload_kpis", """
 SELECT count(*) AS total_reviews, round(avg(rating), 2) AS average_rating FROM review
 """)
