@@ -42,3 +42,19 @@ def join_dimension(big: DataFrame, dim: DataFrame, on, how: str = "inner",
     if local is None:
         return big.join(dim, on, how)
     return big.join(F.broadcast(local), on, how)
+
+
+#: Bytes of input for each core up to which a scan is dealt out again.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input over all cores.
+
+    A file of one row group is one task, however many cores there are.  Below
+    ``SPREAD_BYTES`` for each core (by the size Spark estimates, no job) the rows are
+    dealt out; a larger input has tasks enough and is never shuffled.
+    """
+    cores = int(df.sparkSession._jsparkSession.sparkContext().defaultParallelism())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df

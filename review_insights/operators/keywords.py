@@ -19,6 +19,19 @@ further shuffle.  No text is ever shuffled.  The vocabulary is found with map-si
 partial aggregation and cut to at most ``max_features`` rows per class by a
 two-level top-k (as many buckets as shuffle partitions, then per class), so no task ever holds a
 whole class; only that bounded vocabulary is broadcast.
+
+Texts of many rare terms: with ``sketch`` the rare ones are never shuffled.
+
+* The most frequent terms of one document in ``SAMPLE_ONE_IN`` are candidates.
+* One pass counts the candidates exactly, and adds up all other terms in
+  ``SKETCH_WIDTH`` buckets per class by a hash: a bucket's counts bound those of
+  each of its terms from above.
+* The ``max_features``-th total among the eligible candidates is a floor that every
+  kept term reaches, so only terms in buckets at the floor or above are counted one
+  by one, in a pass that does not run when there is none.
+
+The rows are the same; what is shuffled is in proportion to tasks and buckets,
+and the sample, instead of all rare bigrams.
 """
 
 from __future__ import annotations
@@ -85,7 +98,7 @@ def term_occurrences(terms: DataFrame) -> DataFrame:
     frequencies from the same single explode as term totals (O(n log n) per
     document), with no per-document aggregation.
     """
-    ordered = terms.select("sentiment", F.array_sort("terms").alias("_sorted"))
+    ordered = terms.select("sentiment", F.sort_array("terms").alias("_sorted"))
     marked = F.transform("_sorted", lambda t, k: F.struct(
         t.alias("term"), F.coalesce(F.get(F.col("_sorted"), k - 1) != t, F.lit(True)).alias("first")))
     # outer: a plain explode makes the optimizer copy the tokeniser into a filter
@@ -93,18 +106,56 @@ def term_occurrences(terms: DataFrame) -> DataFrame:
     return occ.select("sentiment", F.col("o.term").alias("term"), F.col("o.first").alias("first")).where(F.col("term").isNotNull())
 
 
+#: Buckets of the sketch per class, the share of documents that name candidates, and how many for each kept term.
+SKETCH_WIDTH = 1 << 16
+SAMPLE_ONE_IN = 16
+CANDIDATES = 4
+
+
+def _counts(occurrences: DataFrame, *keys: str) -> DataFrame:
+    return occurrences.groupBy("sentiment", *keys).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("first")).alias("df"))
+
+
+def _eligible(counts: DataFrame, sizes: DataFrame, min_df: int, max_df: float) -> DataFrame:
+    high = F.lit(float(max_df)) * F.col("n")
+    return (counts.join(F.broadcast(sizes), "sentiment")
+            .where((F.col("df") >= min_df) & (F.col("df") <= high) & (high >= min_df)))
+
+
+def sketched_counts(terms: DataFrame, sizes: DataFrame, max_features: int, min_df: int, max_df: float) -> DataFrame:
+    """``(sentiment, term, total, df)`` of every term that can be in the vocabulary; ``terms``: as from
+    :func:`document_terms`."""
+    part = terms.where(F.pmod(F.xxhash64("processed_text"), F.lit(SAMPLE_ONE_IN)) == 0)
+    # bounded: CANDIDATES * max_features rows per class, three classes
+    candidates = F.broadcast(top_k_per_group(_counts(term_occurrences(part), "term"), ["sentiment"], [F.desc("total"), F.asc("term")],
+                                             CANDIDATES * max_features, split_col="term").select("sentiment", "term", F.lit(True).alias("named")))
+    bucket = F.pmod(F.xxhash64("term"), F.lit(SKETCH_WIDTH)).cast("int")
+    occurrences = term_occurrences(terms).withColumn("bucket", bucket).join(candidates, ["sentiment", "term"], "left")
+    # keys without nulls, and ``exact`` as an aggregate: no filter moves below the one exchange of all uses
+    counted = (occurrences.groupBy(F.coalesce("sentiment", F.lit("")).alias("sentiment"),
+                                   F.coalesce(F.when(F.col("named"), F.col("term")), F.lit("")).alias("term"),
+                                   F.coalesce(F.when(F.col("named").isNull(), F.col("bucket")), F.lit(-1)).alias("bucket"))
+               .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("first")).alias("df"), F.max(F.col("named")).alias("exact")))
+    exact = counted.where(F.col("exact")).select("sentiment", "term", "total", "df")
+    floor = (top_k_per_group(_eligible(exact, sizes, min_df, max_df), ["sentiment"], [F.desc("total"), F.asc("term")], max_features, split_col="term")
+             .where(F.col("rank") == max_features).select("sentiment", F.col("total").alias("floor")))
+    # bounded: SKETCH_WIDTH rows per class
+    open_buckets = F.broadcast(counted.where(F.col("exact").isNull()).join(F.broadcast(floor), "sentiment", "left")
+                               .where((F.col("total") >= F.coalesce("floor", F.lit(1))) & (F.col("df") >= min_df)).select("sentiment", "bucket"))
+    rest = occurrences.where(F.col("named").isNull()).join(open_buckets, ["sentiment", "bucket"], "left_semi")
+    return exact.unionByName(_counts(rest, "term"))
+
+
 def vocabulary(terms: DataFrame, sizes: DataFrame, max_features: int = K.TFIDF_MAX_FEATURES,
-               min_df: int = K.TFIDF_MIN_DF, max_df: float = K.TFIDF_MAX_DF) -> DataFrame:
+               min_df: int = K.TFIDF_MIN_DF, max_df: float = K.TFIDF_MAX_DF, sketch: bool = False) -> DataFrame:
     """Kept vocabulary ``(sentiment, term, df, total, n, idf)``, <= max_features per class.
 
     Term totals (all occurrences) and document frequencies (first occurrences)
-    come from one partially-aggregated pass over the term occurrences.
+    come from one partially-aggregated pass over the term occurrences; with
+    ``sketch`` only of the terms that :func:`sketched_counts` leaves.
     """
-    counts = (term_occurrences(terms).groupBy("sentiment", "term")
-              .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("first")).alias("df")))
-    high = F.lit(float(max_df)) * F.col("n")
-    eligible = (counts.join(F.broadcast(sizes), "sentiment")
-                .where((F.col("df") >= min_df) & (F.col("df") <= high) & (high >= min_df)))
+    counts = sketched_counts(terms, sizes, max_features, min_df, max_df) if sketch else _counts(term_occurrences(terms), "term")
+    eligible = _eligible(counts, sizes, min_df, max_df)
     kept = top_k_per_group(eligible, ["sentiment"], [F.desc("total"), F.asc("term")], max_features,
                            split_col="term", rank_name="vocab_rank")
     # a compact integer id per kept term: class position * (max_features + 1) + rank
@@ -118,13 +169,15 @@ def vocabulary(terms: DataFrame, sizes: DataFrame, max_features: int = K.TFIDF_M
 def keyword_importance(df: DataFrame, text_col: str = "review_text", sentiment_col: str = "bert_sentiment",
                        key: str | None = None, max_features: int = K.TFIDF_MAX_FEATURES,
                        min_df: int = K.TFIDF_MIN_DF, max_df: float = K.TFIDF_MAX_DF,
-                       stop_words: Sequence[str] | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Mean TF-IDF weight of every kept term: ``(sentiment, term, importance)``."""
+                       stop_words: Sequence[str] | None = None, num_partitions: int | None = None,
+                       sketch: bool = False) -> DataFrame:
+    """Mean TF-IDF weight of every kept term: ``(sentiment, term, importance)``.  ``sketch``: a pass
+    more over the documents, for texts of many rare terms (same result)."""
     docs = keyword_documents(df, text_col, sentiment_col, key)
     # class sizes and the vocabulary only need row-local tokenising and partial
     # aggregation: they read the documents where they are, without a shuffle
     sizes = class_sizes(docs)
-    vocab = (vocabulary(document_terms(docs, stop_words), sizes, max_features, min_df, max_df)
+    vocab = (vocabulary(document_terms(docs, stop_words), sizes, max_features, min_df, max_df, sketch)
              .select("sentiment", "term", "term_id", "idf", "n"))
     # bounded: at most max_features rows per class, three classes.  Terms outside
     # the vocabulary are dropped where the document is read, so the one shuffle

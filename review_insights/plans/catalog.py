@@ -18,7 +18,7 @@ from review_insights import constants as K
 from review_insights import oracle as O
 from review_insights.operators import (benchmark, charts, conform, keywords, patterns, preprocess, priority, problems,
                                        reports, roi, scoring, summary, validation)
-from review_insights.operators.dims import rows_once
+from review_insights.operators.dims import rows_once, spread
 from review_insights.operators.row_index import with_file_position
 from review_insights.plans import frames
 from review_insights.session import ensure_utc, table_path
@@ -1300,7 +1300,7 @@ def _document_keywords_sql() -> str:
 @register("document_keywords", _document_keywords_sql)
 def q_document_keywords(spark, sf_dir):
     """K1..K6 on whole documents, classed by the lexicon."""
-    kw = keywords.extract_keywords(scoring.score_lexicon(_documents(spark, sf_dir)))
+    kw = keywords.extract_keywords(scoring.score_lexicon(spread(_documents(spark, sf_dir))), sketch=True)
     return kw.select("sentiment", "rank", "term", r6(F.round("importance", 10)).alias("importance"))
 
 
