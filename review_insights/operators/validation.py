@@ -28,7 +28,9 @@ def valid_pairs(df: DataFrame, true_col: str = TRUE_COL, pred_col: str = PRED_CO
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:
-    """``(true_label, pred_label, count)``."""
+    """``(true_label, pred_label, count)``; pairs that carry counts are taken as counted."""
+    if "count" in pairs.columns:
+        return pairs.groupBy("true_label", "pred_label").agg(F.sum("count").alias("count"))
     return pairs.groupBy("true_label", "pred_label").agg(F.count(F.lit(1)).alias("count"))
 
 

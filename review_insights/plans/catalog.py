@@ -11,19 +11,21 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from review_insights import constants as K
 from review_insights import oracle as O
-from review_insights.operators import (benchmark, charts, conform, keywords, patterns, preprocess, priority, problems,
+from review_insights import streaming
+from review_insights.operators import (benchmark, charts, conform, gate, keywords, patterns, preprocess, priority, problems,
                                        reports, roi, scoring, summary, validation)
 from review_insights.operators.dims import rows_once, spread
 from review_insights.operators.row_index import with_file_position
 from review_insights.plans import frames
 from review_insights.session import ensure_utc, table_path
-from review_insights.sources import fixture, sinks
+from review_insights.sources import fixture, sinks, versions
 from review_insights.sources.readers import normalise_missing, read_reviews
+from review_insights.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str | Callable[[], str]] = {}
@@ -1215,6 +1217,45 @@ def q_scored_export(spark, sf_dir):
     return back.withColumn("bert_confidence", r6("bert_confidence"))
 
 
+@register("versioned_table", """
+SELECT review_id, rating, 2 AS version, (SELECT count(*) FROM scored) AS rows_written, 1 AS older_rows FROM scored
+""")
+def q_versioned_table(spark, sf_dir):
+    """A table published twice and read back by its current version; a third write fails and changes nothing."""
+    path = _scratch(spark, "versioned")
+    sc = frames.scored(spark, sf_dir).select("review_id", "rating")
+    versions.publish(sc.limit(1), path)
+    versions.publish(sc, path)
+
+    def refuse(_table, rows):
+        raise versions.GateError(str(rows))
+
+    try:
+        versions.publish(sc.limit(2), path, refuse)
+    except versions.GateError:
+        pass
+    now, old = versions.current(spark, path), versions.history(spark, path)[0]
+    return versions.read_version(spark, path).select("review_id", "rating", F.lit(now.number).alias("version"),
+                                                     F.lit(now.rows).cast("bigint").alias("rows_written"), F.lit(old.rows).alias("older_rows"))
+
+
+@register("quality_gate", "SELECT 'missing' AS \"check\", column_name AS item, null_count AS value, true AS failed FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count FROM processed" for c in PROCESSED_COLUMNS)
+    + """) WHERE null_count > 0
+UNION ALL SELECT 'short', NULL, count(*) FILTER (WHERE review_length < 10), count(*) FILTER (WHERE review_length < 10) > 0 FROM processed
+UNION ALL SELECT 'imbalance', label, n, n < 0.05 * (SELECT count(*) FROM processed) FROM (
+  SELECT sentiment_label AS label, count(*) AS n FROM processed WHERE sentiment_label IS NOT NULL GROUP BY 1 ORDER BY 2, 1 LIMIT 1)
+""")
+def q_quality_gate(spark, sf_dir):
+    """A7 to A9 as the gate of phase 1: observed while the processed table is written, read back."""
+    seen = Observation("quality")
+    table = frames.processed(spark, sf_dir).select(*PROCESSED_COLUMNS)
+    sinks.write_table(gate.observe_checks(table, seen), _scratch(spark, "gate"))
+    path = _scratch(spark, "gate-checks")
+    versions.publish(gate.as_frame(spark, gate.results(table.columns, seen.get)), path)
+    return versions.read_version(spark, path)
+
+
 @register("report_file", lambda: "SELECT text FROM (" + O.sql(_business_sql()) + ")")
 def q_report_file(spark, sf_dir):
     """The business report as a text file, read back line by line."""
@@ -1313,3 +1354,63 @@ def q_scoring_report_full(spark, sf_dir):
     classed = sc.where(F.col("bert_sentiment").isin(K.NEGATIVE, K.POSITIVE))
     r = reports.scoring_report(sc, with_accuracy=True, keywords=keywords.extract_keywords(classed, top_k=5))
     return r.select("section", "metric", "key", r6("value").alias("value"))
+
+
+# ---------------------------------------- metrics kept up to date (streaming) --
+
+_STATES: dict[tuple[str, str], str] = {}
+
+
+def _metric_state(spark, sf_dir) -> str:
+    """The state of a stream over the stored review files, one file a batch; the first batch is replayed at the end."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STATES:
+        path = _scratch(spark, "metric-state")
+        ensure_utc(spark)
+        source = fixture.ingest_review_fixture(spark, sf_dir)
+        reviews = streaming.classify_stream(streaming.read_review_stream(spark, source, max_files_per_trigger=1))
+        state.start_metrics(reviews, path, _scratch(spark, "metric-checkpoint")).awaitTermination()
+        state.store_batch(frames.scored(spark, sf_dir).limit(5), path, 0)
+        _STATES[key] = path
+    return _STATES[key]
+
+
+@register("problem_analysis_incremental", lambda: ORACLE["problem_analysis"])
+def q_problem_analysis_incremental(spark, sf_dir):
+    """N3 from the cubes of a stream's batches."""
+    pa = state.problem_analysis(state.merged_cube(spark, _metric_state(spark, sf_dir)))
+    return pa.select("problem_type", "count", r6("percentage").alias("percentage"),
+                     r6("avg_rating").alias("avg_rating"), r6("avg_confidence").alias("avg_confidence"))
+
+
+@register("classification_report_incremental", lambda: ORACLE["classification_report"])
+def q_classification_report_incremental(spark, sf_dir):
+    """V3 from the cubes of a stream's batches."""
+    r = state.classification_report(state.merged_cube(spark, _metric_state(spark, sf_dir)))
+    return r.select("label", *[r6(c).alias(c) for c in ("precision", "recall", "f1_score")], "support")
+
+
+@register("benchmark_metrics_incremental", lambda: ORACLE["benchmark_metrics"])
+def q_benchmark_metrics_incremental(spark, sf_dir):
+    """T1 from the cubes of a stream's batches."""
+    m = state.benchmark_metrics(state.merged_cube(spark, _metric_state(spark, sf_dir)))
+    return m.select(*[r6(c).alias(c) for c in ("average_rating", "negative_sentiment_rate", "top_quartile_rating", "bottom_quartile_rating")])
+
+
+@register("sketch_summary", """
+SELECT 'unique_products' AS metric, CAST(count(DISTINCT product_id) AS DOUBLE) AS exact, true AS close FROM scored
+UNION ALL SELECT 'unique_users', CAST(count(DISTINCT user_id) AS DOUBLE), true FROM scored
+UNION ALL SELECT 'median_review_length', CAST(median(review_length) AS DOUBLE), true FROM scored
+""")
+def q_sketch_summary(spark, sf_dir):
+    """A1, A5 by merged sketches beside the exact values: distinct counts within 3 %, the median within 2 % of the ranks."""
+    sc = frames.scored(spark, sf_dir)
+    found = state.sketch_summary(state.merged_sketches(spark, _metric_state(spark, sf_dir)))
+    quantiles = F.percentile("review_length", F.array(F.lit(0.48), F.lit(0.5), F.lit(0.52)))
+    exact = sc.agg(F.countDistinct("product_id").cast("double").alias("p"), F.countDistinct("user_id").cast("double").alias("u"),
+                   quantiles.alias("q")).select(F.explode(F.array(
+        F.struct(F.lit("unique_products").alias("metric"), F.col("p").alias("exact"), F.col("p") * 0.97, F.col("p") * 1.03),
+        F.struct(F.lit("unique_users").alias("metric"), F.col("u").alias("exact"), F.col("u") * 0.97, F.col("u") * 1.03),
+        F.struct(F.lit("median_review_length").alias("metric"), F.col("q")[1].alias("exact"), F.col("q")[0], F.col("q")[2]))).alias("e")) \
+        .select("e.metric", "e.exact", F.col("e.col3").alias("least"), F.col("e.col4").alias("most"))
+    return found.join(F.broadcast(exact), "metric").select("metric", "exact", F.col("estimate").between(F.col("least"), F.col("most")).alias("close"))
