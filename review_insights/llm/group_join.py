@@ -40,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from review_insights.llm.common import (BROADCAST_IDS, SpanHash, blocks, id_and_bytes, joined_bytes, mix, narrowed, packed, partition_id, saved,
-                                        small_enough, unpacked, unused, without_rows, words)
+from review_insights.llm.common import (BLOCK_BYTES, BROADCAST_IDS, SpanHash, blocks, id_and_bytes, joined_bytes, mix, packed, partition_id,
+                                        saved, small_enough, unpacked, unused, without_rows, words)
 from review_insights.llm.components import components
 
 HEAVY = 1 << 18          # most frequent shingles that go last in the order (size of the broadcast)
@@ -51,7 +51,7 @@ BUCKETS_PER_PARTITION = 2
 BLOCK = 1024             # groups per block of the all-pairs step
 SMALL = 64               # lists up to this size are paired together, by distance
 COUNT_AT = 1_000_000     # shingles counted together inside a task
-BITS = 2048              # of the bitmap that bounds the overlap of two sets
+LEAST_BITS = 2048        # of the bitmap that bounds the overlap of two sets; larger sets have two bits or more an element
 
 _POSTING = np.dtype([("tok", "<u4"), ("grp", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("heavy", "u1")])
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -94,6 +94,51 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - (n * num + den - 1) // den + 1
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """The set as flags of the low bits of its hashes; the size is a power of two, so that a larger
+    bitmap folds onto a smaller one."""
+    bits = max(LEAST_BITS, 1 << (2 * len(s) - 1).bit_length())
+    flags = np.zeros(bits, np.uint8)
+    flags[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """Bitmaps of several sizes; ``different`` counts the bits in which two of them differ at the smaller size."""
+
+    def __init__(self, bits: np.ndarray):
+        self.size = np.array([len(b) // 8 for b in bits], np.int64)
+        self._place = np.zeros(len(bits), np.int64)
+        self._folded: dict[tuple[int, int], np.ndarray] = {}
+        for n in np.unique(self.size).tolist():
+            at = np.flatnonzero(self.size == n)
+            self._place[at] = np.arange(len(at))
+            self._folded[n, n] = np.frombuffer(b"".join(bits[at]), np.uint64).reshape(-1, n)
+
+    def _at(self, rows: np.ndarray, size: int) -> np.ndarray:
+        out = np.empty((len(rows), size), np.uint64)
+        for n in np.unique(self.size[rows]).tolist():
+            if (n, size) not in self._folded:
+                table = self._folded[n, n]
+                while table.shape[1] > size:
+                    half = table.shape[1] // 2
+                    table = table[:, :half] | table[:, half:]
+                self._folded[n, size] = table
+            own = self.size[rows] == n
+            out[own] = self._folded[n, size][self._place[rows[own]]]
+        return out
+
+    def different(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        size, out = np.minimum(self.size[a], self.size[b]), np.zeros(len(a), np.int64)
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(size == n)
+            step = max(1, BLOCK_BYTES // (8 * n))
+            for lo in range(0, len(at), step):
+                part = at[lo:lo + step]
+                out[part] = np.bitwise_count(self._at(a[part], n) ^ self._at(b[part], n)).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def _row_sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
     data, offsets = joined_bytes(batch.column("data"))
     for lo, hi in blocks(offsets):
@@ -161,9 +206,7 @@ def _sign(shared, size: int, num: int, den: int):
                 lights.append(int((order[pick] < top).sum()))
                 p1.append(int(mix(s[pick] + _CHAIN).sum(dtype=np.uint64)))
                 p2.append(int(mix(s[pick] ^ top).sum(dtype=np.uint64)))
-                flags = np.zeros(BITS, np.uint8)
-                flags[(s & np.uint64(BITS - 1)).astype(np.int64)] = 1
-                bits.append(np.packbits(flags).tobytes())
+                bits.append(bitmap(s))
                 packed.append(press.compress(b" ".join(texts[i].as_py().lower().split())))
             at = np.cumsum([0] + [len(p) for p in prefixes], dtype=np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int32)))
@@ -238,7 +281,8 @@ def _star(num: int, den: int):
             pa.array(np.concatenate([both[:, 0], grp[keep]])),
             pa.array(np.concatenate([both[:, 1], np.zeros(k, np.int64)]), mask=np.arange(p + k) >= p),
             pa.array(np.concatenate([shared, tok[keep].astype(np.int64)])),
-            pa.array(np.concatenate([both[:, 2], n[keep]]))], names=["grp", "other", "tok", "n"])
+            pa.array(np.concatenate([both[:, 2], n[keep]])),
+            pa.array(np.concatenate([np.zeros(p, np.int64), pos[keep]]))], names=["grp", "other", "tok", "n", "pos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
@@ -254,6 +298,44 @@ def _star(num: int, den: int):
     return run
 
 
+def _with_partners(num: int, den: int):
+    """Of lists of up to ``SMALL`` groups (rows come sorted by ``tok``), the rows with a partner in another component
+    that passes the size and position filters.  Linked groups pass in the list of their first common shingle."""
+    def flags(rows: dict) -> np.ndarray:
+        tok = rows["tok"]
+        first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+        size = np.diff(np.append(first, len(tok)))
+        stop, out = np.repeat(first + size, size), np.zeros(len(tok), bool)
+        place = np.arange(len(tok))
+        for step in range(1, int(size.max(initial=1))):
+            place = place[place + step < stop[place]]
+            a, b = place, place + step
+            ok = _fits(rows["n"][a], rows["pos"][a], rows["n"][b], rows["pos"][b], num, den) & (rows["grp"][a] != rows["grp"][b])
+            ok &= (rows["comp"][a] != rows["comp"][b]) | rows["mixed"][a] | rows["mixed"][b]
+            out[a[ok]] = True
+            out[b[ok]] = True
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            rows = {c: table.column(c).to_numpy() for c in ("tok", "grp", "n", "pos", "comp", "mixed")}
+            yield from table.filter(pa.array(flags(rows))).to_batches()
+
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            tok = table.column("tok").to_numpy()
+            cut = int(np.searchsorted(tok, tok[-1])) if len(tok) else 0  # the last list may go on in the next batch
+            if cut:
+                yield from emit(table.slice(0, cut))
+            held = table.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield from emit(pa.Table.from_batches(held))
+    return run
+
+
 def _spanning(a: np.ndarray, b: np.ndarray, score: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Places of the pairs that join two of the ``group`` labels not yet joined by
     better pairs: a spanning forest, best scores first."""
@@ -278,18 +360,18 @@ def _block_pairs(num: int, den: int, forest: bool):
     """All pairs of a block pair that lie in different components and pass the size
     and bitmap filters, or with ``forest`` a spanning forest of them and the lists
     that have any (only ``list`` set).  Rows come sorted by (list, p, q)."""
-    def passing(rows: dict, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def passing(rows: dict, maps: Bitmaps, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n1, n2 = rows["n"][a], rows["n"][b]
         ok = (den * np.minimum(n1, n2) >= num * np.maximum(n1, n2)) & (rows["grp"][a] != rows["grp"][b])
         ok &= (rows["comp"][a] != rows["comp"][b]) | rows["mixed"][a] | rows["mixed"][b]
         a, b = a[ok], b[ok]
         n = rows["n"][a] + rows["n"][b]
-        most = (n - np.bitwise_count(rows["bits"][a] ^ rows["bits"][b]).sum(axis=1, dtype=np.int64)) // 2
+        most = (n - maps.different(a, b)) // 2
         ok = (most >= least_overlap(n, 0, num, den)) | ~rows["exact"][a] | ~rows["exact"][b]
         return a[ok], b[ok], most[ok] / n[ok]
 
     def pairs_of(rows: dict) -> pa.RecordBatch:
-        total = len(rows["list"])
+        total, maps = len(rows["list"]), Bitmaps(rows["bits"])
         edge = np.flatnonzero(_changes(rows))
         size = np.diff(np.append(edge, total))
         stop = np.repeat(edge + size, size)
@@ -298,7 +380,7 @@ def _block_pairs(num: int, den: int, forest: bool):
         place = np.flatnonzero(small)
         for step in range(1, int(size[size <= SMALL].max(initial=1))):
             place = place[place + step < stop[place]]
-            found.append(passing(rows, place, place + step))
+            found.append(passing(rows, maps, place, place + step))
         for lo, n in zip(edge[size > SMALL], size[size > SMALL]):
             part = rows["part"][lo:lo + n]
             left = lo + np.flatnonzero(part == rows["p"][lo])
@@ -307,7 +389,7 @@ def _block_pairs(num: int, den: int, forest: bool):
                 a, b = np.repeat(left[at:at + 64], len(right)), np.tile(right, len(left[at:at + 64]))
                 if right is left:
                     a, b = a[a < b], b[a < b]
-                found.append(passing(rows, a, b))
+                found.append(passing(rows, maps, a, b))
         a, b, score = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
         busy = np.unique(rows["list"][a])
         if forest:
@@ -327,7 +409,7 @@ def _block_pairs(num: int, den: int, forest: bool):
         for batch in batches:
             rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("list", "p", "q", "part", "grp", "n", "comp")}
             rows["mixed"], rows["exact"] = (batch.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("mixed", "exact"))
-            rows["bits"] = joined_bytes(batch.column("bits"))[0].reshape(-1, BITS // 8).view(np.uint64)
+            rows["bits"] = np.array(batch.column("bits").to_pylist(), object)
             held.append(rows)
             whole = {k: np.concatenate([h[k] for h in held]) for k in rows}
             cut = np.flatnonzero(_changes(whole))[-1:]  # the last block pair may go on in the next batch
@@ -389,7 +471,7 @@ def _links(pairs: DataFrame, signed: DataFrame, size: int, num: int, den: int, n
     texts = _rows_of(signed, pairs.select(F.explode(F.array("a", "b")).alias("row")), 2 * pairs.count(), "packed")
     full = (pairs.join(texts.withColumnsRenamed({"row": "b", "packed": "packed_b"}).hint("merge"), "b")
             .join(texts.withColumnsRenamed({"row": "a", "packed": "packed_a"}).hint("merge"), "a"))
-    full = narrowed(full.select("a", "b", "packed_a", "packed_b"))
+    full = full.select("a", "b", "packed_a", "packed_b")
     return saved(full.mapInArrow(_verify(size, num, den), "a long, b long"), f"{name}-links")
 
 
@@ -428,7 +510,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
               .select(F.col("row").alias("cls"), "n", "light", "prefix")
               .mapInArrow(_post(BUCKETS_PER_PARTITION * partitions), "bucket int, data binary"))
     starred = saved(posted.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-                    .mapInArrow(_star(num, den), "grp long, other long, tok long, n long"), "join-stars")
+                    .mapInArrow(_star(num, den), "grp long, other long, tok long, n long, pos long"), "join-stars")
     least_prefix = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1
     pairs = (starred.where("other IS NOT NULL").groupBy(F.col("grp").alias("a"), F.col("other").alias("b"))
              .agg(F.sum("tok").alias("lists"), F.max(least_prefix).alias("prefix")).where(F.col("lists") * EVIDENCE >= F.col("prefix"))
@@ -438,7 +520,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     comp = components(links)
     # lists that still hold more than one component: first the best pairs between
     # components, then, between those still apart, every pair
-    lists = starred.where("other IS NULL").select("tok", "grp", "n")
+    lists = starred.where("other IS NULL").select("tok", "grp", "n", "pos")
     for step, forest in (("best", True), ("rest", False)):
         pairs, busy = _open_pairs(lists, more, comp, signed, num, den, forest, f"join-{step}")
         # components only grow, so a list without a candidate now has none later
@@ -473,15 +555,21 @@ def _open_pairs(lists: DataFrame, more: DataFrame, comp: DataFrame, signed: Data
              .select("grp", "cls", "n", F.coalesce("c_cls", "cls").alias("c_cls"), F.coalesce("c_grp", "grp").alias("c_grp")))
     mixed = inner.groupBy("grp").agg(F.max(F.col("c_cls") != F.col("c_grp")).alias("mixed"))
     listed = (lists.join(comp_of("grp"), "grp", "left").join(small_enough(mixed, more.count()), "grp", "left")
-              .select("tok", "grp", "n", F.coalesce("c_grp", "grp").alias("comp"), F.coalesce("mixed", F.lit(False)).alias("mixed"),
+              .select("tok", "grp", "n", "pos", F.coalesce("c_grp", "grp").alias("comp"), F.coalesce("mixed", F.lit(False)).alias("mixed"),
                       F.col("mixed").isNull().alias("exact")))
+    open_lists = saved(listed.groupBy("tok").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                                 F.max("mixed").alias("m"))
+                       .where("size > 1 AND (lo != hi OR m)").select("tok", "size"), f"{name}-open", narrow=True)
+    held = listed.join(small_enough(open_lists), "tok").select("tok", "grp", "n", "pos", "comp", "mixed", "exact", "size")
+    few = held.where(F.col("size") <= SMALL).drop("size").repartition("tok").sortWithinPartitions("tok")
+    few = few.mapInArrow(_with_partners(num, den), few.schema)
+    held = saved(few.unionByName(held.where(F.col("size") > SMALL).drop("size")).drop("pos"), f"{name}-held")
     # lists of the same groups give the same pairs: one of them is enough
-    open_lists = (listed.groupBy("tok").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                            F.max("mixed").alias("m"), F.sum(F.xxhash64("grp").cast("decimal(20,0)")).alias("s1"),
-                                            F.bit_xor(F.xxhash64("grp", F.lit(1))).alias("s2"))
-                  .where("size > 1 AND (lo != hi OR m)").groupBy("size", "s1", "s2").agg(F.min("tok").alias("tok")).select("tok", "size"))
-    open_lists = saved(open_lists, f"{name}-open", narrow=True)
-    wanted = saved(listed.join(small_enough(open_lists), "tok").withColumnRenamed("tok", "list"), f"{name}-wanted", narrow=True)
+    alike = (held.groupBy("tok").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("grp").cast("decimal(20,0)")).alias("s1"),
+                                     F.bit_xor(F.xxhash64("grp", F.lit(1))).alias("s2"))
+             .groupBy("size", "s1", "s2").agg(F.min("tok").alias("tok")).select("tok", "size"))
+    alike = saved(alike, f"{name}-alike", narrow=True)
+    wanted = saved(held.join(small_enough(alike), "tok").withColumnRenamed("tok", "list"), f"{name}-wanted", narrow=True)
     across = saved(_all_pairs(wanted, signed, num, den, forest), f"{name}-across", narrow=True)
     pairs = _expand(across.where("a IS NOT NULL").select("a", "b"), more)
     if not mixed.where("mixed").isEmpty():
