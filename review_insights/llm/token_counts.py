@@ -61,12 +61,16 @@ class PreTokens:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence
 
         if path is None:
             import public_tokenizers as P
 
             path = P.path("word_bpe_49k.json")
         self._tokenizer = Tokenizer.from_file(path)
+        # pre-tokens are normalised already; a second time would reorder marks that lower-casing has made
+        self._normalised = Tokenizer.from_file(path)
+        self._normalised.normalizer = Sequence([])
 
     def split(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens, and how many special strings stand between them."""
@@ -82,7 +86,7 @@ class PreTokens:
         return [plain[a:b] for _, (a, b) in self._tokenizer.pre_tokenizer.pre_tokenize_str(plain)]
 
     def pieces(self, words: list[str]) -> list[int]:
-        return [len(e.ids) for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [len(e.ids) for e in self._normalised.encode_batch_fast(words, add_special_tokens=False)]
 
 
 def _frequencies(path: str | None, buckets: int):
