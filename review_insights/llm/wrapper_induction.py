@@ -38,10 +38,12 @@ each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -75,6 +77,10 @@ CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": froze
              "option": frozenset(["option"])}
 BARRIER = frozenset("ul ol dl table div section article main body html td th blockquote form aside nav header footer".split())
 
+#: Depth of a tree: deeper blocks stand side by side there.  Runs under one node beyond which each kind is
+#: one run, and cells of a matching beyond which no table is filled.
+MAX_DEPTH, FOLD, TABLE = 120, 32, 4_096
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
     |<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S | re.X)
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -128,6 +134,8 @@ def parse(source: str | None) -> Node:
     """The tree of block elements of a page."""
     root = Node("#root", "#root")
     stack = [root]
+    articles = [False]          # for every open element, whether it stands in an article
+    opened: Counter = Counter()  # open elements by tag
     text: list[str] = []
     aside: list[str] = []       # text of inline elements whose name marks template, a section of its own
     inline: list[str] = []      # open inline elements of the current block
@@ -165,16 +173,24 @@ def parse(source: str | None) -> Node:
         if "a" in inline:
             links += len(piece)
 
+    def close(i: int) -> None:
+        for n in stack[i:]:
+            opened[n.tag] -= 1
+        del stack[i:], articles[i:]
+
     source = source or ""
-    at, end = 0, len(source)
+    at, end, last = 0, len(source), (source or "").rfind(">")
     while at < end:
-        m = _TOKEN.search(source, at)
+        m = _TOKEN.search(source, at, last + 1) if at <= last else None  # no tag ends behind the last ">"
         if m is None:
-            add(source[at:])
+            comment = source.find("<!--", at)
+            add(source[at:] if comment < 0 else source[at:comment])
             break
         if m.start() > at:
             add(source[at:m.start()])
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):
+            break  # never closed
         closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
             continue
@@ -199,32 +215,35 @@ def parse(source: str | None) -> Node:
         inline.clear()
         muted = hushed = 0
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1 if opened[tag] else 0, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if tag not in BARRIER and stack[i].tag in BARRIER:
                     break
             continue
         shut = CLOSED_BY.get(tag)
-        for i in range(len(stack) - 1, 0, -1):
+        for i in range(len(stack) - 1 if opened["p"] or (shut and any(opened[x] for x in shut)) else 0, 0, -1):
             below = stack[i].tag
             if below == "p" or (shut and below in shut):
-                del stack[i:]
+                close(i)
                 if not (shut and below == "p"):
                     break
             elif below in BARRIER and not (tag == "tr" and below in ("td", "th")):
                 break
-        key, drop, named = _describe(tag, attributes.strip().rstrip("/"), any(n.tag == "article" for n in stack))
+        key, drop, named = _describe(tag, attributes.strip().rstrip("/"), articles[-1])
         node = Node(key, tag, drop, named)
-        stack[-1].kids.append(node)
+        if len(stack) < MAX_DEPTH or ((drop or named) and not (stack[-1].drop or stack[-1].named)):
+            stack[-1].kids.append(node)
+        else:
+            node.kids, node.drop, node.named = stack[-1].kids, stack[-1].drop, stack[-1].named  # its blocks stand beside it
         if tag in RAW:
-            close = re.compile(f"</{tag}", re.I).search(source, at)
-            at = close.start() if close else end
-            if close:
-                stack.append(node)
-        elif tag not in VOID and not attributes.endswith("/"):
+            ended = re.compile(f"</{tag}", re.I).search(source, at)
+            at = ended.start() if ended else end
+        if (ended if tag in RAW else tag not in VOID and not attributes.endswith("/")):
             stack.append(node)
+            articles.append(articles[-1] or tag == "article")
+            opened[tag] += 1
     flush()
     return root
 
@@ -264,7 +283,8 @@ class Run:
 
 def runs_of(nodes: list[Node]) -> list[Run]:
     """The children of ``nodes`` as slots: runs of equal keys, each kind of a second
-    and later node joined to the slot it has already."""
+    and later node joined to the slot it has already.  More than ``FOLD`` runs (blocks of a few kinds in
+    turns) are one run a kind."""
     out: list[Run] = []
     for i, node in enumerate(nodes):
         seen = {r.key: r for r in out} if i else None
@@ -276,6 +296,11 @@ def runs_of(nodes: list[Node]) -> list[Run]:
                 last = Run(kid.key)
                 out.append(last)
             last.nodes.append(kid)
+    if len(out) > FOLD and len({r.key for r in out}) < len(out):
+        folded: dict[str, Run] = {}
+        for r in out:
+            folded.setdefault(r.key, Run(r.key)).nodes.extend(r.nodes)
+        out = list(folded.values())
     for r in out:
         if not r.nodes[0].drop and r.key != "#text":
             r.kids = runs_of(r.nodes)
@@ -291,15 +316,29 @@ def skeleton(runs: list[Run]) -> str:
     return "".join(f"{r.key}({skeleton(r.kids)})" if r.kids else f"{r.key}," for r in runs)
 
 
-def match(left: list, right: list) -> tuple[int, list[tuple[int, int]]]:
+def match(left: list, right: list, known: dict | None = None) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching of two child lists: size and pairs of the largest
-    order-preserving matching of children with equal keys."""
+    order-preserving matching of children with equal keys.
+
+    ``known`` keeps the sizes of pairs of subtrees that were matched before.  Lists beyond ``TABLE`` cells
+    (of many kinds, as runs of one kind are folded) are matched by the longest common order of kinds."""
+    known = {} if known is None else known
     m, n = len(left), len(right)
     if m == 0 or n == 0:
         return 0, []
+
+    def size(a, b) -> int:
+        at = (id(a), id(b))
+        if at not in known:
+            known[at] = 1 + match(a.kids, b.kids, known)[0]
+        return known[at]
+
     if [x.key for x in left] == [x.key for x in right] and len({x.key for x in left}) == m:
-        return sum(1 + match(a.kids, b.kids)[0] for a, b in zip(left, right)), [(i, i) for i in range(m)]
-    weight = [[1 + match(a.kids, b.kids)[0] if a.key == b.key else 0 for b in right] for a in left]
+        return sum(size(a, b) for a, b in zip(left, right)), [(i, i) for i in range(m)]
+    if m * n > TABLE:
+        pairs = common_order([x.key for x in left], [x.key for x in right])
+        return sum(size(left[i], right[j]) for i, j in pairs), pairs
+    weight = [[size(a, b) if a.key == b.key else 0 for b in right] for a in left]
     best = [[0] * (n + 1) for _ in range(m + 1)]
     for i in range(m):
         for j in range(n):
@@ -316,10 +355,34 @@ def match(left: list, right: list) -> tuple[int, list[tuple[int, int]]]:
     return best[m][n], pairs[::-1]
 
 
-def align(slots: list[Slot], runs: list[Run], add: bool) -> list[tuple[Run, Slot | None]]:
+def common_order(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+    """The longest pairing, in order, of the first places of equal keys (patience sorting, no table)."""
+    first: dict[str, int] = {}
+    for i, key in enumerate(left):
+        first.setdefault(key, i)
+    tops: list[int] = []
+    ends: list[tuple[int, int, int]] = []   # place left, place right, the pair before
+    piles: list[int] = []
+    for j, key in enumerate(right):
+        i = first.pop(key, None)
+        if i is None:
+            continue
+        at = bisect.bisect_left(tops, i)
+        ends.append((i, j, piles[at - 1] if at else -1))
+        tops[at:at + 1] = [i]
+        piles[at:at + 1] = [len(ends) - 1]
+    out, at = [], piles[-1] if piles else -1
+    while at >= 0:
+        out.append(ends[at][:2])
+        at = ends[at][2]
+    return out[::-1]
+
+
+def align(slots: list[Slot], runs: list[Run], add: bool, known: dict | None = None) -> list[tuple[Run, Slot | None]]:
     """Pairs of page runs and wrapper slots, from the top down; with ``add`` the
     wrapper gets a slot for every run it lacks."""
-    pairs = dict((j, i) for i, j in match(slots, runs)[1])
+    known = {} if known is None else known
+    pairs = dict((j, i) for i, j in match(slots, runs, known)[1])
     out: list[tuple[Run, Slot | None]] = []
     at, shift = 0, 0
     for j, run in enumerate(runs):
@@ -334,7 +397,7 @@ def align(slots: list[Slot], runs: list[Run], add: bool) -> list[tuple[Run, Slot
             slot = None
         out.append((run, slot))
         if run.kids:
-            out += align(slot.kids if slot is not None else [], run.kids, add)
+            out += align(slot.kids if slot is not None else [], run.kids, add, known)
     return out
 
 

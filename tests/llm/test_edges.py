@@ -157,6 +157,21 @@ def test_pre_tokens_equal_the_library_on_odd_characters():
         assert base + sum(split.pieces(words)) == len(t.encode(text, add_special_tokens=False).ids), text
 
 
+def test_pre_tokens_are_normalised_once():
+    """Lower-casing U+0130 makes a mark that a second normalisation would move behind others."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t, split = Tokenizer.from_file(P.path("word_bpe_49k.json")), token_counts.PreTokens(None)
+    rng = random.Random(7)
+    marks = [chr(c) for c in (0x300, 0x307, 0x316, 0x31c, 0x323, 0x327, 0x338, 0x345, 0x5b0, 0x64b, 0x93c, 0x1dc0)]
+    texts = ["\u0130\u031c", "\u0130\u0338", "x\u0130\u0338\u0307y"]
+    texts += ["".join(rng.choice(["\u0130", "I", "i", "a", " ", "\u1e9e", *marks]) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    for text in texts:
+        words, base = split.split(text)
+        assert base + sum(split.pieces(words)) == len(t.encode(text, add_special_tokens=False).ids), ascii(text)
+
+
 def test_pre_tokens_equal_the_library_on_ascii():
     import public_tokenizers as P
     from tokenizers import Tokenizer
@@ -337,3 +352,18 @@ def test_names_mark_sections_of_little_text():
     page = wrapper_induction.parse('<div id="nav">menu</div><div><p>Long text of the page <span class="share">share it</span></p>'
                                    '<div class="comments"><p>a comment</p></div></div>')
     assert wrapper_induction.extract(page, None) == "Long text of the page"
+
+
+def test_bitmaps_of_several_sizes_bound_the_difference():
+    """Folded onto the smaller size, they differ in no more bits than the sets in elements."""
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 3, 900, 1024, 1025, 1100, 5000, 5100)]
+    sets += [np.sort(np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 1 << 63, len(s) // 10 + 1).astype(np.uint64)])) for s in sets]
+    maps = group_join.Bitmaps(np.array([group_join.bitmap(s) for s in sets], object))
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    found = maps.different(a, b)
+    for x, y, d in zip(a, b, found):
+        assert d <= len(np.setxor1d(sets[x], sets[y]))
+    assert all(d == 0 for x, y, d in zip(a, b, found) if x == y)
+    wide = (len(sets[6]) + len(sets[7]) - found[(a == 6) & (b == 7)][0]) // 2
+    assert wide < 0.7 * 5000  # sets of 5,000 without a common element are told apart
