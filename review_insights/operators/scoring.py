@@ -5,18 +5,21 @@ Three interchangeable scorers produce ``bert_sentiment`` / ``bert_confidence``:
 * ``score_lexicon``: pure Catalyst (substring counts of a small positive and
   negative lexicon); deterministic and SQL-checkable.
 * ``score_sentiment``: the batch-scoring harness for any Python model.  It runs
-  as ``mapInPandas``: each task builds the model once, receives Arrow batches
-  (``spark.sql.execution.arrow.maxRecordsPerBatch`` rows) and scores a whole
-  batch per call.  A failing batch falls back to (neutral, 0.5) for every row of
-  that batch and is flagged in ``score_error``.  Raw model labels are
+  as ``mapInPandas``: each worker builds the model once, receives Arrow batches
+  and scores texts of like length together, in batches bounded by their padded
+  tokens.  A failing batch is halved until the bad rows are alone; these fall back
+  to (neutral, 0.5) and are flagged in ``score_error``.  Raw model labels are
   normalised to positive / negative / neutral in Catalyst afterwards.
 * ``train_sentiment_model`` / ``score_with_model``: an MLlib pipeline
   (tokenise, stop words, hashing TF, IDF, logistic regression) trained on the
-  rating-derived labels; confidence is the top class probability.
+  rating-derived labels; confidence is the top class probability.  Fitted
+  pipelines are published as versions (``publish_model``) and loaded by phases.
 """
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -24,7 +27,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import HashingTF, IDF, IndexToString, RegexTokenizer, StopWordsRemover, StringIndexer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +35,7 @@ from review_insights import constants as K
 from review_insights.functions.labels import normalise_label
 from review_insights.functions.text import keyword_hits, lower_or_empty
 from review_insights.operators.sampling import exact_sample
+from review_insights.sources import versions
 
 # FIXED VALUES: the built-in lexicon of the deterministic scorer (our own lists).
 POSITIVE_WORDS = ("great", "love", "excellent", "amazing", "wonderful", "best", "delicious", "perfect",
@@ -78,13 +82,71 @@ class PandasLexiconScorer:
 
 # ------------------------------------------------------------------ harness --
 
+#: Work of one call of a scorer: rows times the longest of them, in tokens.
+BATCH_TOKENS = 16_384
+#: Tokens of a text that the scorer reads at most, as the model of the original does.
+MAX_TOKENS = 512
+
+def worker_scorers() -> dict[str, Scorer]:
+    """Scorers that this Python process has loaded.  The functions of the package travel by value, so what
+    outlives a task is kept under a module name of its own."""
+    return sys.modules.setdefault("_review_insights_scorers", types.ModuleType("_review_insights_scorers")).__dict__.setdefault("loaded", {})
+
+
+def word_count(text: str) -> int:
+    """Tokens of a text where the scorer brings no tokenizer of its own."""
+    return text.count(" ") + 1
+
+
+def work_batches(lengths: Sequence[int], budget: int) -> Iterator[list[int]]:
+    """Places of the texts in batches of like length, the shortest first: as many as keep rows times the
+    longest within ``budget``; a text beyond it is a batch of its own."""
+    batch: list[int] = []
+    for place in sorted(range(len(lengths)), key=lengths.__getitem__):
+        if batch and (len(batch) + 1) * lengths[place] > budget:
+            yield batch
+            batch = []
+        batch.append(place)
+    if batch:
+        yield batch
+
+
+def score_or_halve(scorer: Scorer, texts: Sequence[str]) -> tuple[list[tuple[str, float]], list[bool]]:
+    """Results of the texts, and which ones the scorer cannot score.  A batch that fails is halved until the
+    bad texts are alone; all others get their own result."""
+    out: list[tuple[str, float]] = [(FALLBACK_LABEL, FALLBACK_SCORE)] * len(texts)
+    failed = [False] * len(texts)
+    todo = [(0, len(texts))]
+    while todo:
+        lo, hi = todo.pop()
+        if lo == hi:
+            continue
+        try:
+            found = [(label, float(score)) for label, score in scorer(texts[lo:hi])]
+            if len(found) != hi - lo:
+                raise ValueError("scorer returned a different number of results")
+            out[lo:hi] = found
+        except Exception:  # noqa: BLE001 - a bad text must not fail the job
+            if hi - lo == 1:
+                failed[lo] = True
+            else:
+                middle = (lo + hi) // 2
+                todo += [(lo, middle), (middle, hi)]
+    return out, failed
+
+
 def score_sentiment(df: DataFrame, scorer_factory: Callable[[], Scorer] = PandasLexiconScorer,
-                    text_col: str = "review_text") -> DataFrame:
+                    text_col: str = "review_text", batch_tokens: int = BATCH_TOKENS, max_tokens: int = MAX_TOKENS,
+                    tokens: Callable[[str], int] = word_count, model_key: str | None = None) -> DataFrame:
     """Score ``text_col`` with a Python batch model, distributed by ``mapInPandas``.
 
-    ``scorer_factory`` is called once per task (load weights there); the scorer
-    takes a list of texts (null -> '') and returns one ``(label, score)`` per text.
-    Whole texts are passed; any input-length limit belongs to the model.
+    ``scorer_factory`` loads the model: once a task, or once a Python worker for all
+    tasks with the same ``model_key`` (a name and version).  The scorer takes a list of
+    texts (null -> '') and returns one ``(label, score)`` per text.  Texts of like
+    length go together, in batches of at most ``batch_tokens`` padded tokens, a text
+    counting ``tokens(text)`` but no more than ``max_tokens``, where the scorer cuts it;
+    whole texts are passed.  Of a batch that fails only the rows that fail alone get the
+    fallback and are marked in ``score_error``.
     """
     keep = [f for f in df.schema.fields if f.name not in (SENTIMENT_COL, CONFIDENCE_COL, ERROR_COL)]
     out_schema = T.StructType(keep + [
@@ -95,22 +157,22 @@ def score_sentiment(df: DataFrame, scorer_factory: Callable[[], Scorer] = Pandas
     names = [f.name for f in keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = scorer_factory()
+        if model_key is None:
+            scorer = scorer_factory()
+        else:
+            loaded = worker_scorers()
+            if model_key not in loaded:
+                loaded[model_key] = scorer_factory()
+            scorer = loaded[model_key]
         for pdf in batches:
             pdf = pdf[names]
             texts = pdf[text_col].fillna("").astype(str).tolist()
-            try:
-                results = list(scorer(texts))
-                if len(results) != len(texts):
-                    raise ValueError("scorer returned a different number of results")
-                labels = [r[0] for r in results]
-                scores = [float(r[1]) for r in results]
-                failed = False
-            except Exception:  # noqa: BLE001 - one bad batch must not fail the job
-                labels = [FALLBACK_LABEL] * len(texts)
-                scores = [FALLBACK_SCORE] * len(texts)
-                failed = True
-            yield pdf.assign(_raw_label=labels, **{CONFIDENCE_COL: scores, ERROR_COL: failed})
+            labels, scores, errors = [FALLBACK_LABEL] * len(texts), [FALLBACK_SCORE] * len(texts), [False] * len(texts)
+            for places in work_batches([min(tokens(t), max_tokens) for t in texts], batch_tokens):
+                found, failed = score_or_halve(scorer, [texts[i] for i in places])
+                for i, (label, score), bad in zip(places, found, failed):
+                    labels[i], scores[i], errors[i] = label, score, bad
+            yield pdf.assign(_raw_label=labels, **{CONFIDENCE_COL: scores, ERROR_COL: errors})
 
     scored = df.select(*names).mapInPandas(run, out_schema)
     return scored.withColumn(SENTIMENT_COL, normalise_label(F.col("_raw_label"))).drop("_raw_label")
@@ -170,3 +232,19 @@ def score_with_model(model: PipelineModel, df: DataFrame, text_col: str = "revie
     return (scored.withColumn(CONFIDENCE_COL, F.array_max(vector_to_array(F.col("_prob"))))
             .withColumn(SENTIMENT_COL, normalise_label(F.col("_pred_label")))
             .drop("_text", "_tok", "_words", "_tf", "_features", "_raw", "_prob", "_pred", "_pred_label"))
+
+
+def publish_model(model: PipelineModel, path: str) -> versions.Version:
+    """Save a fitted pipeline as the next version of ``path``."""
+    spark = SparkSession.getActiveSession()
+
+    def write(_frame: DataFrame, location: str) -> int:
+        model.write().overwrite().save(location)
+        return len(model.stages)
+
+    return versions.publish(spark.range(0), path, fmt="mllib", write=write)
+
+
+def load_model(spark: SparkSession, path: str, number: int | None = None) -> PipelineModel:
+    """The current version of a saved pipeline, or the one with this number."""
+    return PipelineModel.load(versions.find(spark, path, number).location)

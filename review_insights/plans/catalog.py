@@ -1045,6 +1045,45 @@ def q_score_batch(spark, sf_dir):
     return s.select("review_id", "bert_sentiment", r6("bert_confidence").alias("bert_confidence"), "score_error")
 
 
+class _FailsOnStale(scoring.PandasLexiconScorer):
+    """The lexicon scorer with texts that it cannot score."""
+
+    def __call__(self, texts):
+        if any("stale" in t.lower() for t in texts):
+            raise ValueError("stale")
+        return super().__call__(texts)
+
+
+def _bad_rows_sql() -> str:
+    pos, neg = O._hits("low", scoring.POSITIVE_WORDS), O._hits("low", scoring.NEGATIVE_WORDS)
+    return f"""
+WITH lx AS (SELECT review_id, lower(coalesce(review_text, '')) AS low FROM base),
+lx2 AS (SELECT review_id, contains(low, 'stale') AS bad, {pos} AS p, {neg} AS n FROM lx)
+SELECT review_id, CASE WHEN bad OR p = n THEN 'neutral' WHEN p > n THEN 'positive' ELSE 'negative' END AS bert_sentiment,
+       round(CASE WHEN bad OR p + n = 0 THEN 0.5 ELSE 0.5 + 0.5 * abs(p - n) / (p + n) END, 6) AS bert_confidence, bad AS score_error
+FROM lx2
+"""
+
+
+@register("score_bad_rows", _bad_rows_sql)
+def q_score_bad_rows(spark, sf_dir):
+    """M1, M3: batches by work; of a batch that fails only the rows that fail alone get the fallback."""
+    s = scoring.score_sentiment(_unscored(spark, sf_dir).select("review_id", "review_text"), _FailsOnStale, batch_tokens=512)
+    return s.select("review_id", "bert_sentiment", r6("bert_confidence").alias("bert_confidence"), "score_error")
+
+
+@register("score_saved_model", "SELECT review_id, true AS same_label, true AS same_confidence, 1 AS version FROM base")
+def q_score_saved_model(spark, sf_dir):
+    """A fitted pipeline, published and loaded again, scores as before."""
+    base = _unscored(spark, sf_dir).select("review_id", "review_text", "sentiment_label")
+    model, path = scoring.train_sentiment_model(base, max_iter=5, num_features=1 << 12), _scratch(spark, "model")
+    number = scoring.publish_model(model, path).number
+    before = scoring.score_with_model(model, base).withColumnsRenamed({"bert_sentiment": "label", "bert_confidence": "confidence"})
+    after = scoring.score_with_model(scoring.load_model(spark, path), before)
+    return after.select("review_id", (F.col("label") == F.col("bert_sentiment")).alias("same_label"),
+                        (F.abs(F.col("confidence") - F.col("bert_confidence")) < 1e-12).alias("same_confidence"), F.lit(number).alias("version"))
+
+
 @register("sentiment_stats", """
 SELECT bert_sentiment, count(*) AS count, (SELECT round(avg(bert_confidence), 3) FROM scored) AS mean_confidence
 FROM scored WHERE bert_sentiment IS NOT NULL GROUP BY bert_sentiment

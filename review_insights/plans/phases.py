@@ -88,13 +88,14 @@ def collect_phase(spark: SparkSession, raw: DataFrame, out_dir: str | None = Non
 
 
 def analyze_phase(spark: SparkSession, processed_path: str, out_dir: str | None = None,
-                  scorer: str = "lexicon") -> PhaseOutput:
+                  scorer: str = "lexicon", model_path: str | None = None) -> PhaseOutput:
     """Phase 2: score sentiment, classify problems, write the scored table and the
     result export; keyword, validation and report tables are written alongside.
 
     ``scorer``: ``lexicon`` (Catalyst), ``batch`` (``mapInPandas`` harness with
-    the default batch model), ``mllib`` (logistic regression trained on the
-    rating-derived labels) or ``given`` (keep existing model columns).
+    the default batch model), ``mllib`` (the saved pipeline at ``model_path``; without
+    one, a logistic regression is trained on the rating-derived labels and published
+    first) or ``given`` (keep existing model columns).
     """
     out = PhaseOutput()
     df = spark.read.parquet(processed_path)
@@ -103,7 +104,10 @@ def analyze_phase(spark: SparkSession, processed_path: str, out_dir: str | None
     elif scorer == "batch":
         scored = scoring.score_sentiment(df)
     elif scorer == "mllib":
-        scored = scoring.score_with_model(scoring.train_sentiment_model(df), df)
+        if model_path is None:
+            model_path = _out(spark, out_dir, "sentiment_model")
+            out.versions["sentiment_model"] = scoring.publish_model(scoring.train_sentiment_model(df), model_path).number
+        scored = scoring.score_with_model(scoring.load_model(spark, model_path), df)
     elif scorer == "given":
         scored = df
     else:

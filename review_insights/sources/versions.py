@@ -96,11 +96,17 @@ def current(spark: SparkSession, path: str) -> Version:
     return found[-1]
 
 
-def read_version(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+def find(spark: SparkSession, path: str, number: int | None = None) -> Version:
     """The current version, or the one with this number."""
     wanted = current(spark, path) if number is None else next((v for v in history(spark, path) if v.number == number), None)
     if wanted is None:
         raise FileNotFoundError(f"no version {number} of {path}")
+    return wanted
+
+
+def read_version(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """The rows of the current version, or of the one with this number."""
+    wanted = find(spark, path, number)
     reader = spark.read.format(wanted.fmt)
     return reader.options(**sinks.CSV_WRITE_OPTIONS).load(wanted.location) if wanted.fmt == "csv" else reader.load(wanted.location)
 
