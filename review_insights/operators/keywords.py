@@ -79,11 +79,16 @@ def keyword_documents(df: DataFrame, text_col: str = "review_text", sentiment_co
 
 def document_terms(docs: DataFrame, stop_words: Sequence[str] | None = None) -> DataFrame:
     """Add ``terms``: stop-word-free tokens followed by their adjacent bigrams."""
-    stop = list(stop_words if stop_words is not None else english_stop_words())
-    toks = docs.withColumn("_tokens", F.filter(word_tokens(F.col("processed_text")), lambda x: ~x.isin(stop)))
+    toks = docs.withColumn("_tokens", kept_tokens(F.col("processed_text"), stop_words))
     return toks.withColumn("terms", with_bigrams(F.col("_tokens"))).drop("_tokens")
 
 
+def kept_tokens(processed: Column, stop_words: Sequence[str] | None = None) -> Column:
+    """Tokens without stop words, in order."""
+    stop = list(stop_words if stop_words is not None else english_stop_words())
+    return F.filter(word_tokens(processed), lambda x: ~x.isin(stop))
+
+
 def class_sizes(docs: DataFrame) -> DataFrame:
     """Documents per class (at most three rows)."""
     return docs.groupBy("sentiment").agg(F.count(F.lit(1)).alias("n"))
@@ -116,6 +121,11 @@ def _counts(occurrences: DataFrame, *keys: str) -> DataFrame:
     return occurrences.groupBy("sentiment", *keys).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("first")).alias("df"))
 
 
+def term_counts(terms: DataFrame) -> DataFrame:
+    """``(sentiment, term, total, df)`` of every term."""
+    return _counts(term_occurrences(terms), "term")
+
+
 def _eligible(counts: DataFrame, sizes: DataFrame, min_df: int, max_df: float) -> DataFrame:
     high = F.lit(float(max_df)) * F.col("n")
     return (counts.join(F.broadcast(sizes), "sentiment")
@@ -154,7 +164,13 @@ def vocabulary(terms: DataFrame, sizes: DataFrame, max_features: int = K.TFIDF_M
     come from one partially-aggregated pass over the term occurrences; with
     ``sketch`` only of the terms that :func:`sketched_counts` leaves.
     """
-    counts = sketched_counts(terms, sizes, max_features, min_df, max_df) if sketch else _counts(term_occurrences(terms), "term")
+    counts = sketched_counts(terms, sizes, max_features, min_df, max_df) if sketch else term_counts(terms)
+    return vocabulary_of(counts, sizes, max_features, min_df, max_df)
+
+
+def vocabulary_of(counts: DataFrame, sizes: DataFrame, max_features: int = K.TFIDF_MAX_FEATURES,
+                  min_df: int = K.TFIDF_MIN_DF, max_df: float = K.TFIDF_MAX_DF) -> DataFrame:
+    """The kept vocabulary from ``(sentiment, term, total, df)``."""
     eligible = _eligible(counts, sizes, min_df, max_df)
     kept = top_k_per_group(eligible, ["sentiment"], [F.desc("total"), F.asc("term")], max_features,
                            split_col="term", rank_name="vocab_rank")
@@ -177,13 +193,18 @@ def keyword_importance(df: DataFrame, text_col: str = "review_text", sentiment_c
     # class sizes and the vocabulary only need row-local tokenising and partial
     # aggregation: they read the documents where they are, without a shuffle
     sizes = class_sizes(docs)
-    vocab = (vocabulary(document_terms(docs, stop_words), sizes, max_features, min_df, max_df, sketch)
-             .select("sentiment", "term", "term_id", "idf", "n"))
+    vocab = vocabulary(document_terms(docs, stop_words), sizes, max_features, min_df, max_df, sketch)
+    return weighted(document_terms(docs, stop_words), vocab, num_partitions)
+
+
+def weighted(terms: DataFrame, vocab: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """Mean TF-IDF weight of every term of the vocabulary, from ``(doc_id, sentiment, terms)``."""
+    vocab = vocab.select("sentiment", "term", "term_id", "idf", "n")
     # bounded: at most max_features rows per class, three classes.  Terms outside
     # the vocabulary are dropped where the document is read, so the one shuffle
     # carries (doc_id, term_id, idf) and no text; afterwards each document's term
     # counts and norm stay inside one partition
-    hits = (document_terms(docs, stop_words).select("doc_id", "sentiment", F.explode_outer("terms").alias("term"))
+    hits = (terms.select("doc_id", "sentiment", F.explode_outer("terms").alias("term"))
             .where(F.col("term").isNotNull()).join(F.broadcast(vocab), ["sentiment", "term"])
             .select("doc_id", "term_id", "idf"))
     hits = hits.repartition(num_partitions, "doc_id") if num_partitions else hits.repartition("doc_id")
@@ -203,7 +224,11 @@ def extract_keywords(df: DataFrame, top_k: int = K.TFIDF_TOP_K, **kwargs) -> Dat
     Ranking compares importances rounded to 10 decimals so that terms whose
     weights are equal up to summation order tie, and ties go alphabetically.
     """
-    imp = keyword_importance(df, **kwargs)
+    return ranked(keyword_importance(df, **kwargs), top_k)
+
+
+def ranked(imp: DataFrame, top_k: int = K.TFIDF_TOP_K) -> DataFrame:
+    """The first ``top_k`` terms of every class."""
     w = Window.partitionBy("sentiment").orderBy(F.desc(F.round("importance", 10)), F.asc("term"))
     # at most max_features rows per class reach this window
     return (imp.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= top_k)

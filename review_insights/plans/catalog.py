@@ -25,7 +25,7 @@ from review_insights.plans import frames
 from review_insights.session import ensure_utc, table_path
 from review_insights.sources import fixture, sinks, versions
 from review_insights.sources.readers import normalise_missing, read_reviews
-from review_insights.streaming import state
+from review_insights.streaming import keyword_state, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str | Callable[[], str]] = {}
@@ -1436,6 +1436,19 @@ def q_benchmark_metrics_incremental(spark, sf_dir):
     return m.select(*[r6(c).alias(c) for c in ("average_rating", "negative_sentiment_rate", "top_quartile_rating", "bottom_quartile_rating")])
 
 
+@register("keywords_incremental", lambda: ORACLE["keywords_tfidf"]() if callable(ORACLE["keywords_tfidf"]) else ORACLE["keywords_tfidf"])
+def q_keywords_incremental(spark, sf_dir):
+    """K1 to K6 from the tokens and counts of a stream's batches, two files a batch."""
+    path = _scratch(spark, "keyword-state")
+    ensure_utc(spark)
+    source = fixture.ingest_review_fixture(spark, sf_dir)
+    reviews = streaming.classify_stream(streaming.read_review_stream(spark, source, max_files_per_trigger=2))
+    keyword_state.start_keywords(reviews.select("review_text", "bert_sentiment"), path, _scratch(spark, "keyword-checkpoint")).awaitTermination()
+    keyword_state.store_batch(frames.scored(spark, sf_dir).limit(5), path, 0)  # a replay
+    kw = keyword_state.current_keywords(spark, path)
+    return kw.select("sentiment", "rank", "term", r6(F.round("importance", 10)).alias("importance"))
+
+
 @register("sketch_summary", """
 SELECT 'unique_products' AS metric, CAST(count(DISTINCT product_id) AS DOUBLE) AS exact, true AS close FROM scored
 UNION ALL SELECT 'unique_users', CAST(count(DISTINCT user_id) AS DOUBLE), true FROM scored

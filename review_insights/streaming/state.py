@@ -11,7 +11,7 @@ of the review length (KLL).
 Storage: ``<path>/data/<unique name>`` per batch and ``<path>/batches/<id>.json``,
 renamed into place.  A batch that is replayed finds its manifest and changes
 nothing; one that failed half-way left no manifest and is stored again.
-:func:`compact` folds the batches into one table (``<path>/bases/<n>.json`` names the
+:func:`fold` folds the batches into one table (``<path>/bases/<n>.json`` names the
 batches inside); readers take the last base and the batches it does not name, so a
 reader, or a crash, between its steps sees every batch exactly once.
 """
@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -51,25 +52,30 @@ def _manifests(files: _Files, folder: str) -> list[dict]:
     return [json.loads(files.read(f"{folder}/{name}")) for name in files.names(folder) if name.endswith(".json") and not name.startswith(".")]
 
 
-def _write(spark: SparkSession, path: str, cubes: DataFrame, sketched: DataFrame) -> str:
+def _write(path: str, frames: dict[str, DataFrame]) -> str:
     location = f"{path.rstrip('/')}/data/{uuid.uuid4().hex}"
-    cubes.coalesce(1).write.parquet(f"{location}/cube")  # a few thousand rows at most
-    sketched.write.parquet(f"{location}/sketches")
+    for name, frame in frames.items():
+        frame.write.parquet(f"{location}/{name}")
     return location
 
 
-def store_batch(scored: DataFrame, path: str, batch_id: int) -> bool:
-    """Store the metrics of one batch; False if the batch is stored already."""
-    spark = scored.sparkSession
+def store_frames(spark: SparkSession, path: str, batch_id: int, frames: Callable[[], dict[str, DataFrame]]) -> bool:
+    """Store the frames of one batch; False if the batch is stored already."""
     files = _Files(spark, path)
     name = f"{path.rstrip('/')}/batches/{batch_id:012d}.json"
     if f"{batch_id:012d}.json" in files.names(f"{path.rstrip('/')}/batches") or any(
             batch_id in m["batches"] for m in _manifests(files, f"{path.rstrip('/')}/bases")):
         return False
-    location = _write(spark, path, cube(scored), sketches(scored))
+    location = _write(path, frames())
     return files.create_whole(name, json.dumps({"batch": batch_id, "data": location}))
 
 
+def store_batch(scored: DataFrame, path: str, batch_id: int) -> bool:
+    """Store the metrics of one batch; False if the batch is stored already."""
+    # a cube has a few thousand rows at most
+    return store_frames(scored.sparkSession, path, batch_id, lambda: {"cube": cube(scored).coalesce(1), "sketches": sketches(scored)})
+
+
 def _parts(spark: SparkSession, path: str) -> tuple[list[str], list[int]]:
     """Locations that hold every stored batch once, and the ids of the batches."""
     files = _Files(spark, path)
@@ -85,31 +91,32 @@ def stored_batches(spark: SparkSession, path: str) -> list[int]:
     return _parts(spark, path)[1]
 
 
-def merged_cube(spark: SparkSession, path: str) -> DataFrame:
-    """The cube of all batches."""
+def read_frames(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One of the frames of all batches."""
     found = _parts(spark, path)[0]
     if not found:
         raise FileNotFoundError(f"no batch stored in {path}")
-    return spark.read.parquet(*[f"{x}/cube" for x in found]).groupBy(*KEYS).agg(
-        *[F.sum(c).alias(c) for c in ("n", "confidence_sum", "confidence_n")])
+    return spark.read.parquet(*[f"{x}/{name}" for x in found])
+
+
+def merged_cube(spark: SparkSession, path: str) -> DataFrame:
+    """The cube of all batches."""
+    return read_frames(spark, path, "cube").groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ("n", "confidence_sum", "confidence_n")])
 
 
 def merged_sketches(spark: SparkSession, path: str) -> DataFrame:
-    found = _parts(spark, path)[0]
-    if not found:
-        raise FileNotFoundError(f"no batch stored in {path}")
-    return spark.read.parquet(*[f"{x}/sketches" for x in found]).agg(
+    return read_frames(spark, path, "sketches").agg(
         F.sum("rows").alias("rows"), F.hll_union_agg("products").alias("products"), F.hll_union_agg("users").alias("users"),
         F.kll_merge_agg_double("lengths").alias("lengths"))
 
 
-def compact(spark: SparkSession, path: str) -> int:
-    """Fold all stored batches into one base; the number of batches folded."""
+def fold(spark: SparkSession, path: str, merged: Callable[[], dict[str, DataFrame]]) -> int:
+    """Replace all stored batches by one base of the ``merged`` frames; the number of batches folded."""
     files, ids = _Files(spark, path), stored_batches(spark, path)
     if not ids:
         return 0
     before = _manifests(files, f"{path.rstrip('/')}/bases")
-    location = _write(spark, path, merged_cube(spark, path), merged_sketches(spark, path))
+    location = _write(path, merged())
     number = 1 + max((m["base"] for m in before), default=0)
     if not files.create_whole(f"{path.rstrip('/')}/bases/{number:08d}.json", json.dumps({"base": number, "batches": ids, "data": location})):
         return 0  # another one was faster
@@ -118,12 +125,15 @@ def compact(spark: SparkSession, path: str) -> int:
     return len(ids)
 
 
+def compact(spark: SparkSession, path: str) -> int:
+    """Fold the stored metrics into one cube and one row of sketches."""
+    return fold(spark, path, lambda: {"cube": merged_cube(spark, path).coalesce(1), "sketches": merged_sketches(spark, path)})
+
+
 # ------------------------------------------------------- metrics from the cube --
 
 def problem_analysis(cubes: DataFrame) -> DataFrame:
     """As ``patterns.problem_analysis`` over all rows: the total is a window over the seven groups."""
-    from pyspark.sql import Window
-
     rated = F.when(F.col("rating").isNotNull(), F.col("n"))
     per = (cubes.where(F.col("bert_sentiment") == K.NEGATIVE).groupBy("problem_category")
            .agg(F.sum("n").alias("count"), (F.sum(F.col("rating") * F.col("n")) / F.sum(rated)).alias("avg_rating"),

@@ -56,3 +56,31 @@ def test_small_inputs_are_dealt_out(spark, sf_small, monkeypatch):
     assert "Repartition" in spread(df)._jdf.queryExecution().optimizedPlan().toString()
     monkeypatch.setattr("review_insights.operators.dims.SPREAD_BYTES", 1)
     assert spread(df) is df
+
+
+def test_keywords_of_stored_batches_equal_the_whole_run(spark, reviews, tmp_path):
+    from review_insights.streaming import keyword_state as ks
+
+    path = str(tmp_path / "keywords")
+    parts = reviews.randomSplit([0.5, 0.3, 0.2], seed=3)
+    whole = None
+    for k, part in enumerate(parts):
+        part = spark.createDataFrame(part.collect(), SCHEMA).repartition(2)
+        whole = part if whole is None else whole.unionByName(part)
+        assert ks.store_batch(part, path, k)
+        assert rows_of(ks.current_keywords(spark, path)) == rows_of(keywords.extract_keywords(whole))
+    assert not ks.store_batch(whole, path, 1)  # a replayed batch changes nothing
+    assert ks.compact(spark, path) == 3
+    assert rows_of(ks.current_keywords(spark, path)) == rows_of(keywords.extract_keywords(whole))
+    more = spark.createDataFrame([("fresh words of a later batch", "positive")] * 40, SCHEMA)
+    assert ks.store_batch(more, path, 3)
+    assert rows_of(ks.current_keywords(spark, path)) == rows_of(keywords.extract_keywords(whole.unionByName(more)))
+
+
+def test_stored_keywords_read_no_text(spark, reviews, tmp_path):
+    from review_insights.streaming import keyword_state as ks
+
+    path = str(tmp_path / "keywords")
+    ks.store_batch(reviews, path, 0)
+    plan = ks.current_keywords(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "lower(" not in plan

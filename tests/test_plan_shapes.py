@@ -75,7 +75,7 @@ BUILDS_NOTHING = sorted(set(QUERIES) - {
     "versioned_table", "quality_gate", "score_saved_model",
     # these find the n-th hash, or run a stream, while they are built
     "sample_reviews_large", "problem_analysis_incremental", "classification_report_incremental",
-    "benchmark_metrics_incremental", "sketch_summary",
+    "benchmark_metrics_incremental", "sketch_summary", "keywords_incremental",
     # CSV readers take the column names from the first line of a file
     "csv_scan", "csv_folder"})
 
