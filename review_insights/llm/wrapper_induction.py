@@ -77,6 +77,7 @@ CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": froze
              "option": frozenset(["option"])}
 BARRIER = frozenset("ul ol dl table div section article main body html td th blockquote form aside nav header footer".split())
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Depth of a tree: deeper blocks stand side by side there.  Runs under one node beyond which each kind is
 #: one run, and cells of a matching beyond which no table is filled.
 MAX_DEPTH, FOLD, TABLE = 120, 32, 4_096
@@ -251,13 +252,13 @@ def parse(source: str | None) -> Node:
 class Slot:
     """A node of a wrapper: all neighbouring blocks of one kind, over all pages."""
 
-    __slots__ = ("key", "tag", "drop", "named", "pages", "leaves", "chars", "links", "kids", "content", "large", "fixed", "fixed_leaves")
+    __slots__ = ("key", "tag", "drop", "named", "pages", "leaves", "chars", "links", "kids", "content", "inside", "large", "fixed", "fixed_leaves")
 
     def __init__(self, key: str, tag: str, drop: bool, named: bool):
         self.key, self.tag, self.drop, self.named = key, tag, drop, named
         self.pages = self.leaves = self.chars = self.links = 0
         self.kids: list[Slot] = []
-        self.content = self.large = False
+        self.content = self.inside = self.large = False
         self.fixed: set[int] = set()
         self.fixed_leaves = 0
 
@@ -526,6 +527,10 @@ class Wrapper:
             level = level[top].kids
         for s in level:
             mark(s)
+        below = list(level)
+        while below:
+            below[-1].inside = True
+            below += below.pop().kids
         return self
 
     def to_json(self) -> str:
@@ -548,7 +553,8 @@ class Wrapper:
 
 
 def extract(page: Node, wrapper: Wrapper | None) -> str:
-    """Texts of the content slots of a page, in page order, one line a block."""
+    """Texts of the content slots of a page, in page order, one line a block.  A heading that recurs on the
+    host's pages stays where varying text follows it directly, inside the root of the content."""
     runs = runs_of([page])
     for settled in (wrapper, None):
         if settled is None:
@@ -564,17 +570,29 @@ def extract(page: Node, wrapper: Wrapper | None) -> str:
             settled.settle()
         content = {id(n) for run, slot in settled.paired(runs, add=False) if slot is not None and slot.content
                    for n in run.nodes if not slot.fixed or mark_of(n.text) not in slot.fixed}
+        inside = {id(n) for run, slot in settled.paired(runs, add=False) if slot is not None and slot.inside for n in run.nodes}
         out: list[str] = []
-        stack = list(reversed(page.kids))
+        stack = [(n, None) for n in reversed(page.kids)]   # nodes and the path above them
+        headings: list[tuple[str, Node]] = []              # recurring ones just passed, and where they stand
         while stack:
-            node = stack.pop()
+            node, path = stack.pop()
             if node.drop:
                 continue
-            if node.key == "#text":
-                if id(node) in content:
-                    out.append(node.text)
+            if node.key != "#text":
+                stack.extend((k, (node, path)) for k in reversed(node.kids))
+            elif id(node) in content:
+                if headings:
+                    above = set()
+                    while path is not None:
+                        above.add(id(path[0]))
+                        path = path[1]
+                    out += [text for text, place in headings if id(place) in above]
+                    headings = []
+                out.append(node.text)
+            elif path is not None and path[1] is not None and path[0].tag in HEADINGS and id(path[0]) in inside and not path[0].named:
+                headings.append((node.text, path[1][0]))
             else:
-                stack.extend(reversed(node.kids))
+                headings = []
         if out:
             return "\n".join(out)
     return ""

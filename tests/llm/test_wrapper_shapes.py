@@ -89,3 +89,14 @@ def test_common_order_is_longest():
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
         pairs = w.common_order(a, b)
         assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs)
+
+
+def test_recurring_headings_stay_before_varying_text(spark):
+    """Headings that all articles share belong to them; notices, menus and the site's own title do not."""
+    html = lambda k: (f"<body><h1>The site</h1><article><h1>Title {k}</h1><h2>Background</h2><p>Some text {k} of the article.</p><p>Read our terms.</p>"
+                      f"<h2>Methods</h2><h3>Design</h3><p>How it was done, {k}.</p><h2>About us</h2><p>Always the same.</p></article>"
+                      "<div><h3>Categories</h3><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></div></body>")
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", html(k)) for k in range(20)], "page_id long, url string, html string")
+    for r in w.extract_text(df.repartition(3)).collect():
+        k = r["page_id"]
+        assert r["text"] == f"Title {k}\nBackground\nSome text {k} of the article.\nMethods\nDesign\nHow it was done, {k}."
