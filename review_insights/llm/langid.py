@@ -5,14 +5,15 @@ every other character being a boundary.  Each n-gram has an embedding in a
 hashed table; their average goes through a linear softmax.  Table and softmax
 are trained together by stochastic gradient descent in numpy on a bounded
 sample of labelled rows (``max_per_class`` a language, by the order of a hash
-of the id).  A tenth of the sample is kept out of the descent and sets the
+of the id; every language has its rows, however many there are).  A tenth of the sample is kept out of the descent and sets the
 temperature that calibrates the probabilities and the rejection threshold:
 ``accepted`` is false below the score that all but ``REJECT_SHARE`` of the right
 calibration answers reach.
 
 Prediction runs over whole texts in Arrow batches.  As the softmax is linear,
 the model is shipped as one row of scores a bucket (``2 ** HASH_BITS`` rows by
-the number of languages, a fixed size), broadcast; nothing is shuffled.
+the number of languages), broadcast; no text is shuffled.  Long texts are worked on
+in blocks.
 
 Defined results: ``und`` with score 0 for a null text or one without letters;
 repeated rows are predicted each; without any labelled row every text is ``und``.
@@ -26,15 +27,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from review_insights.llm.common import small_enough
+
 UNDETERMINED = "und"
 HASH_BITS = 18
 ORDERS = (1, 2, 3, 4)
 DIMENSIONS = 16
 MAX_PER_CLASS = 1500
-MAX_CLASSES = 400
+MAX_ROWS = 60_000    # of the sample, shared out equally where there are many languages
+LEAST_PER_CLASS = 20
+BLOCK_CHARS = 1 << 18
+GATHERED = 1 << 22   # scores gathered at once; beyond, n-grams are counted by bucket
 EPOCHS = 4
 MIN_STEPS = 4000     # small samples are gone through more often
 LEARNING_RATE = 0.5
@@ -43,10 +49,31 @@ REJECT_SHARE = 0.01
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(0xD6E8FEB86659FD93)
 _GAP = regex.compile(r"\P{L}+")
+_CUT = regex.compile(r"[\s\d]")
 
 
 def subwords(text: str) -> np.ndarray:
     """Buckets of all character n-grams inside ' word ' frames; empty without letters."""
+    parts = list(subword_blocks(text))
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def subword_blocks(text: str) -> Iterator[np.ndarray]:
+    """:func:`subwords` of about ``BLOCK_CHARS`` characters at a time.  A long text is cut at white space or
+    digits, which no n-gram holds and which never change how a letter is lower-cased."""
+    at = 0
+    while at < len(text):
+        end = len(text)
+        if end - at > BLOCK_CHARS:
+            cut = _CUT.search(text, at + BLOCK_CHARS)
+            end = cut.start() if cut else end
+        found = _subwords(text[at:end])
+        if len(found):
+            yield found
+        at = end
+
+
+def _subwords(text: str) -> np.ndarray:
     framed = " " + _GAP.sub(" ", text.lower()) + " "
     codes = np.frombuffer(framed.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     blank = codes == 32
@@ -90,8 +117,17 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def logits(table: np.ndarray, bias: np.ndarray, text: str) -> np.ndarray:
-    b = subwords(text)
-    return table[b].mean(axis=0, dtype=np.float64) + bias if len(b) else bias.astype(np.float64)
+    """Mean scores of the text's n-grams; memory for one block of it, whatever the number of languages."""
+    total, n = np.zeros(len(bias)), 0
+    for b in subword_blocks(text):
+        n += len(b)
+        if len(b) * len(bias) <= GATHERED:
+            total += table[b].sum(axis=0, dtype=np.float64)
+        else:
+            count = np.bincount(b, minlength=len(table))
+            for lo in range(0, len(table), 1 << 14):
+                total += count[lo:lo + (1 << 14)].astype(np.float64) @ table[lo:lo + (1 << 14)]
+    return total / n + bias if n else bias.astype(np.float64)
 
 
 def predict(model: tuple, text: str | None) -> tuple[str, float, bool]:
@@ -147,26 +183,29 @@ def fit(texts: list[str], langs: list[str], seed: int = 5) -> LanguageModel:
 
 
 def training_sample(docs: DataFrame, train: Column, max_per_class: int = MAX_PER_CLASS, id_col: str = "doc_id",
-                    text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[str]]:
-    """Texts and languages of at most ``max_per_class`` rows of each of the most
-    frequent ``MAX_CLASSES`` languages.  ``train`` is a condition on ``id``.
+                    text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS) -> tuple[list[str], list[str]]:
+    """Texts and languages of rows of every language, at most ``max_per_class`` each; where these would be more
+    than ``max_rows``, an equal share for each, but ``LEAST_PER_CLASS``.  ``train`` is a condition on ``id``.
 
-    Ids are picked first (bounded); only their texts leave the second scan.
+    Three reads of the table: the languages, the ids (a top-k in two levels, so no language meets in one task),
+    and the texts of the ids.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"))
     known = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & train)
-    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_CLASSES).collect()]
-    picked = None
-    for lang in langs:
-        part = known.where(F.col("lang") == lang).orderBy(F.xxhash64("id"), "id").limit(max_per_class)
-        picked = part if picked is None else picked.unionByName(part)
-    if picked is None:
+    languages = known.select("lang").distinct().count()
+    if languages == 0:
         return [], []
-    chosen = spark.createDataFrame([(r["id"], r["lang"]) for r in picked.distinct().collect()], "id long, lang string")
+    each = min(max_per_class, max(max_rows // languages, LEAST_PER_CLASS))
+    order = [F.xxhash64("id"), F.col("id")]
+    place = F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(64))).orderBy(*order))
+    near = known.withColumn("_place", place).where(F.col("_place") <= each)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    picked = near.withColumn("_place", place).where(F.col("_place") <= each).select("id", "lang").distinct()
+    chosen = spark.createDataFrame([(r["id"], r["lang"]) for r in picked.collect()], "id long, lang string")
     found = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
                          F.col(lang_col).cast("string").alias("lang"))
-             .where("text IS NOT NULL").join(F.broadcast(chosen), ["id", "lang"]).collect())
+             .where("text IS NOT NULL").join(small_enough(chosen), ["id", "lang"]).collect())
     found.sort(key=lambda r: (r["id"], r["lang"], r["text"]))
     return [r["text"] for r in found], [r["lang"] for r in found]
 

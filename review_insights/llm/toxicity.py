@@ -22,6 +22,7 @@ classes gives score 0 for all.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,17 +38,40 @@ MIN_DOCS = 4
 MIN_RATIO = 0.5      # n-grams about as common in both classes say nothing
 EPOCHS = 8
 THRESHOLD = 0.7
+BLOCK_CHARS = 1 << 18
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(0xD6E8FEB86659FD93)
+_SPACE = re.compile(r"\s")
 
 
 def ngram_buckets(text: str) -> np.ndarray:
     """Distinct buckets of the character n-grams of a lower-cased text; runs of
-    white space count as one space, and the text is padded by one."""
+    white space count as one space, and the text is padded by one.  A long text is
+    worked on in blocks, cut at white space, that overlap by an n-gram."""
     if not text:
         return np.zeros(0, np.int64)
-    padded = " " + " ".join(text.lower().split()) + " "
+    if len(text) <= BLOCK_CHARS:
+        found = _all_buckets(" " + " ".join(text.lower().split()) + " ")
+        return distinct(found) if len(found) else found
+    flags = np.zeros(1 << HASH_BITS, bool)
+    carried, at = "", 0
+    while at < len(text):
+        end = len(text)
+        if end - at > BLOCK_CHARS:
+            cut = _SPACE.search(text, at + BLOCK_CHARS)
+            end = cut.start() if cut else end
+        words = text[at:end].lower().split()
+        if words:
+            block = carried + " " + " ".join(words)
+            flags[_all_buckets(block)] = True
+            carried = block[1 - max(ORDERS):]
+        at = end
+    flags[_all_buckets((carried or " ") + " ")] = True
+    return np.flatnonzero(flags)
+
+
+def _all_buckets(padded: str) -> np.ndarray:
     codes = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     h = np.zeros(len(codes), np.uint64)
     found = []
@@ -57,7 +81,7 @@ def ngram_buckets(text: str) -> np.ndarray:
         h = h[:len(codes) - n + 1] * _STEP + codes[n - 1:] + np.uint64(n)
         if n in ORDERS:
             found.append(((h ^ (h >> np.uint64(29))) * _TURN) >> np.uint64(64 - HASH_BITS))
-    return distinct(np.concatenate(found).astype(np.int64)) if found else np.zeros(0, np.int64)
+    return np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
 _LAST: dict[str, np.ndarray] = {}
