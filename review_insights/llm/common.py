@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from review_insights.session import table_path
@@ -64,6 +64,21 @@ def without_rows(docs: DataFrame, row: str, dropped: DataFrame, columns: list[st
     return docs.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
 
 
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """``docs``, a scan of files, with ``row``: a number for each row by its file (in order of name) and place there.
+
+    Two scans give a row the same number however they deal out the files, also when executors were lost or
+    joined in between.
+    """
+    meta, file, place = docs.metadataColumn("_metadata"), unused(docs, "_at_file"), unused(docs, "_at_place")
+    placed = docs.select("*", meta["file_path"].alias(file), meta["row_index"].alias(place))
+    # one row per file
+    files = docs.select(meta["file_path"].alias(file)).distinct()
+    files = files.select(file, F.shiftleft(F.row_number().over(Window.orderBy(file)).cast("long"), 40).alias(row))
+    return (placed.join(small_enough(files), file)
+            .select(*[F.col(f"`{c}`") for c in docs.columns], (F.col(row) + F.col(place)).alias(row)))
+
+
 def id_and_bytes(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """``(id, data, ...)``: the id as long and the UTF-8 bytes of the text (null: empty).
     No other column of ``docs`` is read, so extra columns cannot clash."""

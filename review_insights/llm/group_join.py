@@ -40,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from review_insights.llm.common import (BLOCK_BYTES, BROADCAST_IDS, SpanHash, blocks, id_and_bytes, joined_bytes, mix, packed, partition_id,
-                                        saved, small_enough, unpacked, unused, without_rows, words)
+from review_insights.llm.common import (BLOCK_BYTES, BROADCAST_IDS, SpanHash, blocks, id_and_bytes, joined_bytes, mix, numbered, packed,
+                                        partition_id, saved, small_enough, unpacked, unused, without_rows, words)
 from review_insights.llm.components import components
 
 HEAVY = 1 << 18          # most frequent shingles that go last in the order (size of the broadcast)
@@ -617,7 +617,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``docs`` must be read from files: rows are numbered by their place in them.
     """
     row = unused(docs, "_join_row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    gone = (near_duplicate_components(numbered, id_col, text_col, size, num, den, row).where("NOT kept")
+    rows = numbered(docs, row)
+    gone = (near_duplicate_components(rows, id_col, text_col, size, num, den, row).where("NOT kept")
             .select(F.col("row_id").alias(row)))
-    return without_rows(numbered, row, gone, docs.columns, "join-dropped")
+    return without_rows(rows, row, gone, docs.columns, "join-dropped")

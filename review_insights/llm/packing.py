@@ -19,7 +19,9 @@ over the same vocabulary as ranks, which gives equal ids several times faster
 (tested); texts beyond ``LONG_TEXT`` characters go through ``tokenizers``.
 
 Scale: no shuffle and no global state; a task holds one batch of texts and at
-most ``capacity - 1`` levels of open windows.  ``sequence_id`` is made of the
+most ``MAX_OPEN`` open windows with their ids.  Lengths that fit no other (all just
+over half a window, say) fill that bound; the windows are then closed as at the end
+of a partition, which cuts nearly every second document of them but pads none.  ``sequence_id`` is made of the
 partition number and a counter, so a task run again gives the same ids.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
@@ -29,6 +31,7 @@ packed each; a null id stays null; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +46,8 @@ END_ID = 1
 END_OF_TEXT = "<|endoftext|>"
 END_OF_TEXT_ID = 50256
 LONG_TEXT = 1_000_000
+#: Windows a task keeps open; beyond, they are closed by cutting, as at the end.
+MAX_OPEN = 8_192
 FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -97,6 +102,10 @@ class SumOfSquaresPacker:
         change = np.where(usable, change, np.iinfo(np.int64).max)
         return int(levels[::-1][np.argmin(change[::-1])])
 
+    @property
+    def open_windows(self) -> int:
+        return int(self.count.sum())
+
     def place(self, doc, start: int, length: int) -> list[list[tuple]]:
         closed = []
         while length >= self.capacity:
@@ -121,11 +130,11 @@ class SumOfSquaresPacker:
 
     def close(self) -> list[list[tuple]]:
         """Empty the level array without padding."""
-        left = sorted(((level, w) for level, ws in self.open.items() for w in ws), key=lambda x: -x[0])
+        left = deque(sorted(((level, w) for level, ws in self.open.items() for w in ws), key=lambda x: -x[0]))
         self.open, self.count = {}, np.zeros(self.capacity + 1, np.int64)
         closed: list[list[tuple]] = []
         while left:
-            level, window = left.pop(0)
+            level, window = left.popleft()
             while level < self.capacity and left:
                 low_level, low = left.pop()
                 doc, start, length = low.pop()
@@ -185,6 +194,8 @@ def _pack(paths: tuple[str, str, str] | None, capacity: int, end_id: int):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = np.append(encoder.ids(text or ""), np.array([end_id], "<u4"))
                 closed += packer.place((doc_id, ids), 0, len(ids))
+                if packer.open_windows > MAX_OPEN:
+                    closed += packer.close()
             yield rows(closed)
         yield rows(packer.close())
     return run

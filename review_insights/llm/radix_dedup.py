@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from review_insights.llm.common import id_and_bytes, partition_id, saved, unused, without_rows
+from review_insights.llm.common import id_and_bytes, numbered, partition_id, saved, unused, without_rows
 
 #: Byte offsets between the digits of the radix string.
 BOUNDS = (0, 64, 512, 4096, 1 << 15, 1 << 18, 1 << 21, 1 << 24, 1 << 27, 1 << 31)
@@ -148,6 +148,6 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``docs`` must be read from files: rows are numbered by their place in them.
     """
     row = unused(docs, "_radix_row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    gone = exact_groups(numbered, id_col, text_col, row).where("NOT kept").select(F.col("row_id").alias(row))
-    return without_rows(numbered, row, gone, docs.columns, "radix-dropped")
+    rows = numbered(docs, row)
+    gone = exact_groups(rows, id_col, text_col, row).where("NOT kept").select(F.col("row_id").alias(row))
+    return without_rows(rows, row, gone, docs.columns, "radix-dropped")
