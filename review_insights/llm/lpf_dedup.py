@@ -1,13 +1,10 @@
-"""Removal of repeated byte strings by anchors, in place of longest previous factors.
+"""Removal of repeated byte strings by longest previous factors inside anchor groups.
 
 A byte goes when it is covered by a string of ``SPAN`` bytes that also starts
 earlier in the corpus (a smaller doc_id, or earlier in its document).  A
 position has such an earlier match exactly when its longest previous factor is
-``SPAN`` or more.  In the order of the suffixes cut at ``SPAN`` bytes, equal
-ones in order of position, the previous smaller position with a common prefix
-of ``SPAN`` is the direct predecessor, so one comparison with the neighbour
-replaces the search for previous and next smaller positions.  No array of
-longest previous factors or of smaller positions is built.
+``SPAN`` or more.  The factor is the longer of the common prefixes with the
+previous and with the next smaller position in suffix order.
 
 The suffix order is only needed among suffixes that can match, and these meet
 without sorting the corpus:
@@ -19,8 +16,9 @@ without sorting the corpus:
    length, place).  Of equal stretches all but the earliest are repeated in
    full.  An anchor with one kind of stretch is settled.
 3. Only the earliest stretches of anchors with several kinds are read again as
-   bytes.  Their windows are sorted in suffix order, and a window equal to its
-   predecessor is repeated.
+   bytes.  The suffixes at their windows are sorted (cut at ``SPAN`` bytes), and
+   the arrays of previous and next smaller positions give each its longest
+   previous factor; from ``SPAN`` bytes the window is repeated.
 4. Repeated windows go back to their documents; covered bytes are cut out.
 
 Scale.  Text moves as compressed units of about ``UNIT_BYTES``.  Equal
@@ -29,8 +27,8 @@ adds one row a unit however often it occurs.  Anchors found more than
 ``HOT_AT`` times (a common line in ever new surroundings) are counted over all
 documents first; the windows of at most ``MAX_HOT`` of the most frequent ones
 take another way: they are aggregated one by one by a 128-bit hash.  Stretch
-equality rests on more than 96 bits of hashes; of the other windows, those whose
-64-bit hash occurs twice are compared by bytes.
+equality rests on more than 96 bits of hashes; all other windows whose 64-bit
+hash occurs twice are sorted by their bytes.
 
 Defined results: a null text is empty; matches never cross documents; a text
 shorter than ``SPAN`` keeps all bytes.  Of rows with one doc_id the one read
@@ -340,11 +338,60 @@ def _send_open(buckets: int):
     return run
 
 
+def common_prefixes(columns: np.ndarray) -> np.ndarray:
+    """Bytes that each row (big-endian words, sorted) has in common with the row before, ``SPAN`` at most; 0 for the first."""
+    out = np.zeros(len(columns), np.int64)
+    if len(columns) < 2:
+        return out
+    open_ = np.ones(len(columns) - 1, bool)
+    for c in range(columns.shape[1]):
+        word = columns[:, c].astype(np.uint64)
+        differ = word[1:] ^ word[:-1]
+        # leading bytes that agree: the others begin at the highest byte that differs
+        agree = np.full(len(differ), 8)
+        for k in range(8):
+            agree[(differ >> np.uint64(56 - 8 * k)) != 0] = np.minimum(agree, k)[(differ >> np.uint64(56 - 8 * k)) != 0]
+        out[1:][open_] += agree[open_]
+        open_ &= differ == 0
+    return np.minimum(out, SPAN)
+
+
+def previous_smaller(position: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix the nearest one before it, in suffix order, with a smaller position (-1: none), and the
+    common prefix with it.  ``common[k]`` is that of suffixes ``k - 1`` and ``k``.
+
+    All pointers jump at once: a suffix that points to a larger position takes over where that one points to,
+    since everything between is larger still.
+    """
+    before = np.arange(-1, len(position) - 1)
+    shared = common.copy()
+    while True:
+        at = np.flatnonzero(before >= 0)
+        at = at[position[before[at]] > position[at]]
+        if len(at) == 0:
+            break
+        over = before[at]
+        shared[at] = np.minimum(shared[at], shared[over])
+        before[at] = before[over]
+    shared[before < 0] = 0
+    return before, shared
+
+
+def longest_previous_factors(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Longest previous factor of every suffix, from the positions and the common prefixes of neighbours in suffix
+    order: the longer of the common prefixes with the previous and the next smaller position."""
+    n = len(position)
+    _, up = previous_smaller(position, common)
+    _, down = previous_smaller(position[::-1], np.append(common[1:], 0)[::-1] if n else common)
+    return np.maximum(up, down[::-1])
+
+
 def repeated_windows(text: np.ndarray, starts: np.ndarray, order_keys: tuple[np.ndarray, ...]) -> np.ndarray:
-    """For the suffixes at ``starts``: whether an equal one of ``SPAN`` bytes has an
-    earlier position (``order_keys``, most significant first).
+    """For the suffixes at ``starts``: whether their longest previous factor (``order_keys`` give the
+    positions, most significant first) has ``SPAN`` bytes.
 
-    Suffixes whose hash occurs once cannot match and are left out of the sort.
+    Suffixes are sorted by their first ``SPAN`` bytes.  One whose hash occurs once has a shorter factor and is
+    left out.
     """
     out = np.zeros(len(starts), bool)
     h = SpanHash(text).of(starts, starts + SPAN)
@@ -363,11 +410,10 @@ def repeated_windows(text: np.ndarray, starts: np.ndarray, order_keys: tuple[np.
             padded[at:at + SORT_AT, :SPAN] = text[starts[part[at:at + SORT_AT], None] + np.arange(SPAN)]
         columns = padded.view(">u8")
         order = np.lexsort(tuple(k[part] for k in reversed(order_keys)) + tuple(columns[:, c] for c in range(columns.shape[1] - 1, -1, -1)))
-        equal = np.ones(len(part) - 1, bool)  # common prefix of SPAN with the predecessor in suffix order
-        for c in range(columns.shape[1]):
-            column = columns[order, c]
-            equal &= column[1:] == column[:-1]
-        out[part[order[1:][equal]]] = True
+        position = np.empty(len(part), np.int64)
+        position[np.lexsort(tuple(k[part] for k in reversed(order_keys)))] = np.arange(len(part))
+        factors = longest_previous_factors(position[order], common_prefixes(columns[order]))
+        out[part[order[factors >= SPAN]]] = True
     return out
 
 
