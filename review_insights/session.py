@@ -109,3 +109,12 @@ def table_path(spark: SparkSession, name: str) -> str:
     """A location for an intermediate table under the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "tables", name) if "://" not in base else f"{base.rstrip('/')}/tables/{name}"
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, when none of its results is needed any more."""
+    sc = spark_context(spark)
+    if sc is None:
+        raise RuntimeError("a session without a SparkContext cannot delete files: drop the checkpoint folder instead")
+    folder = sc._jvm.org.apache.hadoop.fs.Path(table_path(spark, ""))
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)

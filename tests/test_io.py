@@ -73,3 +73,15 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     configured = spark.sparkContext.getCheckpointDir()
     assert checkpoint_dir(spark) == configured
     assert table_path(spark, "x").startswith(configured)
+
+
+def test_intermediate_tables_can_be_dropped(spark, tmp_path, monkeypatch):
+    import os
+
+    from review_insights import session
+
+    monkeypatch.setattr(session, "checkpoint_dir", lambda _: str(tmp_path))
+    spark.range(3).write.parquet(session.table_path(spark, "one"))
+    (tmp_path / "other").mkdir()
+    session.drop_intermediate(spark)
+    assert os.listdir(tmp_path) == ["other"]
