@@ -152,13 +152,12 @@ def business_report_lines(metrics: DataFrame, suggestions: DataFrame, roi_cat: D
     negative = F.col("negative_count") / F.col("total_reviews") * 100
     top = suggestions.where(F.col("priority_rank") == 1).agg(F.first("category")).scalar()
     head = metrics.withColumn("top", top).where(F.col("total_reviews") > 0)
-    spark = metrics.sparkSession
     fixed = [(1, 0, title), (1, 2, H["summary"]), (2, -1, H["suggestions"]), (3, -1, H["roi"]), (4, -2, H["position"]),
              (4, 0, K.REPORT_LISTS["strength"]), (4, 100, K.REPORT_LISTS["weakness"]), (4, 200, K.REPORT_LISTS["opportunity"]),
              (5, -1, H["roadmap"]), (6, -1, H["kpi"])]
-    frame = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(s).alias("section"), F.lit(o).alias("ord"), F.lit(t).alias("text"))
-                                                     for s, o, t in fixed])))
-    time = spark.range(1).select(F.lit(1).alias("section"), F.lit(1).alias("ord"), F.format_string(L["generated"], when).alias("text"))
+    frame = metrics.select(F.inline(F.array(*[F.struct(F.lit(s).alias("section"), F.lit(o).alias("ord"), F.lit(t).alias("text"))
+                                              for s, o, t in fixed])))
+    time = metrics.select(F.lit(1).alias("section"), F.lit(1).alias("ord"), F.format_string(L["generated"], when).alias("text"))
     s1 = head.select(F.posexplode(F.array(
         F.format_string(L["total"], F.format_number("total_reviews", 0)),
         F.format_string(L["negative"], F.format_number("negative_count", 0), negative),
