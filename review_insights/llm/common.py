@@ -75,7 +75,7 @@ def numbered(docs: DataFrame, row: str) -> DataFrame:
     # one row per file
     files = docs.select(meta["file_path"].alias(file)).distinct()
     files = files.select(file, F.shiftleft(F.row_number().over(Window.orderBy(file)).cast("long"), 40).alias(row))
-    return (placed.join(small_enough(files), file)
+    return (placed.join(small_enough(files, len(docs.inputFiles())), file)
             .select(*[F.col(f"`{c}`") for c in docs.columns], (F.col(row) + F.col(place)).alias(row)))
 
 

@@ -560,16 +560,16 @@ def _open_pairs(lists: DataFrame, more: DataFrame, comp: DataFrame, signed: Data
     open_lists = saved(listed.groupBy("tok").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                                  F.max("mixed").alias("m"))
                        .where("size > 1 AND (lo != hi OR m)").select("tok", "size"), f"{name}-open", narrow=True)
-    held = listed.join(small_enough(open_lists), "tok").select("tok", "grp", "n", "pos", "comp", "mixed", "exact", "size")
+    n_open = open_lists.count()
+    held = listed.join(small_enough(open_lists, n_open), "tok").select("tok", "grp", "n", "pos", "comp", "mixed", "exact", "size")
     few = held.where(F.col("size") <= SMALL).drop("size").repartition("tok").sortWithinPartitions("tok")
     few = few.mapInArrow(_with_partners(num, den), few.schema)
-    held = saved(few.unionByName(held.where(F.col("size") > SMALL).drop("size")).drop("pos"), f"{name}-held")
+    held = saved(few.unionByName(held.where(F.col("size") > SMALL).drop("size")).drop("pos"), f"{name}-held", narrow=True)
     # lists of the same groups give the same pairs: one of them is enough
     alike = (held.groupBy("tok").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("grp").cast("decimal(20,0)")).alias("s1"),
                                      F.bit_xor(F.xxhash64("grp", F.lit(1))).alias("s2"))
              .groupBy("size", "s1", "s2").agg(F.min("tok").alias("tok")).select("tok", "size"))
-    alike = saved(alike, f"{name}-alike", narrow=True)
-    wanted = saved(held.join(small_enough(alike), "tok").withColumnRenamed("tok", "list"), f"{name}-wanted", narrow=True)
+    wanted = saved(held.join(small_enough(alike, n_open), "tok").withColumnRenamed("tok", "list"), f"{name}-wanted", narrow=True)
     across = saved(_all_pairs(wanted, signed, num, den, forest), f"{name}-across", narrow=True)
     pairs = _expand(across.where("a IS NOT NULL").select("a", "b"), more)
     if not mixed.where("mixed").isEmpty():
