@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,11 +66,18 @@ def without_rows(docs: DataFrame, row: str, dropped: DataFrame, columns: list[st
 
 
 def numbered(docs: DataFrame, row: str) -> DataFrame:
-    """``docs``, a scan of files, with ``row``: a number for each row by its file (in order of name) and place there.
+    """``docs`` with ``row``: a number for each row by its file (in order of name) and place there.
 
     Two scans give a row the same number however they deal out the files, also when executors were lost or
-    joined in between.
+    joined in between.  What is not a scan of files is written first.
     """
+    try:
+        return _numbered_scan(docs, row)
+    except AnalysisException:  # no file and place
+        return _numbered_scan(saved(docs, "numbered"), row)
+
+
+def _numbered_scan(docs: DataFrame, row: str) -> DataFrame:
     meta, file, place = docs.metadataColumn("_metadata"), unused(docs, "_at_file"), unused(docs, "_at_place")
     placed = docs.select("*", meta["file_path"].alias(file), meta["row_index"].alias(place))
     # one row per file

@@ -564,7 +564,7 @@ def _open_pairs(lists: DataFrame, more: DataFrame, comp: DataFrame, signed: Data
     held = listed.join(small_enough(open_lists, n_open), "tok").select("tok", "grp", "n", "pos", "comp", "mixed", "exact", "size")
     few = held.where(F.col("size") <= SMALL).drop("size").repartition("tok").sortWithinPartitions("tok")
     few = few.mapInArrow(_with_partners(num, den), few.schema)
-    held = saved(few.unionByName(held.where(F.col("size") > SMALL).drop("size")).drop("pos"), f"{name}-held", narrow=True)
+    held = saved(few.unionByName(held.where(F.col("size") > SMALL).drop("size")).drop("pos"), f"{name}-held")
     # lists of the same groups give the same pairs: one of them is enough
     alike = (held.groupBy("tok").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("grp").cast("decimal(20,0)")).alias("s1"),
                                      F.bit_xor(F.xxhash64("grp", F.lit(1))).alias("s2"))
@@ -614,7 +614,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      den: int = 100) -> DataFrame:
     """``docs`` with one row of each component, all columns as they were.
 
-    ``docs`` must be read from files: rows are numbered by their place in them.
+    Rows are told apart by their place in files (see :func:`common.numbered`).
     """
     row = unused(docs, "_join_row")
     rows = numbered(docs, row)

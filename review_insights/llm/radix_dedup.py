@@ -145,7 +145,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without later copies, all columns as they were.
 
-    ``docs`` must be read from files: rows are numbered by their place in them.
+    Rows are told apart by their place in files (see :func:`common.numbered`).
     """
     row = unused(docs, "_radix_row")
     rows = numbered(docs, row)

@@ -53,3 +53,9 @@ def test_texts_on_either_side_of_the_library_switch(monkeypatch, ids_of):
         for _ in range(30):
             text = "".join(rng.choice(["a", "B ", "é", "中", "\n\n", "  ", "'s", "<|endoftext|>", "1", "🙂"]) for _ in range(n))[:n]
             assert encoder.ids(text).tolist() == ids_of(text)
+
+
+def test_frames_that_are_no_scan_are_written_first(spark):
+    rows = common.numbered(spark.range(0, 100, 1, 3).withColumn("text", F.lit("a")), "row")
+    found = {r["id"]: r["row"] for r in rows.collect()}
+    assert len(found) == len(set(found.values())) == 100 and found == {r["id"]: r["row"] for r in rows.collect()}
