@@ -66,18 +66,20 @@ def score_lexicon(df: DataFrame, text_col: str = "review_text") -> DataFrame:
 class PandasLexiconScorer:
     """The lexicon scorer as a batch model: ``texts -> [(raw_label, score)]``.
 
-    Vectorised over the batch with pandas string operations.  Labels are in the
+    Text by text: a call costs in proportion to its texts, so the small batches that
+    bounded work and halving make cost no more than large ones.  Labels are in the
     upper-case form typical of model pipelines and are normalised by the harness.
     """
 
     def __call__(self, texts: Sequence[str]) -> list[tuple[str, float]]:
-        low = pd.Series(list(texts), dtype="object").fillna("").str.lower()
-        p = sum(low.str.contains(w, regex=False).astype("int64") for w in POSITIVE_WORDS)
-        n = sum(low.str.contains(w, regex=False).astype("int64") for w in NEGATIVE_WORDS)
-        labels = pd.Series("NEUTRAL", index=low.index).mask(p > n, "POSITIVE").mask(n > p, "NEGATIVE")
-        tot = (p + n).astype("float64")
-        conf = (0.5 + 0.5 * (p - n).abs() / tot.where(tot > 0)).fillna(0.5)
-        return list(zip(labels.tolist(), conf.tolist()))
+        return [self._score("" if text is None or text != text else text.lower()) for text in texts]
+
+    @staticmethod
+    def _score(low: str) -> tuple[str, float]:
+        p = sum([w in low for w in POSITIVE_WORDS])
+        n = sum([w in low for w in NEGATIVE_WORDS])
+        label = "POSITIVE" if p > n else "NEGATIVE" if n > p else "NEUTRAL"
+        return label, 0.5 + 0.5 * abs(p - n) / (p + n) if p + n else 0.5
 
 
 # ------------------------------------------------------------------ harness --
