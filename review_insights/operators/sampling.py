@@ -9,7 +9,8 @@ the digits of the hash.
 * One pass counts rows by the next four hex digits (at most 65,536 counts).
 * All rows below the digits at which the count passes ``n`` belong to the sample;
   the search goes on inside these digits with what is missing, until they hold few
-  rows (or only rows with the same hash of key and content).
+  rows (or only rows with the same hash of key and content).  Digits that
+  all rows inside share are taken at once, so copies cost no pass for each of them.
 * Those few are counted as distinct rows, ordered, and cut at the missing number.
 
 The passes read the key only (the whole row where keys repeat beyond the limit);
@@ -18,6 +19,7 @@ rows that are far from the cut are never shuffled.
 
 from __future__ import annotations
 
+import os.path
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,11 +47,16 @@ def _cut(df: DataFrame, n: int, key: Sequence[str], seed: int, near: int) -> tup
     while len(digits) < KEY_DIGITS + ROW_DIGITS:
         # the content is hashed only where keys repeat
         name = first if len(digits) + DIGITS <= KEY_DIGITS else F.concat(first, row)
-        inside = df.select(name.alias("_h")).where(F.col("_h").startswith(digits)) if digits else df.select(name.alias("_h"))
-        counts = inside.groupBy(F.substring("_h", len(digits) + 1, DIGITS).alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()
-        for d, count in sorted((r["d"], r["n"]) for r in counts):
+        inside, ends = df.select(name.alias("_h")), []
+        if digits:
+            # few rows are left: the digits that their least and greatest hash share cost no pass each
+            inside = df.select(name.alias("_h"), F.concat(first, row).alias("_f")).where(F.col("_h").startswith(digits))
+            ends = [F.min("_f").alias("lo"), F.max("_f").alias("hi")]
+        counts = inside.groupBy(F.substring("_h", len(digits) + 1, DIGITS).alias("d")).agg(F.count(F.lit(1)).alias("n"), *ends).collect()
+        for found in sorted(counts, key=lambda r: r["d"]):
+            count = found["n"]
             if count > missing:
-                digits += d
+                digits = os.path.commonprefix([found["lo"], found["hi"]]) if ends else digits + found["d"]
                 break
             missing -= count
         else:

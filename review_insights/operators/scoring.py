@@ -220,7 +220,12 @@ def train_sentiment_model(df: DataFrame, text_col: str = "review_text", label_co
                            maxIter=max_iter, regParam=reg_param, probabilityCol="_prob",
                            predictionCol="_pred", rawPredictionCol="_raw"),
     ]
-    return Pipeline(stages=stages).fit(train)
+    # bounded by max_rows; every stage reads the sample, so it is drawn once for all of them
+    train = train.persist()
+    try:
+        return Pipeline(stages=stages).fit(train)
+    finally:
+        train.unpersist()
 
 
 def score_with_model(model: PipelineModel, df: DataFrame, text_col: str = "review_text") -> DataFrame:
