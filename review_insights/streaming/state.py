@@ -31,6 +31,8 @@ from review_insights.operators import validation
 from review_insights.sources.versions import _Files
 
 KEYS = ("sentiment_label", "bert_sentiment", "problem_category", "rating")
+#: Columns of the scored reviews that the metrics need.
+STORED_COLUMNS = (*KEYS, "bert_confidence", "product_id", "user_id", "review_length")
 #: Accuracy of the sketches: 2^LOG_K registers give about 1.04 / sqrt(2^LOG_K) relative error; KLL's rank error is about 2.6 / K^0.96.
 HLL_LOG_K, KLL_K = 14, 400
 
@@ -52,14 +54,15 @@ def _manifests(files: _Files, folder: str) -> list[dict]:
     return [json.loads(files.read(f"{folder}/{name}")) for name in files.names(folder) if name.endswith(".json") and not name.startswith(".")]
 
 
-def _write(path: str, frames: dict[str, DataFrame]) -> str:
+def _write(path: str, frames: dict[str, DataFrame | Callable[[str], DataFrame]]) -> str:
+    """Write the frames in their order; one that is made from those before is a function of their location."""
     location = f"{path.rstrip('/')}/data/{uuid.uuid4().hex}"
     for name, frame in frames.items():
-        frame.write.parquet(f"{location}/{name}")
+        (frame(location) if callable(frame) else frame).write.parquet(f"{location}/{name}")
     return location
 
 
-def store_frames(spark: SparkSession, path: str, batch_id: int, frames: Callable[[], dict[str, DataFrame]]) -> bool:
+def store_frames(spark: SparkSession, path: str, batch_id: int, frames: Callable[[], dict[str, DataFrame | Callable[[str], DataFrame]]]) -> bool:
     """Store the frames of one batch; False if the batch is stored already."""
     files = _Files(spark, path)
     name = f"{path.rstrip('/')}/batches/{batch_id:012d}.json"
@@ -179,11 +182,13 @@ def sketch_summary(sketched: DataFrame) -> DataFrame:
 def start_metrics(scored_stream: DataFrame, path: str, checkpoint_location: str, available_now: bool = True) -> StreamingQuery:
     """Keep the state at ``path`` up to date with a stream of scored reviews (as from ``classify_stream``)."""
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.select(*KEYS, "bert_confidence", "product_id", "user_id", "review_length").persist()
+        batch = batch.persist()
         try:
             store_batch(batch, path, batch_id)
         finally:
             batch.unpersist()
 
-    writer = scored_stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint_location)
+    # a batch reaches ``keep`` as computed rows: columns that are not needed are left out of the stream, not of the batch
+    needed = scored_stream.select(*STORED_COLUMNS)
+    writer = needed.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint_location)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -30,3 +30,17 @@ def test_training_reads_the_table_a_few_times_only(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "rows"))
     read = records_read(spark, lambda: scoring.train_sentiment_model(df, num_features=1 << 6, max_iter=1, max_rows=4_000))
     assert read <= 5 * 30_000, read
+
+
+def test_a_stream_computes_only_the_columns_that_metrics_need(spark, tmp_path):
+    schema = "sentiment_label string, bert_sentiment string, problem_category string, rating bigint, bert_confidence double, " \
+             "product_id string, user_id string, review_length bigint, extra string"
+    spark.createDataFrame([("positive", "positive", "none", 5, 0.9, "p", "u", 12, "x")], schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withColumn("extra", F.raise_error(F.col("extra")))
+    state.start_metrics(stream, str(tmp_path / "state"), str(tmp_path / "checkpoint")).awaitTermination()
+    assert state.merged_cube(spark, str(tmp_path / "state")).select("n").collect()[0][0] == 1
+
+
+def test_exact_values_beside_sketches_sort_no_rows(spark, sf_small):
+    plan = QUERIES["sketch_summary"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"(Object|Sort)\w*Aggregate\(keys?=\[[^\]]", plan), plan
