@@ -11,7 +11,7 @@ text is read, cleaned or split again.  Batches are stored and folded as in
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +25,18 @@ from review_insights.streaming.state import fold, read_frames, store_frames
 def store_batch(scored: DataFrame, path: str, batch_id: int, text_col: str = "review_text", sentiment_col: str = "bert_sentiment",
                 stop_words: Sequence[str] | None = None) -> bool:
     """Store the tokens and term counts of one batch; False if it is stored already."""
-    def frames() -> dict[str, DataFrame]:
+    def frames() -> dict[str, DataFrame | Callable[[str], DataFrame]]:
         docs = keywords.keyword_documents(scored, text_col, sentiment_col)
         tokens = docs.select(F.struct(F.lit(batch_id).cast("long").alias("batch"), F.col("doc_id").alias("doc")).alias("doc_id"), "sentiment",
                              keywords.kept_tokens(F.col("processed_text"), stop_words).alias("tokens"))
-        terms = tokens.select("sentiment", with_bigrams(F.col("tokens")).alias("terms"))
-        return {"tokens": tokens, "counts": keywords.term_counts(terms), "sizes": keywords.class_sizes(docs).coalesce(1)}
+
+        # counts and sizes come from the stored tokens: the batch is read, cleaned and split once
+        def stored(location: str) -> DataFrame:
+            return scored.sparkSession.read.schema(tokens.schema).parquet(f"{location}/tokens")
+
+        return {"tokens": tokens,
+                "counts": lambda at: keywords.term_counts(stored(at).select("sentiment", with_bigrams(F.col("tokens")).alias("terms"))),
+                "sizes": lambda at: keywords.class_sizes(stored(at)).coalesce(1)}
 
     return store_frames(scored.sparkSession, path, batch_id, frames)
 

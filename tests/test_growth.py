@@ -44,3 +44,14 @@ def test_a_stream_computes_only_the_columns_that_metrics_need(spark, tmp_path):
 def test_exact_values_beside_sketches_sort_no_rows(spark, sf_small):
     plan = QUERIES["sketch_summary"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"(Object|Sort)\w*Aggregate\(keys?=\[[^\]]", plan), plan
+
+
+def test_a_batch_is_read_once_for_tokens_counts_and_sizes(spark, tmp_path):
+    rows = spark.range(1_000).select(F.lit("alpha beta").alias("review_text"), F.lit("positive").alias("bert_sentiment"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    cleaned = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: cleaned.add(1) or x)
+    assert keyword_state.store_batch(df.withColumn("review_text", seen("review_text")), str(tmp_path / "state"), 0)
+    assert cleaned.value == 1_000
+    assert keyword_state.read_frames(spark, str(tmp_path / "state"), "sizes").collect()[0]["n"] == 1_000
