@@ -12,10 +12,11 @@ Semantics per class (documents = reviews of that sentiment):
 
 Physical shape: two passes read the documents.  The vocabulary pass tokenises
 rows where they are (one explode of each document's sorted terms) into a
-partial aggregate on (class, term).  The weighting pass tokenises again, keeps
-vocabulary terms only and hash-partitions their integer ids by document once;
-per-document term counts and norms then run inside those partitions with no
-further shuffle.  No text is ever shuffled.  The vocabulary is found with map-side
+partial aggregate on (class, term).  The weighting pass tokenises again and keeps
+vocabulary terms only; their integer ids are gathered into one row per document
+where it is read (:func:`_document_rows`), hash-partitioned by document once, and
+per-document term counts, norms and the sums of a task are made there in Arrow
+batches (:func:`_weight_sums`).  No text is ever shuffled.  The vocabulary is found with map-side
 partial aggregation and cut to at most ``max_features`` rows per class by a
 two-level top-k (as many buckets as shuffle partitions, then per class), so no task ever holds a
 whole class; only that bounded vocabulary is broadcast.
@@ -36,10 +37,13 @@ and the sample, instead of all rare bigrams.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from review_insights import constants as K
 from review_insights.functions.stopwords import english_stop_words
@@ -104,11 +108,12 @@ def term_occurrences(terms: DataFrame) -> DataFrame:
     document), with no per-document aggregation.
     """
     ordered = terms.select("sentiment", F.sort_array("terms").alias("_sorted"))
-    marked = F.transform("_sorted", lambda t, k: F.struct(
-        t.alias("term"), F.coalesce(F.get(F.col("_sorted"), k - 1) != t, F.lit(True)).alias("first")))
+    # one place later the array of the previous elements, without a lambda per element; its end pairs with null
+    pairs = F.arrays_zip(F.col("_sorted").alias("term"), F.concat(F.array(F.lit(None).cast("string")), F.col("_sorted")).alias("before"))
     # outer: a plain explode makes the optimizer copy the tokeniser into a filter
-    occ = ordered.select("sentiment", F.explode_outer(marked).alias("o"))
-    return occ.select("sentiment", F.col("o.term").alias("term"), F.col("o.first").alias("first")).where(F.col("term").isNotNull())
+    occ = ordered.select("sentiment", F.explode_outer(pairs).alias("o"))
+    return (occ.select("sentiment", F.col("o.term").alias("term"), (~F.col("o.term").eqNullSafe(F.col("o.before"))).alias("first"))
+            .where(F.col("term").isNotNull()))
 
 
 #: Buckets of the sketch per class, the share of documents that name candidates, and how many for each kept term.
@@ -197,22 +202,75 @@ def keyword_importance(df: DataFrame, text_col: str = "review_text", sentiment_c
     return weighted(document_terms(docs, stop_words), vocab, num_partitions)
 
 
+def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(doc_id, ids, idfs)``: one row for each run of equal ``row`` in ``(row, doc_id, term_id, idf)``."""
+    for batch in batches:
+        if batch.num_rows:
+            row = batch.column(0).to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1])
+            offsets = pa.array(np.append(starts, len(row)), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(starts)), *(
+                pa.ListArray.from_arrays(offsets, batch.column(k)) for k in (2, 3))], ["doc_id", "ids", "idfs"])
+
+
+def _document_weights(parts: list[tuple[np.ndarray, ...]], sums: np.ndarray) -> np.ndarray:
+    """Add the weights of whole documents, as ``(document, term_id, idf)``, to the sums by term id."""
+    doc, term, idf = (np.concatenate(c) for c in zip(*parts))
+    width = int(term.max()) + 1
+    place = np.concatenate([[0], np.cumsum(doc[1:] != doc[:-1])])
+    idf_of = np.zeros(width)
+    idf_of[term] = idf
+    found, tf = np.unique(place * width + term, return_counts=True)
+    place, term = found // width, found % width
+    w = tf * idf_of[term]
+    weight = w / np.sqrt(np.bincount(place, w * w))[place]
+    if width > len(sums):
+        sums = np.concatenate([sums, np.zeros(width - len(sums))])
+    return sums + np.bincount(term, weight, minlength=len(sums))
+
+
+def _weight_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(term_id, weight_sum)`` of a task, from ``(first, ids, idfs)`` with the rows of a document one after
+    the other, the first marked.  Held: one batch, the document it ends in, and one sum per term."""
+    sums, rest, documents = np.zeros(0), [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        number = documents + np.cumsum(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        documents = int(number[-1])
+        ids, idfs = batch.column(1), batch.column(2)
+        part = (np.repeat(number, ids.value_lengths().to_numpy()), ids.flatten().to_numpy().astype(np.int64), idfs.flatten().to_numpy())
+        # the last document may go on in the next batch
+        cut = int(np.searchsorted(part[0], documents))
+        whole = rest + [tuple(c[:cut] for c in part)] if cut else rest
+        if cut or (rest and rest[-1][0][-1] != documents):
+            sums, rest = _document_weights(whole, sums), []
+        rest.append(tuple(c[cut:] for c in part))
+    if rest:
+        sums = _document_weights(rest, sums)
+    ids = np.flatnonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(sums[ids], pa.float64())], ["term_id", "weight_sum"])
+
+
 def weighted(terms: DataFrame, vocab: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """Mean TF-IDF weight of every term of the vocabulary, from ``(doc_id, sentiment, terms)``."""
     vocab = vocab.select("sentiment", "term", "term_id", "idf", "n")
+    # a number given before the explode: the occurrences of a document have it and follow each other
+    numbered = terms.select(F.monotonically_increasing_id().alias("row"), "doc_id", "sentiment", "terms")
     # bounded: at most max_features rows per class, three classes.  Terms outside
     # the vocabulary are dropped where the document is read, so the one shuffle
-    # carries (doc_id, term_id, idf) and no text; afterwards each document's term
-    # counts and norm stay inside one partition
-    hits = (terms.select("doc_id", "sentiment", F.explode_outer("terms").alias("term"))
+    # carries one row of ids per document and no text; afterwards each document's
+    # term counts and norm stay inside one partition
+    hits = (numbered.select("row", "doc_id", "sentiment", F.explode_outer("terms").alias("term"))
             .where(F.col("term").isNotNull()).join(F.broadcast(vocab), ["sentiment", "term"])
-            .select("doc_id", "term_id", "idf"))
-    hits = hits.repartition(num_partitions, "doc_id") if num_partitions else hits.repartition("doc_id")
-    tf = hits.groupBy("doc_id", "term_id", "idf").agg(F.count(F.lit(1)).alias("tf"))
-    w = F.col("tf") * F.col("idf")
-    norm = F.sqrt(F.sum(w * w).over(Window.partitionBy("doc_id")))
-    weights = tf.select("term_id", (w / norm).alias("weight"))
-    sums = weights.groupBy("term_id").agg(F.sum("weight").alias("weight_sum"))
+            .select("row", "doc_id", "term_id", "idf"))
+    rows = hits.mapInArrow(_document_rows, T.StructType([
+        hits.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("idfs", T.ArrayType(T.DoubleType()))]))
+    rows = rows.repartition(num_partitions, "doc_id") if num_partitions else rows.repartition("doc_id")
+    # rows with the same doc_id are one document
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")) == 1
+    weights = rows.select(first.alias("first"), "ids", "idfs").mapInArrow(_weight_sums, "term_id int, weight_sum double")
+    sums = weights.groupBy("term_id").agg(F.sum("weight_sum").alias("weight_sum"))
     # the same broadcast as above (one vocabulary pass, reused exchange)
     return (sums.join(F.broadcast(vocab), "term_id")
             .select("sentiment", "term", (F.col("weight_sum") / F.col("n")).alias("importance")))

@@ -46,6 +46,35 @@ def test_exact_values_beside_sketches_sort_no_rows(spark, sf_small):
     assert not re.search(r"(Object|Sort)\w*Aggregate\(keys?=\[[^\]]", plan), plan
 
 
+def test_document_weights_do_not_depend_on_batches():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(1, 9, rng.integers(1, 30)).astype(np.int32) for _ in range(60)]
+    rows = [(k == 0, part) for d in docs for k, part in enumerate(np.array_split(d, 1 + len(d) // 8))]
+    expected = np.zeros(9)
+    for d in docs:
+        ids, tf = np.unique(d, return_counts=True)
+        w = tf * (ids / 10)
+        expected[ids] += w / np.sqrt((w * w).sum())
+
+    def batch(part):
+        return pa.RecordBatch.from_arrays([pa.array([f for f, _ in part], pa.bool_()), pa.array([x for _, x in part], pa.list_(pa.int32())),
+                                           pa.array([x / 10 for _, x in part], pa.list_(pa.float64()))], ["first", "ids", "idfs"])
+
+    for size in (1, 2, 7, 1000):
+        out = list(keywords._weight_sums(batch(rows[k:k + size]) for k in range(0, len(rows), size)))[0]
+        found = np.zeros(9)
+        found[out.column(0).to_numpy()] = out.column(1).to_numpy()
+        assert np.allclose(found, expected)
+
+
+def test_occurrences_are_not_shuffled_one_by_one(spark):
+    df = spark.createDataFrame([("alpha beta alpha gamma", "positive")] * 30 + [("beta", "positive"), (None, "positive")], "review_text string, bert_sentiment string")
+    plan = keywords.keyword_importance(df)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"HashAggregate\(keys=\[doc_id", plan), plan
+    assert "namedlambdavariable" not in keywords.term_occurrences(df.select(
+        F.col("bert_sentiment").alias("sentiment"), F.split("review_text", " ").alias("terms")))._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_a_batch_is_read_once_for_tokens_counts_and_sizes(spark, tmp_path):
     rows = spark.range(1_000).select(F.lit("alpha beta").alias("review_text"), F.lit("positive").alias("bert_sentiment"))
     rows.write.parquet(str(tmp_path / "rows"))
