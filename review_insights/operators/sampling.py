@@ -11,7 +11,8 @@ the digits of the hash.
   the search goes on inside these digits with what is missing, until they hold few
   rows (or only rows with the same hash of key and content).  Digits that
   all rows inside share are taken at once, so copies cost no pass for each of them.
-* Those few are counted as distinct rows, ordered, and cut at the missing number.
+* Rows that may belong to the sample are counted as distinct rows in one pass; the few
+  near the cut are ordered, and cut at the missing number.
 
 The passes read the key only (the whole row where keys repeat beyond the limit);
 rows that are far from the cut are never shuffled.
@@ -80,15 +81,16 @@ def exact_sample(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> D
         return df
     digits, missing = found
     name = first if len(digits) <= KEY_DIGITS else F.concat(first, row)
-    below = df.where(name < digits)
     if missing == 0:
-        return below
-    # few rows, or copies that the partial aggregation counts where they are read
-    same = (df.where(name.startswith(digits)).groupBy(*[F.col(f"`{c}`") for c in df.columns])
-            .agg(F.count(F.lit(1)).alias("_copies"), F.first(first).alias("_first"), F.first(row).alias("_row")))
-    before = F.sum("_copies").over(Window.orderBy("_first", "_row", *[F.col(f"`{c}`") for c in df.columns])
+        return df.where(name < digits)
+    # at most n rows and few near the cut, or copies that the partial aggregation counts where they are read.  What tells
+    # them apart is an aggregate, so both parts come from one exchange and the rows are read once
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    near = name.startswith(digits)
+    inside = df.where((name < digits) | near).groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"), F.max(near).alias("_near"))
+    before = F.sum("_copies").over(Window.orderBy("_first", "_row", *columns)
                                    .rowsBetween(Window.unboundedPreceding, 0)) - F.col("_copies")
-    taken = F.least(F.col("_copies"), F.lit(missing) - F.col("_before"))
-    rest = (same.withColumn("_before", before).where(F.col("_before") < missing)
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), taken))))
-    return below.unionByName(rest.select(*[F.col(f"`{c}`") for c in df.columns]))
+    last = (inside.where(F.col("_near")).withColumns({"_first": first, "_row": row}).withColumn("_before", before).where(F.col("_before") < missing)
+            .select(*columns, F.least(F.col("_copies"), F.lit(missing) - F.col("_before")).alias("_taken")))
+    taken = inside.where(~F.col("_near")).select(*columns, F.col("_copies").alias("_taken")).unionByName(last)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_taken")))).select(*columns)

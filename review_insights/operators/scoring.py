@@ -26,7 +26,7 @@ from itertools import accumulate
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import HashingTF, IDF, IndexToString, RegexTokenizer, StopWordsRemover, StringIndexer
+from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, StopWordsRemover, StringIndexer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -249,15 +249,16 @@ def train_sentiment_model(df: DataFrame, text_col: str = "review_text", label_co
 
 def score_with_model(model: PipelineModel, df: DataFrame, text_col: str = "review_text") -> DataFrame:
     """Apply a fitted pipeline: label = most probable class, confidence = its probability."""
-    indexer = model.stages[0]
-    to_label = IndexToString(inputCol="_pred", outputCol="_pred_label", labels=indexer.labels)
+    labels = F.array(*[F.lit(label) for label in model.stages[0].labels])
     base = df.drop(SENTIMENT_COL, CONFIDENCE_COL).withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    # the label indexer is only needed for training; skip it when scoring
-    scored = PipelineModel(stages=model.stages[1:]).transform(base)
-    scored = to_label.transform(scored)
-    return (scored.withColumn(CONFIDENCE_COL, F.array_max(vector_to_array(F.col("_prob"))))
-            .withColumn(SENTIMENT_COL, normalise_label(F.col("_pred_label")))
-            .drop("_text", "_tok", "_words", "_tf", "_features", "_raw", "_prob", "_pred", "_pred_label"))
+    # the label indexer is only needed for training; skip it when scoring.  Only probabilities are made row by row:
+    # the first greatest one is the prediction, so raw predictions, their places and labels need no function calls
+    classifier = model.stages[-1].copy().setRawPredictionCol("").setPredictionCol("")
+    scored = PipelineModel(stages=[*model.stages[1:-1], classifier]).transform(base)
+    scored = scored.withColumn("_prob", vector_to_array(F.col("_prob"))).withColumn(CONFIDENCE_COL, F.array_max("_prob"))
+    place = F.array_position(F.col("_prob"), F.col(CONFIDENCE_COL)).cast("int")
+    return (scored.withColumn(SENTIMENT_COL, normalise_label(F.element_at(labels, place)))
+            .drop("_text", "_tok", "_words", "_tf", "_features", "_prob"))
 
 
 def publish_model(model: PipelineModel, path: str) -> versions.Version:
