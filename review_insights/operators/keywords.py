@@ -449,8 +449,9 @@ def _importance(rows: DataFrame, vocab: DataFrame, num_partitions: int | None =
     weights = rows.select(first.alias("first"), "ids", "idfs").mapInArrow(_weight_sums, "term_id int, weight_sum double")
     sums = weights.groupBy("term_id").agg(F.sum("weight_sum").alias("weight_sum"))
     # the same broadcast as above (one vocabulary pass, reused exchange)
+    # the class passes a generator: a caller's filter on it would reach only this use of the vocabulary, which is then made twice
     return (sums.join(F.broadcast(vocab), "term_id")
-            .select("sentiment", "term", (F.col("weight_sum") / F.col("n")).alias("importance")))
+            .select(F.explode_outer(F.array("sentiment")).alias("sentiment"), "term", (F.col("weight_sum") / F.col("n")).alias("importance")))
 
 
 def extract_keywords(df: DataFrame, top_k: int = K.TFIDF_TOP_K, **kwargs) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from review_insights.functions.stopwords import english_stop_words
 from review_insights.operators import keywords, scoring
 from review_insights.plans.catalog import QUERIES
+from tests_support import records_read
 
 ALPHABET = "abAB\t\n\x0b\x0c\r \x85\xa0   ​    　\x1c1'-é中İK"
 
@@ -61,3 +62,10 @@ def test_counts_and_weights_do_not_depend_on_pieces(spark, monkeypatch, piece):
 def test_no_rows_at_all(spark):
     empty = spark.createDataFrame([(None, "positive"), ("1 2", "positive"), ("x", None)], "review_text string, bert_sentiment string")
     assert keywords.extract_keywords(empty, min_df=1, max_df=1.0).count() == 0
+
+
+def test_a_filter_on_the_result_adds_no_pass(spark, tmp_path):
+    rows = [(t, "positive" if k % 2 else "negative") for k, t in enumerate(["good tea box"] * 300 + ["bad tea"] * 300)]
+    spark.createDataFrame(rows, "review_text string, bert_sentiment string").write.parquet(str(tmp_path / "rows"))
+    found = keywords.extract_keywords(spark.read.parquet(str(tmp_path / "rows")), max_df=1.0)
+    assert records_read(spark, lambda: found.where("sentiment = 'positive'").collect()) <= 3 * len(rows)
