@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from review_insights.session import spark_context
+
 DEFAULT_MAX_DIM_ROWS = 100_000
 
 
@@ -53,8 +55,11 @@ def spread(df: DataFrame) -> DataFrame:
 
     A file of one row group is one task, however many cores there are.  Below
     ``SPREAD_BYTES`` for each core (by the size Spark estimates, no job) the rows are
-    dealt out; a larger input has tasks enough and is never shuffled.
+    dealt out; a larger input has tasks enough and is never shuffled.  Sessions without
+    a SparkContext know neither and keep the input as it is.
     """
+    if spark_context(df.sparkSession) is None:
+        return df
     cores = int(df.sparkSession._jsparkSession.sparkContext().defaultParallelism())
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * SPREAD_BYTES else df

@@ -12,7 +12,7 @@ Three interchangeable scorers produce ``bert_sentiment`` / ``bert_confidence``:
   normalised to positive / negative / neutral in Catalyst afterwards.
 * ``train_sentiment_model`` / ``score_with_model``: an MLlib pipeline
   (tokenise, stop words, hashing TF, IDF, logistic regression) trained on the
-  rating-derived labels; confidence is the top class probability.  Fitted
+  rating-derived labels of all rows; confidence is the top class probability.  Fitted
   pipelines are published as versions (``publish_model``) and loaded by phases.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
 from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from itertools import accumulate
@@ -36,7 +37,9 @@ from pyspark.sql import types as T
 from review_insights import constants as K
 from review_insights.functions.labels import normalise_label
 from review_insights.functions.text import keyword_hits, lower_or_empty
+from review_insights.operators.dims import spread
 from review_insights.operators.sampling import exact_sample
+from review_insights.session import drop_table, table_path
 from review_insights.sources import versions
 
 # FIXED VALUES: the built-in lexicon of the deterministic scorer (our own lists).
@@ -211,40 +214,52 @@ def sentiment_stats(df: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------------------- MLlib --
 
-MAX_TRAINING_ROWS = 200_000
+def _train_on_terms(words: PipelineModel, stages: list, train: DataFrame) -> list:
+    """``stages`` fitted on the labels and term counts that ``words`` makes of all rows of ``train``.
+
+    Every stage but the first and each step of the regression read the same rows, so the texts are read
+    and tokenised once and their term counts written: no row of them has to stay in memory, and the loss of an
+    executor costs no second tokenising.  The table is dropped when the fit has ended.
+    """
+    spark = train.sparkSession
+    terms, path = words.transform(train).select("_label", "_tf"), table_path(spark, f"training-{uuid.uuid4().hex}")
+    try:
+        terms.write.option("compression", "zstd").parquet(path)
+        return Pipeline(stages=stages).fit(spark.read.schema(terms.schema).parquet(path)).stages
+    finally:
+        drop_table(spark, path)
 
 
 def train_sentiment_model(df: DataFrame, text_col: str = "review_text", label_col: str = "sentiment_label",
                           num_features: int = 1 << 18, max_iter: int = 20, reg_param: float = 0.01,
-                          max_rows: int = MAX_TRAINING_ROWS, key: Sequence[str] | None = None) -> PipelineModel:
+                          max_rows: int | None = None, key: Sequence[str] | None = None) -> PipelineModel:
     """Fit tokenise -> stop words -> hashing TF -> IDF -> multinomial logistic
     regression on the rating-derived labels.  Training is distributed by MLlib.
 
-    At most ``max_rows`` labelled rows are used for the fit, an exact sample in the
+    Labels, document frequencies and coefficients come from every labelled row.  Only a
+    caller that asks for ``max_rows`` gets a fit on so many of them: an exact sample in the
     order of a hash of ``key`` (default: text and label), the same rows whatever the
-    partitioning and without sorting them in one place; scoring covers every row.
+    partitioning and without sorting them in one place.
     """
     named = list(key) if key else []
-    labelled = df.where(F.col(label_col).isNotNull()).select(
+    train = df.where(F.col(label_col).isNotNull()).select(
         F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(label_col).alias("_label"), *named)
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    train = exact_sample(labelled, max_rows, named or ["_text", "_label"]).select("_text", "_label").repartition(slices)
-    stages = [
-        StringIndexer(inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc"),
+    if max_rows is not None:
+        train = exact_sample(train, max_rows, named or ["_text", "_label"])
+    words = [
         RegexTokenizer(inputCol="_text", outputCol="_tok", pattern="[^a-zA-Z]+", toLowercase=True, minTokenLength=2),
         StopWordsRemover(inputCol="_tok", outputCol="_words"),
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=num_features),
+    ]
+    stages = [
+        StringIndexer(inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc"),
         IDF(inputCol="_tf", outputCol="_features"),
         LogisticRegression(featuresCol="_features", labelCol="_y", family="multinomial",
                            maxIter=max_iter, regParam=reg_param, probabilityCol="_prob",
                            predictionCol="_pred", rawPredictionCol="_raw"),
     ]
-    # bounded by max_rows; every stage reads the sample, so it is drawn once for all of them
-    train = train.persist()
-    try:
-        return Pipeline(stages=stages).fit(train)
-    finally:
-        train.unpersist()
+    indexer, *rest = _train_on_terms(PipelineModel(stages=words), stages, spread(train.select("_text", "_label")))
+    return PipelineModel(stages=[indexer, *words, *rest])
 
 
 def score_with_model(model: PipelineModel, df: DataFrame, text_col: str = "review_text") -> DataFrame:

@@ -111,10 +111,20 @@ def table_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", name) if "://" not in base else f"{base.rstrip('/')}/tables/{name}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark_context(spark)
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete one intermediate table; a session without a SparkContext leaves it in the checkpoint folder."""
+    if spark_context(spark) is not None:
+        _delete(spark, path)
+
+
 def drop_intermediate(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application, when none of its results is needed any more."""
-    sc = spark_context(spark)
-    if sc is None:
+    if spark_context(spark) is None:
         raise RuntimeError("a session without a SparkContext cannot delete files: drop the checkpoint folder instead")
-    folder = sc._jvm.org.apache.hadoop.fs.Path(table_path(spark, ""))
-    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, table_path(spark, ""))
